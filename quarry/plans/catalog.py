@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shipped
+from . import files, index, search, talk  # noqa: F401  registration
+from .registry import QUERIES, SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shipped(QUERIES["a3_corpus_summary"])(spark, sf_dir)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: shipped(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
