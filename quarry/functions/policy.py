@@ -21,14 +21,8 @@ def _reason(reason: tuple[str, str]) -> Column:
 
 
 def _reasons(table: dict[str, tuple[str, str]], key: Column) -> Column:
-    """One branch per distinct reason, so the plan stays small."""
-    names: dict[tuple[str, str], list[str]] = {}
-    for name, reason in table.items():
-        names.setdefault(reason, []).append(name)
-    out = F.lit(None).cast(REASON)
-    for reason, keys in names.items():
-        out = F.when(key.isin(keys), _reason(reason)).otherwise(out)
-    return out
+    """Lookup in one constant map, so the key is computed once and the plan stays small."""
+    return F.try_element_at(F.create_map(*[x for name, reason in table.items() for x in (F.lit(name), _reason(reason))]), key)
 
 
 def extension(name: Column) -> Column:
@@ -55,8 +49,12 @@ def generated_name_reason(name: Column) -> Column:
 
 def file_exclusion(path: Column) -> Column:
     """First hit wins: environment file, exact name, generated name, extension."""
-    name = basename_posix(path)
-    return F.coalesce(env_file_reason(name), _reasons(O.EXCLUDED_NAMES, name), generated_name_reason(name), _reasons(O.EXCLUDED_EXTENSIONS, extension(name)))
+    return file_exclusion_of(basename_posix(path))
+
+
+def file_exclusion_of(name: Column) -> Column:
+    ext = _reasons(O.EXCLUDED_EXTENSIONS, F.coalesce(extension(name), F.lit("")))
+    return F.coalesce(env_file_reason(name), _reasons(O.EXCLUDED_NAMES, name), generated_name_reason(name), ext)
 
 
 def looks_binary(content: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,7 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         ends, start, total = [], 0, 0
         for i, n in enumerate(sizes.tolist()):
             if i > start and total + n > max_bytes:
@@ -62,7 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts end to end and the offsets of each text; nulls are empty."""
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     _, off, data = column.buffers()
     offsets = np.frombuffer(off, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

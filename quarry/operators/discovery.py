@@ -62,14 +62,13 @@ def discover(files: DataFrame, options: DiscoveryOptions = DiscoveryOptions()) -
     alive = prune_subtrees(rest, judged)
     links = alive.filter("entry_type = 'symlink'").select(*KEY, "entry_type", "size_bytes", F.lit(SYMLINK).alias("reason"), F.lit("boundary").alias("origin"))
     found = decide(alive.filter("entry_type = 'file'").withColumn("is_dir", F.lit(False)), rules)
-    barred = P.file_exclusion(F.col("relative_path"))
-    held = F.when(~F.col("explicitly_included") | (barred["category"] == "secret-bearing"), barred["message"])
-    language = P.detect_language(name)
-    reason = F.when(F.col("ignored"), _matched()).otherwise(
-        F.coalesce(held, F.when(language.isNull(), F.lit(UNRECOGNISED)), P.oversize_reason(F.col("size_bytes"), options.max_file_bytes))
-    )
-    origin = F.when(F.col("ignored"), F.col("rule_origin")).when(held.isNotNull() | language.isNull(), F.lit("default")).otherwise("size")
-    verdicts = found.select(*KEY, "entry_type", "size_bytes", reason.alias("reason"), origin.alias("origin"), language.alias("language"))
+    found = found.withColumn("name", name)
+    found = found.withColumns({"barred": P.file_exclusion_of(F.col("name")), "language": P.detect_language(F.col("name"))})
+    found = found.withColumn("held", F.when(~F.col("explicitly_included") | (F.col("barred.category") == "secret-bearing"), F.col("barred.message")))
+    unknown = F.when(F.col("language").isNull(), F.lit(UNRECOGNISED))
+    reason = F.when(F.col("ignored"), _matched()).otherwise(F.coalesce("held", unknown, P.oversize_reason(F.col("size_bytes"), options.max_file_bytes)))
+    origin = F.when(F.col("ignored"), F.col("rule_origin")).when(F.col("held").isNotNull() | F.col("language").isNull(), F.lit("default")).otherwise("size")
+    verdicts = found.select(*KEY, "entry_type", "size_bytes", reason.alias("reason"), origin.alias("origin"), "language")
     skipped = prune_subtrees(judged, judged).union(links).withColumn("language", F.lit(None).cast("string"))
     out = skipped.union(verdicts)
     return out.select(
