@@ -28,8 +28,11 @@ def final_segments(segments: DataFrame, late: str = LATE) -> DataFrame:
 TURN_SCHEMA = "session_id string, source string, stream_epoch int, turn_id long, text string, start_ms long, end_ms long"
 
 
-def assemble_turns(finals: DataFrame, late: str = LATE) -> DataFrame:
-    """Turns as they end; an open turn is emitted when its stream has been silent past the watermark."""
+def assemble_turns(finals: DataFrame, late: str | None = LATE) -> DataFrame:
+    """Turns as they end; an open turn is emitted when its stream has been silent past the watermark.
+
+    ``late`` is None when the input already has its watermark (one stream has one).
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turn, texts, start, end = state.get if state.exists else (0, [], None, None)
@@ -51,7 +54,8 @@ def assemble_turns(finals: DataFrame, late: str = LATE) -> DataFrame:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + 60_000)
         yield pd.DataFrame(out, columns=["session_id", "source", "stream_epoch", "turn_id", "text", "start_ms", "end_ms"])
 
-    return finals.withWatermark("ts", late).groupBy(*STREAM).applyInPandasWithState(
+    marked = finals.withWatermark("ts", late) if late else finals
+    return marked.groupBy(*STREAM).applyInPandasWithState(
         step, TURN_SCHEMA, "turn long, texts array<string>, start long, end long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
