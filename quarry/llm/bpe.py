@@ -129,7 +129,7 @@ class WordBpe:
             self.cache.clear()
         if len(self.known) > CACHE_WORDS:
             self.known, self.verdict = self.known[:0], self.verdict[:0]
-        shown = [w if w.isascii() else "".join([self.letters[b] for b in w.encode()]) for w in words]
+        shown = [w if w.isascii() and w.isprintable() else "".join([self.letters[b] for b in w.encode()]) for w in words]
         proposals = [self.proposed(w) for w in shown]
         for word, text, tokens, ok in zip(words, shown, proposals, self.verified(proposals).tolist(), strict=True):
             if not ok:
