@@ -91,7 +91,7 @@ class Model:
     langs: list[str]
     alphabet: np.ndarray  # sorted symbols
     roots: np.ndarray  # state number of each language's root
-    table: np.ndarray  # states x (alphabet + unknown); -1 where no transition
+    table: np.ndarray  # states x (alphabet + unknown); -1 where no transition; the last state has none
     bits: np.ndarray  # what a phrase costs
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -110,7 +110,7 @@ class Model:
         count = np.ones((len(self.langs), len(pieces)))
         for lang, root in enumerate(self.roots.tolist()):
             start = self.table[root]
-            first = np.where(start < 0, root, start)
+            first = np.where(start < 0, len(self.table) - 1, start)  # a symbol the language has not is a phrase of its own
             state = first[grid[0]]
             tally = count[lang]
             for step in range(1, PIECE):
@@ -166,7 +166,7 @@ def build(samples: dict[str, str]) -> Model:
         roots.append(base)
         rows.append(block)
     bits = np.log2(np.array([len(c) + 1 for c in coded.values()], float)) if coded else np.zeros(0)
-    table = np.concatenate(rows) if rows else np.zeros((0, len(alphabet) + 1), np.int32)
+    table = np.concatenate([*rows, np.full((1, len(alphabet) + 1), -1, np.int32)])
     return Model(list(coded), alphabet, np.array(roots, np.int64), table, bits)
 
 
