@@ -12,8 +12,8 @@ previous smaller position of a suffix with an earlier match of ``length`` is its
 one of a suffix with a later match its neighbour behind; so the longest previous (and next) factor reaches
 ``length`` exactly where a neighbour is equal.
 
-An anchor with very many different contexts is cut into blocks; what a block leaves open is settled by grouping
-hashes of the open windows over the cluster, so no block grows with the data.
+An anchor with very many different contexts is cut into blocks; what meets only across blocks is settled by grouping
+hashes of one window of each class per block over the cluster, so no block grows with the data.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; matches never cross documents;
 a repeated row (same id) counts as one document; an empty table gives no rows; other columns are ignored.
@@ -152,8 +152,9 @@ def suffix_classes(data: np.ndarray, group: np.ndarray, length: int) -> tuple[np
     return order, ~new
 
 
-def factors(bodies: list[bytes], los: list[int], blocks: list[int], length: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each context the offsets (from its start) of windows with an equal window in another context of its block."""
+def factors(bodies: list[bytes], los: list[int], blocks: list[int], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each context the offsets (from its start) of windows with an equal window in another context of its block,
+    and the offsets of windows that the block must show to other blocks: one of each class of equal windows."""
     sizes = np.array([len(b) for b in bodies])
     starts = np.r_[0, np.cumsum(sizes)]
     data = np.frombuffer(b"".join(bodies) + bytes(length), np.uint8).astype(np.int64)
@@ -168,8 +169,10 @@ def factors(bodies: list[bytes], los: list[int], blocks: list[int], length: int)
     hit[order[:-1][equal[1:]]] = True
     whole = np.zeros(len(data), bool)
     whole[: starts[-1]] = np.arange(starts[-1]) + length <= starts[owner + 1]
-    hit &= whole
-    return [np.flatnonzero(hit[a:b]) for a, b in zip(starts, starts[1:], strict=False)], starts
+    shown = whole.copy()
+    shown[order[equal]] = False
+    cut = list(zip(starts, starts[1:], strict=False))
+    return [np.flatnonzero((hit & whole)[a:b]) for a, b in cut], [np.flatnonzero(shown[a:b]) for a, b in cut]
 
 
 def _runs(at: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -188,12 +191,11 @@ def _sort_pass(length: int):
         number, blocks = {}, []
         for h, block, *_ in rows:
             blocks.append(number.setdefault((h, block), len(number)))
-        found, _ = factors([r[4] for r in rows], [r[3] for r in rows], blocks, length)
+        found, shown = factors([r[4] for r in rows], [r[3] for r in rows], blocks, length)
         runs, opens = [], []
-        for (h, block, ctx, lo, body), at in zip(rows, found, strict=True):
+        for (h, block, ctx, lo, body), at, rest in zip(rows, found, shown, strict=True):
             runs.append([{"a": a - lo, "b": b - lo} for a, b in _runs(at, length)])
             if block >= 0:
-                rest = np.setdiff1d(np.arange(max(0, len(body) - length + 1)), at, assume_unique=True)
                 data = np.frombuffer(body, np.uint8)
                 run = prefix_hash(data, OTHER_MIX)
                 _, inv = powers(len(data))
