@@ -2,9 +2,10 @@
 
 Seed entities are the matches of four base kinds. Every identifier-like token (one with a digit or an at sign) is a
 mention that carries lexical patterns: the word before it, the word after it, its shape, and the key when it is
-assigned one. Patterns and mentions form a graph; Spark scores it iteratively: a pattern is worth the smoothed share
-of its mentions that are believed, a mention is believed as much as the mean of its contexts or its best
-well-supported shape or key. Mentions above the threshold that no base span covers are added under kind ``context``.
+assigned one. Patterns and mentions form a graph; Spark scores it iteratively: a context (word before or after) is
+worth the share of its other mentions that are believed, a shape or key is worth the weighed mean of the contexts
+its mentions stand in, and a well-supported shape or key above the threshold is a pattern that makes its mentions
+believed. Believed mentions that no base span covers are added under kind ``context``.
 
 Only mentions (a few bytes each) are shuffled, never texts, and pattern scores are joined, not broadcast.
 
@@ -80,7 +81,7 @@ def shape(token: str) -> str:
     if n >= 12 and token.isalnum() and token.isascii():
         head = re.match(r"[A-Z]{2,4}|", token)[0][:4]
         return f"code:{head}:{n // 4}:{token.isupper()}"
-    return re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", token))[:24]
+    return re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}", re.sub(r"[^\W\d_]+", "a", token))[:24]
 
 
 def plausible(token: str) -> bool:
@@ -160,29 +161,27 @@ def extract(docs: DataFrame) -> DataFrame:
 def believed(found: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """doc_id, start, stop of mentions that the pattern graph comes to believe, without the seeds.
 
-    ``found`` has one row per mention: doc_id, start, stop, seed, patterns.
+    ``found`` has one row per mention: doc_id, start, stop, seed, patterns. What a context says of a mention comes from its
+    other mentions alone, and counts by how many these are.
     """
-    edges = staged(
-        found.withColumn("m", F.xxhash64("doc_id", "start")).select("m", "seed", F.explode("patterns").alias("pattern"), F.col("doc_id")), "edges"
-    )
+    mention = F.xxhash64("doc_id", "start").alias("m")
+    edges = staged(found.select(mention, "doc_id", "seed", F.explode("patterns").alias("pattern")), "edges")
+    outer = edges.filter("substring(pattern, 1, 1) in ('L', 'R')")
+    inner = edges.filter("substring(pattern, 1, 1) in ('S', 'K')")
     belief = edges.select("m", F.col("seed").cast("double").alias("b")).distinct()
     for _ in range(rounds):
-        worth = (
-            edges.select("m", "pattern", "doc_id").join(belief, "m").groupBy("pattern").agg((F.sum("b") / (F.count("*") + 1)).alias("worth"), F.approx_count_distinct(F.when(F.col("b") >= threshold, F.col("doc_id"))).alias("docs"))
-        )
-        scored = edges.join(staged(worth, "worth"), "pattern")
-        sure = F.substring("pattern", 1, 1).isin("S", "K") & (F.col("docs") >= support)
-        context = F.substring("pattern", 1, 1).isin("L", "R", "S")
+        seen = staged(outer.select("m", "pattern").join(belief, "m"), "seen")
+        context = seen.groupBy("pattern").agg(F.sum("b").alias("total"), (F.count(F.lit(1)) - 1).alias("others"))
+        others = F.greatest("others", F.lit(1))
+        weight = F.col("others") / (F.col("others") + 3)
+        told = seen.join(staged(context, "contexts"), "pattern").groupBy("m").agg(F.sum((F.col("total") - F.col("b")) / others * weight).alias("s"), F.sum(weight).alias("w"))
+        promoted = inner.join(staged(told, "told"), "m").groupBy("pattern").agg((F.sum("s") / (F.sum("w") + 1)).alias("worth"), F.approx_count_distinct("doc_id").alias("docs"))
+        promoted = staged(promoted.filter((F.col("worth") >= threshold) & (F.col("docs") >= support)).select("pattern", "worth"), "promoted")
         belief = staged(
-            scored.groupBy("m").agg(
-                F.max(F.col("seed").cast("double")).alias("seed"),
-                (F.sum(F.when(context, F.col("worth"))) / 3).alias("mean"),
-                F.coalesce(F.max(F.when(sure, F.col("worth"))), F.lit(0.0)).alias("best"),
-            ).select("m", F.greatest("seed", "mean", "best").alias("b")),
-            "belief",
+            inner.join(promoted, "pattern", "left").groupBy("m").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("worth"), F.lit(0.0))).alias("b")), "belief"
         )
     accepted = belief.filter(F.col("b") >= threshold).select("m")
-    return found.filter(~F.col("seed")).withColumn("m", F.xxhash64("doc_id", "start")).join(accepted, "m", "left_semi").select("doc_id", "start", "stop")
+    return found.filter(~F.col("seed")).withColumn("m", mention).join(accepted, "m", "left_semi").select("doc_id", "start", "stop")
 
 
 def find(docs: DataFrame) -> DataFrame:
