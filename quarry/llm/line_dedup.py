@@ -1,9 +1,10 @@
-"""Substring dedup by hashing lines or paragraphs.
+"""Substring dedup by hashing lines and their sentences.
 
-Units are normalised (lower case, blanks collapsed, ends trimmed), digests are grouped over the whole
-corpus, the earliest ranked occurrence (smallest doc_id, then position) stays and every later one goes.
-Only digests and positions are shuffled for the grouping, with map-side combine, so one very common
-line costs a row per task. Texts that lose nothing never meet the join.
+A text is cut after every line break and after every sentence end, since a repeated passage often stands inside a
+longer line. Units are normalised (lower case, blanks collapsed, ends trimmed), digests are grouped over the whole
+corpus, the earliest ranked occurrence (smallest doc_id, then position) stays and every later one goes, with its line
+break or blank. Only digests and positions are shuffled for the grouping, with map-side combine, so one very common
+line costs a row per task; texts are put together again in one linear pass.
 
 Defined results: null text counts as empty; units under ``min_words`` words are never removed; an empty
 table gives no rows; repeated rows with the same id are ranked as one document; other columns are ignored.
@@ -11,33 +12,36 @@ table gives no rows; repeated rows with the same id are ranked as one document;
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import slices, staged
 
-#: Units shorter than this are boilerplate too small to judge (documented production parameter).
-MIN_WORDS = 20
+#: Units shorter than this are too small to judge (documented production parameter).
+MIN_WORDS = 6
+CUT = r"(?<=[.!?] )|(?<=\n)"
+LINES = r"(?<=\n)"
 
 
 def normalised_unit(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(unit), r"[ \t\x0B\f\r]+", " "))
+    return F.trim(F.regexp_replace(F.lower(unit), r"[ \t\n\x0B\f\r]+", " "))
 
 
-def units(docs: DataFrame, separator: str = "\n") -> DataFrame:
-    """doc_id, unit (1-based), start and stop (code points, stop exclusive), body."""
-    pieces = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce("text", F.lit("")), separator, -1).alias("pieces")
-    )
+def units(docs: DataFrame, cut: str = CUT) -> DataFrame:
+    """doc_id, unit (1-based), body; the bodies of a text, end to end, are the text."""
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce("text", F.lit("")), cut, -1).alias("pieces"))
     return pieces.select("doc_id", F.posexplode("pieces").alias("pos", "body")).select("doc_id", (F.col("pos") + 1).alias("unit"), "body")
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, separator: str = "\n") -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, cut: str = CUT) -> DataFrame:
     """doc_id and unit number of every copy after the first."""
-    body = normalised_unit(F.col("body"))
     digests = staged(
-        units(docs, separator)
-        .withColumn("body", body)
+        units(docs, cut)
+        .withColumn("body", normalised_unit(F.col("body")))
         .filter((F.length("body") > 0) & (F.size(F.split("body", " ")) >= min_words))
         .select("doc_id", "unit", F.substring(F.unhex(F.sha2("body", 256)), 1, 16).alias("digest")),
         "unit-digests",
@@ -46,24 +50,37 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, separator: str =
     return digests.join(firsts, "digest").filter(F.struct("doc_id", "unit") != F.col("first")).select("doc_id", "unit").distinct()
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, separator: str = "\n") -> DataFrame:
-    """One row per document: doc_id, n_units, n_removed, removed (array of unit, start, stop), kept_text."""
-    gone = repeated_units(docs, min_words, separator).groupBy("doc_id").agg(F.array_sort(F.collect_list("unit")).alias("gone"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(gone, "doc_id", "left")
-    return rows.select("doc_id", "text", F.split("text", separator, -1).alias("pieces"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone")).select(
-        "doc_id",
-        F.size("pieces").cast("long").alias("n_units"),
-        F.size("gone").cast("long").alias("n_removed"),
-        F.transform(
-            "gone",
-            lambda u: F.struct(
-                u.alias("unit"),
-                F.when(u == 1, 0).otherwise(F.char_length(F.array_join(F.slice("pieces", 1, u - 1), separator)) + len(separator)).alias("start"),
-                F.char_length(F.array_join(F.slice("pieces", 1, u), separator)).alias("stop"),
-            ),
-        ).alias("removed"),
-        F.when(F.size("gone") == 0, F.col("text"))
-        .otherwise(F.array_join(F.filter("pieces", lambda p, i: ~F.array_contains("gone", i + 1)), separator))
-        .alias("kept_text"),
-    )
+def _rebuild(cut: str):
+    pattern = re.compile(cut)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            total, removed, spans, kept = [], [], [], []
+            for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
+                pieces, gone, at, runs, rest = pattern.split(text), set(gone or ()), 0, [], []
+                for k, piece in enumerate(pieces, 1):
+                    if k not in gone:
+                        rest.append(piece)
+                    elif runs and runs[-1]["stop"] == at:
+                        runs[-1]["stop"] += len(piece)
+                    else:
+                        runs.append({"start": at, "stop": at + len(piece)})
+                    at += len(piece)
+                total.append(len(pieces))
+                removed.append(len(gone))
+                spans.append(runs)
+                kept.append("".join(rest))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())],
+                names=["doc_id", "n_units", "n_removed", "removed", "kept_text"],
+            )
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, cut: str = CUT) -> DataFrame:
+    """One row per document: doc_id, n_units, n_removed, removed (maximal runs of start, stop in the original), kept_text."""
+    gone = repeated_units(docs, min_words, cut).groupBy("doc_id").agg(F.collect_list("unit").alias("gone"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(gone, "doc_id", "left")
+    return rows.mapInArrow(_rebuild(cut), "doc_id long, n_units long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string")

@@ -139,17 +139,18 @@ def oracle_sql() -> dict[str, str]:
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?] |\n)', '\1' || chr(1), 'g'), chr(1)) AS pieces FROM documents),
 u AS (
-  SELECT doc_id, unit, body, trim(regexp_replace(lower(body), '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS norm
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM d)),
+  SELECT doc_id, unit, body, trim(regexp_replace(lower(body), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS norm
+  FROM (SELECT doc_id, unnest(pieces) AS body, generate_subscripts(pieces, 1) AS unit FROM d)),
 r AS (
-  SELECT *, length(norm) > 0 AND len(string_split(norm, ' ')) >= {min_words}
-            AND row_number() OVER (PARTITION BY sha256(norm) ORDER BY doc_id, unit) > 1 AS gone,
-         sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - 1 AS stop
-  FROM u)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-       coalesce(string_agg((CASE WHEN unit = 1 THEN 0 ELSE stop - length(body) END)::BIGINT::VARCHAR || ':' || stop::BIGINT::VARCHAR, ',' ORDER BY unit) FILTER (gone), '') AS removed_spans,
-       sha256(coalesce(string_agg(body, chr(10) ORDER BY unit) FILTER (NOT gone), '')) AS kept_sha256
-FROM r GROUP BY doc_id
+  SELECT *, length(norm) > 0 AND len(string_split(norm, ' ')) >= {min_words} AND row_number() OVER (PARTITION BY sha256(norm) ORDER BY doc_id, unit) > 1 AS gone,
+         sum(length(body)) OVER (PARTITION BY doc_id ORDER BY unit)::BIGINT AS stop
+  FROM u),
+g AS (SELECT *, CASE WHEN gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY unit), false) THEN 1 ELSE 0 END AS opens FROM r),
+q AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM g),
+s AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM (SELECT doc_id, run, min(stop - length(body)) AS a, max(stop) AS b FROM q WHERE gone GROUP BY doc_id, run) GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(any_value(removed_spans), '') AS removed_spans,
+       sha256(coalesce(string_agg(body, '' ORDER BY unit) FILTER (NOT gone), '')) AS kept_sha256
+FROM r LEFT JOIN s USING (doc_id) GROUP BY doc_id
 """.replace("{min_words}", str(line_dedup.MIN_WORDS))

@@ -322,11 +322,12 @@ def test_pii_bootstrap_discovers_unseen_identifiers(spark):
 
 def test_line_dedup(spark):
     long = " ".join(f"word{i}" for i in range(25))
-    rows = [(1, f"{long}\nshort\nTail one"), (2, f"x\n  {long.upper()}  \ny"), (3, f"{long}\n{long}"), (4, "short"), (5, None)]
+    rows = [(1, f"{long}\nshort\nTail one"), (2, f"x\n  {long.upper()}  \ny"), (3, f"{long}\n{long}"), (4, "short"), (5, None), (6, f"Lead in. {long}. Then on."), (7, f"Other words {long} go. {long}. End")]
     got = {r.doc_id: r for r in line_dedup.remove_repeats(table(spark, rows)).collect()}
     assert got[1].kept_text == rows[0][1] and got[4].kept_text == "short" and got[5].kept_text == ""
-    assert got[2].kept_text == "x\ny" and [tuple(s) for s in got[2].removed] == [(2, 2, 6 + len(long))]
-    assert got[3].kept_text == "" and got[3].n_removed == 2
+    assert got[2].kept_text == "x\ny" and [tuple(s) for s in got[2].removed] == [(2, 2 + len(long) + 5)]
+    assert got[3].kept_text == "" and got[3].n_removed == 2 and len(got[3].removed) == 1
+    assert got[6].kept_text == rows[5][1] and got[7].kept_text == f"Other words {long} go. End"
 
 
 def test_probability_jaccard():
@@ -432,6 +433,6 @@ def test_hot_near_group_makes_linear_links(spark):
 
 
 def test_line_units_offsets(spark):
-    rows = [(1, "a\n\nbc\n"), (2, "")]
+    rows = [(1, "a\n\nb. c\n"), (2, "")]
     got = sorted((r.doc_id, r.unit, r.body) for r in line_dedup.units(table(spark, rows)).collect())
-    assert got == [(1, 1, "a"), (1, 2, ""), (1, 3, "bc"), (1, 4, ""), (2, 1, "")]
+    assert got == [(1, 1, "a\n"), (1, 2, "\n"), (1, 3, "b. "), (1, 4, "c\n"), (1, 5, ""), (2, 1, "")]
