@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import options as O
 from ..functions import text as TX
 from ..operators import chunking, manifest, reports, secrets
-from ..sources import generations
-from ..sources import repo_tree
+from ..session import scratch
+from ..sources import generations, repo_tree
 from .files import CHUNKS, DISCOVER, FILES, LIMITS, _MINIFIED, code_chunks, discovery, files, listing
 from .registry import query, table
 
@@ -201,3 +201,18 @@ def s2_read_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s5_write_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = hashed(spark, sf_dir).groupBy("repository_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
     return generations.summary_json(summary)
+
+
+@query(f"WITH g AS ({GENERATIONS}) SELECT h.repository_id, g.generation_id, h.relative_path, h.content_hash FROM {HASHED} h JOIN g ON g.repository_id = h.repository_id WHERE h.repository_id IN ('src1', 'src2')")
+def s4_write_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publishes two repositories and leaves a third unpublished; readers see the published ones."""
+    rows, path = hashed(spark, sf_dir), scratch(spark, "generations")
+    ids = {r.repository_id: r.generation_id for r in manifest.generation_ids(rows, VERSIONS).filter("repository_id in ('src1', 'src2', 'src3')").collect()}
+    for k, (repo, generation) in enumerate(sorted(ids.items())):
+        own = rows.filter(F.col("repository_id") == repo).select("relative_path", "content_hash")
+        if repo == "src3":
+            stamped = own.withColumns({"repository_id": F.lit(repo), "generation_id": F.lit(generation)})
+            stamped.write.mode("append").partitionBy("repository_id", "generation_id").parquet(f"{path}/manifest")
+        else:
+            generations.write_generation(path, repo, generation, k, own, own.limit(0), own.limit(0))
+    return generations.read_generation(spark, path, "manifest").select("repository_id", "generation_id", "relative_path", "content_hash")

@@ -113,7 +113,14 @@ def q6_merge_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FUSED},
+sp AS (SELECT query_id, chunk_id, rank, repository_id || '/' || relative_path AS f, start_line AS a, end_line AS b FROM fused JOIN {PASSAGES} USING (chunk_id)),
+greedy AS (
+  SELECT query_id, rank, chunk_id, true AS keep, [{{'f': f, 'a': a, 'b': b}}] AS kept FROM sp WHERE rank = 1
+  UNION ALL
+  SELECT query_id, rank, chunk_id, k, CASE WHEN k THEN list_append(kept, {{'f': f, 'a': a, 'b': b}}) ELSE kept END
+  FROM (SELECT sp.query_id, sp.rank, sp.chunk_id, f, a, b, kept, len(list_filter(kept, lambda x: x.f = sp.f AND x.a <= sp.b AND sp.a <= x.b)) = 0 AS k FROM greedy g JOIN sp ON sp.query_id = g.query_id AND sp.rank = g.rank + 1))
+SELECT query_id, chunk_id, rank FROM greedy WHERE keep""")
 def q7_drop_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.drop_overlaps(_fused(spark, sf_dir), passages(spark, sf_dir))
 

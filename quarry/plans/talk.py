@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import transcripts
+from ..session import scratch
+from ..sources import repo_tree
+from ..streaming import transcripts as streams
 from .registry import query, table
 
 OPENINGS = ("What about ", "Walk me through ", "Okay", "So ", "Why ", "")
@@ -159,3 +162,16 @@ def t12_debounce_file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SEGMENTS} SELECT session_id, source, sum(end_ms - start_ms)::BIGINT AS duration_ms, count(*) AS n_segments FROM finals GROUP BY ALL")
 def t13_session_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.session_usage(_finals(spark, sf_dir))
+
+
+@query(f"WITH {SEGMENTS} SELECT DISTINCT session_id, source, stream_epoch, sequence, revision, text FROM segments")
+def s6_read_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment table read as a stream, deduplicated within the watermark, written and read back."""
+    path = scratch(spark, "segments")
+    stamped = segments(spark, sf_dir).withColumn("ts", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("start_ms")))
+    columns = [c.split(" ")[0] for c in repo_tree.SEGMENT_SCHEMA.split(", ")]
+    stamped.select(*[F.col(c).cast("long") if c in ("start_ms", "end_ms") else F.col(c) for c in columns]).write.parquet(f"{path}/in")
+    found = streams.dedupe_segments(repo_tree.read_segments(spark, f"{path}/in"))
+    flow = found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    flow.awaitTermination()
+    return spark.read.schema(repo_tree.SEGMENT_SCHEMA).parquet(f"{path}/out").select("session_id", "source", "stream_epoch", "sequence", "revision", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from functools import wraps
@@ -36,3 +37,9 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
         return query(spark, sf_dir)
 
     return run
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path that driver and executors share: under ``spark.checkpoint.dir``, else beside the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
