@@ -16,7 +16,7 @@ An anchor with very many different contexts is cut into blocks; what meets only
 hashes of one window of each class per block over the cluster, so no block grows with the data.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; matches never cross documents;
-a repeated row (same id) counts as one document; an empty table gives no rows; other columns are ignored.
+a repeated row is a copy like any other and keeps its own result row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -298,7 +298,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, blo
     profiles = staged(texts.mapInArrow(_anchor_pass(length, anchor), f"doc_id long, n_bytes long, sha binary, anchors {_PLACE}"), "anchors")
     runs = staged(repeated_runs(profiles, texts, length, block), "runs")
     cut = texts.join(runs, "doc_id").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, sha binary")
-    cut = cut.select("doc_id", "n_removed", "n_spans", F.col("sha").alias("cut_sha"))
+    cut = cut.select("doc_id", "n_removed", "n_spans", F.col("sha").alias("cut_sha")).dropDuplicates(["doc_id"])
     return profiles.select("doc_id", "n_bytes", "sha").join(cut, "doc_id", "left").select(
         "doc_id",
         "n_bytes",
