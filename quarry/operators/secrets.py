@@ -26,7 +26,7 @@ def redact_secrets(text: Column) -> Column:
         out = F.regexp_replace(out, pattern, replacement)
     # inside a PEM block each line goes on its own: a line that only END follows, with no BEGIN between
     body = rf"(?m)^[A-Za-z0-9+/=]+$(?=(?:\R[A-Za-z0-9+/=]*)*\R{PEM_END})"
-    return F.regexp_replace(out, body, "[REDACTED]")
+    return F.when(F.contains(out, F.lit("PRIVATE KEY-----")), F.regexp_replace(out, body, "[REDACTED]")).otherwise(out)
 
 
 def secret_findings(files: DataFrame) -> DataFrame:
