@@ -31,7 +31,7 @@ BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + BLANK + r"\p{L}\p{N}]+")
 #: Plain ASCII text needs no Unicode classes.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+", re.A)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def byte_letters() -> list[str]:

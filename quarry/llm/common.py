@@ -44,7 +44,7 @@ def drop_staged(df: DataFrame) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text of each slice stays near ``max_bytes`` (one long text may exceed it)."""
     for batch in batches:
         if not batch.num_rows:
