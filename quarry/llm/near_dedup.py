@@ -7,9 +7,9 @@ Signatures are banded, banded candidates are verified by the exact probability J
 and verified links make classes.
 
 How it stays bounded: texts with the same word sequence collapse to one representative first; buckets of
-up to ``SMALL_BUCKET`` representatives emit their pairs; larger buckets link to a leader (the text that stands in most of them),
-and only members that no leader explains go on: bucketed anew by pairs of bands, then against more leaders
-until none is left. So no group is collected and a group of n copies makes n pairs, not n * n.
+up to ``SMALL_BUCKET`` representatives emit their pairs; larger buckets link to a leader (the text that stands in most of them).
+Where members are then still in different classes, more and more of them are compared with all members of other classes,
+until one class is left or no pair. So no group is collected and a group of n copies makes n pairs, not n * n.
 
 Defined results: null or wordless texts have no shingles and are classes of their own; a text of one to
 four words is one shingle; ties go to the smallest id; a repeated row joins the class of its id; an empty
@@ -152,13 +152,13 @@ def _similarity(sa: pd.Series, wa: pd.Series, sb: pd.Series, wb: pd.Series) -> p
     return pd.Series(out)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose exact similarity reaches the threshold."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their exact similarity."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
     similarity = F.pandas_udf(_similarity, "double")
     joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    return joined.select("a", "b", similarity("sa", "wa", "sb", "wb").alias("similarity")).filter(F.col("similarity") >= threshold)
+    return joined.select("a", "b", similarity("sa", "wa", "sb", "wb").alias("similarity"))
 
 
 def fits(x: Column, y: Column, threshold: float) -> Column:
@@ -166,45 +166,65 @@ def fits(x: Column, y: Column, threshold: float) -> Column:
     return (x == 0) | (y == 0) | (F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9)
 
 
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def candidate_links(members: DataFrame, sets: DataFrame, threshold: float, small: int = SMALL_BUCKET) -> DataFrame:
-    """Verified links among bucket members (key, id, size), with no bucket expanded to all its pairs at once.
+    """Verified links among bucket members (key, id, size); with them every pair of a bucket is linked, in one class, or refuted.
 
-    Round 1 takes buckets as they are. What a leader leaves unexplained is bucketed anew by pairs of bands in round 2,
-    where chance collisions fall apart; from round 3 on there are ever more leaders, and those compared with their whole bucket leave
-    it, so the rounds end with every remaining pair compared.
+    Round 1 compares small buckets in full and each larger one with its leader. A bucket whose members are all in one class is
+    settled. In the others ever more heads a round, of as many classes as can be, are compared with all members of other
+    classes, linked before or not, and only then leave: all their pairs are settled. One minus the similarity is a metric, so
+    a pair whose distances to the leader differ by more than a link's greatest distance is refuted without being read.
     """
-    links, leaders, level, bands = [], 1, 1, members.select("id", F.col("key").alias("other"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = staged(members.join(sizes, "key"), "buckets")
+    little = sized.filter(F.col("n") <= small)
+    left = little.select("key", F.col("id").alias("a"), F.col("size").alias("x"))
+    pairs = left.join(little.select("key", F.col("id").alias("b"), F.col("size").alias("y")), "key").filter((F.col("a") < F.col("b")) & fits(F.col("x"), F.col("y"), threshold)).select("a", "b")
+    large = sized.filter(F.col("n") > small).select("key", "id", "size")
+    # the text that many copies were made from stands in more of their buckets than any copy does
+    ranked = staged(large.join(large.groupBy("id").agg(F.count(F.lit(1)).alias("seen")), "id"), "ranked")
+    heads = ranked.groupBy("key").agg(F.max(F.struct("seen", (-F.col("id")).alias("neg"), "size")).alias("top")).select("key", (-F.col("top.neg")).alias("head"), F.col("top.size").alias("x"))
+    led = staged(ranked.join(heads, "key").filter("id <> head"), "led")
+    pairs = staged(pairs.union(led.filter(fits(F.col("x"), F.col("size"), threshold)).select(*ordered("id", "head"))).distinct(), "pairs")
+    done = staged(compared(pairs, sets), "compared")
+    drop_staged(pairs)
+    drop_staged(sized)
+    links = [done.filter(F.col("similarity") >= threshold)]
+    label = components(links[0]).select("id", F.col("root").alias("class"))
+    # distance to the leader; of a pair that sizes exclude, what they say of it
+    known = (F.col("x") > 0) & (F.col("size") > 0)
+    near = F.when(F.col("similarity").isNotNull(), 1 - F.col("similarity")).when(known, 1 - F.least("x", "size") / F.greatest("x", "size")).otherwise(0.0)
+    rest = led.select("*", *ordered("id", "head")).join(done, ["a", "b"], "left").select("key", "id", "size", "seen", near.alias("low"), F.coalesce(1 - F.col("similarity"), F.lit(1.0)).alias("high"))
+    rest = rest.join(label, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    tried, leaders = [done.select("a", "b")], 16
     while True:
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sized = staged(members.join(sizes, "key"), "buckets")
-        little = sized.filter(F.col("n") <= small)
-        left = little.select("key", F.col("id").alias("a"), F.col("size").alias("x"))
-        pairs = left.join(little.select("key", F.col("id").alias("b"), F.col("size").alias("y")), "key").filter((F.col("a") < F.col("b")) & fits(F.col("x"), F.col("y"), threshold)).select("a", "b")
-        large = sized.filter(F.col("n") > small)
-        # the text that many copies were made from stands in more of their buckets than any copy does
-        ranked = large.select("key", "id", "size").join(large.groupBy("id").agg(F.sum("n").alias("seen")), "id")
-        if leaders == 1:
-            heads = ranked.groupBy("key").agg(F.max(F.struct("seen", (-F.col("id")).alias("neg"), "size")).alias("top")).select("key", (-F.col("top.neg")).alias("id"), F.col("top.size").alias("size"))
-        else:
-            place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seen"), "id"))
-            heads = ranked.select("key", "id", "size", place.alias("place")).filter(F.col("place") <= leaders).drop("place")
-        heads = staged(heads, "heads")
-        led = large.join(heads.select("key", F.col("id").alias("a"), F.col("size").alias("x")), "key").filter(fits(F.col("x"), F.col("size"), threshold)).select("a", F.col("id").alias("b"))
-        pairs = staged(pairs.union(led.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
-        found = staged(verified(pairs, sets, threshold), "links")
-        links.append(found)
-        drop_staged(pairs)
-        told = found.select(F.col("b").alias("id")).union(found.select(F.col("a").alias("id"))).distinct()
-        rest = large.select("key", "id", "size").join(told, "id", "left_anti")
-        if level == 1:
-            rest = rest.join(bands, "id").filter("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "size").distinct()
-        else:
-            rest = rest.join(heads, ["key", "id"], "left_anti")
-        rest = staged(rest.select("key", "id", "size"), "rest")
-        drop_staged(sized)
+        open_keys = rest.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("key")
+        rest = staged(rest.join(open_keys, "key", "left_semi"), "rest")
         if rest.isEmpty():
             break
-        members, level, leaders = rest, level + 1, 1 if level == 1 else leaders * 16
+        turn = F.row_number().over(Window.partitionBy("key", "class").orderBy(F.desc("seen"), "id"))
+        ranked = rest.withColumns({"turn": turn, "mates": F.count(F.lit(1)).over(Window.partitionBy("key", "class"))})
+        place = F.row_number().over(Window.partitionBy("key").orderBy("turn", "mates", "class"))
+        heads = staged(ranked.withColumn("place", place).filter(F.col("place") <= leaders).select("key", *[F.col(c).alias(f"h_{c}") for c in ("id", "size", "low", "high", "class", "place")]), "heads")
+        apart = F.lit(1 - threshold + 1e-9)
+        meet = (F.col("class") != F.col("h_class")) & fits(F.col("h_size"), F.col("size"), threshold) & (F.col("low") - F.col("h_high") <= apart) & (F.col("h_low") - F.col("high") <= apart)
+        met = rest.join(heads, "key").filter(meet).select(*ordered("id", "h_id")).distinct()
+        for earlier in tried:
+            met = met.join(earlier, ["a", "b"], "left_anti")
+        met = staged(met, "pairs")
+        tried.append(met)
+        found = staged(compared(met, sets).filter(F.col("similarity") >= threshold), "links")
+        links.append(found)
+        after = rest.join(heads.select("key", F.col("h_id").alias("id")), ["key", "id"], "left_anti")
+        if not found.isEmpty():
+            of = rest.select("id", "class").distinct()
+            joined = found.join(of.select(F.col("id").alias("a"), F.col("class").alias("p")), "a").join(of.select(F.col("id").alias("b"), F.col("class").alias("q")), "b")
+            merged = components(joined.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+            after = after.join(merged.select(F.col("id").alias("class"), "root"), "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")
+        rest, leaders = after, leaders * 16
     out = links[0]
     for more in links[1:]:
         out = out.union(more)

@@ -436,3 +436,33 @@ def test_line_units_offsets(spark):
     rows = [(1, "a\n\nb. c\n"), (2, "")]
     got = sorted((r.doc_id, r.unit, r.body) for r in line_dedup.units(table(spark, rows)).collect())
     assert got == [(1, 1, "a\n"), (1, 2, "\n"), (1, 3, "b. "), (1, 4, "c\n"), (1, 5, ""), (2, 1, "")]
+
+
+def test_near_dedup_links_that_bypass_the_leader(spark):
+    """Revisions of revisions: each second revision is similar enough to its own first revision alone, which is linked to the original."""
+    draw = random.Random(44)
+    base = [f"b{i}" for i in range(404)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 101):
+        first = base.copy()
+        first[draw.randrange(5, 150)] = f"x{k}"
+        second, at = first.copy(), draw.randrange(160, 360)
+        second[at : at + 36] = [f"y{k}z{i}" for i in range(36)]
+        rows += [(k, " ".join(first)), (500 + k, " ".join(second))]
+    rows += [(1000 + k, prose(draw, 60)) for k in range(20)]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i, _ in rows}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and (both := len(sets[a] & sets[b])) and both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(table(spark, rows)).collect()}
+    assert got == {i: find(i) for i in root}
+    assert sum(1 for i in got if got[i] == 0) == 201
