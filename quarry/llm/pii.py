@@ -2,7 +2,8 @@
 
 Seed entities are the matches of four base kinds. Every identifier-like token (one with a digit or an at sign) is a
 mention that carries lexical patterns: the word before it, the word after it, its shape, and the key when it is
-assigned one. Patterns and mentions form a graph; Spark scores it iteratively: a context (word before or after) is
+assigned one. A run of over ``RUN`` characters without a blank holds one token for each piece between separators or
+letters of other scripts, whatever its length, with the words beside it in the run. Patterns and mentions form a graph; Spark scores it iteratively: a context (word before or after) is
 worth the share of its other mentions that are believed, a shape or key is worth the weighed mean of the contexts
 its mentions stand in, and a well-supported shape or key above the threshold is a pattern that makes its mentions
 believed. Believed mentions that no base span covers are added under kind ``context``.
@@ -33,6 +34,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 MENTION = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 KEYED = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*)\s?[=:]\s?[\"']?$")
+#: Runs longer than this (minified JSON, CSV, query strings, scripts without blanks) are cut at separators and script changes.
+RUN = 200
+PIECE = re.compile(r"[^\s\"'`,=&;|?\\()\[\]{}<>\u0370-\U0010ffff]+")
+KEYED_INSIDE = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*)[\"']?[=:][\"']?$")
+#: A word inside such a run; of scripts that may lack blanks two characters beside the place tell enough.
+WORD_BEFORE = re.compile(r"(?:[^\W\u0e00-\U0010ffff]+|[\u0e00-\U0010ffff]{1,2})(?=[^\w\n]*$)")
+WORD_AFTER = re.compile(r"[^\w\n]*([^\W\u0e00-\U0010ffff]+|[\u0e00-\U0010ffff]{1,2})")
 EDGE = " .,;:!?()[]{}<>\"'"
 ROUNDS, THRESHOLD, SUPPORT = 3, 0.55, 5
 
@@ -97,6 +105,24 @@ def _word_before(text: str, at: int) -> str:
     return (re.findall(r"[^\s]+", text[max(0, at - 48) : at].rpartition("\n")[2]) or [""])[-1].strip(EDGE).lower()
 
 
+def _inner_word_before(text: str, at: int) -> str:
+    """The last word that ends before a position in a long run, on the same line and within 48 characters."""
+    found = WORD_BEFORE.search(text[max(0, at - 48) : at])
+    return found[0].lower() if found else ""
+
+
+def _tokens(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Start and end of runs with a digit or an at sign; long ones are listed in ``runs`` and give such pieces instead."""
+    for m in MENTION.finditer(text):
+        if m.end() - m.start() <= RUN:
+            yield m.span()
+            continue
+        runs.append(m.span())
+        for piece in PIECE.finditer(text, *m.span()):
+            if re.search("[0-9@]", piece[0]):
+                yield piece.span()
+
+
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, bool, list[str]]]:
     """(start, end, token, is_seed, patterns) of identifier-like tokens; a base span is one mention."""
     taken = sorted((s, e) for _, s, e in base)
@@ -108,28 +134,31 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int
             spans.append((s, e, True))
             reach = e
     blocked = spans.copy()
-    for m in MENTION.finditer(text):
-        token = m[0]
-        if len(token) > 200:
-            continue
-        start, key = m.start(), re.match(r"[A-Za-z_][A-Za-z0-9_-]*[=:][\"']?", token)
+    runs: list[tuple[int, int]] = []
+    for at, stop in _tokens(text, runs):
+        token = text[at:stop]
+        start, key = at, re.match(r"[A-Za-z_][A-Za-z0-9_-]*[=:][\"']?", token)
         if key:
             start += key.end()
-        while start < m.end() and text[start] in EDGE:
+        while start < stop and text[start] in EDGE:
             start += 1
-        end = m.end()
+        end = stop
         while end > start and text[end - 1] in EDGE:
             end -= 1
         while k < len(blocked) and blocked[k][1] <= start:
             k += 1
         if end > start and plausible(text[start:end]) and not (k < len(blocked) and blocked[k][0] < end):
             spans.append((start, end, False))
+    k = 0
     for start, end, seed in sorted(spans):
-        keyed = KEYED.search(text, max(0, start - 40), start)
+        while k < len(runs) and runs[k][1] <= start:
+            k += 1
+        inside = k < len(runs) and runs[k][0] <= start
+        keyed = (KEYED_INSIDE if inside else KEYED).search(text, max(0, start - 40), start)
         lead = keyed.start() if keyed else start
-        after = re.match(r"\W*(\w+)", text[end : end + 48])
+        after = WORD_AFTER.match(text[end : end + 48]) if inside else re.match(r"\W*(\w+)", text[end : end + 48])
         kinds = [f"S:{shape(text[start:end]) if not seed or end - start < 40 else 'long'}"]
-        left = _word_before(text, lead)
+        left = _inner_word_before(text, lead) if inside else _word_before(text, lead)
         if left:
             kinds.append("L:" + left)
         if after:

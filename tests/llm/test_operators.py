@@ -466,3 +466,28 @@ def test_near_dedup_links_that_bypass_the_leader(spark):
     got = {r.doc_id: r.class_id for r in near_dedup.classes(table(spark, rows)).collect()}
     assert got == {i: find(i) for i in root}
     assert sum(1 for i in got if got[i] == 0) == 201
+
+
+def test_pii_identifiers_inside_long_runs(spark):
+    """Minified JSON, CSV, query strings and sentences without blanks hold identifiers like any other text."""
+    draw = random.Random(45)
+    rows, secret = [], {}
+    for i in range(320):
+        entity = [f"user{i}@mail.example.com", f"10.0.{i % 256}.7", f"AKIA{draw.choice('QRST')}{draw.choice('ABCD')}{draw.randint(10**9, 10**10 - 1)}X"][i % 3]
+        if i % 3 == 2:
+            secret[i] = entity
+        junk = [f"{draw.choice('abcdef')}{draw.choice('ghij')}" for _ in range(80)]
+        rows.append((i, [
+            '{"a":["' + '","'.join(junk) + '"],"contact":"' + entity + '","from":"' + '","'.join(junk[:9]) + '"}',
+            ",".join(junk) + ",contact," + entity + ",from," + ",".join(junk[:9]),
+            "https://x.test/p?q=" + "&q=".join(junk) + "&contact=" + entity + "&from=" + "&q=".join(junk[:9]),
+            "天地玄黄宇宙洪荒" * 30 + "联系人" + entity + "请回复" + "日月盈昃" * 4,
+        ][i // 3 % 4]))
+    text = dict(rows)
+    assert all(len(t) > 200 and " " not in t for t in text.values())
+    got = {r.doc_id: {text[r.doc_id][s.start : s.stop] for s in r.added} for r in pii.find(table(spark, rows)).collect()}
+    for way in range(4):
+        mine = [i for i in secret if i // 3 % 4 == way]
+        assert len(mine) > 20 and sum(secret[i] in got[i] for i in mine) >= 0.9 * len(mine), way
+    long = "x9" * 300
+    assert [m[2] for m in pii.mentions(f"a,{long},b", [])] == [long]
