@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import Versions
@@ -16,17 +20,39 @@ def build_manifest(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return files.select(*FILE, "content_hash", "size_bytes", "language").join(ids, FILE, "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
 
 
-def generation_id(repository: Column, entries: Column, versions: Versions) -> Column:
-    """First 32 hex digits of a hash over repository, versions and the sorted (path, hash) pairs."""
-    tail = F.array_join(F.transform(entries, lambda e: F.concat(F.lit("\0"), e["relative_path"], F.lit("\0"), e["content_hash"])), "")
-    head = F.concat(repository, F.lit("\0" + "\0".join((versions.chunker, versions.parser, versions.embedding))))
-    return F.substring(F.sha2(F.concat(head, tail), 256), 1, 32)
+def _hashed_in_order(versions: Versions):
+    tail = "".join("\0" + v for v in (versions.chunker, versions.parser, versions.embedding))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, now, digest, n = False, None, None, 0
+
+        def row():
+            known = None if now is None else digest.hexdigest()[:32]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([known], pa.string()), pa.array([n], pa.int32())], names=["repository_id", "generation_id", "n_files"])
+
+        for batch in batches:
+            for repository, path, content in zip(*(batch.column(c).to_pylist() for c in ("repository_id", "relative_path", "content_hash")), strict=True):
+                if not started or repository != now:
+                    if started:
+                        yield row()
+                    started, now, digest, n = True, repository, hashlib.sha256(((repository or "") + tail).encode()), 0
+                n += 1
+                if path is not None and content is not None:
+                    digest.update(f"\0{path}\0{content}".encode())
+        if started:
+            yield row()
+
+    return run
 
 
 def generation_ids(manifest: DataFrame, versions: Versions = Versions()) -> DataFrame:
-    """(repository_id, generation_id, n_files); a repository's paths and hashes meet in one row, bounded by the file cap."""
-    entries = manifest.groupBy("repository_id").agg(F.sort_array(F.collect_list(F.struct("relative_path", "content_hash"))).alias("entries"))
-    return entries.select("repository_id", generation_id(F.col("repository_id"), F.col("entries"), versions).alias("generation_id"), F.size("entries").alias("n_files"))
+    """(repository_id, generation_id, n_files): first 32 hex digits of a hash over repository, versions and the sorted (path, hash) pairs.
+
+    A repository's pairs are sorted in one task, which may spill, and hashed as they stream by, so memory does not grow with their number.
+    """
+    pairs = manifest.select("repository_id", "relative_path", "content_hash")
+    ordered = pairs.repartition("repository_id").sortWithinPartitions("repository_id", "relative_path", "content_hash")
+    return ordered.mapInArrow(_hashed_in_order(versions), "repository_id string, generation_id string, n_files int")
 
 
 def diff_manifests(previous: DataFrame, following: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from quarry.operators import manifest, retrieval, secrets, transcripts
@@ -22,6 +24,21 @@ def test_generation_ids(spark):
     assert len({base, *others}) == 4 and len(base) == 32
 
 
+def test_generation_ids_stream_in_order(spark):
+    """Any number of files: pairs are hashed as they stream by, never gathered in a row."""
+    rows = [(f"r{i % 3}", f"p{i * 7919 % 30_000}é", f"h{i}") for i in range(30_000)] + [("r1", None, "h"), ("r2", "p", None), (None, "p", "h")]
+    ids = manifest.generation_ids(spark.createDataFrame(rows, MANIFEST).repartition(7), Versions("c", "p", "e"))
+    plan = ids._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Aggregate" not in plan
+    want = {}
+    for repo in ("r0", "r1", "r2"):
+        own = sorted((p.encode(), h.encode()) for r, p, h in rows if r == repo and p and h)
+        head = f"{repo}\0c\0p\0e".encode()
+        want[repo] = (hashlib.sha256(head + b"".join(b"\0" + p + b"\0" + h for p, h in own)).hexdigest()[:32], sum(r == repo for r, _, _ in rows))
+    assert {r.repository_id: (r.generation_id, r.n_files) for r in ids.collect()} == want | {None: (None, 1)}
+    assert manifest.generation_ids(spark.createDataFrame([], MANIFEST)).count() == 0
+
+
 def test_diff_and_refresh(spark):
     old = spark.createDataFrame([("r", "a", "1"), ("r", "b", "1"), ("r", "c", "1")], MANIFEST)
     new = spark.createDataFrame([("r", "a", "1"), ("r", "b", "2"), ("r", "d", "1")], MANIFEST)
