@@ -6,7 +6,8 @@ its training text, wins. All automata share one transition table, and all pieces
 advance together, one symbol a step, so the parse is vectorised; a text is cut into pieces of ``PIECE`` symbols
 that are parsed independently and summed, so a very long text is as many more lanes, not more steps.
 
-Training takes at most ``DOCS`` texts a language (those of smallest hash), ``CHARS`` symbols of them in all.
+Training takes at most ``DOCS`` texts a language (those of smallest hash), ``CHARS`` symbols of them in all, in equal shares at
+hashed offsets; what a short text leaves of its share goes to the longer ones.
 
 Defined results: null text or a text without a letter is ``und`` with score 0; with nothing learned everything is
 ``und``; ties go to the language first in order; repeated rows are predicted each; an empty table gives no rows;
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import slices
 from .quality import held_out
 
-DOCS, DOC_CHARS, CHARS, PIECE = 40, 4_000, 24_000, 256
+DOCS, CHARS, PIECE = 40, 24_000, 256
 
 
 def _letters() -> np.ndarray:
@@ -153,8 +154,28 @@ class Model:
 
 def build(samples: dict[str, str]) -> Model:
     """One shared table from labelled text per language."""
-    coded = {lang: symbols(text)[0][:CHARS] for lang, text in sorted(samples.items())}
-    coded = {lang: c for lang, c in coded.items() if len(c)}
+    return build_coded({lang: symbols(text)[0][:CHARS] for lang, text in samples.items()})
+
+
+def shares(texts: list[tuple[int, np.ndarray]], total: int = CHARS) -> np.ndarray:
+    """Equal shares of texts (hash, symbols) laid end to end with blanks between, ``total`` symbols at most."""
+    left, share = total - len(texts), {}
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i][1]))):
+        share[i] = min(len(texts[i][1]), max(0, left) // (len(texts) - done))
+        left -= share[i]
+    parts = []
+    for i, (place, code) in enumerate(texts):
+        at = place % (len(code) - share[i] + 1)
+        parts += [code[at : at + share[i]], np.array([32], code.dtype)]
+    out = np.concatenate(parts)
+    keep = np.ones(len(out), bool)
+    keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
+    return out[keep][:total]
+
+
+def build_coded(samples: dict[str, np.ndarray]) -> Model:
+    """One shared table from the symbols of each language."""
+    coded = {lang: c for lang, c in sorted(samples.items()) if len(c)}
     alphabet = np.unique(np.concatenate([*coded.values(), np.array([32], np.int32)]))
     rows, roots = [], []
     for text in coded.values():
@@ -177,12 +198,14 @@ def train(docs: DataFrame, per_lang: int = DOCS) -> Model:
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = rows.select("lang", "doc_id", place.alias("place")).filter(F.col("place") <= per_lang)
-    texts = rows.join(F.broadcast(chosen.select("doc_id", "place")), "doc_id").select("lang", "place", "doc_id", F.substring("text", 1, DOC_CHARS).alias("text"))
-    got = sorted((r.lang, r.place, r.text) for r in texts.collect())
-    samples: dict[str, str] = {}
-    for lang, _, text in got:
-        samples[lang] = samples.get(lang, "") + text + "\n"
-    return build(samples)
+    place = F.xxhash64("doc_id", "lang")
+    # a window as long as the whole sample, so that no long text meets the driver
+    window = F.substring("text", (F.pmod(place, F.greatest(F.char_length("text") - CHARS + 1, F.lit(1))) + 1).cast("int"), F.lit(CHARS))
+    texts = rows.join(F.broadcast(chosen.select("doc_id", "place")), "doc_id").select("lang", "place", "doc_id", window.alias("text"), place.alias("hash"))
+    samples: dict[str, list[tuple[int, np.ndarray]]] = {}
+    for lang, _, text, place in sorted((r.lang, r.place, r.text, r.hash) for r in texts.collect()):
+        samples.setdefault(lang, []).append((place, symbols(text)[0]))
+    return build_coded({lang: shares(own) for lang, own in samples.items()})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

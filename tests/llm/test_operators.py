@@ -491,3 +491,19 @@ def test_pii_identifiers_inside_long_runs(spark):
         assert len(mine) > 20 and sum(secret[i] in got[i] for i in mine) >= 0.9 * len(mine), way
     long = "x9" * 300
     assert [m[2] for m in pii.mentions(f"a,{long},b", [])] == [long]
+
+
+def test_language_learns_from_all_of_its_texts(spark):
+    """Long texts that open with the same foreign passage: what stands behind it is learned, from every text."""
+    draw = random.Random(46)
+    parts = {"xx": ["the", "an", "ing", "er"], "yy": ["dor", "mel", "ku", "si"]}
+    words = lambda lang, n: " ".join("".join(draw.choice(parts[lang]) for _ in range(draw.randint(1, 3))) for _ in range(n))
+    heading = words("xx", 900)
+    rows = [(i, words("xx", 2000), "xx") for i in range(60)] + [(100 + i, heading[:4200] + " " + words("yy", 2000), "yy") for i in range(60)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    lang, _ = model.predict([words("yy", 60) for _ in range(20)] + [words("xx", 60) for _ in range(20)])
+    assert lang == ["yy"] * 20 + ["xx"] * 20
+    long, short = np.arange(1000) % 26 + 97, np.full(5, 64)
+    got = language_id.shares([(k * 37, long + 100 * k) for k in range(9)] + [(7, short)], 500)
+    assert len(got) <= 500 and (got == 64).sum() == 5
+    assert {int(((got >= 97 + 100 * k) & (got < 123 + 100 * k)).sum()) for k in range(9)} <= {53, 54}
