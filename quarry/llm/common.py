@@ -1,7 +1,7 @@
-"""Shared helpers of the corpus operators: scratch tables and vectorised word hashing.
+"""Shared helpers of the corpus operators: scratch tables, joins with hot keys and vectorised word hashing.
 
-Scratch tables live under ``spark.checkpoint.dir`` (shared by driver and executors); where the
-session has none, a folder beside the warehouse is set once, as in tests.
+Scratch tables live under ``spark.checkpoint.dir`` (shared by driver and executors). Where a local session has none, as in
+tests, a folder beside the warehouse is set once; on a cluster that would be one machine's own folder, so it is an error.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
@@ -37,14 +40,35 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete a table made by :func:`staged` once nothing will read it again."""
-    path, spark = df._quarry_path, df.sparkSession
+def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`staged` once nothing will read them again."""
+    for table in tables:
+        remove(table.sparkSession, table._quarry_path)
+
+
+#: Keys with more than this share of the rows are dealt to many tasks; there are at most 1 / share of them.
+HOT_SHARE, SALTS = 0.005, 32
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with one row per key of ``groups``; keys whose ``size`` is a large share of ``total`` are salted on both sides.
+
+    At most ``1 / HOT_SHARE`` keys can be hot, so their list is broadcast; ``spread`` deals the rows of a hot key.
+    """
+    keys = [key] if isinstance(key, str) else key
+    least = max(1000, int(total * HOT_SHARE))
+    hot = F.broadcast(groups.filter(F.col(size) > least).select(*keys, F.lit(True).alias("_hot")))
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash(spread), F.lit(SALTS))).otherwise(0)).drop("_hot")
+    copies = F.explode(F.when(F.col(size) > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    return salted.join(groups.withColumn("_salt", copies), [*keys, "_salt"], how).drop("_salt")
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 18, max_rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text of each slice stays near ``max_bytes`` (one long text may exceed it)."""
     for batch in batches:
         if not batch.num_rows:
@@ -52,7 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         ends, start, total = [], 0, 0
         for i, n in enumerate(sizes.tolist()):
-            if i > start and total + n > max_bytes:
+            if i > start and (total + n > max_bytes or i - start >= max_rows):
                 ends.append((start, i))
                 start, total = i, 0
             total += n

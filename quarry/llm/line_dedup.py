@@ -1,13 +1,18 @@
 """Substring dedup by hashing lines and their sentences.
 
-A text is cut after every line break and after every sentence end, since a repeated passage often stands inside a
-longer line. Units are normalised (lower case, blanks collapsed, ends trimmed), digests are grouped over the whole
-corpus, the earliest ranked occurrence (smallest doc_id, then position) stays and every later one goes, with its line
-break or blank. Only digests and positions are shuffled for the grouping, with map-side combine, so one very common
-line costs a row per task; texts are put together again in one linear pass.
-
-Defined results: null text counts as empty; units under ``min_words`` words are never removed; an empty
-table gives no rows; repeated rows with the same id are ranked as one document; other columns are ignored.
+A text is cut after line breaks and after sentence ends, since a repeated passage often stands inside a longer line;
+a piece shorter than ``min_unit`` code points is one unit with what follows it, in any script. Units are normalised
+(lower case, blanks collapsed, ends trimmed) and digests are grouped over the whole corpus; the earliest ranked
+occurrence (smallest doc_id, then position) stays. Later copies go, with their line break or blank, where a maximal run
+of them holds at least ``min_run`` code points of normalised text, so that a repeated passage goes whole and a chance
+repeat of one short sentence stays; with ``min_unit=1, min_run=1`` every repeated unit goes.
+
+Only digests and positions are shuffled for the grouping, with map-side combine, and the few digests with a large share
+of all units are dealt to many tasks, so one very common line is no task of its own; texts are put together again in one
+linear pass.
+
+Defined results: null text counts as empty; blank units are never removed; a row without an id keeps its text and ranks
+nowhere; an empty table gives no rows; repeated rows with the same id are ranked as one document; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,58 +24,63 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import hot_join, slices, staged
 
-#: Units shorter than this are too small to judge (documented production parameter).
-MIN_WORDS = 6
-CUT = r"(?<=[.!?] )|(?<=\n)"
-LINES = r"(?<=\n)"
+#: Least code points of a unit, and least normalised code points of a run of repeated units that goes.
+MIN_UNIT, MIN_RUN = 20, 100
+
+
+def unit_pattern(min_unit: int) -> str:
+    """A unit: at least so many characters up to a sentence or line end, or what is left of the text."""
+    return rf"(?s).{{{min_unit},}}?(?:[.!?] |\n|\z)|.+"
 
 
 def normalised_unit(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[ \t\n\x0B\f\r]+", " "))
 
 
-def units(docs: DataFrame, cut: str = CUT) -> DataFrame:
+def units(docs: DataFrame, min_unit: int = MIN_UNIT) -> DataFrame:
     """doc_id, unit (1-based), body; the bodies of a text, end to end, are the text."""
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce("text", F.lit("")), cut, -1).alias("pieces"))
-    return pieces.select("doc_id", F.posexplode("pieces").alias("pos", "body")).select("doc_id", (F.col("pos") + 1).alias("unit"), "body")
+    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(unit_pattern(min_unit)), F.lit(0))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(pieces).alias("pos", "body")).select("doc_id", (F.col("pos") + 1).alias("unit"), "body")
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, cut: str = CUT) -> DataFrame:
-    """doc_id and unit number of every copy after the first."""
+def repeated_units(docs: DataFrame, min_unit: int = MIN_UNIT) -> DataFrame:
+    """doc_id, unit number and normalised size of every copy after the first."""
     digests = staged(
-        units(docs, cut)
+        units(docs.filter("doc_id is not null"), min_unit)
         .withColumn("body", normalised_unit(F.col("body")))
-        .filter((F.length("body") > 0) & (F.size(F.split("body", " ")) >= min_words))
-        .select("doc_id", "unit", F.substring(F.unhex(F.sha2("body", 256)), 1, 16).alias("digest")),
+        .filter(F.length("body") > 0)
+        .select("doc_id", "unit", F.length("body").alias("size"), F.substring(F.unhex(F.sha2("body", 256)), 1, 16).alias("digest")),
         "unit-digests",
     )
-    firsts = digests.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return digests.join(firsts, "digest").filter(F.struct("doc_id", "unit") != F.col("first")).select("doc_id", "unit").distinct()
+    firsts = staged(digests.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-units")
+    copies = hot_join(digests, firsts, "digest", "n", digests.count(), F.struct("doc_id", "unit"))
+    return copies.filter(F.struct("doc_id", "unit") != F.col("first")).select("doc_id", "unit", "size").distinct()
 
 
-def _rebuild(cut: str):
-    pattern = re.compile(cut)
+def _rebuild(min_unit: int, min_run: int):
+    pattern = re.compile(unit_pattern(min_unit).replace(r"\z", r"\Z"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             total, removed, spans, kept = [], [], [], []
-            for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
-                pieces, gone, at, runs, rest = pattern.split(text), set(gone or ()), 0, [], []
-                for k, piece in enumerate(pieces, 1):
-                    if k not in gone:
-                        rest.append(piece)
-                    elif runs and runs[-1]["stop"] == at:
-                        runs[-1]["stop"] += len(piece)
+            for text, later in zip(part.column("text").to_pylist(), part.column("later").to_pylist(), strict=True):
+                ends = [m.end() for m in pattern.finditer(text)]
+                runs = []  # first unit, last unit, size
+                for unit, size in sorted((u["unit"], u["size"]) for u in later or ()):
+                    if runs and runs[-1][1] == unit - 1:
+                        runs[-1][1:] = [unit, runs[-1][2] + size]
                     else:
-                        runs.append({"start": at, "stop": at + len(piece)})
-                    at += len(piece)
-                total.append(len(pieces))
-                removed.append(len(gone))
-                spans.append(runs)
-                kept.append("".join(rest))
+                        runs.append([unit, unit, size])
+                runs = [(a, b) for a, b, size in runs if size >= min_run]
+                cut = [{"start": ends[a - 2] if a > 1 else 0, "stop": ends[b - 1]} for a, b in runs]
+                edges = [0, *(x for c in cut for x in (c["start"], c["stop"])), len(text)]
+                total.append(len(ends))
+                removed.append(sum(b - a + 1 for a, b in runs))
+                spans.append(cut)
+                kept.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())],
                 names=["doc_id", "n_units", "n_removed", "removed", "kept_text"],
@@ -79,8 +89,8 @@ def _rebuild(cut: str):
     return run
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, cut: str = CUT) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_unit: int = MIN_UNIT, min_run: int = MIN_RUN) -> DataFrame:
     """One row per document: doc_id, n_units, n_removed, removed (maximal runs of start, stop in the original), kept_text."""
-    gone = repeated_units(docs, min_words, cut).groupBy("doc_id").agg(F.collect_list("unit").alias("gone"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(gone, "doc_id", "left")
-    return rows.mapInArrow(_rebuild(cut), "doc_id long, n_units long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string")
+    later = repeated_units(docs, min_unit).groupBy("doc_id").agg(F.collect_list(F.struct("unit", "size")).alias("later"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(later, "doc_id", "left")
+    return rows.mapInArrow(_rebuild(min_unit, min_run), "doc_id long, n_units long, n_removed long, removed array<struct<start:long,stop:long>>, kept_text string")

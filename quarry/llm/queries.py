@@ -139,18 +139,15 @@ def oracle_sql() -> dict[str, str]:
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?] |\n)', '\1' || chr(1), 'g'), chr(1)) AS pieces FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{unit}') AS pieces FROM documents),
 u AS (
   SELECT doc_id, unit, body, trim(regexp_replace(lower(body), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS norm
   FROM (SELECT doc_id, unnest(pieces) AS body, generate_subscripts(pieces, 1) AS unit FROM d)),
-r AS (
-  SELECT *, length(norm) > 0 AND len(string_split(norm, ' ')) >= {min_words} AND row_number() OVER (PARTITION BY sha256(norm) ORDER BY doc_id, unit) > 1 AS gone,
-         sum(length(body)) OVER (PARTITION BY doc_id ORDER BY unit)::BIGINT AS stop
-  FROM u),
-g AS (SELECT *, CASE WHEN gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY unit), false) THEN 1 ELSE 0 END AS opens FROM r),
-q AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM g),
-s AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM (SELECT doc_id, run, min(stop - length(body)) AS a, max(stop) AS b FROM q WHERE gone GROUP BY doc_id, run) GROUP BY doc_id)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(any_value(removed_spans), '') AS removed_spans,
-       sha256(coalesce(string_agg(body, '' ORDER BY unit) FILTER (NOT gone), '')) AS kept_sha256
-FROM r LEFT JOIN s USING (doc_id) GROUP BY doc_id
-""".replace("{min_words}", str(line_dedup.MIN_WORDS))
+l AS (SELECT *, length(norm) > 0 AND row_number() OVER (PARTITION BY sha256(norm) ORDER BY doc_id, unit) > 1 AS later, sum(length(body)) OVER (PARTITION BY doc_id ORDER BY unit)::BIGINT AS stop FROM u),
+i AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id, later ORDER BY unit) AS island FROM l),
+r AS (SELECT *, later AND sum(length(norm)) OVER (PARTITION BY doc_id, later, island) >= {min_run} AS gone FROM i),
+s AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM (SELECT doc_id, island, min(stop - length(body)) AS a, max(stop) AS b FROM r WHERE gone GROUP BY doc_id, island) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(body, '' ORDER BY unit) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_spans, '') AS removed_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN s USING (doc_id)
+""".replace("{unit}", line_dedup.unit_pattern(line_dedup.MIN_UNIT)).replace("{min_run}", str(line_dedup.MIN_RUN))
