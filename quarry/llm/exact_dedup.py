@@ -6,7 +6,8 @@ appended. Text never travels: only 32-byte digests do.
 
 Defined results: null text counts as empty; empty texts are copies of each other; ties on length go
 to the smallest id; a row repeated with the same id counts in the group's size and shares the decision
-of its id; an empty table gives no rows; other columns are ignored, whatever their names.
+of its id; a row without an id stays only where its text has no other row with one; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,25 +17,41 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, staged
+from .common import drop_staged, hot_join, remove, scratch_path, staged
 
 #: Characters that never count in a comparison.
 BLANKS = r"[\x20\x09-\x0D]"
-#: Digests with more than this share of a batch are dealt to many tasks; there are at most 1 / share of them.
-HOT_SHARE = 0.005
-SALTS = 32
+#: Rows that one bucket of a fresh index is made for.
+BUCKET_ROWS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 of the normalised text."""
+    return F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest, chars of every row; the text itself goes no further."""
+    text = F.col(text_col)
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        digest(text).alias("digest"),
+        F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("chars"),
+    )
+
+
 class DigestIndex:
-    """Distinct digests with the id that stands for each, kept at ``location`` between runs."""
+    """Distinct digests with the id that stands for each, kept at ``location`` between runs.
+
+    ``buckets`` counts when the index is made; later runs find it in the table.
+    """
 
-    def __init__(self, spark: SparkSession, location: str, buckets: int = 48):
-        self.spark = spark
-        self.buckets = buckets
+    def __init__(self, spark: SparkSession, location: str, buckets: int):
+        self.spark, self.location, self.buckets = spark, location, buckets
         self.table = "digest_index_" + hashlib.md5(location.encode()).hexdigest()[:16]
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, keep_chars BIGINT) USING parquet "
@@ -44,22 +61,21 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.location)
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Deduplicate a batch and append its new digests.
+        """Deduplicate a batch of documents and append its new digests."""
+        return self.add_digests(staged(digests(docs, id_col, text_col), "digests"))
+
+    def add_digests(self, batch: DataFrame) -> DataFrame:
+        """The same for a stored table of :func:`digests`.
 
         Returns one row per batch row: doc_id, digest, keep_id, group_size (rows of the batch), kept.
         A digest that the index already has keeps the indexed id; of new ones the row with the most code
         points, then the smallest id, stays.
         """
-        text = F.col(text_col)
-        batch = staged(
-            docs.select(
-                F.col(id_col).cast("long").alias("doc_id"),
-                F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256)).alias("digest"),
-                F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("chars"),
-            ),
-            "digests",
-        )
         groups = staged(
             batch.groupBy("digest").agg(
                 F.max(F.struct("chars", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("group_size")
@@ -73,23 +89,18 @@ class DigestIndex:
             .write.insertInto(self.table)
         )
         self.spark.catalog.refreshTable(self.table)
-        resolved = groups.join(self.rows().select("digest", "keep_id").hint("merge"), "digest").select("digest", "keep_id", "group_size")
-        return self._decide(batch, staged(resolved, "resolved"))
-
-    def _decide(self, batch: DataFrame, resolved: DataFrame) -> DataFrame:
-        """Join rows to their groups; the few digests with a large share are salted on both sides."""
-        least = max(1000, int(batch.count() * HOT_SHARE))
-        hot = F.broadcast(resolved.filter(F.col("group_size") > least).select("digest", F.lit(True).alias("hot")))
-        salted = batch.join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("doc_id"), F.lit(SALTS))).otherwise(0))
-        spread = resolved.withColumn(
-            "salt", F.explode(F.when(F.col("group_size") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-        )
-        return salted.join(spread, ["digest", "salt"]).select(
-            "doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-        )
+        resolved = staged(groups.join(self.rows().select("digest", "keep_id").hint("merge"), "digest").select("digest", "keep_id", "group_size"), "resolved")
+        drop_staged(groups)
+        decided = hot_join(batch, resolved, "digest", "group_size", batch.count(), F.col("doc_id"))
+        return decided.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 48) -> DataFrame:
-    """Decisions for one table against a fresh index."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Decisions for one table against a fresh index, with as many buckets as its rows need."""
     spark = docs.sparkSession
-    return DigestIndex(spark, scratch_path(spark, "digest-index"), buckets).add(docs, id_col, text_col)
+    batch = staged(digests(docs, id_col, text_col), "digests")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-batch.count() // BUCKET_ROWS))
+    index = DigestIndex(spark, scratch_path(spark, "digest-index"), buckets)
+    out = index.add_digests(batch)
+    index.drop()
+    return out
