@@ -7,16 +7,17 @@ only anchors that occur more than once matter.
 
 Around a shared anchor stands its context, the bytes of all windows that hold it. Identical contexts are each
 other's longest factors and need no sorting. Different contexts of one anchor are sorted together: suffixes are
-ordered by their first ``length`` bytes (prefix doubling, many anchors at once), ties by position. In that order the
-previous smaller position of a suffix with an earlier match of ``length`` is its neighbour before, and the next
-one of a suffix with a later match its neighbour behind; so the longest previous (and next) factor reaches
-``length`` exactly where a neighbour is equal.
+ordered by their first ``length`` bytes (prefix doubling, many anchors at once), ties by position. From the order come,
+for every position, the previous smaller position with an equal string (the longest previous factor, cut at ``length``) and,
+mirrored, the next larger one (the longest next factor); what has either is removed, and with ``keep_first`` only what has the
+former, so that the first copy stays.
 
 An anchor with very many different contexts is cut into blocks; what meets only across blocks is settled by grouping
 hashes of one window of each class per block over the cluster, so no block grows with the data.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; matches never cross documents;
-a repeated row is a copy like any other and keeps its own result row; an empty table gives no rows; other columns are ignored.
+a repeated row is a copy like any other and keeps its own result row; of several texts under one id each has its own result;
+a row without an id keeps its text and is no copy of others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_MIX, drop_staged, fmix, powers, prefix_hash, slices, staged, utf8
+from .common import drop_staged, fmix, hot_join, powers, prefix_hash, slices, staged, utf8
 
 LENGTH, ANCHOR, BLOCK = 400, 200, 64
-OTHER_MIX = fmix(BYTE_MIX + np.uint64(0x632BE59BD9B4E019))
 _PIECE = 1 << 23
 
 
@@ -83,16 +83,16 @@ def _anchor_pass(length: int, k: int):
             doc = np.searchsorted(offsets, at, side="right") - 1
             left = np.maximum(offsets[doc], at - (length - k))
             right = np.minimum(offsets[doc + 1], at + length)
-            run2 = prefix_hash(data, OTHER_MIX)
-            _, inv = powers(len(data))
-            around = fmix(fmix((run2[right] - run2[left]) * inv[left] + (at - left).astype(np.uint64)) + (right - left).astype(np.uint64))
+            raw = data.tobytes()
+            place = np.stack([at - left, right - at], axis=1).astype("<u2").tobytes()
+            around = [hashlib.blake2b(raw[a:b] + place[4 * i : 4 * i + 4], digest_size=16).digest() for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True))]
+            around = np.frombuffer(b"".join(around), np.int64).reshape(-1, 2)
             n = part.num_rows
             cut = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
             place = pa.StructArray.from_arrays(
-                [pa.array((at - offsets[doc]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array((at - left).astype(np.int16)), pa.array((right - at).astype(np.int16))],
-                ["pos", "h", "ctx", "lo", "hi"],
+                [pa.array((at - offsets[doc]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(around[:, 0].copy()), pa.array(around[:, 1].copy()), pa.array((at - left).astype(np.int16)), pa.array((right - at).astype(np.int16))],
+                ["pos", "h", "ctx", "ctx2", "lo", "hi"],
             )
-            raw = data.tobytes()
             marks = offsets.tolist()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -107,24 +107,28 @@ def _anchor_pass(length: int, k: int):
     return run
 
 
-_PLACE = "array<struct<pos:int,h:long,ctx:long,lo:short,hi:short>>"
+_PLACE = "array<struct<pos:int,h:long,ctx:long,ctx2:long,lo:short,hi:short>>"
+_RUNS = "array<struct<a:int,b:int>>"
+
+
+def _part(raw: bytes) -> bytes:
+    """Tells apart texts that share an id."""
+    return hashlib.sha256(raw).digest()[:8]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes around each wanted anchor: h, block, ctx, lo, body, told (an identical context exists)."""
+    """Bytes around each wanted anchor: h, block, ctx, ctx2, lo, body."""
     for batch in batches:
         for i in range(batch.num_rows):
             raw = (batch.column("text")[i].as_py() or "").encode()
-            want = batch.column("want")[i].as_py()
+            own = _part(raw)
+            want = [w for w in batch.column("want")[i].as_py() if w["part"] == own]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([w["h"] for w in want], pa.int64()),
-                    pa.array([w["block"] for w in want], pa.int32()),
-                    pa.array([w["ctx"] for w in want], pa.int64()),
-                    pa.array([w["lo"] for w in want], pa.int32()),
+                    *(pa.array([w[c] for w in want], t) for c, t in (("h", pa.int64()), ("block", pa.int32()), ("ctx", pa.int64()), ("ctx2", pa.int64()), ("lo", pa.int32()))),
                     pa.array([raw[w["pos"] - w["lo"] : w["pos"] + w["hi"]] for w in want], pa.binary()),
                 ],
-                names=["h", "block", "ctx", "lo", "body"],
+                names=["h", "block", "ctx", "ctx2", "lo", "body"],
             )
 
 
@@ -152,9 +156,23 @@ def suffix_classes(data: np.ndarray, group: np.ndarray, length: int) -> tuple[np
     return order, ~new
 
 
-def factors(bodies: list[bytes], los: list[int], blocks: list[int], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each context the offsets (from its start) of windows with an equal window in another context of its block,
-    and the offsets of windows that the block must show to other blocks: one of each class of equal windows."""
+def factor_arrays(data: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every position, the previous smaller and the next larger position that start an equal string of ``length``; -1 for none.
+
+    These are the PSV and NLV entries where the longest previous and next factor reach ``length``: strings equal at that
+    length are neighbours in suffix order, and ties stand by position, so the entries are the neighbours themselves.
+    """
+    order, equal = suffix_classes(data, group, length)
+    before, after = np.full(len(data), -1), np.full(len(data), -1)
+    here = np.flatnonzero(equal)
+    before[order[here]] = order[here - 1]
+    after[order[here - 1]] = order[here]
+    return before, after
+
+
+def factors(bodies: list[bytes], los: list[int], blocks: list[int], length: int, keep_first: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each context the offsets (from its start) of windows with an equal window in another context of its block (an earlier
+    one, where the first is kept), and the offsets of windows that the block must show to other blocks: one of each class."""
     sizes = np.array([len(b) for b in bodies])
     starts = np.r_[0, np.cumsum(sizes)]
     data = np.frombuffer(b"".join(bodies) + bytes(length), np.uint8).astype(np.int64)
@@ -163,16 +181,13 @@ def factors(bodies: list[bytes], los: list[int], blocks: list[int], length: int)
     group = np.full(len(data), -1, np.int64)
     group[: starts[-1]] = np.array(blocks)[owner] * 4096 + offset + 2048
     group -= group.min()
-    order, equal = suffix_classes(data, group, length)
-    hit = np.zeros(len(data), bool)  # longest previous or next factor reaches the length
-    hit[order[equal]] = True
-    hit[order[:-1][equal[1:]]] = True
+    before, after = factor_arrays(data, group, length)
     whole = np.zeros(len(data), bool)
     whole[: starts[-1]] = np.arange(starts[-1]) + length <= starts[owner + 1]
-    shown = whole.copy()
-    shown[order[equal]] = False
+    hit = whole & (before >= 0) if keep_first else whole & ((before >= 0) | (after >= 0))
+    shown = whole & (before < 0)
     cut = list(zip(starts, starts[1:], strict=False))
-    return [np.flatnonzero((hit & whole)[a:b]) for a, b in cut], [np.flatnonzero(shown[a:b]) for a, b in cut]
+    return [np.flatnonzero(hit[a:b]) for a, b in cut], [np.flatnonzero(shown[a:b]) for a, b in cut]
 
 
 def _runs(at: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -186,36 +201,31 @@ def _runs(at: np.ndarray, length: int) -> list[tuple[int, int]]:
 def _sort_pass(length: int):
     """Contexts sorted by (h, block) to covered runs (relative to the anchor) and, for cut anchors, open windows."""
     run_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    open_type = pa.list_(pa.struct([("s", pa.int32()), ("w", pa.binary())]))
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         number, blocks = {}, []
         for h, block, *_ in rows:
             blocks.append(number.setdefault((h, block), len(number)))
-        found, shown = factors([r[4] for r in rows], [r[3] for r in rows], blocks, length)
+        found, shown = factors([r[5] for r in rows], [r[4] for r in rows], blocks, length)
         runs, opens = [], []
-        for (h, block, ctx, lo, body), at, rest in zip(rows, found, shown, strict=True):
+        for (_, block, _, _, lo, body), at, rest in zip(rows, found, shown, strict=True):
             runs.append([{"a": a - lo, "b": b - lo} for a, b in _runs(at, length)])
-            if block >= 0:
-                data = np.frombuffer(body, np.uint8)
-                run = prefix_hash(data, OTHER_MIX)
-                _, inv = powers(len(data))
-                opens.append([{"s": s - lo, "w": w} for s, w in zip(rest.tolist(), fmix((run[rest + length] - run[rest]) * inv[rest]).view(np.int64).tolist(), strict=True)])
-            else:
-                opens.append([])
+            opens.append([{"s": s - lo, "w": hashlib.blake2b(body[s : s + length], digest_size=16).digest()} for s in rest.tolist()] if block >= 0 else [])
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(runs, run_type), pa.array(opens, pa.list_(pa.struct([("s", pa.int32()), ("w", pa.int64())])))],
-            names=["h", "ctx", "runs", "open"],
+            [*(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 2, 3)), pa.array(runs, run_type), pa.array(opens, open_type)],
+            names=["h", "ctx", "ctx2", "runs", "open"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "block", "ctx", "lo", "body")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "block", "ctx", "ctx2", "lo", "body")), strict=True):
                 if size > 400_000 and row[:2] != rows[-1][:2]:
                     yield settle(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if rows:
             yield settle(rows)
 
@@ -225,17 +235,20 @@ def _sort_pass(length: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Remove merged runs from whole texts."""
     for batch in batches:
-        removed, spans, digest = [], [], []
+        out = {"sha": [], "n_removed": [], "n_spans": [], "cut_sha": []}
         for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            raw, at, gone, count, whole = (text or "").encode(), 0, 0, 0, hashlib.sha256()
-            for a, b in merged([(r["a"], r["b"]) for r in runs]):
-                whole.update(raw[at:a])
+            raw, at, gone, count, kept = (text or "").encode(), 0, 0, 0, hashlib.sha256()
+            whole = hashlib.sha256(raw).digest()
+            for a, b in merged([(r["a"], r["b"]) for r in runs if r["part"] == whole[:8]]):
+                kept.update(raw[at:a])
                 at, gone, count = b, gone + b - a, count + 1
-            whole.update(raw[at:])
-            removed.append(gone)
-            spans.append(count)
-            digest.append(whole.digest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "n_removed", "n_spans", "sha"])
+            kept.update(raw[at:])
+            for name, value in zip(out, (whole, gone, count, kept.digest()), strict=True):
+                out[name].append(value)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(out["sha"], pa.binary()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["cut_sha"], pa.binary())],
+            names=["doc_id", *out],
+        )
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -250,46 +263,46 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated_runs(profiles: DataFrame, texts: DataFrame, length: int, block: int) -> DataFrame:
-    """(doc_id, runs) of documents with repeats."""
-    anchors = profiles.select("doc_id", F.explode("anchors").alias("x")).select("doc_id", "x.*")
-    kinds = anchors.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos", "lo", "hi")).alias("rep"))
-    kinds = staged(kinds, "contexts")
-    per_anchor = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("uses")).filter("uses > 1")
-    shared = staged(kinds.join(per_anchor, "h").select("h", "ctx", "n", "forms", "rep"), "shared")
-    drop_staged(kinds)
+    """(doc_id, runs) of documents with repeats; a run tells the text that it belongs to."""
+    anchors = profiles.filter("doc_id is not null").select("doc_id", F.substring("sha", 1, 8).alias("part"), F.explode("anchors").alias("x")).select("doc_id", "part", "x.*")
+    context = ["h", "ctx", "ctx2"]
+    kinds = staged(anchors.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "part", "pos", "lo", "hi")).alias("rep")), "contexts")
+    per_anchor = staged(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("uses")).filter("uses > 1"), "shared-anchors")
+    shared = staged(hot_join(kinds, per_anchor, "h", "forms", kinds.count(), F.col("ctx")).select(*context, "n", "forms", "rep"), "shared")
+    total = kinds.agg(F.sum("n")).first()[0] or 0
+    drop_staged(kinds, per_anchor)
     several = shared.filter("forms > 1").select(
         F.col("rep.doc_id").alias("doc_id"),
         F.struct(
-            F.col("rep.pos").alias("pos"), "h", "ctx", F.col("rep.lo").cast("int").alias("lo"), F.col("rep.hi").cast("int").alias("hi"),
+            F.col("rep.part").alias("part"), F.col("rep.pos").alias("pos"), *context, F.col("rep.lo").cast("int").alias("lo"), F.col("rep.hi").cast("int").alias("hi"),
             F.when(F.col("forms") > 2 * block, F.pmod(F.col("ctx"), F.ceil(F.col("forms") / block)).cast("int")).otherwise(-1).alias("block"),
         ).alias("w"),
     )
     want = several.groupBy("doc_id").agg(F.collect_list("w").alias("want"))
-    bodies = texts.join(want, "doc_id").mapInArrow(_contexts, "h long, block int, ctx long, lo int, body binary")
+    bodies = texts.join(want, "doc_id").mapInArrow(_contexts, "h long, block int, ctx long, ctx2 long, lo int, body binary")
     sorted_runs = staged(
-        bodies.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_sort_pass(length), "h long, ctx long, runs array<struct<a:int,b:int>>, open array<struct<s:int,w:long>>"),
+        bodies.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_sort_pass(length), f"h long, ctx long, ctx2 long, runs {_RUNS}, open array<struct<s:int,w:binary>>"),
         "factors",
     )
-    rest = sorted_runs.filter(F.size("open") > 0).select("h", "ctx", F.explode("open").alias("o")).select("h", "ctx", F.col("o.s").alias("s"), F.col("o.w").alias("w"))
+    rest = sorted_runs.filter(F.size("open") > 0).select(*context, F.explode("open").alias("o")).select(*context, F.col("o.s").alias("s"), F.col("o.w").alias("w"))
     again = rest.groupBy("h", "s", "w").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    later = rest.join(again, ["h", "s", "w"]).groupBy("h", "ctx").agg(F.transform(F.collect_list("s"), lambda s: F.struct(s.alias("a"), (s + length).alias("b"))).alias("more"))
-    none = F.array().cast("array<struct<a:int,b:int>>")
+    later = rest.join(again, ["h", "s", "w"]).groupBy(*context).agg(F.transform(F.collect_set("s"), lambda s: F.struct(s.alias("a"), (s + length).alias("b"))).alias("more"))
+    none = F.array().cast(_RUNS)
     decided = staged(
-        shared.join(sorted_runs.select("h", "ctx", "runs"), ["h", "ctx"], "left").join(later, ["h", "ctx"], "left").select(
-            "h", "ctx",
+        shared.join(sorted_runs.select(*context, "runs"), context, "left").join(later, context, "left").select(
+            *context, "n",
             F.when(F.col("n") > 1, F.array(F.struct((-F.col("rep.lo")).cast("int").alias("a"), F.col("rep.hi").cast("int").alias("b"))))
             .otherwise(F.concat(F.coalesce("runs", none), F.coalesce("more", none))).alias("runs"),
-        ).filter(F.size("runs") > 0),
+        ).filter(F.size("runs") > 0).dropDuplicates(context),
         "decided",
     )
-    drop_staged(sorted_runs)
-    runs = (
-        anchors.join(decided, ["h", "ctx"])
-        .select("doc_id", F.transform("runs", lambda r: F.struct((F.col("pos") + r["a"]).alias("a"), (F.col("pos") + r["b"]).alias("b"))).alias("runs"))
+    drop_staged(sorted_runs, shared)
+    return (
+        hot_join(anchors, decided, context, "n", total, F.struct("doc_id", "pos"))
+        .select("doc_id", F.transform("runs", lambda r: F.struct(F.col("part").alias("part"), (F.col("pos") + r["a"]).alias("a"), (F.col("pos") + r["b"]).alias("b"))).alias("runs"))
         .groupBy("doc_id")
         .agg(F.flatten(F.collect_list("runs")).alias("runs"))
     )
-    return runs
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
@@ -297,9 +310,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, blo
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     profiles = staged(texts.mapInArrow(_anchor_pass(length, anchor), f"doc_id long, n_bytes long, sha binary, anchors {_PLACE}"), "anchors")
     runs = staged(repeated_runs(profiles, texts, length, block), "runs")
-    cut = texts.join(runs, "doc_id").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, sha binary")
-    cut = cut.select("doc_id", "n_removed", "n_spans", F.col("sha").alias("cut_sha")).dropDuplicates(["doc_id"])
-    return profiles.select("doc_id", "n_bytes", "sha").join(cut, "doc_id", "left").select(
+    cut = texts.join(runs, "doc_id").mapInArrow(_cut, "doc_id long, sha binary, n_removed long, n_spans long, cut_sha binary").dropDuplicates(["doc_id", "sha"])
+    return profiles.select("doc_id", "n_bytes", "sha").join(cut, ["doc_id", "sha"], "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
