@@ -11,7 +11,7 @@ broadcast and shuffle joins.
 
 Defined results: null text has no words; items without words match nothing; an item shorter than the window
 is one window; repeated items each count by their id; repeated documents are counted under their id; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored; a document without an id has a row of its own, with its words counted but no hit looked for.
 """
 
 from __future__ import annotations
@@ -138,11 +138,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """One row per document: doc_id, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     items = staged(item_terms(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")), "items")
-    vocabulary = staged(items.select(F.explode("terms").alias("term")).distinct().coalesce(1), "vocabulary")
-    counts = staged(term_counts(texts, vocabulary).coalesce(1), "term-counts")
-    rare = staged(rarest_terms(items, counts, window).coalesce(1), "rare-terms")
-    used = rare.select(F.explode(F.array("first.term", "second.term")).alias("term")).union(docs.sparkSession.createDataFrame([(END_OF_TEXT,)], "term string"))
-    postings = staged(build_postings(texts, staged(used.distinct().coalesce(1), "used-terms")), "postings")
+    vocabulary = staged(items.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
+    counts = staged(term_counts(texts, vocabulary), "term-counts")
+    rare = staged(rarest_terms(items, counts, window), "rare-terms")
+    used = rare.select(F.explode(F.array("first.term", "second.term")).alias("term")).union(docs.sparkSession.range(1).select(F.lit(END_OF_TEXT).alias("term")))
+    postings = staged(build_postings(texts, staged(used.distinct(), "used-terms")), "postings")
     hits = phrase_matches(texts, items, postings, rare, window)
     per_doc = hits.groupBy("doc_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_hit"),
