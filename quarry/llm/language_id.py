@@ -2,9 +2,10 @@
 
 A suffix automaton of labelled text per language gives the longest match from any position; a text is parsed
 greedily into such longest matches, and the language that needs the fewest phrases, normalised by the size of
-its training text, wins. All automata share one transition table, and all pieces of all texts of an Arrow batch
-advance together, one symbol a step, so the parse is vectorised; a text is cut into pieces of ``PIECE`` symbols
-that are parsed independently and summed, so a very long text is as many more lanes, not more steps.
+its training text, wins. All pieces of all texts of a slice advance together, one symbol a step, so the parse is
+vectorised; a text is cut into pieces of ``PIECE`` symbols that are parsed independently and summed, at most ``LANES``
+pieces at once, so a very long text is as many more lanes, not more steps or memory. An automaton is shipped as the list of
+its transitions (at most three a training symbol, whatever the alphabet) and looked up in a hash table that each worker builds.
 
 Training takes at most ``DOCS`` texts a language (those of smallest hash), ``CHARS`` symbols of them in all, in equal shares at
 hashed offsets; what a short text leaves of its share goes to the longer ones.
@@ -17,17 +18,17 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fmix, slices
 from .quality import held_out
 
-DOCS, CHARS, PIECE = 40, 24_000, 256
+DOCS, CHARS, PIECE, LANES = 40, 24_000, 256, 4096
 
 
 def _letters() -> np.ndarray:
@@ -87,45 +88,84 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+class Transitions:
+    """Hash lookup of (state, symbol): one slot a key, and a sorted list of the few keys whose slot was taken."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(8, int(np.ceil(np.log2(max(len(keys), 1)))) + 2)
+        self.shift = np.uint64(64 - bits)
+        slot = (fmix(keys) >> self.shift).astype(np.int64)
+        _, first = np.unique(slot, return_index=True)
+        self.key = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
+        self.value = np.full(1 << bits, -1, np.int32)
+        self.key[slot[first]], self.value[slot[first]] = keys[first], values[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        self.crowded = np.zeros(1 << bits, bool)
+        self.crowded[slot[rest]] = True
+        rest = rest[np.argsort(keys[rest])]
+        self.more, self.more_value = np.append(keys[rest], np.uint64(np.iinfo(np.uint64).max)), np.append(values[rest], -1)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next state of each, -1 where there is none."""
+        key = state.astype(np.uint64) << np.uint64(16) | symbol
+        slot = (fmix(key) >> self.shift).astype(np.int64)
+        miss = self.key[slot] != key
+        out = np.where(miss, -1, self.value[slot])
+        again = np.flatnonzero(miss & self.crowded[slot])
+        if len(again):
+            at = np.searchsorted(self.more, key[again])
+            out[again] = np.where(self.more[at] == key[again], self.more_value[at], -1)
+        return out
+
+
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
-    alphabet: np.ndarray  # sorted symbols
-    roots: np.ndarray  # state number of each language's root
-    table: np.ndarray  # states x (alphabet + unknown); -1 where no transition; the last state has none
+    moves: list[tuple[np.ndarray, np.ndarray]]  # per language: sorted keys (state, symbol) and next states; state 0 is the root
     bits: np.ndarray  # what a phrase costs
+    tables: list = field(default_factory=list, compare=False)
+
+    def __getstate__(self):
+        return {"langs": self.langs, "moves": self.moves, "bits": self.bits, "tables": []}
+
+    def lookups(self) -> list[tuple[Transitions, np.ndarray]]:
+        """Per language the transitions and the dense first moves from the root; the last state, of no transition, for other symbols."""
+        if not self.tables:
+            for keys, values in self.moves:
+                dead = int(values.max()) + 1
+                first = np.full(1 << 16, dead, np.int32)
+                root = keys >> np.uint64(16) == 0
+                first[(keys[root] & np.uint64(0xFFFF)).astype(np.int64)] = values[root]
+                self.tables.append((Transitions(keys, values), first))
+        return self.tables
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Greedy longest-match phrases of every text against every language."""
         out = np.zeros((len(texts), len(self.langs)))
         pieces = [(i, t[k : k + PIECE]) for i, t in enumerate(texts) for k in range(0, len(t), PIECE)]
-        if not pieces:
-            return out
-        sizes = np.array([len(p) for _, p in pieces])
-        order = np.argsort(-sizes, kind="stable")
-        grid = np.zeros((PIECE, len(pieces)), np.int64)
-        for row, k in enumerate(order.tolist()):
-            grid[: sizes[k], row] = pieces[k][1]
-        alive = np.searchsorted(-sizes[order], -np.arange(PIECE), side="left")
-        width, flat = self.table.shape[1], self.table.ravel()
-        count = np.ones((len(self.langs), len(pieces)))
-        for lang, root in enumerate(self.roots.tolist()):
-            start = self.table[root]
-            first = np.where(start < 0, len(self.table) - 1, start)  # a symbol the language has not is a phrase of its own
-            state = first[grid[0]]
-            tally = count[lang]
-            for step in range(1, PIECE):
-                n = alive[step]
-                if not n:
-                    break
-                sym = grid[step, :n]
-                move = flat[state[:n] * width + sym]
-                miss = move < 0
-                tally[:n] += miss
-                state[:n] = np.where(miss, first[sym], move)
-        owner = np.array([pieces[k][0] for k in order.tolist()])
-        for lang in range(len(self.langs)):
-            out[:, lang] = np.bincount(owner, count[lang], minlength=len(texts))
+        for lo in range(0, len(pieces), LANES):
+            part = pieces[lo : lo + LANES]
+            sizes = np.array([len(p) for _, p in part])
+            order = np.argsort(-sizes, kind="stable")
+            grid = np.zeros((PIECE, len(part)), np.uint64)
+            for row, k in enumerate(order.tolist()):
+                grid[: sizes[k], row] = part[k][1]
+            alive = np.searchsorted(-sizes[order], -np.arange(PIECE), side="left")
+            owner = np.array([part[k][0] for k in order.tolist()])
+            for lang, (move, first) in enumerate(self.lookups()):
+                count = np.ones(len(part))
+                state = first[grid[0].astype(np.int64)]
+                for step in range(1, PIECE):
+                    n = alive[step]
+                    if not n:
+                        break
+                    symbol = grid[step, :n]
+                    after = move(state[:n], symbol)
+                    miss = np.flatnonzero(after < 0)
+                    count[miss] += 1
+                    after[miss] = first[symbol[miss].astype(np.int64)]
+                    state[:n] = after
+                out[:, lang] += np.bincount(owner, count, minlength=len(texts))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -138,9 +178,7 @@ class Model:
                 low, has = symbols(text)
                 if has:
                     rows.append(i)
-                    at = np.searchsorted(self.alphabet, low)
-                    at[at == len(self.alphabet)] = 0
-                    codes.append(np.where(self.alphabet[at] == low, at, len(self.alphabet)))
+                    codes.append(low)
         if rows:
             cost = self.phrases(codes) * self.bits
             best = cost.argmin(axis=1)
@@ -153,8 +191,8 @@ class Model:
 
 
 def build(samples: dict[str, str]) -> Model:
-    """One shared table from labelled text per language."""
-    return build_coded({lang: symbols(text)[0][:CHARS] for lang, text in samples.items()})
+    """A model of whole labelled texts, one per language."""
+    return build_coded({lang: symbols(text)[0] for lang, text in samples.items()})
 
 
 def shares(texts: list[tuple[int, np.ndarray]], total: int = CHARS) -> np.ndarray:
@@ -174,21 +212,14 @@ def shares(texts: list[tuple[int, np.ndarray]], total: int = CHARS) -> np.ndarra
 
 
 def build_coded(samples: dict[str, np.ndarray]) -> Model:
-    """One shared table from the symbols of each language."""
+    """A model of the symbols of each language."""
     coded = {lang: c for lang, c in sorted(samples.items()) if len(c)}
-    alphabet = np.unique(np.concatenate([*coded.values(), np.array([32], np.int32)]))
-    rows, roots = [], []
+    moves = []
     for text in coded.values():
-        states, base = suffix_automaton(np.searchsorted(alphabet, text).tolist()), sum(map(len, rows))
-        block = np.full((len(states), len(alphabet) + 1), -1, np.int32)
-        for i, moves in enumerate(states):
-            for c, j in moves.items():
-                block[i, c] = j + base
-        roots.append(base)
-        rows.append(block)
+        pairs = sorted((i << 16 | c, j) for i, state in enumerate(suffix_automaton(text.tolist())) for c, j in state.items())
+        moves.append((np.array([k for k, _ in pairs], np.uint64), np.array([j for _, j in pairs], np.int32)))
     bits = np.log2(np.array([len(c) + 1 for c in coded.values()], float)) if coded else np.zeros(0)
-    table = np.concatenate([*rows, np.full((1, len(alphabet) + 1), -1, np.int32)])
-    return Model(list(coded), alphabet, np.array(roots, np.int64), table, bits)
+    return Model(list(coded), moves, bits)
 
 
 def train(docs: DataFrame, per_lang: int = DOCS) -> Model:
@@ -213,7 +244,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20, 1 << 15):
             lang, score = shared.value.predict(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
