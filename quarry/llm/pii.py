@@ -2,21 +2,23 @@
 
 Seed entities are the matches of four base kinds. Every identifier-like token (one with a digit or an at sign) is a
 mention that carries lexical patterns: the word before it, the word after it, its shape, and the key when it is
-assigned one. A run of over ``RUN`` characters without a blank holds one token for each piece between separators or
+assigned one. A run of over ``RUN`` characters without a blank is not one token: it holds one for each piece between separators or
 letters of other scripts, whatever its length, with the words beside it in the run. Patterns and mentions form a graph; Spark scores it iteratively: a context (word before or after) is
 worth the share of its other mentions that are believed, a shape or key is worth the weighed mean of the contexts
 its mentions stand in, and a well-supported shape or key above the threshold is a pattern that makes its mentions
 believed. Believed mentions that no base span covers are added under kind ``context``.
 
-Only mentions (a few bytes each) are shuffled, never texts, and pattern scores are joined, not broadcast.
+Only mentions (a few bytes each; a pattern of over 64 characters is a digest) are shuffled, never texts. A pattern's worth is
+joined to its mentions, never broadcast, and the few patterns with a large share of all mentions are dealt to many tasks.
 
 Defined results: null text is empty; base spans are leftmost and non-overlapping per kind, and failing matches are
 dropped, and no mention that fails its kind's check is added; added spans never overlap base ones; repeated rows carry the same spans; an empty table gives no rows; other
-columns are ignored.
+columns are ignored; a row without an id has base spans alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import hot_join, slices, staged
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,14 +35,14 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 MENTION = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
-KEYED = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*)\s?[=:]\s?[\"']?$")
 #: Runs longer than this (minified JSON, CSV, query strings, scripts without blanks) are cut at separators and script changes.
 RUN = 200
 PIECE = re.compile(r"[^\s\"'`,=&;|?\\()\[\]{}<>\u0370-\U0010ffff]+")
-KEYED_INSIDE = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*)[\"']?[=:][\"']?$")
-#: A word inside such a run; of scripts that may lack blanks two characters beside the place tell enough.
-WORD_BEFORE = re.compile(r"(?:[^\W\u0e00-\U0010ffff]+|[\u0e00-\U0010ffff]{1,2})(?=[^\w\n]*$)")
 WORD_AFTER = re.compile(r"[^\w\n]*([^\W\u0e00-\U0010ffff]+|[\u0e00-\U0010ffff]{1,2})")
+NEXT_WORD = re.compile(r"\W*(\w+)")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+#: Patterns longer than this stand for themselves as a digest.
+LONG_PATTERN = 64
 EDGE = " .,;:!?()[]{}<>\"'"
 ROUNDS, THRESHOLD, SUPPORT = 3, 0.55, 5
 
@@ -89,7 +91,7 @@ def shape(token: str) -> str:
     if n >= 12 and token.isalnum() and token.isascii():
         head = re.match(r"[A-Z]{2,4}|", token)[0][:4]
         return f"code:{head}:{n // 4}:{token.isupper()}"
-    return re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}", re.sub(r"[^\W\d_]+", "a", token))[:24]
+    return re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}", re.sub(r"[^\W\d_]+", "a", token))
 
 
 def plausible(token: str) -> bool:
@@ -101,14 +103,45 @@ def plausible(token: str) -> bool:
 
 
 def _word_before(text: str, at: int) -> str:
-    """The last word that ends before a position, on the same line and within 48 characters."""
-    return (re.findall(r"[^\s]+", text[max(0, at - 48) : at].rpartition("\n")[2]) or [""])[-1].strip(EDGE).lower()
+    """The last word that ends before a position on the same line."""
+    end = at
+    while end and text[end - 1].isspace() and text[end - 1] != "\n":
+        end -= 1
+    start = end
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end].strip(EDGE).lower()
 
 
 def _inner_word_before(text: str, at: int) -> str:
-    """The last word that ends before a position in a long run, on the same line and within 48 characters."""
-    found = WORD_BEFORE.search(text[max(0, at - 48) : at])
-    return found[0].lower() if found else ""
+    """The last word that ends before a position in a long run; of scripts that may lack blanks two characters tell enough."""
+    end = at
+    while end and not (text[end - 1].isalnum() or text[end - 1] in "_\n"):
+        end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] == "_") and (text[start - 1] >= "\u0e00") == (text[end - 1] >= "\u0e00") and (text[end - 1] < "\u0e00" or end - start < 2):
+        start -= 1
+    return text[start:end].lower()
+
+
+def _key_before(text: str, at: int, quoted: bool) -> tuple[int, str] | None:
+    """Start and name of a key that is assigned what begins at a position: ``name=``, ``name: "`` or, in a long run, ``"name":"``."""
+    i = at - (at > 0 and text[at - 1] in "\"'")
+    i -= not quoted and i > 0 and text[i - 1].isspace()
+    if not i or text[i - 1] not in "=:":
+        return None
+    i -= 1
+    i -= i > 0 and (text[i - 1] in "\"'" if quoted else text[i - 1].isspace())
+    start = i
+    while start and text[start - 1] in NAME:
+        start -= 1
+    while start < i and text[start] in "0123456789-":
+        start += 1
+    return (start, text[start:i].lower()) if start < i else None
+
+
+def _pattern(kind: str, text: str) -> str:
+    return f"{kind}:{text}" if len(text) <= LONG_PATTERN else f"{kind}#{hashlib.md5(text.encode()).hexdigest()}"
 
 
 def _tokens(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -154,17 +187,17 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int
         while k < len(runs) and runs[k][1] <= start:
             k += 1
         inside = k < len(runs) and runs[k][0] <= start
-        keyed = (KEYED_INSIDE if inside else KEYED).search(text, max(0, start - 40), start)
-        lead = keyed.start() if keyed else start
-        after = WORD_AFTER.match(text[end : end + 48]) if inside else re.match(r"\W*(\w+)", text[end : end + 48])
-        kinds = [f"S:{shape(text[start:end]) if not seed or end - start < 40 else 'long'}"]
+        keyed = _key_before(text, start, inside)
+        lead = keyed[0] if keyed else start
+        after = (WORD_AFTER if inside else NEXT_WORD).match(text, end)
+        kinds = [_pattern("S", shape(text[start:end]) if not seed or end - start < 40 else "long")]
         left = _inner_word_before(text, lead) if inside else _word_before(text, lead)
         if left:
-            kinds.append("L:" + left)
+            kinds.append(_pattern("L", left))
         if after:
-            kinds.append("R:" + after[1].lower())
+            kinds.append(_pattern("R", after[1].lower()))
         if keyed:
-            kinds.append("K:" + keyed[1].lower())
+            kinds.append(_pattern("K", keyed[1]))
         found.append((start, end, text[start:end], seed, kinds))
     return found
 
@@ -195,20 +228,23 @@ def believed(found: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOL
     """
     mention = F.xxhash64("doc_id", "start").alias("m")
     edges = staged(found.select(mention, "doc_id", "seed", F.explode("patterns").alias("pattern")), "edges")
-    outer = edges.filter("substring(pattern, 1, 1) in ('L', 'R')")
-    inner = edges.filter("substring(pattern, 1, 1) in ('S', 'K')")
-    belief = edges.select("m", F.col("seed").cast("double").alias("b")).distinct()
+    outer = edges.filter("substring(pattern, 1, 1) in ('L', 'R')").select("m", "pattern")
+    supported = edges.filter("substring(pattern, 1, 1) in ('S', 'K')").groupBy("pattern", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    supported = staged(supported.groupBy("pattern").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("uses")).filter(F.col("docs") >= support), "supported")
+    total = edges.count()
+    inner = staged(hot_join(edges.filter("substring(pattern, 1, 1) in ('S', 'K')").select("m", "pattern"), supported, "pattern", "uses", total, F.col("m")).select("m", "pattern", "uses"), "inner")
+    seeds = staged(edges.filter("seed").select("m").distinct().withColumn("b", F.lit(1.0)), "seeds")
+    belief = seeds
     for _ in range(rounds):
-        seen = staged(outer.select("m", "pattern").join(belief, "m"), "seen")
-        context = seen.groupBy("pattern").agg(F.sum("b").alias("total"), (F.count(F.lit(1)) - 1).alias("others"))
+        seen = staged(outer.join(belief, "m", "left").select("m", "pattern", F.coalesce("b", F.lit(0.0)).alias("b")), "seen")
+        context = staged(seen.groupBy("pattern").agg(F.sum("b").alias("total"), (F.count(F.lit(1)) - 1).alias("others")), "contexts")
         others = F.greatest("others", F.lit(1))
         weight = F.col("others") / (F.col("others") + 3)
-        told = seen.join(staged(context, "contexts"), "pattern").groupBy("m").agg(F.sum((F.col("total") - F.col("b")) / others * weight).alias("s"), F.sum(weight).alias("w"))
-        promoted = inner.join(staged(told, "told"), "m").groupBy("pattern").agg((F.sum("s") / (F.sum("w") + 1)).alias("worth"), F.approx_count_distinct("doc_id").alias("docs"))
-        promoted = staged(promoted.filter((F.col("worth") >= threshold) & (F.col("docs") >= support)).select("pattern", "worth"), "promoted")
-        belief = staged(
-            inner.join(promoted, "pattern", "left").groupBy("m").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("worth"), F.lit(0.0))).alias("b")), "belief"
-        )
+        told = hot_join(seen, context, "pattern", "others", total, F.col("m")).groupBy("m").agg(F.sum((F.col("total") - F.col("b")) / others * weight).alias("s"), F.sum(weight).alias("w"))
+        promoted = inner.join(staged(told, "told"), "m").groupBy("pattern").agg((F.sum("s") / (F.sum("w") + 1)).alias("worth"), F.max("uses").alias("uses"))
+        promoted = staged(promoted.filter(F.col("worth") >= threshold), "promoted")
+        worth = hot_join(inner.select("m", "pattern"), promoted, "pattern", "uses", total, F.col("m")).groupBy("m").agg(F.max("worth").alias("b"))
+        belief = staged(worth.union(seeds).groupBy("m").agg(F.max("b").alias("b")), "belief")
     accepted = belief.filter(F.col("b") >= threshold).select("m")
     return found.filter(~F.col("seed")).withColumn("m", mention).join(accepted, "m", "left_semi").select("doc_id", "start", "stop")
 
@@ -216,7 +252,7 @@ def believed(found: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOL
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, base and added (arrays of kind, start, stop in order)."""
     parts = staged(extract(docs), "mentions")
-    found = parts.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*").distinct()
+    found = parts.filter("doc_id is not null").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*").distinct()
     added = believed(found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.lit("context").alias("kind"), "start", "stop"))).alias("added"))
     empty = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
     return parts.select("doc_id", "base").join(added, "doc_id", "left").select("doc_id", "base", F.coalesce("added", empty).alias("added"))
