@@ -2,6 +2,10 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's documents. Filtering stages keep every column of ``documents``.
+
+Defined results: a document without an id is rejected by the first stage, since no decision could name it; null and empty
+texts are judged like others (all empty texts are copies of each other); rows repeated with id and text leave the exact
+stage once; rows that share an id but not a text share every later decision; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +26,15 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, quality.score(docs, model).filter("predicted = 1"))
+    return quality.select_good(docs.filter("doc_id is not null"), model)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: one document of each text stays."""
-    return _only(docs, exact_dedup.deduplicate(docs).filter("kept"))
+    kept = exact_dedup.deduplicate(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_text_digest")).distinct()
+    marked = docs.withColumn("_text_digest", exact_dedup.digest(F.col("text")))
+    named = [F.col("_kept_id") == F.col("doc_id").cast("long"), marked["_text_digest"] == kept["_text_digest"]]
+    return marked.join(kept, named, "left_semi").dropDuplicates(["doc_id", "_text_digest"]).select(docs.columns)
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
