@@ -6,14 +6,15 @@ the latest register (early termination); two texts agree in a register with thei
 Signatures are banded, banded candidates are verified by the exact probability Jaccard of their shingles,
 and verified links make classes.
 
-How it stays bounded: texts with the same word sequence collapse to one representative first; buckets of
-up to ``SMALL_BUCKET`` representatives emit their pairs; larger buckets link to a leader (the text that stands in most of them).
-Where members are then still in different classes, more and more of them are compared with all members of other classes,
-until one class is left or no pair. So no group is collected and a group of n copies makes n pairs, not n * n.
-
-Defined results: null or wordless texts have no shingles and are classes of their own; a text of one to
-four words is one shingle; ties go to the smallest id; a repeated row joins the class of its id; an empty
-table gives no rows; other columns are ignored.
+How it stays bounded: texts with the same word sequence collapse to one representative first; buckets of up to
+``SMALL_BUCKET`` representatives emit their pairs. Members of larger buckets carry a sketch, one byte of each of ``SKETCH``
+ProbMinHash registers, whose agreement estimates the similarity. They meet a few heads of their bucket first, then one
+another block by block; a pair is emitted only where the sketches leave a link possible and the two are not in one class yet.
+So a group of n copies makes about n pairs, and texts that share a passage but no link make hardly any.
+
+Defined results: null or wordless texts have no shingles and are classes of their own; so is a row without an id (its
+class_id is null, it is kept); a text of one to four words is one shingle; ties go to the smallest id; rows under one id
+are one document, for which the text of the smallest digest speaks; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_staged, fmix, slices, staged, utf8, word_hashes
+from .common import drop_staged, fmix, hot_join, slices, staged, utf8, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 SMALL_BUCKET = 32
+#: Larger buckets: heads that all members meet before they meet one another, rows of a block, registers of a sketch and
+#: how many standard deviations below the threshold a sketch must say before a pair is refuted (1 in 300,000 at 4.5).
+HEADS, BLOCK, SKETCH, SIGMAS = 4, 1024, 768, 4.5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -59,22 +63,28 @@ def shingles(hashes: np.ndarray, docs: np.ndarray, n_docs: int) -> tuple[np.ndar
 
 
 def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
-    """ProbMinHash signature of every text; rows of texts without shingles stay zero."""
+    """ProbMinHash signature of every text; rows of texts without shingles stay zero.
+
+    A few arrivals of every shingle are drawn at a time; those later than the latest register change nothing.
+    """
     best = np.full(n_docs * registers, np.inf)
     who = np.zeros(n_docs * registers, dtype=np.uint64)
     arrival, seed = np.zeros(len(value)), value.copy()
     latest = np.full(n_docs, np.inf)
+    ahead = int(np.clip(registers * np.log(registers) * n_docs / max(len(value), 1) / 4, 1, 16))
+    steps = np.arange(1, ahead + 1, dtype=np.uint64) * _STEP
     while len(value):
-        seed = seed + _STEP
-        draw = fmix(seed)
-        arrival = arrival - np.log((np.right_shift(draw, np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
-        live = arrival < latest[owner]
-        owner, value, weight, arrival, seed, draw = (x[live] for x in (owner, value, weight, arrival, seed, draw))
-        slot = owner * registers + (fmix(draw ^ _FOLD) % np.uint64(registers)).astype(np.int64)
-        np.minimum.at(best, slot, arrival)
-        won = best[slot] == arrival
-        who[slot[won]] = value[won]
+        draw = fmix(seed[:, None] + steps)
+        gap = -np.log((np.right_shift(draw, np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight[:, None]
+        times = arrival[:, None] + np.cumsum(gap, axis=1)
+        row, col = np.nonzero(times < latest[owner][:, None])
+        when = times[row, col]
+        slot = owner[row] * registers + (fmix(draw[row, col] ^ _FOLD) % np.uint64(registers)).astype(np.int64)
+        np.minimum.at(best, slot, when)
+        won = best[slot] == when
+        who[slot[won]] = value[row[won]]
         latest = best.reshape(n_docs, registers).max(axis=1)
+        arrival, seed = times[:, -1], seed + steps[-1]
         live = arrival < latest[owner]
         owner, value, weight, arrival, seed = (x[live] for x in (owner, value, weight, arrival, seed))
     return who.reshape(n_docs, registers)
@@ -88,8 +98,6 @@ def _profile(bands: int, rows: int):
             data, offsets = utf8(part.column("text"))
             n = part.num_rows
             hashes, docs = word_hashes(data, offsets)
-            ends = np.cumsum(np.bincount(docs, minlength=n)) if n else []
-            raw, marks = hashes.tobytes(), [0, *(8 * np.asarray(ends)).tolist()]
             owner, value, weight = shingles(hashes, docs, n)
             size = np.bincount(owner, minlength=n)
             flat = np.bincount(owner, weight, minlength=n) == size  # every shingle once
@@ -101,7 +109,7 @@ def _profile(bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
-                    pa.array([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(marks, marks[1:], strict=False)], pa.binary()),
+                    pa.array(word_digests(hashes, docs, n), pa.binary()),
                     pa.array(size, pa.int32()),
                     pa.array(np.where(flat, size, 0), pa.int32()),
                     pa.array([k if s else [] for k, s in zip(keys, size.tolist(), strict=True)], pa.list_(pa.int64())),
@@ -112,17 +120,36 @@ def _profile(bands: int, rows: int):
     return profile
 
 
+def word_digests(hashes: np.ndarray, docs: np.ndarray, n: int) -> list[bytes]:
+    """128-bit digest of every text's word sequence."""
+    marks = [0, *(8 * np.cumsum(np.bincount(docs, minlength=n))).tolist()]
+    raw = hashes.tobytes()
+    return [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(marks, marks[1:], strict=False)]
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
+    """doc_id, shingles, weights (empty where all are 1) and, where ``wide``, a sketch: one byte of each of ``SKETCH`` registers."""
+    for part in slices(batches, "text", max_rows=512):
+        n = part.num_rows
         data, offsets = utf8(part.column("text"))
         hashes, docs = word_hashes(data, offsets)
-        owner, value, weight = shingles(hashes, docs, part.num_rows)
-        cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
-        sets = [value[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-        weights = [weight[a:b].astype(np.int32).tobytes() if (weight[a:b] > 1).any() else b"" for a, b in zip(cut, cut[1:], strict=False)]
+        owner, value, weight = shingles(hashes, docs, n)
+        cut = np.searchsorted(owner, np.arange(n + 1))
+        wide = np.asarray(part.column("wide").to_pylist(), dtype=bool)
+        number = np.cumsum(wide) - 1
+        use = wide[owner]
+        registers = signatures(number[owner[use]], value[use], weight[use], int(wide.sum()), SKETCH)
+        packed = [row.tobytes() for row in fmix(registers).astype(np.uint8)]
+        same = np.array([a == b for a, b in zip(word_digests(hashes, docs, n), part.column("words").to_pylist(), strict=True)], dtype=bool)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(sets, pa.binary()), pa.array(weights, pa.binary())], names=["doc_id", "shingles", "weights"]
-        )
+            [
+                part.column("doc_id"),
+                pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
+                pa.array([weight[a:b].astype(np.int32).tobytes() if (weight[a:b] > 1).any() else b"" for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
+                pa.array([packed[k] if w else None for k, w in zip(number.tolist(), wide.tolist(), strict=True)], pa.binary()),
+            ],
+            names=["doc_id", "shingles", "weights", "sketch"],
+        ).filter(pa.array(same))
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -170,112 +197,154 @@ def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def candidate_links(members: DataFrame, sets: DataFrame, threshold: float, small: int = SMALL_BUCKET) -> DataFrame:
-    """Verified links among bucket members (key, id, size); with them every pair of a bucket is linked, in one class, or refuted.
-
-    Round 1 compares small buckets in full and each larger one with its leader. A bucket whose members are all in one class is
-    settled. In the others ever more heads a round, of as many classes as can be, are compared with all members of other
-    classes, linked before or not, and only then leave: all their pairs are settled. One minus the similarity is a metric, so
-    a pair whose distances to the leader differ by more than a link's greatest distance is refuted without being read.
+def least_agreement(threshold: float) -> float:
+    """How many registers of two sketches agree at least where their similarity reaches the threshold, but for ``SIGMAS`` deviations."""
+    return SKETCH * threshold - SIGMAS * (SKETCH * threshold * (1 - threshold)) ** 0.5
+
+
+def _meet(threshold: float):
+    """Rows of a bucket's cells, sorted by (key, cell), to pairs of different classes that sizes and sketches allow."""
+    agree = least_agreement(threshold)
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        own, id_, size, class_ = (rows[c].to_numpy() for c in ("own", "id", "size", "class"))
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(own), -1)
+        keys, here = rows["keys"].to_pylist(), rows["key"][0].as_py()
+        low, high = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        left, right = [], []
+        for i in low.tolist():
+            mates = high[high > i] if own[i] == own.max() else high
+            small, large = np.minimum(size[mates], size[i]), np.maximum(size[mates], size[i])
+            mates = mates[(class_[mates] != class_[i]) & ((small == 0) | (small >= large * threshold - 1e-9))]
+            mates = mates[(sketch[mates] == sketch[i]).sum(axis=1) >= agree]
+            mine = set(keys[i])
+            for j in mates.tolist():
+                if min(mine.intersection(keys[j])) == here:  # of several shared buckets the first makes the pair
+                    left.append(int(min(id_[i], id_[j])))
+                    right.append(int(max(id_[i], id_[j])))
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column("key").to_numpy(), batch.column("cell").to_numpy().astype(np.int64)], axis=1)
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(lo, hi - lo)
+                if held and (held[-1].column("key")[0] != part.column("key")[0] or held[-1].column("cell")[0] != part.column("cell")[0]):
+                    yield pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def candidate_links(members: DataFrame, sets: DataFrame, threshold: float, small: int, heads: int = HEADS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) among bucket members (key, id, size, n), and the class (id, root) of every linked one.
+
+    With them every pair of a bucket is linked, in one class, or refuted.
+
+    Small buckets are compared in full, and all members of a larger one with its ``heads`` heads, the texts that stand in most
+    such buckets. A bucket that one class then holds is settled; in the others members of different classes, linked before or
+    not, are compared wherever sizes and sketches allow a link. Buckets meet themselves block by block, so none is one task.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sized = staged(members.join(sizes, "key"), "buckets")
-    little = sized.filter(F.col("n") <= small)
+    little = members.filter(F.col("n") <= small)
     left = little.select("key", F.col("id").alias("a"), F.col("size").alias("x"))
-    pairs = left.join(little.select("key", F.col("id").alias("b"), F.col("size").alias("y")), "key").filter((F.col("a") < F.col("b")) & fits(F.col("x"), F.col("y"), threshold)).select("a", "b")
-    large = sized.filter(F.col("n") > small).select("key", "id", "size")
-    # the text that many copies were made from stands in more of their buckets than any copy does
-    ranked = staged(large.join(large.groupBy("id").agg(F.count(F.lit(1)).alias("seen")), "id"), "ranked")
-    heads = ranked.groupBy("key").agg(F.max(F.struct("seen", (-F.col("id")).alias("neg"), "size")).alias("top")).select("key", (-F.col("top.neg")).alias("head"), F.col("top.size").alias("x"))
-    led = staged(ranked.join(heads, "key").filter("id <> head"), "led")
-    pairs = staged(pairs.union(led.filter(fits(F.col("x"), F.col("size"), threshold)).select(*ordered("id", "head"))).distinct(), "pairs")
-    done = staged(compared(pairs, sets), "compared")
+    right = little.select("key", F.col("id").alias("b"), F.col("size").alias("y"))
+    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & fits(F.col("x"), F.col("y"), threshold)).select("a", "b")
+    large = members.filter(F.col("n") > small)
+    keys = large.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    sketch = sets.filter("sketch is not null").select(F.col("doc_id").alias("id"), "sketch")
+    rest = staged(large.select("key", "id", "size").join(keys, "id").join(sketch, "id"), "large-buckets")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.size("keys")), "id"))
+    chosen = rest.select("key", "id", "size", "keys").withColumn("place", place).filter(F.col("place") <= heads).select("key", F.col("id").alias("head"), F.col("size").alias("x"))
+    led = rest.select("key", "id", "size").join(chosen, "key").filter((F.col("id") != F.col("head")) & fits(F.col("x"), F.col("size"), threshold)).select(*ordered("id", "head"))
+    pairs = staged(pairs.union(led).distinct(), "pairs")
+    first = staged(compared(pairs, sets).filter(F.col("similarity") >= threshold), "links")
     drop_staged(pairs)
-    drop_staged(sized)
-    links = [done.filter(F.col("similarity") >= threshold)]
-    label = components(links[0]).select("id", F.col("root").alias("class"))
-    # distance to the leader; of a pair that sizes exclude, what they say of it
-    known = (F.col("x") > 0) & (F.col("size") > 0)
-    near = F.when(F.col("similarity").isNotNull(), 1 - F.col("similarity")).when(known, 1 - F.least("x", "size") / F.greatest("x", "size")).otherwise(0.0)
-    rest = led.select("*", *ordered("id", "head")).join(done, ["a", "b"], "left").select("key", "id", "size", "seen", near.alias("low"), F.coalesce(1 - F.col("similarity"), F.lit(1.0)).alias("high"))
-    rest = rest.join(label, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    tried, leaders = [done.select("a", "b")], 16
-    while True:
-        open_keys = rest.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("key")
-        rest = staged(rest.join(open_keys, "key", "left_semi"), "rest")
-        if rest.isEmpty():
-            break
-        turn = F.row_number().over(Window.partitionBy("key", "class").orderBy(F.desc("seen"), "id"))
-        ranked = rest.withColumns({"turn": turn, "mates": F.count(F.lit(1)).over(Window.partitionBy("key", "class"))})
-        place = F.row_number().over(Window.partitionBy("key").orderBy("turn", "mates", "class"))
-        heads = staged(ranked.withColumn("place", place).filter(F.col("place") <= leaders).select("key", *[F.col(c).alias(f"h_{c}") for c in ("id", "size", "low", "high", "class", "place")]), "heads")
-        apart = F.lit(1 - threshold + 1e-9)
-        meet = (F.col("class") != F.col("h_class")) & fits(F.col("h_size"), F.col("size"), threshold) & (F.col("low") - F.col("h_high") <= apart) & (F.col("h_low") - F.col("high") <= apart)
-        met = rest.join(heads, "key").filter(meet).select(*ordered("id", "h_id")).distinct()
-        for earlier in tried:
-            met = met.join(earlier, ["a", "b"], "left_anti")
-        met = staged(met, "pairs")
-        tried.append(met)
-        found = staged(compared(met, sets).filter(F.col("similarity") >= threshold), "links")
-        links.append(found)
-        after = rest.join(heads.select("key", F.col("h_id").alias("id")), ["key", "id"], "left_anti")
-        if not found.isEmpty():
-            of = rest.select("id", "class").distinct()
-            joined = found.join(of.select(F.col("id").alias("a"), F.col("class").alias("p")), "a").join(of.select(F.col("id").alias("b"), F.col("class").alias("q")), "b")
-            merged = components(joined.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
-            after = after.join(merged.select(F.col("id").alias("class"), "root"), "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")
-        rest, leaders = after, leaders * 16
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
+    label = staged(components(first), "labels")
+    own_rows = rest
+    rest = rest.join(label.withColumnRenamed("root", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    mixed = rest.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most").select("key", "n")
+    # block i of a bucket meets block j >= i in cell (i, j)
+    parts = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
+    spread = rest.join(mixed, "key").select("key", F.explode(cells).alias("cell"), own.alias("own"), "id", "size", "class", "keys", "sketch")
+    met = staged(spread.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_meet(threshold), "a long, b long"), "pairs")
+    second = staged(compared(met, sets).filter(F.col("similarity") >= threshold), "links")
+    drop_staged(met, own_rows)
+    # the few links between classes merge them
+    root = lambda c, r: label.select(F.col("id").alias(c), F.col("root").alias(r))
+    between = second.join(root("a", "p"), "a", "left").join(root("b", "q"), "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))
+    merged = staged(components(between), "merged")
+    nodes = label.union(second.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left_anti").select("id", F.col("id").alias("root")))
+    return first.union(second), relabelled(nodes, merged)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) with the smallest id of each connected component, by hooking and pointer jumping."""
-    both = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id"), "labels")
-    while True:
-        root = label.select(F.col("id").alias("b"), F.col("root").alias("near"))
-        hooked = both.join(root, "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        lower = label.join(hooked, "id").select("id", F.least("root", "near").alias("mid"), F.col("root").alias("old"))
-        jump = label.select(F.col("id").alias("mid"), F.col("root").alias("far"))
-        new = staged(lower.join(jump, "mid", "left").select("id", F.least("mid", F.coalesce("far", "mid")).alias("root"), "old"), "labels")
-        drop_staged(label)
-        label = new
-        if new.filter("root <> old").isEmpty():
-            return new.select("id", "root")
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, root) with the smallest id of each connected component, by contraction.
+
+    Each round every node hooks onto its smallest neighbour, pointers are followed, and links move to the roots; links
+    within a root go, so a star leaves after a round or two and what is left shrinks by half at least.
+    """
+    label = None
+    edges = staged(links.select(*ordered("a", "b")).filter("a <> b").distinct(), "edges")
+    while label is None or not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.select("b", "a"))
+        hooked = staged(ends.groupBy("id").agg(F.least(F.min("near"), F.col("id")).alias("up")), "hooked")
+        above = hooked.select(F.col("id").alias("up"), F.col("up").alias("over"))
+        twice = hooked.join(above, "up").select("id", F.col("over").alias("up")).join(above, "up").select("id", F.col("over").alias("root"))
+        roots = staged(twice, "roots")
+        moved = edges.join(roots.select(F.col("id").alias("a"), F.col("root").alias("p")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("q")), "b")
+        following = staged(moved.select(*ordered("p", "q")).filter("a <> b").distinct(), "edges")
+        label = roots if label is None else relabelled(label, roots)
+        drop_staged(edges, hooked)
+        edges = following
+    return label
+
+
+def relabelled(label: DataFrame, roots: DataFrame) -> DataFrame:
+    """Labels (id, root) after their roots were given roots of their own."""
+    return label.join(roots.select(F.col("id").alias("root"), F.col("root").alias("over")), "root", "left").select("id", F.coalesce("over", "root").alias("root"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class), n_links of its representative, kept."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     profiles = staged(
         texts.mapInArrow(_profile(bands, rows), "doc_id long, words binary, n_shingles int, size int, bands array<long>"), "profiles"
     )
+    shaped = profiles.select("doc_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("words")).alias("words"))
     groups = staged(
-        profiles.filter("n_shingles > 0").groupBy("words").agg(F.min(F.struct("doc_id", "size", "bands")).alias("best")).select(
-            "words", F.col("best.doc_id").alias("rep"), F.col("best.size").alias("size"), F.col("best.bands").alias("bands")
+        profiles.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("words").agg(F.min(F.struct("doc_id", "size", "bands")).alias("best"), F.count(F.lit(1)).alias("copies")).select(
+            "words", "copies", F.col("best.doc_id").alias("rep"), F.col("best.size").alias("size"), F.col("best.bands").alias("bands")
         ),
         "classes",
     )
-    members = groups.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "size")
-    busy = staged(members.join(members.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"), "members")
-    wanted = busy.select(F.col("id").alias("doc_id")).distinct()
-    sets = staged(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_shingle_sets, "doc_id long, shingles binary, weights binary").dropDuplicates(["doc_id"]), "shingles")
-    links = staged(candidate_links(busy, sets, threshold).distinct(), "links")
-    drop_staged(sets)
-    drop_staged(busy)
-    roots = components(links)
+    members = groups.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "size", "words")
+    busy = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
+    busy = staged(busy, "members")
+    # of several texts under one id that of the smallest digest speaks for it
+    wanted = busy.groupBy(F.col("id").alias("doc_id")).agg(F.min("words").alias("words"), (F.max("n") > small).alias("wide"))
+    sets = staged(texts.join(wanted, "doc_id").mapInArrow(_shingle_sets, "doc_id long, shingles binary, weights binary, sketch binary").dropDuplicates(["doc_id"]), "shingles")
+    spoken = wanted.select(F.col("doc_id").alias("id"), "words")
+    links, roots = candidate_links(busy.join(spoken, ["id", "words"], "left_semi").drop("words"), sets, threshold, small, block=block)
+    links, roots = links.select("a", "b").distinct(), staged(roots, "classes")
+    drop_staged(sets, busy)
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").count()
     reps = staged(
-        groups.select("words", "rep")
+        groups.select("words", "copies", "rep")
         .join(roots.withColumnRenamed("id", "rep"), "rep", "left")
         .join(degree, "rep", "left")
-        .select("words", F.coalesce("root", "rep").alias("class_id"), F.coalesce("count", F.lit(0)).cast("long").alias("n_links")),
+        .select("words", "copies", F.coalesce("root", "rep").alias("class_id"), F.coalesce("count", F.lit(0)).cast("long").alias("n_links")),
         "representatives",
     )
-    shaped = profiles.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("words")).alias("words"))
-    return shaped.filter("words is not null").join(reps, "words").select("doc_id", "class_id", "n_links").union(
+    placed = hot_join(shaped.filter("words is not null"), reps, "words", "copies", profiles.count(), F.col("doc_id"))
+    return placed.select("doc_id", "class_id", "n_links").union(
         shaped.filter("words is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    ).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
