@@ -29,77 +29,159 @@ class Versions:
     embedding: str = "none"
 
 
-# Language by extension, by language.
-LANGUAGE_EXTENSIONS = {
-    "typescript": "ts tsx mts cts",
-    "javascript": "js jsx mjs cjs",
+# Language by extension.
+LANGUAGE_BY_EXTENSION = {
+    "ts": "typescript",
+    "tsx": "typescript",
+    "mts": "typescript",
+    "cts": "typescript",
+    "js": "javascript",
+    "jsx": "javascript",
+    "mjs": "javascript",
+    "cjs": "javascript",
     "php": "php",
-    "python": "py pyi",
-    "ruby": "rb",
+    "py": "python",
+    "pyi": "python",
+    "rb": "ruby",
     "go": "go",
-    "rust": "rs",
+    "rs": "rust",
     "java": "java",
-    "kotlin": "kt",
-    "csharp": "cs",
+    "kt": "kotlin",
+    "cs": "csharp",
     "swift": "swift",
-    "c": "c h",
-    "cpp": "cpp cc hpp",
-    "shell": "sh bash zsh",
-    "powershell": "ps1",
+    "c": "c",
+    "h": "c",
+    "cpp": "cpp",
+    "cc": "cpp",
+    "hpp": "cpp",
+    "sh": "shell",
+    "bash": "shell",
+    "zsh": "shell",
+    "ps1": "powershell",
     "sql": "sql",
-    "graphql": "graphql gql",
+    "graphql": "graphql",
+    "gql": "graphql",
     "css": "css",
-    "scss": "scss sass",
+    "scss": "scss",
+    "sass": "scss",
     "less": "less",
     "html": "html",
     "vue": "vue",
     "svelte": "svelte",
-    "json": "json jsonc",
-    "yaml": "yml yaml",
+    "json": "json",
+    "jsonc": "json",
+    "yml": "yaml",
+    "yaml": "yaml",
     "toml": "toml",
     "ini": "ini",
     "xml": "xml",
-    "markdown": "md mdx",
-    "restructuredtext": "rst",
-    "text": "txt",
+    "md": "markdown",
+    "mdx": "markdown",
+    "rst": "restructuredtext",
+    "txt": "text",
 }
-LANGUAGE_BY_EXTENSION = {ext: lang for lang, exts in LANGUAGE_EXTENSIONS.items() for ext in exts.split()}
+
 # Language by exact name.
-LANGUAGE_BY_NAME = {"Dockerfile": "dockerfile", "Makefile": "makefile", "Procfile": "text", ".env.example": "dotenv"}
-
-# Directories that are never walked, by (category, message).
-_DIRECTORIES = {
-    ("dependencies", "Installed dependency directory."): "node_modules vendor bower_components",
-    ("vcs", "Version control metadata."): ".git .hg .svn",
-    ("generated", "Build output directory."): "dist build out",
-    ("generated", "Framework build output."): ".next .nuxt",
-    ("cache", "Task runner cache."): ".turbo",
-    ("cache", "Cache directory."): ".cache",
-    ("cache", "Python bytecode cache."): "__pycache__",
-    ("cache", "Test runner cache."): ".pytest_cache",
-    ("cache", "Build tool cache."): ".gradle",
-    ("generated", "Coverage report output."): "coverage",
-    ("dependencies", "Python virtual environment."): ".venv venv",
-    ("tooling", "Agent tool metadata."): ".claude",
-    ("tooling", "Editor tool metadata."): ".cursor .idea",
+LANGUAGE_BY_NAME = {
+    "Dockerfile": "dockerfile",
+    "Makefile": "makefile",
+    "Procfile": "text",
+    ".env.example": "dotenv",
+}
+
+# Directories that are never walked, with category and message.
+EXCLUDED_DIRECTORIES = {
+    "node_modules": ("dependencies", "Installed dependency directory."),
+    "vendor": ("dependencies", "Installed dependency directory."),
+    "bower_components": ("dependencies", "Installed dependency directory."),
+    ".git": ("vcs", "Version control metadata."),
+    ".hg": ("vcs", "Version control metadata."),
+    ".svn": ("vcs", "Version control metadata."),
+    "dist": ("generated", "Build output directory."),
+    "build": ("generated", "Build output directory."),
+    "out": ("generated", "Build output directory."),
+    ".next": ("generated", "Framework build output."),
+    ".nuxt": ("generated", "Framework build output."),
+    ".turbo": ("cache", "Task runner cache."),
+    ".cache": ("cache", "Cache directory."),
+    "__pycache__": ("cache", "Python bytecode cache."),
+    ".pytest_cache": ("cache", "Test runner cache."),
+    ".gradle": ("cache", "Build tool cache."),
+    "coverage": ("generated", "Coverage report output."),
+    ".venv": ("dependencies", "Python virtual environment."),
+    "venv": ("dependencies", "Python virtual environment."),
+    ".claude": ("tooling", "Agent tool metadata."),
+    ".cursor": ("tooling", "Editor tool metadata."),
+    ".idea": ("tooling", "Editor tool metadata."),
 }
-EXCLUDED_DIRECTORIES = {name: reason for reason, names in _DIRECTORIES.items() for name in names.split()}
-
-# Extensions that are no evidence, by (category, message).
-_EXTENSIONS = {
-    ("media", "Image file."): "png jpg jpeg gif webp avif bmp tiff ico icns svg",
-    ("media", "Audio or video file."): "mp4 mov avi mkv webm mp3 wav flac ogg m4a",
-    ("media", "Font file."): "woff woff2 ttf otf eot",
-    ("binary", "Archive file."): "zip tar gz bz2 xz 7z rar",
-    ("binary", "Compiled binary."): "exe dll so dylib bin o a class jar wasm node",
-    ("binary", "Binary document format."): "pdf docx xlsx pptx",
-    ("binary", "Database file."): "sqlite sqlite3 db mdb",
-    ("generated", "Compiled Python bytecode."): "pyc pyo",
-    ("generated", "Dependency lockfile."): "lock",
-    ("generated", "Source map."): "map",
-    ("secret-bearing", "Key or certificate file."): "pem key p12 pfx crt cer keystore jks",
+
+# Extensions that are no evidence, with category and message.
+EXCLUDED_EXTENSIONS = {
+    "png": ("media", "Image file."),
+    "jpg": ("media", "Image file."),
+    "jpeg": ("media", "Image file."),
+    "gif": ("media", "Image file."),
+    "webp": ("media", "Image file."),
+    "avif": ("media", "Image file."),
+    "bmp": ("media", "Image file."),
+    "tiff": ("media", "Image file."),
+    "ico": ("media", "Image file."),
+    "icns": ("media", "Image file."),
+    "svg": ("media", "Image file."),
+    "mp4": ("media", "Audio or video file."),
+    "mov": ("media", "Audio or video file."),
+    "avi": ("media", "Audio or video file."),
+    "mkv": ("media", "Audio or video file."),
+    "webm": ("media", "Audio or video file."),
+    "mp3": ("media", "Audio or video file."),
+    "wav": ("media", "Audio or video file."),
+    "flac": ("media", "Audio or video file."),
+    "ogg": ("media", "Audio or video file."),
+    "m4a": ("media", "Audio or video file."),
+    "woff": ("media", "Font file."),
+    "woff2": ("media", "Font file."),
+    "ttf": ("media", "Font file."),
+    "otf": ("media", "Font file."),
+    "eot": ("media", "Font file."),
+    "zip": ("binary", "Archive file."),
+    "tar": ("binary", "Archive file."),
+    "gz": ("binary", "Archive file."),
+    "bz2": ("binary", "Archive file."),
+    "xz": ("binary", "Archive file."),
+    "7z": ("binary", "Archive file."),
+    "rar": ("binary", "Archive file."),
+    "exe": ("binary", "Compiled binary."),
+    "dll": ("binary", "Compiled binary."),
+    "so": ("binary", "Compiled binary."),
+    "dylib": ("binary", "Compiled binary."),
+    "bin": ("binary", "Compiled binary."),
+    "o": ("binary", "Compiled binary."),
+    "a": ("binary", "Compiled binary."),
+    "class": ("binary", "Compiled binary."),
+    "jar": ("binary", "Compiled binary."),
+    "wasm": ("binary", "Compiled binary."),
+    "node": ("binary", "Compiled binary."),
+    "pdf": ("binary", "Binary document format."),
+    "docx": ("binary", "Binary document format."),
+    "xlsx": ("binary", "Binary document format."),
+    "pptx": ("binary", "Binary document format."),
+    "sqlite": ("binary", "Database file."),
+    "sqlite3": ("binary", "Database file."),
+    "db": ("binary", "Database file."),
+    "mdb": ("binary", "Database file."),
+    "pyc": ("generated", "Compiled Python bytecode."),
+    "pyo": ("generated", "Compiled Python bytecode."),
+    "lock": ("generated", "Dependency lockfile."),
+    "map": ("generated", "Source map."),
+    "pem": ("secret-bearing", "Key or certificate file."),
+    "key": ("secret-bearing", "Key or certificate file."),
+    "p12": ("secret-bearing", "Key or certificate file."),
+    "pfx": ("secret-bearing", "Key or certificate file."),
+    "crt": ("secret-bearing", "Key or certificate file."),
+    "cer": ("secret-bearing", "Key or certificate file."),
+    "keystore": ("secret-bearing", "Key or certificate file."),
+    "jks": ("secret-bearing", "Key or certificate file."),
 }
-EXCLUDED_EXTENSIONS = {ext: reason for reason, exts in _EXTENSIONS.items() for ext in exts.split()}
 
 # Names that commonly carry credentials.
 EXCLUDED_NAMES = {
@@ -121,9 +203,64 @@ MINIFIED_LINE_LENGTH = 2000
 BINARY_SAMPLE = 8192
 
 # Words that carry no search meaning.
-STOP_WORDS = tuple(
-    "a an the is are was were be been being do does did doing have has had can could will would should what where when why how who which "
-    "this that these those i we you it and or but if then else for to of in on at by with from about into our me my".split()
+STOP_WORDS = (
+    "a",
+    "an",
+    "the",
+    "is",
+    "are",
+    "was",
+    "were",
+    "be",
+    "been",
+    "being",
+    "do",
+    "does",
+    "did",
+    "doing",
+    "have",
+    "has",
+    "had",
+    "can",
+    "could",
+    "will",
+    "would",
+    "should",
+    "what",
+    "where",
+    "when",
+    "why",
+    "how",
+    "who",
+    "which",
+    "this",
+    "that",
+    "these",
+    "those",
+    "i",
+    "we",
+    "you",
+    "it",
+    "and",
+    "or",
+    "but",
+    "if",
+    "then",
+    "else",
+    "for",
+    "to",
+    "of",
+    "in",
+    "on",
+    "at",
+    "by",
+    "with",
+    "from",
+    "about",
+    "into",
+    "our",
+    "me",
+    "my",
 )
 #: White space as the source text's language has it (Java's own class is ASCII only).
 SPACE_CHARS = "\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
