@@ -1,16 +1,15 @@
 """Layered ignore rules as a last-match join.
 
 Rules are few and compiled by a small helper; matching is an equi-join of a path's ancestor directories with the
-rules' base directories, and the deciding rule is a ``max_by`` over (depth, file order, line).
+rules' base directories and a regular expression from the rule's own column, all in the JVM; the deciding rule is a
+``max_by`` over (depth, file order, line).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, basename_posix, dirname_posix, path_segments
@@ -20,7 +19,7 @@ RULE = "struct<compiled:boolean,negated:boolean,directory_only:boolean,regex:str
 
 
 def glob_pattern(glob: str) -> str:
-    """A regular expression (Python dialect) for one glob."""
+    """A regular expression for one glob, in what the dialects of Python and Java share."""
     tokens = re.compile(r"\\(?P<esc>.)|(?P<slash>\\$)|(?P<stars>\*\*)|(?P<star>\*)|(?P<one>\?)|(?P<set>\[!?\]?(?:\\.|[^\]\\])*\])|(?P<lit>.)", re.S)
     out, at = [], 0
     while at < len(glob):
@@ -48,26 +47,20 @@ def glob_pattern(glob: str) -> str:
     return "".join(out)
 
 
+#: A rule line: marks around a glob, in which a backslash shields the character behind it (but no slash) from being trimmed.
+RULE_LINE = re.compile(r"(?P<negated>!?)(?P<root>/?)(?P<glob>(?:\\[^/]|\\(?=/|\Z)|[^\\])*?)(?P<dirs>/?)[ \t]*", re.S)
+
+
 def compile_rule(line: str) -> tuple[bool, bool, str] | None:
     """(negated, directory_only, regex) or nothing; raises ``re.error`` for an invalid class."""
-    line = line.removesuffix("\r")
-    stripped = line.rstrip(" \t")
-    backslashes = len(stripped) - len(stripped.rstrip("\\"))
-    line = line[: len(stripped) + 1] if backslashes % 2 and len(line) > len(stripped) else stripped
-    if not line or line.startswith("#"):
+    part = RULE_LINE.fullmatch(line.removesuffix("\r"))
+    glob = part["glob"]
+    if line.startswith("#") or not (glob or part["root"] and part["dirs"]):
         return None
-    negated = line.startswith("!")
-    if negated or line.startswith(("\\#", "\\!")):
-        line = line[1:]
-    directory_only = line.endswith("/")
-    line = line[:-1] if directory_only else line
-    if not line:
-        return None
-    rooted = line.startswith("/")
-    anchored = rooted or ("/" in line and not line.startswith("**/"))
-    pattern = ("" if anchored else "(?:.*/)?") + glob_pattern(line[rooted:])
+    anywhere = not part["root"] and ("/" not in glob or glob.startswith("**/"))
+    pattern = "(?:.*/)?" * anywhere + glob_pattern(glob)
     re.compile(pattern)
-    return negated, directory_only, pattern
+    return bool(part["negated"]), bool(part["dirs"]), pattern
 
 
 def _compile(lines: pd.Series) -> pd.DataFrame:
@@ -102,11 +95,10 @@ def load_ignore_files(files: DataFrame, options: DiscoveryOptions = DiscoveryOpt
     )
 
 
-def _matches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    patterns: dict[str, re.Pattern] = {}
-    for frame in frames:
-        keep = [bool(patterns.setdefault(r, re.compile(r)).fullmatch(s)) for r, s in zip(frame["regex"], frame["scoped"], strict=True)]
-        yield frame[keep]
+def scope_to_base(base: Column, path: Column) -> Column:
+    """The path relative to a directory; null outside it. The root, '', holds every path."""
+    inside = F.startswith(path, F.concat(base, F.lit("/")))
+    return F.when(base == "", path).when(inside, F.substring(path, F.length(base) + 2, F.length(path)))
 
 
 def decide(paths: DataFrame, rules: DataFrame) -> DataFrame:
@@ -117,10 +109,9 @@ def decide(paths: DataFrame, rules: DataFrame) -> DataFrame:
     usable = rules.filter("not invalid").select("repository_id", "base_dir", "origin", "origin_order", "line_no", "line", "negated", "directory_only", "regex")
     bases = F.concat(F.array(F.lit("")), ancestors(F.col("relative_path")))
     spread = paths.select("repository_id", "relative_path", "is_dir", F.explode(bases).alias("base_dir"))
-    pairs = spread.join(usable, ["repository_id", "base_dir"]).filter(~F.col("directory_only") | F.col("is_dir")).withColumn(
-        "scoped", F.when(F.col("base_dir") == "", F.col("relative_path")).otherwise(F.substring("relative_path", F.length("base_dir") + 2, F.length("relative_path")))
-    )
-    hits = pairs.mapInPandas(_matches, pairs.schema)
+    scoped = scope_to_base(F.col("base_dir"), F.col("relative_path"))
+    whole = F.concat(F.lit("(?s)^(?:"), F.col("regex"), F.lit(r")\z"))
+    hits = spread.join(usable, ["repository_id", "base_dir"]).filter((~F.col("directory_only") | F.col("is_dir")) & F.regexp_like(scoped, whole))
     place = F.struct(F.size(path_segments(F.col("base_dir"))), "origin_order", "line_no")
     verdict = hits.groupBy("repository_id", "relative_path", "is_dir").agg(F.max_by(F.struct("negated", "line", "origin"), place).alias("v"))
     return paths.join(verdict, ["repository_id", "relative_path", "is_dir"], "left").select(
