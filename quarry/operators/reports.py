@@ -15,12 +15,13 @@ def indexed_by_language(indexed: DataFrame) -> DataFrame:
 
 
 def corpus_summary(files: DataFrame, totals: DataFrame) -> DataFrame:
-    """One row per repository from file statuses and per-file chunk totals."""
+    """One row per repository from file statuses (``truncated`` where the listing was cut) and per-file chunk totals."""
     joined = files.join(totals, ["repository_id", "relative_path"], "left")
     count = lambda status: F.count_if(F.col("status") == status)
     return joined.groupBy("repository_id").agg(
         count("indexed").alias("indexed"), count("skipped").alias("skipped"), count("binary").alias("unreadable"), count("minified").alias("minified"),
         F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+        F.max(F.col("truncated").isNotNull()).alias("truncated"),
     )
 
 
@@ -34,7 +35,7 @@ def sample_rows(rows: DataFrame, n: int = 15) -> DataFrame:
 
 def coverage(dispositions: DataFrame) -> DataFrame:
     """Files seen, indexed and excluded by reason; ``complete`` only where nothing was cut off."""
-    per = dispositions.groupBy("repository_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("truncated", F.lit(False))).alias("cut"))
+    per = dispositions.groupBy("repository_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("truncated").isNotNull()).alias("cut"))
     return per.groupBy("repository_id").agg(
         F.sum("n").alias("seen"), F.sum(F.when(F.col("reason").isNull(), F.col("n")).otherwise(0)).alias("indexed"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n")))), lambda x: F.concat_ws("=", x["reason"], x["n"].cast("string"))), ";").alias("excluded"),

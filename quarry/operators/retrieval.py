@@ -1,4 +1,8 @@
-"""Scoped retrieval: term index, exact, lexical and vector search, fusion, evidence packs.
+"""Scoped retrieval: a stored term index, exact, lexical and vector search, fusion, evidence packs.
+
+The index is written once per generation and read by every search: postings bucketed and sorted by term, one row per term
+and chunk with the frequency in each field, and one row per chunk with its lengths. A search filters the postings by the
+terms that are asked for before anything is joined or counted.
 
 Parameters that no source fixes are this library's: k1 = 1.2, b = 0.75, field weights 2 : 1, fusion constant 60,
 documentation penalty 0.5, evidence budget 10,000 tokens and 12 items.
@@ -6,18 +10,22 @@ documentation penalty 0.5, evidence budget 10,000 tokens and 12 items.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import path_segments
 from ..functions.text import build_split_form, query_terms
+from ..session import staged
 
 K1, B, ORIGINAL_WEIGHT, SPLIT_WEIGHT, FUSION = 1.2, 0.75, 2.0, 1.0, 60
-#: Query tables up to this many rows are broadcast; larger ones are joined by shuffle.
-SMALL_QUERIES = 20_000
+#: Bytes of the cosine matrix of a block of queries and a tile of vectors; queries of a block, about.
+TILE_BYTES, QUERY_BLOCK = 1 << 25, 4_096
 
 
 def scope_chunks(chunks: DataFrame, generations: DataFrame, repository_id: str, generation_id: str) -> DataFrame:
@@ -27,15 +35,49 @@ def scope_chunks(chunks: DataFrame, generations: DataFrame, repository_id: str,
     return scoped.join(wanted, ["repository_id", "generation_id"], "left_semi")
 
 
-def build_term_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (term, chunk_id, field, tf), chunk lengths (chunk_id, field, length), document counts (term, df)."""
+@dataclass(frozen=True)
+class TermIndex:
+    """Postings (term, chunk_id, original, split, path: frequencies by field) and lengths (chunk_id, original, split)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def build_term_index(chunks: DataFrame) -> TermIndex:
+    """Terms of (chunk_id, relative_path, text): identifiers as written, their split forms, and path segments."""
     original = F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)), F.lower)
     split = F.filter(F.split(build_split_form(F.col("text")), " "), lambda w: w != "")
-    fields = chunks.select("chunk_id", F.explode(F.array(F.struct(F.lit("original").alias("field"), original.alias("terms")), F.struct(F.lit("split").alias("field"), split.alias("terms")))).alias("f")).select("chunk_id", "f.*")
-    lengths = fields.select("chunk_id", "field", F.size("terms").alias("length"))
-    postings = fields.select("chunk_id", "field", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "field").agg(F.count(F.lit(1)).alias("tf"))
-    counts = postings.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
-    return postings, lengths, counts
+    path = F.transform(path_segments(F.col("relative_path")), F.lower)
+    fields = chunks.select("chunk_id", original.alias("o"), split.alias("s"), path.alias("p"))
+    tagged = lambda c, name: F.transform(c, lambda w: F.struct(F.lit(name).alias("field"), w.alias("term")))
+    terms = fields.select("chunk_id", F.explode(F.concat(tagged("o", "o"), tagged("s", "s"), tagged("p", "p"))).alias("t")).select("chunk_id", "t.*")
+    count = lambda field: F.count_if(F.col("field") == field)
+    postings = terms.groupBy("term", "chunk_id").agg(count("o").alias("original"), count("s").alias("split"), count("p").alias("path"))
+    return TermIndex(postings, fields.select("chunk_id", F.size("o").alias("original"), F.size("s").alias("split")))
+
+
+def write_term_index(index: TermIndex, path: str, buckets: int) -> None:
+    """Store an index under ``path``; postings are bucketed and sorted by term, so a search joins them without a shuffle of theirs."""
+    name = _table_of(path)
+    index.postings.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    index.postings.repartition(buckets, "term").write.bucketBy(buckets, "term").sortBy("term").option("path", f"{path}/postings").saveAsTable(name)
+    index.lengths.write.parquet(f"{path}/lengths")
+
+
+def read_term_index(spark: SparkSession, path: str) -> TermIndex:
+    return TermIndex(spark.table(_table_of(path)), spark.read.parquet(f"{path}/lengths"))
+
+
+def _table_of(path: str) -> str:
+    return "term_index_" + hashlib.md5(path.encode()).hexdigest()[:16]
+
+
+def term_statistics(index: TermIndex) -> DataFrame:
+    """(term, field, tf, n, df): uses and chunks of each term by field, and the chunks that have it in the text."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tf")) for f in ("original", "split", "path")])
+    rows = index.postings.select("term", "chunk_id", F.explode(fields).alias("f"), (F.col("original") + F.col("split") > 0).alias("in_text")).select("term", "f.*", "in_text")
+    grouped = rows.groupBy("term", "field").agg(F.sum("tf").alias("tf"), F.count_if(F.col("tf") > 0).alias("n"), F.count_if("in_text").alias("df"))
+    return grouped.filter("n > 0")
 
 
 def terms_of(questions: DataFrame) -> DataFrame:
@@ -48,67 +90,91 @@ def _ranked(scored: DataFrame, score: str, k: int) -> DataFrame:
     return scored.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def search_exact(questions: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """Chunks with an exact identifier of the question: most distinct terms first."""
-    hits = postings.filter("field = 'original'").join(terms_of(questions), "term").groupBy("query_id", "chunk_id").agg(F.countDistinct("term").alias("score"))
-    return _ranked(hits, "score", k)
+def asked_postings(asked: DataFrame, index: TermIndex) -> DataFrame:
+    """Postings of the terms of (query_id, term) rows alone. The terms are stored first, so Spark knows their size and broadcasts few of them."""
+    terms = staged(asked.select("term").distinct(), "asked-terms")
+    return staged(index.postings.join(terms, "term", "left_semi"), "asked-postings")
+
 
+def search_exact(questions: DataFrame, index: TermIndex, k: int) -> DataFrame:
+    """Chunks with an exact identifier or path segment of the question: most distinct terms first."""
+    asked = terms_of(questions)
+    hits = asked_postings(asked, index).filter("original + path > 0").select("term", "chunk_id").join(asked, "term")
+    return _ranked(hits.groupBy("query_id", "chunk_id").agg(F.countDistinct("term").alias("score")), "score", k)
 
-def search_bm25(questions: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int, k1: float = K1, b: float = B, original: float = ORIGINAL_WEIGHT, split: float = SPLIT_WEIGHT) -> DataFrame:
+
+def search_bm25(questions: DataFrame, index: TermIndex, k: int, k1: float = K1, b: float = B, original: float = ORIGINAL_WEIGHT, split: float = SPLIT_WEIGHT) -> DataFrame:
     """BM25 over two weighted fields."""
-    postings, lengths, counts = index
-    stats = lengths.groupBy("field").agg(F.avg("length").alias("mean_length"), F.countDistinct("chunk_id").alias("n"))
-    weight = F.when(F.col("field") == "original", original).otherwise(split)
+    asked = staged(terms_of(questions), "asked")
+    found = asked_postings(asked, index).filter("original + split > 0")
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("original").alias("mean_original"), F.avg("split").alias("mean_split"))
+    sizes = index.lengths.select("chunk_id", F.col("original").alias("length_original"), F.col("split").alias("length_split"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest("mean_length", F.lit(1e-9)))
-    hits = postings.join(terms_of(questions), "term").join(counts, "term").join(lengths, ["chunk_id", "field"]).join(F.broadcast(stats), "field")
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight * idf * F.col("tf") * (k1 + 1) / norm), 9).alias("score"))
+
+    def part(field: str, weight: float) -> Column:
+        norm = F.col(field) + k1 * (1 - b + b * F.col(f"length_{field}") / F.greatest(f"mean_{field}", F.lit(1e-9)))
+        return F.when(F.col(field) > 0, weight * idf * F.col(field) * (k1 + 1) / norm).otherwise(0.0)
+
+    hits = found.join(counts, "term").join(sizes, "chunk_id").join(F.broadcast(stats)).select("term", "chunk_id", (part("original", original) + part("split", split)).alias("part"))
+    scored = hits.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
     return _ranked(scored, "score", k)
 
 
 def search_semantic(queries: DataFrame, embeddings: DataFrame, k: int) -> DataFrame:
     """Top k by cosine among vectors of the same model version and dimension, by blocked exact scan.
 
-    ``queries`` has query_id, model_version, vector; ``embeddings`` chunk_id, model_version, vector. Each task keeps
-    its own top k per query, so at most k rows a query and task are shuffled. Queries are counted first; a table
-    beyond ``SMALL_QUERIES`` is worked off in blocks of that size.
+    ``queries`` has query_id, model_version, vector; ``embeddings`` chunk_id, model_version, vector. Queries are stored in
+    numbered blocks of ``QUERY_BLOCK``; one block after another is broadcast and scanned against all vectors. A task keeps its
+    own top k of every query over all its vectors, a tile at a time, so it holds a block and a tile and hands on k rows a query.
     """
     spark = queries.sparkSession
-    place = F.floor((F.row_number().over(Window.partitionBy("model_version").orderBy("query_id")) - 1) / SMALL_QUERIES)
-    blocks, total = [], queries.count()
-    numbered = queries.withColumn("block", place if total > SMALL_QUERIES else F.lit(0))
-    for block in range(total // SMALL_QUERIES + 1):
-        rows = numbered.filter(F.col("block") == block).select("query_id", "model_version", "vector").collect()
+    place = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id"))
+    numbered = queries.select("query_id", "model_version", "vector", F.floor((place - 1) * 64 / QUERY_BLOCK).alias("block"))
+    numbered = staged(numbered, "queries")
+    last = numbered.agg(F.max("block")).first()[0]
+    found = None
+    for block in range((last if last is not None else 0) + 1):
         by_kind: dict[tuple[str, int], tuple[list, list]] = {}
-        for r in rows:
+        for r in numbered.filter(F.col("block") == block).collect():
             ids, vectors = by_kind.setdefault((r.model_version, len(r.vector)), ([], []))
             ids.append(r.query_id)
             vectors.append(r.vector)
         shared = spark.sparkContext.broadcast({key: (np.array(i), _unit(np.array(v, float))) for key, (i, v) in by_kind.items()})
-        local = embeddings.select("chunk_id", "model_version", "vector").mapInPandas(_scan(shared, k), "query_id long, chunk_id long, cosine double")
-        blocks.append(local)
-    found = blocks[0]
-    for more in blocks[1:]:
-        found = found.union(more)
-    return _ranked(found.withColumn("cosine", F.round("cosine", 6)), "cosine", k)
+        part = embeddings.select("chunk_id", "model_version", "vector").mapInPandas(_scan(shared, k), "query_id long, chunk_id long, cosine double")
+        found = part if found is None else found.union(part)
+    return _ranked(found, "cosine", k)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
+def _best(cosine: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest of every row, ties by smallest id."""
+    order = np.lexsort((chunk, -cosine), axis=1)[:, :k]
+    return np.take_along_axis(cosine, order, axis=1), np.take_along_axis(chunk, order, axis=1)
+
+
 def _scan(shared, k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
         for frame in frames:
             sizes = frame["vector"].map(len)
-            for (version, width), part in frame.groupby([frame["model_version"], sizes]):
-                if (version, width) not in shared.value:
+            for kind, part in frame.groupby([frame["model_version"], sizes]):
+                if kind not in shared.value:
                     continue
-                ids, queries = shared.value[(version, width)]
-                cosine = queries @ _unit(np.stack(part["vector"].to_numpy()).astype(float)).T
-                chunk = part["chunk_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(chunk, cosine.shape), -np.round(cosine, 6)), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "chunk_id": chunk[order].ravel(), "cosine": np.take_along_axis(cosine, order, axis=1).ravel()})
+                _, queries = shared.value[kind]
+                vectors, chunk = _unit(np.stack(part["vector"].to_numpy()).astype(float)), part["chunk_id"].to_numpy()
+                tile = max(k, TILE_BYTES // (8 * len(queries)))
+                for lo in range(0, len(chunk), tile):
+                    cosine = np.round(queries @ vectors[lo : lo + tile].T, 6)
+                    ids = np.broadcast_to(chunk[lo : lo + tile], cosine.shape)
+                    held = best.get(kind)
+                    best[kind] = _best(cosine, ids, k) if held is None else _best(np.hstack([held[0], cosine]), np.hstack([held[1], ids]), k)
+        for kind, (cosine, ids) in best.items():
+            asked = np.repeat(shared.value[kind][0], cosine.shape[1])
+            yield pd.DataFrame({"query_id": asked, "chunk_id": ids.ravel(), "cosine": cosine.ravel()})
 
     return run
 
@@ -162,9 +228,18 @@ def build_evidence_pack(ranked: DataFrame, chunks: DataFrame, token_budget: int
     return summed.filter((F.col("tokens_used") <= token_budget) & (F.col("place") <= max_items)).select("query_id", "chunk_id", "rank", "estimated_tokens", "tokens_used")
 
 
-def assign_source_ids(items: DataFrame) -> DataFrame:
-    """Request-local ids S1, S2, ... in rank order."""
-    return items.withColumn("source_id", F.concat(F.lit("S"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("string")))
+def packs(items: DataFrame, token_budget: int = 10_000) -> DataFrame:
+    """One row per query: its items in order (rank, chunk_id, estimated_tokens), how many tokens they use, and the budget."""
+    return items.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "estimated_tokens"))).alias("items"), F.sum("estimated_tokens").alias("tokens_used"), F.lit(token_budget).alias("token_budget")
+    )
+
+
+def assign_source_ids(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Request-local ids S1, S2, ... in rank order, with what a source must tell: path, lines, language, file hash, generation."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    told = chunks.select("chunk_id", "repository_id", "generation_id", "relative_path", "start_line", "end_line", "language", "file_hash")
+    return items.withColumn("source_id", F.concat(F.lit("S"), place.cast("string"))).join(told, "chunk_id")
 
 
 def validate_citations(answers: DataFrame, items: DataFrame) -> DataFrame:

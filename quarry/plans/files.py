@@ -9,7 +9,7 @@ from .. import options as O
 from ..functions import paths as PA
 from ..functions import policy as PO
 from ..functions import text as TX
-from ..operators import chunking, discovery, ignore
+from ..operators import chunking, discovery, ignore, secrets
 from .registry import query, table
 
 EXTENSIONS = (".md", ".ts", ".py", ".php", ".min.js", ".lock", ".png", ".qqq", ".json", ".env.local")
@@ -27,6 +27,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("source").alias("repository_id"), path.alias("relative_path"), "text")
 
 
+def safe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files with their size and with secrets redacted, as every later step reads them."""
+    size = F.octet_length("text").cast("long").alias("size_bytes")
+    return files(spark, sf_dir).select("doc_id", "repository_id", "relative_path", size, secrets.redact_secrets(F.col("text")).alias("text"))
+
+
 def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with mixed line ends and byte-order marks."""
     n = F.col("doc_id")
@@ -42,6 +48,16 @@ def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILES = "(SELECT doc_id, source AS repository_id, 'docs/' || lang || '/' || doc_id || ([" + ",".join(f"'{e}'" for e in EXTENSIONS) + f"])[doc_id % {len(EXTENSIONS)} + 1] AS relative_path, text FROM documents)"
+RULE_SQL = {
+    "assignment": (r"(?i)\b(password|passwd|secret|token|api_key|apikey|access_key)(\s?[=:]\s?)(\"[^\"\r\n]{8,}\"|''[^''\r\n]{8,}''|[A-Za-z0-9_./+-]{8,})", r"\1\2[REDACTED]"),
+    "cloud-key": (r"\b(AKIA|ASIA)[A-Z0-9]{16}\b", "[REDACTED]"),
+    "vcs-token": (r"\b(ghp|gho|ghs|github_pat|glpat)[_-][A-Za-z0-9_-]{16,}\b", "[REDACTED]"),
+    "bearer": (r"(?i)\bbearer [A-Za-z0-9._~+/-]{16,}=*", "Bearer [REDACTED]"),
+}
+REDACTED = "text"
+for _pattern, _new in RULE_SQL.values():
+    REDACTED = f"regexp_replace({REDACTED}, '{_pattern}', '{_new}', 'g')"
+SAFE = f"(SELECT doc_id, repository_id, relative_path, strlen(text)::BIGINT AS size_bytes, {REDACTED} AS text FROM {FILES})"
 BROKEN = (
     "(SELECT doc_id, repository_id, relative_path, CASE WHEN doc_id % 5 = 0 THEN chr(65279) ELSE '' END || CASE doc_id % 3 WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10)) "
     f"WHEN 2 THEN replace(text, '. ', '.' || chr(13)) ELSE text || chr(10) END AS text FROM {FILES})"
@@ -188,7 +204,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 17 == 7, F.concat(F.lit("build1/"), F.col("relative_path")))
         .otherwise(F.col("relative_path"))
     )
-    rows = base.select("repository_id", path.alias("relative_path"), F.when(n % 19 == 2, "symlink").otherwise("file").alias("entry_type"), F.octet_length("text").cast("long").alias("size_bytes"), F.lit(None).cast("string").alias("text"))
+    rows = base.select("repository_id", path.alias("relative_path"), F.when(n % 19 == 2, "symlink").otherwise("file").alias("entry_type"), F.octet_length("text").cast("long").alias("size_bytes"), "text")
     dirs = rows.select("repository_id", F.explode(PA.ancestors(F.col("relative_path"))).alias("relative_path")).distinct()
     dirs = dirs.select("*", F.lit("dir").alias("entry_type"), F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("string").alias("text"))
     repos = base.select("repository_id").distinct()
@@ -196,6 +212,9 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(".gitignore").alias("p"), F.lit("file").alias("e"), F.lit(ROOT_RULES).alias("t")),
         F.struct(F.lit("docs/de/.gitignore").alias("p"), F.lit("file").alias("e"), F.lit(DE_RULES).alias("t")),
         F.struct(F.lit("pkg/.git").alias("p"), F.lit("dir").alias("e"), F.lit(None).cast("string").alias("t")),
+        F.struct(F.lit("locked").alias("p"), F.lit("dir").alias("e"), F.lit(None).cast("string").alias("t")),
+        F.struct(F.lit("locked").alias("p"), F.lit("unreadable").alias("e"), F.lit(None).cast("string").alias("t")),
+        F.struct(F.lit("node_modules/deep").alias("p"), F.lit("unreadable").alias("e"), F.lit(None).cast("string").alias("t")),
     )).alias("x")).filter((F.col("x.p") != "pkg/.git") | F.col("repository_id").isin("src1", "src2"))
     return rows.unionByName(dirs).unionByName(extra.select("repository_id", F.col("x.p").alias("relative_path"), F.col("x.e").alias("entry_type"), F.octet_length("x.t").cast("long").alias("size_bytes"), F.col("x.t").alias("text")))
 
@@ -208,7 +227,7 @@ LISTING = f"""
 base AS (SELECT * FROM {FILES}),
 lrows AS (
   SELECT repository_id, CASE doc_id % 17 WHEN 3 THEN 'node_modules/m' || doc_id || '.ts' WHEN 5 THEN 'pkg/' || relative_path WHEN 7 THEN 'build1/' || relative_path ELSE relative_path END AS relative_path,
-         CASE WHEN doc_id % 19 = 2 THEN 'symlink' ELSE 'file' END AS entry_type, strlen(text)::BIGINT AS size_bytes FROM base),
+         CASE WHEN doc_id % 19 = 2 THEN 'symlink' ELSE 'file' END AS entry_type, strlen(text)::BIGINT AS size_bytes, text FROM base),
 ldirs AS (
   SELECT DISTINCT repository_id, array_to_string(string_split(relative_path, '/')[:k], '/') AS relative_path
   FROM (SELECT repository_id, relative_path, unnest(range(1, len(string_split(relative_path, '/')))) AS k FROM lrows)),
@@ -217,13 +236,14 @@ listing AS (
   UNION ALL SELECT repository_id, relative_path, 'dir', NULL FROM ldirs
   UNION ALL SELECT DISTINCT repository_id, '.gitignore', 'file', strlen({_q(ROOT_RULES)})::BIGINT FROM base
   UNION ALL SELECT DISTINCT repository_id, 'docs/de/.gitignore', 'file', strlen({_q(DE_RULES)})::BIGINT FROM base
-  UNION ALL SELECT DISTINCT repository_id, 'pkg/.git', 'dir', NULL FROM base WHERE repository_id IN ('src1', 'src2')),
+  UNION ALL SELECT DISTINCT repository_id, 'pkg/.git', 'dir', NULL FROM base WHERE repository_id IN ('src1', 'src2')
+  UNION ALL SELECT DISTINCT repository_id, p, e, NULL FROM base, (VALUES ('locked', 'dir'), ('locked', 'unreadable'), ('node_modules/deep', 'unreadable')) AS x(p, e)),
 rules AS (SELECT * FROM (VALUES
   ('', 0, '*.json', false, false, '(?:.*/)?[^/]*\\.json'), ('', 1, '!docs/en/*.json', true, false, 'docs/en/[^/]*\\.json'),
   ('', 2, '/docs/fr/1*', false, false, 'docs/fr/1[^/]*'), ('', 3, 'build*/', false, true, '(?:.*/)?build[^/]*'), ('', 6, '!*.lock', true, false, '(?:.*/)?[^/]*\\.lock'),
   ('docs/de', 0, '*.py', false, false, '(?:.*/)?[^/]*\\.py'), ('docs/de', 1, '!1?.py', true, false, '(?:.*/)?1[^/]\\.py'), ('docs/de', 2, '[0-4]*.php', false, false, '(?:.*/)?[0-4][^/]*\\.php')
   ) AS r(base_dir, line_no, line, negated, directory_only, regex)),
-decided AS (
+decided AS MATERIALIZED (
   SELECT l.*, coalesce(v.ignored, false) AS ignored, coalesce(v.negated, false) AS explicitly_included, v.line AS rule
   FROM listing l LEFT JOIN (
     SELECT repository_id, relative_path, entry_type, arg_max(NOT negated, length(base_dir) * 100 + line_no) AS ignored, arg_max(negated, length(base_dir) * 100 + line_no) AS negated, arg_max(line, length(base_dir) * 100 + line_no) AS line
@@ -234,37 +254,27 @@ decided AS (
 NESTED_SQL = "SELECT DISTINCT repository_id, 'pkg' AS relative_path FROM listing WHERE relative_path = 'pkg/.git'"
 
 
-@query(f"WITH {LISTING} SELECT repository_id, relative_path, '{discovery.SYMLINK}' AS reason, 'boundary' AS origin FROM listing WHERE entry_type = 'symlink'")
-def f9_symlink_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = listing(spark, sf_dir).filter("entry_type = 'symlink'")
-    return links.select("repository_id", "relative_path", F.lit(discovery.SYMLINK).alias("reason"), F.lit("boundary").alias("origin"))
-
-
 @query(f"WITH {LISTING} {NESTED_SQL}")
 def f10_nested_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.nested_repositories(listing(spark, sf_dir))
 
 
-@query(f"SELECT doc_id, relative_path, '{discovery.UNRECOGNISED}' AS reason FROM {FILES} WHERE coalesce({_case(O.LANGUAGE_BY_NAME, NAME)}, {_case(O.LANGUAGE_BY_EXTENSION, EXT)}) IS NULL")
-def f11_unrecognised_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unknown = files(spark, sf_dir).filter(PO.detect_language(PA.basename_posix(F.col("relative_path"))).isNull())
-    return unknown.select("doc_id", "relative_path", F.lit(discovery.UNRECOGNISED).alias("reason"))
-
-
-@query(f"SELECT repository_id, relative_path, n > 40 AS truncated FROM (SELECT repository_id, relative_path, count(*) OVER (PARTITION BY repository_id) AS n, row_number() OVER (PARTITION BY repository_id ORDER BY relative_path) AS k FROM {FILES}) WHERE k <= 40")
+@query(f"SELECT repository_id, relative_path, CASE WHEN n > 40 THEN 40 END AS cut_at, CASE WHEN n > 40 THEN '{discovery.TRUNCATED.format(limit=40)}' END AS message FROM (SELECT repository_id, relative_path, count(*) OVER (PARTITION BY repository_id) AS n, row_number() OVER (PARTITION BY repository_id ORDER BY relative_path) AS k FROM {FILES}) WHERE k <= 40")
 def f12_cap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.cap_files(files(spark, sf_dir).select("repository_id", "relative_path"), 40).select("repository_id", "relative_path", "truncated")
+    capped = discovery.cap_files(files(spark, sf_dir).select("repository_id", "relative_path"), 40)
+    return capped.select("repository_id", "relative_path", F.col("truncated.limit").alias("cut_at"), F.col("truncated.message").alias("message"))
 
 
-LIMITS = O.DiscoveryOptions(max_file_bytes=5000)
+LIMITS = O.DiscoveryOptions(max_file_bytes=5000, max_files=25)
 _BASE = "string_split(relative_path, '/')[-1]"
 DISCOVER = f"""{LISTING},
 judged AS (
   SELECT repository_id, relative_path, entry_type, size_bytes,
     CASE WHEN ignored THEN 'Matched `' || rule || '`.' WHEN NOT explicitly_included AND {_case({k: v[1] for k, v in O.EXCLUDED_DIRECTORIES.items()}, _BASE)} IS NOT NULL
-         THEN {_case({k: v[1] for k, v in O.EXCLUDED_DIRECTORIES.items()}, _BASE)} WHEN (repository_id, relative_path) IN ({NESTED_SQL}) THEN '{discovery.NESTED}' END AS reason,
-    CASE WHEN ignored THEN '.gitignore' ELSE 'default' END AS origin
-  FROM decided WHERE entry_type = 'dir'),
+         THEN {_case({k: v[1] for k, v in O.EXCLUDED_DIRECTORIES.items()}, _BASE)} WHEN (repository_id, relative_path) IN ({NESTED_SQL}) THEN '{discovery.NESTED}'
+         WHEN entry_type = 'unreadable' THEN '{discovery.UNREADABLE}' END AS reason,
+    CASE WHEN ignored THEN '.gitignore' WHEN entry_type = 'unreadable' THEN 'boundary' ELSE 'default' END AS origin
+  FROM decided WHERE entry_type IN ('dir', 'unreadable')),
 pruned AS (SELECT repository_id, relative_path FROM judged WHERE reason IS NOT NULL),
 alive AS (SELECT d.* FROM decided d WHERE NOT EXISTS (SELECT 1 FROM pruned p WHERE p.repository_id = d.repository_id AND starts_with(d.relative_path, p.relative_path || '/'))),
 verdicts AS (
@@ -274,24 +284,30 @@ verdicts AS (
          WHEN language IS NULL THEN '{discovery.UNRECOGNISED}' WHEN size_bytes > 5000 THEN 'Larger than the 5 kB limit.' END AS reason,
     CASE WHEN entry_type = 'symlink' THEN 'boundary' WHEN ignored THEN '.gitignore' WHEN {_file_reason(1)} IS NOT NULL AND (NOT explicitly_included OR {_file_reason(0)} = 'secret-bearing') OR language IS NULL THEN 'default' ELSE 'size' END AS origin,
     language
-  FROM (SELECT *, {_BASE} AS n, coalesce({_case(O.LANGUAGE_BY_NAME, _BASE)}, {_case(O.LANGUAGE_BY_EXTENSION, f"CASE WHEN strpos(substr({_BASE}, 2), '.') > 0 THEN lower(string_split({_BASE}, '.')[-1]) END")}) AS language FROM alive WHERE entry_type <> 'dir')),
-discovered AS (
+  FROM (SELECT *, {_BASE} AS n, coalesce({_case(O.LANGUAGE_BY_NAME, _BASE)}, {_case(O.LANGUAGE_BY_EXTENSION, f"CASE WHEN strpos(substr({_BASE}, 2), '.') > 0 THEN lower(string_split({_BASE}, '.')[-1]) END")}) AS language FROM alive WHERE entry_type NOT IN ('dir', 'unreadable'))),
+dispositions AS (
   SELECT repository_id, relative_path, entry_type, size_bytes, CASE WHEN reason IS NULL THEN 'indexable' ELSE 'skipped' END AS status, reason, CASE WHEN reason IS NOT NULL THEN origin END AS origin, CASE WHEN reason IS NULL THEN language END AS language
-  FROM (SELECT * FROM verdicts UNION ALL SELECT j.*, NULL FROM judged j JOIN alive a USING (repository_id, relative_path) WHERE j.reason IS NOT NULL AND a.entry_type = 'dir'))"""
+  FROM (SELECT * FROM verdicts UNION ALL SELECT j.repository_id, j.relative_path, j.entry_type, j.size_bytes, j.reason, j.origin, NULL FROM judged j JOIN alive a USING (repository_id, relative_path, entry_type) WHERE j.reason IS NOT NULL)),
+capped AS (SELECT *, count(*) FILTER (status = 'indexable') OVER (PARTITION BY repository_id) AS seen, row_number() OVER (PARTITION BY repository_id, status ORDER BY relative_path) AS place FROM dispositions),
+discovered AS (SELECT * EXCLUDE (seen, place), CASE WHEN seen > {LIMITS.max_files} THEN '{discovery.TRUNCATED.format(limit=LIMITS.max_files)}' END AS truncated FROM capped WHERE status = 'skipped' OR place <= {LIMITS.max_files})"""
 
 
 @query(f"WITH {DISCOVER} SELECT * FROM discovered")
 def f13_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.discover(listing(spark, sf_dir), LIMITS)
+    return discovery.discover(listing(spark, sf_dir), LIMITS).withColumn("truncated", F.col("truncated.message"))
 
 
-_MINIFIED = "len(list_filter(string_split(text, chr(10)), lambda s: length(s) > 2000)) > 0"
+@query(f"WITH {DISCOVER} SELECT repository_id, relative_path, reason, origin FROM discovered WHERE reason = '{discovery.SYMLINK}'")
+def f9_symlink_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.discover(listing(spark, sf_dir), LIMITS).filter(F.col("reason") == discovery.SYMLINK).select("repository_id", "relative_path", "reason", "origin")
 
 
-@query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN doc_id % 23 = 4 THEN 'binary' WHEN {_MINIFIED} THEN 'minified' ELSE 'indexed' END AS status FROM documents) GROUP BY status")
-def f14_index_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 23 == 4, F.concat(F.lit("\0"), "text")).otherwise(F.col("text")))
-    return discovery.index_status(rows).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+@query(f"WITH {DISCOVER} SELECT repository_id, relative_path, reason, origin FROM discovered WHERE reason = '{discovery.UNRECOGNISED}'")
+def f11_unrecognised_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.discover(listing(spark, sf_dir), LIMITS).filter(F.col("reason") == discovery.UNRECOGNISED).select("repository_id", "relative_path", "reason", "origin")
+
+
+_MINIFIED = "len(list_filter(string_split(text, chr(10)), lambda s: length(s) > 2000)) > 0"
 
 
 # ---- ignore rules
@@ -317,16 +333,20 @@ def g3_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).select("repository_id", "relative_path", "entry_type", "ignored", "explicitly_included", "rule")
 
 
-@query(f"SELECT doc_id, substr(relative_path, 6) AS scoped FROM {FILES}")
+BASES = ("docs", "", "docs/en", "doc")
+
+
+@query(f"SELECT doc_id, base, CASE WHEN base = '' THEN relative_path WHEN starts_with(relative_path, base || '/') THEN substr(relative_path, length(base) + 2) END AS scoped FROM (SELECT *, ([{','.join(f"'{b}'" for b in BASES)}])[doc_id % 4 + 1] AS base FROM {FILES})")
 def g4_scope_to_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("doc_id", F.substring("relative_path", F.length(F.lit("docs")) + 2, F.length("relative_path")).alias("scoped"))
+    base = _pick(BASES, F.col("doc_id"))
+    return files(spark, sf_dir).select("doc_id", base.alias("base"), ignore.scope_to_base(base, F.col("relative_path")).alias("scoped"))
 
 
-@query(f"WITH {LISTING} SELECT repository_id, relative_path FROM listing WHERE entry_type <> 'dir' AND NOT starts_with(relative_path, 'node_modules/') AND NOT starts_with(relative_path, 'build1/')")
+@query(f"WITH {LISTING} SELECT repository_id, relative_path FROM listing WHERE entry_type IN ('file', 'symlink') AND NOT starts_with(relative_path, 'node_modules/') AND NOT starts_with(relative_path, 'build1/')")
 def g5_prune_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listing(spark, sf_dir)
     pruned = rows.filter("entry_type = 'dir' and relative_path in ('node_modules', 'build1')").select("repository_id", "relative_path")
-    return discovery.prune_subtrees(rows.filter("entry_type <> 'dir'").select("repository_id", "relative_path"), pruned)
+    return discovery.prune_subtrees(rows.filter("entry_type in ('file', 'symlink')").select("repository_id", "relative_path"), pruned)
 
 
 @query(f"WITH {LISTING} SELECT repository_id, relative_path FROM decided WHERE explicitly_included")
@@ -408,11 +428,11 @@ def chunk_sql(source: str, name: str, key: str = "doc_id") -> str:
 
 
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = files(spark, sf_dir).withColumn("language", F.lit("text"))
+    code = safe_files(spark, sf_dir).withColumn("language", F.lit("text"))
     return chunking.chunk_files(code, CHUNKING)
 
 
-CHUNKS = "WITH RECURSIVE" + chunk_sql(f"(SELECT relative_path, repository_id, text FROM {FILES})", "chunks", "relative_path")
+CHUNKS = "WITH RECURSIVE" + chunk_sql(f"(SELECT relative_path, repository_id, text FROM {SAFE})", "chunks", "relative_path")
 
 
 @query(CHUNKS + " SELECT relative_path, start_line, end_line, estimated_tokens, sha256(text) AS digest FROM chunks")
@@ -425,17 +445,22 @@ def c3_merge_undersized_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_chunks(spark, sf_dir).groupBy("relative_path").agg(F.max("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max_by("estimated_tokens", "start_line").alias("tokens"))
 
 
-SECTIONS = f"""
-ml AS (SELECT doc_id, unnest({SPLIT}) AS line, generate_subscripts({SPLIT}, 1) - 1 AS pos FROM {MARKDOWN}),
-mf AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS fenced FROM ml),
+def section_sql(source: str, key: str = "doc_id") -> str:
+    """CTEs that end in ``sections``: key, section, start_line, end_line, trail, text of Markdown sections with a line that is not blank."""
+    return f"""
+ml AS (SELECT {key}, unnest({SPLIT}) AS line, generate_subscripts({SPLIT}, 1) - 1 AS pos FROM {source}),
+mf AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos) % 2 = 1 AS fenced FROM ml),
 mh AS (SELECT *, CASE WHEN NOT fenced THEN length(regexp_extract(line, '^(#{{1,6}})\\s+(.*)$', 1)) ELSE 0 END AS depth FROM mf),
-ms AS (SELECT *, trim(regexp_extract(line, '^(#{{1,6}})\\s+(.*)$', 2)) AS title, sum(CASE WHEN depth > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM mh),
+ms AS (SELECT *, trim(regexp_extract(line, '^(#{{1,6}})\\s+(.*)$', 2)) AS title, sum(CASE WHEN depth > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos) AS section FROM mh),
 mk AS (SELECT *, {", ".join(f"max(CASE WHEN depth = {k} THEN pos END) OVER w AS a{k}, last_value(CASE WHEN depth = {k} THEN title END IGNORE NULLS) OVER w AS t{k}" for k in range(1, 7))},
-       last_value(CASE WHEN depth > 0 THEN depth END IGNORE NULLS) OVER w AS level FROM ms WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+       last_value(CASE WHEN depth > 0 THEN depth END IGNORE NULLS) OVER w AS level FROM ms WINDOW w AS (PARTITION BY {key} ORDER BY pos)),
 mp AS (SELECT *, [{", ".join(f"CASE WHEN coalesce(a{k}, -1) > {'greatest(' + ', '.join(f'coalesce(a{j}, -1)' for j in range(1, k)) + ', -1)' if k > 1 else '-1'} THEN t{k} ELSE '' END" for k in range(1, 7))}][:coalesce(level, 0)] AS path FROM mk),
 sections AS (
-  SELECT doc_id, section, (min(pos) + 1)::INT AS start_line, (max(pos) + 1)::INT AS end_line, array_to_string(max_by(path, pos), ' > ') AS trail, string_agg(line, chr(10) ORDER BY pos) AS text
-  FROM mp GROUP BY doc_id, section HAVING max(CASE WHEN trim(line) <> '' THEN 1 ELSE 0 END) = 1)"""
+  SELECT {key}, section, (min(pos) + 1)::INT AS start_line, (max(pos) + 1)::INT AS end_line, array_to_string(max_by(path, pos), ' > ') AS trail, string_agg(line, chr(10) ORDER BY pos) AS text
+  FROM mp GROUP BY {key}, section HAVING max(CASE WHEN trim(line) <> '' THEN 1 ELSE 0 END) = 1)"""
+
+
+SECTIONS = section_sql(MARKDOWN)
 
 
 @query(f"WITH {SECTIONS} SELECT doc_id, start_line, end_line, trail FROM sections")
@@ -464,10 +489,49 @@ def c5_split_oversized_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big.select(F.col("relative_path").cast("long").alias("doc_id"), "start_line", "end_line", "estimated_tokens", F.array_join("heading_path", " > ").alias("trail"))
 
 
-@query(CHUNKS + f" SELECT repository_id, relative_path, count(*) AS n FROM chunks JOIN (SELECT relative_path, repository_id FROM {FILES}) USING (relative_path) WHERE NOT ends_with(relative_path, '.md') GROUP BY ALL")
+def file_chunk_sql(source: str) -> str:
+    """CTEs that end in ``file_chunks``: relative_path, start_line, end_line, estimated_tokens; Markdown files by heading, all others by lines."""
+    return f"""
+fc_source AS MATERIALIZED (SELECT * FROM {source}),
+{chunk_sql("(SELECT relative_path, text FROM fc_source WHERE language <> 'markdown')", "fc_lines", "relative_path")},
+{section_sql("(SELECT relative_path, text FROM fc_source WHERE language = 'markdown')", "relative_path")},
+fc_sized AS (SELECT *, {tokens_sql('text')} AS k, relative_path || ':' || start_line AS sid FROM sections),
+{chunk_sql(f"(SELECT sid, text FROM fc_sized WHERE k > {CHUNKING.max_tokens})", "fc_cut", "sid")},
+file_chunks AS (
+  SELECT relative_path, start_line, end_line, estimated_tokens FROM fc_lines
+  UNION ALL SELECT relative_path, start_line, end_line, k FROM fc_sized WHERE k <= {CHUNKING.max_tokens}
+  UNION ALL SELECT relative_path, (z.start_line - 1 + c.start_line)::INT, (z.start_line - 1 + c.end_line)::INT, c.estimated_tokens FROM fc_cut c JOIN fc_sized z USING (sid))"""
+
+
+def typed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with language and text as discovered: Markdown by extension (with headings), some binary, none redacted yet."""
+    plain, marked = files(spark, sf_dir), markdown_files(spark, sf_dir)
+    is_md = F.endswith("relative_path", F.lit(".md"))
+    rows = plain.filter(~is_md).withColumn("language", F.lit("text")).unionByName(marked.filter(is_md).withColumn("language", F.lit("markdown")))
+    return rows.withColumn("text", F.when(F.col("doc_id") % 23 == 4, F.concat(F.lit("\0"), "text")).otherwise(F.col("text")))
+
+
+TYPED = f"""
+typed AS MATERIALIZED (
+  SELECT doc_id, repository_id, relative_path, language, status, {REDACTED} AS text FROM (
+    SELECT *, CASE WHEN doc_id % 23 = 4 THEN 'binary' WHEN {_MINIFIED} THEN 'minified' ELSE 'indexed' END AS status FROM (
+      SELECT doc_id, repository_id, relative_path, 'text' AS language, text FROM {FILES} WHERE NOT ends_with(relative_path, '.md')
+      UNION ALL SELECT doc_id, repository_id, relative_path, 'markdown', text FROM {MARKDOWN} WHERE ends_with(relative_path, '.md')))),
+{file_chunk_sql("(SELECT relative_path, language, text FROM typed WHERE status = 'indexed')")}"""
+
+
+@query(f"WITH RECURSIVE {TYPED} SELECT status, count(DISTINCT typed.relative_path) AS n, count(c.relative_path) AS chunks FROM typed LEFT JOIN file_chunks c ON c.relative_path = typed.relative_path GROUP BY status")
+def f14_index_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop binary, drop minified, redact, chunk, and count what each step left."""
+    read = discovery.index_status(typed_files(spark, sf_dir))
+    chunks = chunking.chunk_files(read.filter("status = 'indexed'"), CHUNKING).groupBy("relative_path").agg(F.count(F.lit(1)).alias("chunks"))
+    return read.select("relative_path", "status").join(chunks, "relative_path", "left").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+
+
+@query(f"WITH RECURSIVE {TYPED} SELECT relative_path, start_line, end_line, estimated_tokens FROM file_chunks")
 def c6_chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir).withColumn("language", F.when(F.endswith("relative_path", F.lit(".md")), "markdown").otherwise("text"))
-    return chunking.chunk_files(rows, CHUNKING).filter("heading_path is null").groupBy("repository_id", "relative_path").agg(F.count(F.lit(1)).alias("n"))
+    read = discovery.index_status(typed_files(spark, sf_dir)).filter("status = 'indexed'")
+    return chunking.chunk_files(read, CHUNKING).select("relative_path", "start_line", "end_line", "estimated_tokens")
 
 
 @query(CHUNKS + f" SELECT repository_id, relative_path, sum(estimated_tokens)::BIGINT AS tokens, count(*) AS n_chunks FROM chunks JOIN (SELECT relative_path, repository_id FROM {FILES}) USING (relative_path) GROUP BY ALL")

@@ -10,22 +10,23 @@ from ..functions import text as TX
 from ..operators import chunking, manifest, reports, secrets
 from ..session import scratch
 from ..sources import generations, repo_tree
-from .files import CHUNKS, DISCOVER, FILES, LIMITS, _MINIFIED, code_chunks, discovery, files, listing
+from .files import CHUNKING, CHUNKS, DISCOVER, FILES, LIMITS, REDACTED, RULE_SQL, SAFE, _MINIFIED, code_chunks, discovery, file_chunk_sql, files, listing, safe_files
 from .registry import query, table
 
 VERSIONS = O.Versions("c1", "p1", "e1")
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir)
-    return rows.select("doc_id", "repository_id", "relative_path", TX.hash_text(F.col("text")).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"), F.lit("text").alias("language"))
+    """Files with the hash of their redacted text."""
+    rows = safe_files(spark, sf_dir)
+    return rows.select("doc_id", "repository_id", "relative_path", TX.hash_text(F.col("text")).alias("content_hash"), "size_bytes", F.lit("text").alias("language"))
 
 
 def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.with_ids(code_chunks(spark, sf_dir), hashed(spark, sf_dir).select("repository_id", "relative_path", "content_hash"))
 
 
-HASHED = f"(SELECT doc_id, repository_id, relative_path, sha256(text) AS content_hash, strlen(text)::BIGINT AS size_bytes FROM {FILES})"
+HASHED = f"(SELECT doc_id, repository_id, relative_path, sha256(text) AS content_hash, size_bytes FROM {SAFE})"
 IDS = CHUNKS + f""", ids AS (
   SELECT h.repository_id, relative_path, content_hash, start_line, end_line, estimated_tokens, c.text,
          left(sha256(relative_path || chr(0) || content_hash || chr(0) || start_line || chr(0) || end_line), 32) AS chunk_id
@@ -53,7 +54,11 @@ def m4_build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("repository_id", "relative_path", "content_hash", "size_bytes", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
-GENERATIONS = f"SELECT repository_id, left(sha256(repository_id || chr(0) || 'c1' || chr(0) || 'p1' || chr(0) || 'e1' || string_agg(chr(0) || relative_path || chr(0) || content_hash, '' ORDER BY relative_path)), 32) AS generation_id, count(*)::INT AS n_files FROM {HASHED} GROUP BY repository_id"
+def generation_sql(source: str) -> str:
+    return f"SELECT repository_id, left(sha256(repository_id || chr(0) || 'c1' || chr(0) || 'p1' || chr(0) || 'e1' || string_agg(chr(0) || relative_path || chr(0) || content_hash, '' ORDER BY relative_path)), 32) AS generation_id, count(*)::INT AS n_files FROM {source} GROUP BY repository_id"
+
+
+GENERATIONS = generation_sql(HASHED)
 
 
 @query(GENERATIONS)
@@ -99,7 +104,8 @@ def m8_retain_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.retained_generations(_generations(spark, sf_dir), refs)
 
 
-@query(f"SELECT repository_id, bool_and(doc_id % 4000 <> 3) AS same FROM {HASHED} GROUP BY repository_id")
+@query(f"""WITH a AS ({GENERATIONS}), b AS ({generation_sql(f"(SELECT repository_id, relative_path, CASE WHEN doc_id % 4000 = 3 THEN 'other' ELSE content_hash END AS content_hash FROM {HASHED})")})
+SELECT a.repository_id, a.generation_id = b.generation_id AS same FROM a JOIN b ON a.repository_id = b.repository_id""")
 def m9_check_generation_determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hashed(spark, sf_dir)
     again = rows.repartition(5).withColumn("content_hash", F.when(F.col("doc_id") % 4000 == 3, F.lit("other")).otherwise(F.col("content_hash")))
@@ -120,23 +126,23 @@ def a2_indexed_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.indexed_by_language(_dispositions(spark, sf_dir).filter("status = 'indexable'"))
 
 
-@query(CHUNKS + f""", s AS (SELECT repository_id, relative_path, CASE WHEN {_MINIFIED} THEN 'minified' ELSE 'indexed' END AS status FROM {FILES}),
-t AS (SELECT relative_path, count(*) AS n, sum(estimated_tokens) AS k FROM chunks JOIN s USING (relative_path) WHERE status = 'indexed' GROUP BY relative_path),
-r AS (SELECT repository_id, count(*) FILTER (status = 'indexed') AS indexed, 0::BIGINT AS skipped, 0::BIGINT AS unreadable, count(*) FILTER (status = 'minified') AS minified,
-      coalesce(sum(n), 0)::BIGINT AS chunks, coalesce(sum(k), 0)::BIGINT AS tokens FROM s LEFT JOIN t USING (relative_path) GROUP BY repository_id)
-SELECT r.*, generation_id FROM r JOIN ({GENERATIONS}) USING (repository_id)""")
-def a3_corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: read, filter, chunk, hash and summarise every repository."""
-    status = discovery.index_status(files(spark, sf_dir)).withColumn("language", F.lit("text"))
-    totals = chunking.file_token_totals(chunking.chunk_files(status.filter("status = 'indexed'"), _chunking()))
-    summary = reports.corpus_summary(status.select("repository_id", "relative_path", "status"), totals)
-    return summary.join(manifest.generation_ids(hashed(spark, sf_dir), VERSIONS).select("repository_id", "generation_id"), "repository_id")
-
+INGEST = f"""{DISCOVER},
+ingested AS MATERIALIZED (
+  SELECT repository_id, relative_path, language, truncated, CASE WHEN d_status = 'skipped' THEN 'skipped' WHEN {_MINIFIED} THEN 'minified' ELSE 'indexed' END AS status, {REDACTED} AS text
+  FROM (SELECT d.repository_id, d.relative_path, d.language, d.truncated, d.status AS d_status, l.text FROM discovered d LEFT JOIN lrows l ON l.repository_id = d.repository_id AND l.relative_path = d.relative_path)),
+{file_chunk_sql("(SELECT relative_path, language, text FROM ingested WHERE status = 'indexed')")},
+per_file AS (SELECT relative_path, count(*) AS n, sum(estimated_tokens) AS k FROM file_chunks GROUP BY relative_path)"""
 
-def _chunking() -> O.ChunkOptions:
-    from .files import CHUNKING
 
-    return CHUNKING
+@query(f"""WITH RECURSIVE {INGEST},
+r AS (SELECT repository_id, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'skipped') AS skipped, 0::BIGINT AS unreadable, count(*) FILTER (status = 'minified') AS minified,
+      coalesce(sum(n), 0)::BIGINT AS chunks, coalesce(sum(k), 0)::BIGINT AS tokens, bool_or(truncated IS NOT NULL) AS truncated FROM ingested LEFT JOIN per_file USING (relative_path) GROUP BY repository_id)
+SELECT r.*, generation_id FROM r LEFT JOIN ({generation_sql("(SELECT repository_id, relative_path, sha256(text) AS content_hash FROM ingested WHERE status = 'indexed')")}) USING (repository_id)""")
+def a3_corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: discover, read, filter, redact, chunk, hash and summarise every repository."""
+    read, chunks = discovery.ingest(listing(spark, sf_dir), LIMITS, CHUNKING)
+    summary = reports.corpus_summary(read.select("repository_id", "relative_path", "status", "truncated"), chunking.file_token_totals(chunks))
+    return summary.join(manifest.generation_ids(read.filter("status = 'indexed'"), VERSIONS).select("repository_id", "generation_id"), "repository_id", "left")
 
 
 @query(f"SELECT relative_path, n FROM (SELECT string_split(relative_path, '.')[-1] AS relative_path, count(*) AS n FROM {FILES} GROUP BY 1) ORDER BY n DESC, relative_path LIMIT 5")
@@ -151,27 +157,18 @@ def a5_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DISCOVER}
-SELECT repository_id, sum(n)::BIGINT AS seen, coalesce(sum(n) FILTER (reason IS NULL), 0)::BIGINT AS indexed, coalesce(string_agg(reason || '=' || n, ';' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS excluded, true AS complete
-FROM (SELECT repository_id, reason, count(*) AS n FROM discovered GROUP BY ALL) GROUP BY repository_id""")
+SELECT repository_id, sum(n)::BIGINT AS seen, coalesce(sum(n) FILTER (reason IS NULL), 0)::BIGINT AS indexed, coalesce(string_agg(reason || '=' || n, ';' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS excluded, bool_and(cut IS NULL) AS complete
+FROM (SELECT repository_id, reason, count(*) AS n, max(truncated) AS cut FROM discovered GROUP BY ALL) GROUP BY repository_id""")
 def a6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.coverage(_dispositions(spark, sf_dir).withColumn("truncated", F.lit(False)))
+    return reports.coverage(_dispositions(spark, sf_dir))
 
 
 # ---- secrets
 
-_RULE_SQL = {
-    "assignment": (r"(?i)\b(password|passwd|secret|token|api_key|apikey|access_key)(\s?[=:]\s?)(\"[^\"\r\n]{8,}\"|''[^''\r\n]{8,}''|[A-Za-z0-9_./+-]{8,})", r"\1\2[REDACTED]"),
-    "cloud-key": (r"\b(AKIA|ASIA)[A-Z0-9]{16}\b", "[REDACTED]"),
-    "vcs-token": (r"\b(ghp|gho|ghs|github_pat|glpat)[_-][A-Za-z0-9_-]{16,}\b", "[REDACTED]"),
-    "bearer": (r"(?i)\bbearer [A-Za-z0-9._~+/-]{16,}=*", "Bearer [REDACTED]"),
-}
-_REDACTED = "text"
-for _pattern, _new in _RULE_SQL.values():
-    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '{_new}', 'g')"
-FINDINGS = f"(SELECT repository_id, relative_path, i AS line_no, rule FROM (SELECT repository_id, relative_path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM {FILES}), (VALUES " + ", ".join(f"('{n}', '{p}')" for n, (p, _) in _RULE_SQL.items()) + ") AS r(rule, pattern) WHERE regexp_matches(line, pattern))"
+FINDINGS = f"(SELECT repository_id, relative_path, i AS line_no, rule FROM (SELECT repository_id, relative_path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM {FILES}), (VALUES " + ", ".join(f"('{n}', '{p}')" for n, (p, _) in RULE_SQL.items()) + ") AS r(rule, pattern) WHERE regexp_matches(line, pattern))"
 
 
-@query(f"SELECT doc_id, sha256({_REDACTED}) AS digest, len(string_split({_REDACTED}, chr(10))) AS n_lines FROM documents")
+@query(f"SELECT doc_id, sha256({REDACTED}) AS digest, len(string_split({REDACTED}, chr(10))) AS n_lines FROM documents")
 def r1_redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.redact_secrets(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(out, 256).alias("digest"), F.size(F.split(out, "\n", -1)).cast("long").alias("n_lines"))
@@ -203,16 +200,24 @@ def s5_write_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generations.summary_json(summary)
 
 
-@query(f"WITH g AS ({GENERATIONS}) SELECT h.repository_id, g.generation_id, h.relative_path, h.content_hash FROM {HASHED} h JOIN g ON g.repository_id = h.repository_id WHERE h.repository_id IN ('src1', 'src2')")
+@query(f"WITH g AS ({GENERATIONS}) SELECT h.repository_id, g.generation_id, h.relative_path, h.content_hash FROM {HASHED} h JOIN g ON g.repository_id = h.repository_id WHERE h.repository_id <> 'src3'")
 def s4_write_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publishes two repositories and leaves a third unpublished; readers see the published ones."""
-    rows, path = hashed(spark, sf_dir), scratch(spark, "generations")
-    ids = {r.repository_id: r.generation_id for r in manifest.generation_ids(rows, VERSIONS).filter("repository_id in ('src1', 'src2', 'src3')").collect()}
-    for k, (repo, generation) in enumerate(sorted(ids.items())):
-        own = rows.filter(F.col("repository_id") == repo).select("relative_path", "content_hash")
-        if repo == "src3":
-            stamped = own.withColumns({"repository_id": F.lit(repo), "generation_id": F.lit(generation)})
-            stamped.write.mode("append").partitionBy("repository_id", "generation_id").parquet(f"{path}/manifest")
-        else:
-            generations.write_generation(path, repo, generation, k, own, own.limit(0), own.limit(0))
+    """Writes all repositories in one partitioned write each of manifest, chunks and exclusions, and publishes all but one; readers see the published ones."""
+    path = scratch(spark, "generations")
+    ids = manifest.generation_ids(hashed(spark, sf_dir), VERSIONS)
+    excluded = _dispositions(spark, sf_dir).filter("status = 'skipped'").select("repository_id", "relative_path", "reason", "origin")
+    made = F.crc32(F.encode("repository_id", "UTF-8"))
+    stamps = ids.select("repository_id", "generation_id", made.alias("created_at_ms"))
+    generations.write_generations(path, stamps, hashed(spark, sf_dir).select("repository_id", "relative_path", "content_hash", "size_bytes"), identified(spark, sf_dir).select("repository_id", "relative_path", "chunk_id", "start_line", "end_line"), excluded, stamps.filter("repository_id <> 'src3'"))
     return generations.read_generation(spark, path, "manifest").select("repository_id", "generation_id", "relative_path", "content_hash")
+
+
+@query("SELECT source AS repository_id, doc_id || '.txt' AS relative_path, 'file' AS entry_type, strlen(text)::BIGINT AS size_bytes, sha256(text) AS digest FROM documents UNION ALL SELECT DISTINCT source, 'part' || doc_id % 4, 'dir', NULL, NULL FROM documents".replace("doc_id || '.txt'", "'part' || doc_id % 4 || '/' || doc_id || '.txt'"))
+def s1_read_repo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written by the tasks as files of a folder per repository on the shared file system, and listed again with their content."""
+    root = scratch(spark, "tree").removeprefix("file:")
+    docs = files(spark, sf_dir).select("repository_id", F.concat(F.lit("part"), (F.col("doc_id") % 4).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("relative_path"), "text")
+    written = repo_tree.write_tree(docs, root)
+    roots = {r.repository_id: f"{root}/{r.repository_id}" for r in written.select("repository_id").distinct().collect()}
+    tree = repo_tree.read_repo_tree(spark, roots, max_bytes=1 << 30)
+    return tree.select("repository_id", "relative_path", "entry_type", "size_bytes", TX.hash_bytes(F.col("content")).alias("digest"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import evaluation, manifest, retrieval
-from .files import FILES, _STOPS, _WORDS_SQL, tokens_sql
+from ..session import scratch, staged
+from .files import FILES, SPLIT, _STOPS, _WORDS_SQL, tokens_sql
 from .index import GENERATIONS, VERSIONS, hashed
 from .registry import query, table
 
@@ -36,10 +37,11 @@ terms AS (SELECT DISTINCT query_id, w AS term FROM (SELECT query_id, lower(w) AS
 INDEX = f"""
 c_o AS (SELECT chunk_id, 'original' AS field, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9_$]+'), lambda s: lower(s))) AS term FROM {PASSAGES}),
 c_i AS (SELECT chunk_id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) AS w FROM {PASSAGES}),
+c_p AS (SELECT chunk_id, 'path' AS field, lower(unnest(string_split(relative_path, '/'))) AS term FROM {PASSAGES}),
 c_s AS (SELECT DISTINCT chunk_id, 'split' AS field, lower(unnest(parts)) AS term FROM (SELECT chunk_id, {_WORDS_SQL.format('w')} AS parts FROM c_i) WHERE len(parts) > 1),
-postings AS (SELECT term, chunk_id, field, count(*) AS tf FROM (SELECT * FROM c_o UNION ALL SELECT chunk_id, field, term FROM c_s) GROUP BY ALL),
+postings AS (SELECT term, chunk_id, field, count(*) AS tf FROM (SELECT * FROM c_o UNION ALL SELECT chunk_id, field, term FROM c_p UNION ALL SELECT chunk_id, field, term FROM c_s) GROUP BY ALL),
 lengths AS (SELECT chunk_id, f.field, coalesce(n, 0) AS length FROM (SELECT chunk_id FROM {PASSAGES}) CROSS JOIN (VALUES ('original'), ('split')) AS f(field) LEFT JOIN (SELECT chunk_id, field, sum(tf) AS n FROM postings GROUP BY ALL) USING (chunk_id, field)),
-dfs AS (SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term)"""
+dfs AS (SELECT term, count(DISTINCT chunk_id) AS df FROM postings WHERE field <> 'path' GROUP BY term)"""
 BM25 = f"""{TERMS}, {INDEX},
 stats AS (SELECT field, avg(length) AS mean_length, count(*) AS n FROM lengths GROUP BY field),
 bm AS (
@@ -47,23 +49,51 @@ bm AS (
   FROM postings JOIN terms USING (term) JOIN dfs USING (term) JOIN lengths USING (chunk_id, field) JOIN stats USING (field) GROUP BY ALL),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM bm) WHERE rank <= 20)"""
 EXACT = """
-ex AS (SELECT query_id, chunk_id, count(DISTINCT term) AS score FROM postings JOIN terms USING (term) WHERE field = 'original' GROUP BY ALL),
+ex AS (SELECT query_id, chunk_id, count(DISTINCT term) AS score FROM postings JOIN terms USING (term) WHERE field IN ('original', 'path') GROUP BY ALL),
 exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM ex) WHERE rank <= 20)"""
 FUSED = f"""{BM25}, {EXACT},
-fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM bm25 UNION ALL SELECT query_id, chunk_id, rank FROM exact) GROUP BY ALL),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.e, c.e) / greatest(sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e)), 1e-12), 6) AS cosine FROM v q JOIN benchmark ON item_id = q.vec_id, v c WHERE c.vec_id IN (SELECT doc_id FROM documents)),
+nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id)::INT AS rank FROM near) WHERE rank <= 20),
+fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM bm25 UNION ALL SELECT query_id, chunk_id, rank FROM exact UNION ALL SELECT query_id, chunk_id, rank FROM nearest) GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM fu)"""
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> retrieval.TermIndex:
+    """The term index of the passages, written once per application and read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch(spark, "term-index")
+        retrieval.write_term_index(retrieval.build_term_index(passages(spark, sf_dir)), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _STORED[key] = path
+    return retrieval.read_term_index(spark, _STORED[key])
+
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.search_bm25(questions(spark, sf_dir), retrieval.build_term_index(passages(spark, sf_dir)), 20)
+    return retrieval.search_bm25(questions(spark, sf_dir), stored_index(spark, sf_dir), 20)
 
 
 def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.search_exact(questions(spark, sf_dir), retrieval.build_term_index(passages(spark, sf_dir))[0], 20)
+    return retrieval.search_exact(questions(spark, sf_dir), stored_index(spark, sf_dir), 20)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lit("m1").alias("model_version"), F.col("embedding").alias("vector"))
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question asks with the vector of its own number, among those of the corpus's chunks."""
+    vectors = _vectors(spark, sf_dir)
+    held = passages(spark, sf_dir).select("chunk_id")
+    asked = vectors.withColumnRenamed("vec_id", "query_id").join(questions(spark, sf_dir).select("query_id"), "query_id", "left_semi")
+    return retrieval.search_semantic(asked, vectors.withColumnRenamed("vec_id", "chunk_id").join(held, "chunk_id", "left_semi"), 20)
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.merge_by_rank(_bm25(spark, sf_dir), _exact(spark, sf_dir))
+    """The three lists fused; stored, since a pack reads it several times."""
+    return staged(retrieval.merge_by_rank(_bm25(spark, sf_dir), _exact(spark, sf_dir), _nearest(spark, sf_dir)), "fused")
 
 
 @query(f"WITH g AS ({GENERATIONS}) SELECT relative_path FROM {FILES} f JOIN g ON g.repository_id = f.repository_id WHERE f.repository_id = 'src1'")
@@ -75,10 +105,9 @@ def q1_scope_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.scope_chunks(stamped, ids, "src1", one.generation_id if one else "").select("relative_path")
 
 
-@query(f"WITH {INDEX} SELECT term, field, sum(tf)::BIGINT AS tf, count(*) AS n, df FROM postings JOIN dfs USING (term) GROUP BY ALL")
+@query(f"WITH {INDEX} SELECT term, field, sum(tf)::BIGINT AS tf, count(*) AS n, coalesce(df, 0) AS df FROM postings LEFT JOIN dfs USING (term) GROUP BY ALL")
 def q2_build_term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings, _, counts = retrieval.build_term_index(passages(spark, sf_dir))
-    return postings.groupBy("term", "field").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("n")).join(counts, "term").select("term", "field", "tf", "n", "df")
+    return retrieval.term_statistics(stored_index(spark, sf_dir))
 
 
 @query(f"WITH {TERMS}, {INDEX}, {EXACT} SELECT query_id, chunk_id, score, rank FROM exact")
@@ -93,13 +122,13 @@ def q4_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEMANTIC = """
 v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-cs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.e, c.e) / greatest(sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e)), 1e-12), 6) AS cosine FROM v q, v c WHERE q.vec_id % 50 = 0),
+cs AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.e, c.e) / greatest(sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e)), 1e-12), 6) AS cosine FROM v q, v c WHERE q.vec_id % 20 = 0),
 semantic AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id)::INT AS rank FROM cs) WHERE rank <= 10)"""
 
 
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.lit("m1").alias("model_version"), F.col("embedding").alias("vector"))
-    asked = vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
     return retrieval.search_semantic(asked, vectors.withColumnRenamed("vec_id", "chunk_id"), 10)
 
 
@@ -157,18 +186,30 @@ pk AS (SELECT query_id, chunk_id, rank, estimated_tokens, sum(estimated_tokens)
 pack AS (SELECT query_id, chunk_id, rank, estimated_tokens, tokens_used, 'S' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS source_id FROM pk WHERE tokens_used <= 10000 AND place <= 12)""".replace("OVER w::BIGINT", "OVER w")
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.build_evidence_pack(_fused(spark, sf_dir), passages(spark, sf_dir))
+
+
 def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.assign_source_ids(retrieval.build_evidence_pack(_fused(spark, sf_dir), passages(spark, sf_dir)))
+    ids = manifest.generation_ids(hashed(spark, sf_dir), VERSIONS).select("repository_id", "generation_id")
+    chunks = passages(spark, sf_dir).withColumn("file_hash", TX.hash_text(F.col("text"))).join(ids, "repository_id")
+    return staged(retrieval.assign_source_ids(_items(spark, sf_dir), chunks), "pack")
 
 
 @query(f"WITH {PACK} SELECT query_id, chunk_id, rank, estimated_tokens, tokens_used::BIGINT AS tokens_used FROM pack")
 def q10_build_evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pack(spark, sf_dir).drop("source_id")
+    return _items(spark, sf_dir)
 
 
-@query(f"WITH {PACK} SELECT query_id, chunk_id, source_id FROM pack")
+@query(f"WITH {PACK} SELECT query_id, count(*)::INT AS n_items, string_agg(chunk_id || ':' || estimated_tokens, ',' ORDER BY rank) AS items, sum(estimated_tokens)::BIGINT AS tokens_used, 10000 AS token_budget FROM pack GROUP BY query_id")
+def q10_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["chunk_id"].cast("string"), x["estimated_tokens"].cast("string"))), ",")
+    return retrieval.packs(_items(spark, sf_dir)).select("query_id", F.size("items").alias("n_items"), shown.alias("items"), "tokens_used", "token_budget")
+
+
+@query(f"WITH {PACK}, g AS ({GENERATIONS}) SELECT query_id, chunk_id, source_id, p.repository_id, generation_id, relative_path, start_line, end_line, language, sha256(p.text) AS file_hash FROM pack JOIN {PASSAGES} p USING (chunk_id) JOIN g ON g.repository_id = p.repository_id")
 def q11_assign_source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pack(spark, sf_dir).select("query_id", "chunk_id", "source_id")
+    return _pack(spark, sf_dir).select("query_id", "chunk_id", "source_id", "repository_id", "generation_id", "relative_path", "start_line", "end_line", "language", "file_hash")
 
 
 @query(f"WITH {PACK} SELECT DISTINCT i.query_id, 'S' || k AS source_id, (i.query_id, 'S' || k) IN (SELECT (query_id, source_id) FROM pack) AS resolved FROM (SELECT item_id AS query_id, unnest([1, item_id % 9 + 2, item_id % 30 + 1]) AS k FROM benchmark) i")
@@ -190,13 +231,22 @@ def q14_answer_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", key.alias("cache_key"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'disappeared' WHEN doc_id % 5 = 3 THEN 'changed' ELSE 'same' END AS status FROM documents")
+def _two_lines(text: str) -> str:
+    return f"array_to_string({SPLIT.replace('text', text)}[1:2], chr(10))"
+
+
+_NOW = "(CASE doc_id % 5 WHEN 3 THEN 'x' || text WHEN 2 THEN text || ' more' WHEN 1 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END)"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'disappeared' WHEN sha256({_two_lines('text')}) = sha256({_two_lines('now')}) THEN 'same' ELSE 'changed' END AS status FROM (SELECT doc_id, text, {_NOW} AS now FROM documents)")
 def q15_evidence_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two lines of each file are cited; some files are gone since, some changed before, inside or behind them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("r").alias("repository_id"), F.col("doc_id").cast("string").alias("relative_path"), "text")
-    first = TX.slice_lines(TX.split_lines(F.col("text")), F.lit(1), F.lit(2))
-    items = docs.select("doc_id", "repository_id", "relative_path", F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), TX.hash_text(first).alias("text_hash"))
-    now = docs.filter("doc_id % 5 <> 4").withColumn("text", F.when(F.col("doc_id") % 5 == 3, F.concat(F.lit("x"), "text")).otherwise(F.col("text")))
-    return retrieval.evidence_integrity(items, now).select("doc_id", "status")
+    lines = TX.split_lines(F.col("text"))
+    items = docs.select("doc_id", "repository_id", "relative_path", F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), TX.hash_text(TX.slice_lines(lines, F.lit(1), F.lit(2))).alias("text_hash"))
+    n = F.col("doc_id") % 5
+    edited = F.when(n == 3, F.concat(F.lit("x"), "text")).when(n == 2, F.concat("text", F.lit(" more"))).when(n == 1, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    return retrieval.evidence_integrity(items, docs.filter("doc_id % 5 <> 4").withColumn("text", edited)).select("doc_id", "status")
 
 
 # ---- evaluation
@@ -260,3 +310,8 @@ _NORM = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 def e6_split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.when(F.col("doc_id") % 3 == 0, "held_out").otherwise("development").alias("split"), "text")
     return evaluation.split_leakage(docs)
+
+
+@query("SELECT split, n, split <> 'held_out' OR n >= 100 AS enough FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'held_out' ELSE 'development' END AS split, count(*) AS n FROM documents GROUP BY 1)")
+def e6_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.split_counts(table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 == 0, "held_out").otherwise("development").alias("split")))

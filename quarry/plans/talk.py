@@ -19,7 +19,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("conv_id") * 7 + F.col("turn")
     talk = table(spark, sf_dir, "conversations").filter("role in ('user', 'assistant')")
     opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (F.pmod(n, F.lit(6)) + 1).cast("int"))
-    text = F.when(F.pmod(n, F.lit(6)) == 2, F.lit("Okay")).otherwise(F.concat(opening, F.substring("text", 1, 60), F.when(F.pmod(n, F.lit(4)) == 1, "?").otherwise("")))
+    text = F.when(F.pmod(n, F.lit(6)) == 2, F.lit("Okay")).otherwise(F.concat(opening, "text", F.when(F.pmod(n, F.lit(4)) == 1, "?").otherwise("")))
     base = talk.select(
         F.col("conv_id").cast("string").alias("session_id"), F.when(F.col("role") == "user", "call").otherwise("me").alias("source"),
         (F.col("turn") / 5).cast("int").alias("stream_epoch"), F.col("turn").cast("long").alias("sequence"), text.alias("text"),
@@ -33,7 +33,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEGMENTS = f"""
 base AS (
   SELECT conv_id::VARCHAR AS session_id, CASE WHEN role = 'user' THEN 'call' ELSE 'me' END AS source, (turn // 5)::INT AS stream_epoch, turn::BIGINT AS sequence,
-    CASE WHEN n % 6 = 2 THEN 'Okay' ELSE ([{", ".join(f"'{o}'" for o in OPENINGS)}])[n % 6 + 1] || substr(text, 1, 60) || CASE WHEN n % 4 = 1 THEN '?' ELSE '' END END AS text,
+    CASE WHEN n % 6 = 2 THEN 'Okay' ELSE ([{", ".join(f"'{o}'" for o in OPENINGS)}])[n % 6 + 1] || text || CASE WHEN n % 4 = 1 THEN '?' ELSE '' END END AS text,
     turn * 40000 + n % 3 * 30000 AS start_ms, turn * 40000 + n % 3 * 30000 + 29700 AS end_ms, true AS is_final, n % 3 <> 1 AS is_turn_end, 1 AS revision
   FROM (SELECT *, conv_id * 7 + turn AS n FROM conversations WHERE role IN ('user', 'assistant'))),
 segments AS (
@@ -98,11 +98,15 @@ def t6_question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _questions(spark, sf_dir)
 
 
-@query(f"""WITH {QUESTIONS} SELECT request_id, text, start_ms FROM (SELECT *, lag(start_ms) OVER (PARTITION BY session_id, norm ORDER BY start_ms, request_id) AS before
-  FROM (SELECT *, trim(regexp_replace(lower(substr(text, 1, 4)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM questions)) WHERE before IS NULL OR start_ms - before > 100000""")
+@query(f"""WITH {QUESTIONS}, asked_again AS (SELECT request_id, session_id, text, start_ms FROM questions UNION ALL SELECT request_id || '-r', session_id, ' - ' || text || ' !', start_ms + CASE WHEN length(text) % 2 = 0 THEN 50000 ELSE 150000 END FROM questions)
+SELECT request_id, text, start_ms FROM (SELECT *, lag(start_ms) OVER (PARTITION BY session_id, norm ORDER BY start_ms, request_id) AS before
+  FROM (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM asked_again)) WHERE before IS NULL OR start_ms - before > 100000""")
 def t7_dedupe_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = _questions(spark, sf_dir).withColumnRenamed("text", "whole").withColumn("text", F.substring("whole", 1, 4))
-    return transcripts.dedupe_questions(short, 100_000).select("request_id", F.col("whole").alias("text"), "start_ms")
+    """Every question is asked once more in other punctuation, half of them within the window."""
+    asked = _questions(spark, sf_dir).select("request_id", "session_id", "text", "start_ms")
+    later = F.col("start_ms") + F.when(F.length("text") % 2 == 0, 50_000).otherwise(150_000)
+    again = asked.select(F.concat("request_id", F.lit("-r")).alias("request_id"), "session_id", F.concat(F.lit(" - "), "text", F.lit(" !")).alias("text"), later.alias("start_ms"))
+    return transcripts.dedupe_questions(asked.union(again), 100_000).select("request_id", "text", "start_ms")
 
 
 @query(f"WITH {QUESTIONS} SELECT session_id AS request_id, start_ms AS revision, CASE WHEN row_number() OVER (PARTITION BY session_id ORDER BY start_ms DESC) = 1 THEN 'active' ELSE 'superseded' END AS status FROM questions")
@@ -175,3 +179,25 @@ def s6_read_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     flow.awaitTermination()
     return spark.read.schema(repo_tree.SEGMENT_SCHEMA).parquet(f"{path}/out").select("session_id", "source", "stream_epoch", "sequence", "revision", "text")
+
+
+@query(f"WITH {ENVELOPES} SELECT event_id::VARCHAR AS event_id, request_id, type, timestamp_ms, payload AS delta FROM env WHERE type = 'answer.delta'")
+def s6_read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log written as JSON lines, read as a stream, and the deltas' payloads parsed."""
+    path = scratch(spark, "events")
+    log = envelopes(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), "request_id", "question_revision", "repository_id", "timestamp_ms", "type", F.to_json(F.struct(F.col("payload").alias("delta"))).alias("payload"))
+    log.write.json(f"{path}/in")
+    deltas = repo_tree.event_payload(repo_tree.read_events(spark, f"{path}/in"), "answer.delta", "delta string").select("event_id", "request_id", "type", "timestamp_ms", F.col("payload.delta").alias("delta"))
+    flow = deltas.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    flow.awaitTermination()
+    return spark.read.schema(deltas.schema).parquet(f"{path}/out")
+
+
+@query("""WITH u AS (SELECT 's' || user_id % 50 AS session_id, 'p' || event_id % 2 AS provider, event_type AS model, CASE WHEN event_id % 7 <> 0 THEN event_id % 900 END AS input_tokens, event_id % 300 AS output_tokens FROM events),
+t AS (SELECT session_id, provider, model, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM u GROUP BY ALL)
+SELECT *, CASE WHEN provider = 'p0' THEN round(coalesce(input_tokens, 0) * 0.000002::DOUBLE + coalesce(output_tokens, 0) * 0.000008::DOUBLE, 6) END AS cost FROM t""")
+def t13_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, log = F.col("event_id"), table(spark, sf_dir, "events")
+    usage = log.select(F.concat(F.lit("s"), (F.col("user_id") % 50).cast("string")).alias("session_id"), F.concat(F.lit("p"), (n % 2).cast("string")).alias("provider"), F.col("event_type").alias("model"), F.when(n % 7 != 0, n % 900).alias("input_tokens"), (n % 300).alias("output_tokens"))
+    rates = log.select(F.lit("p0").alias("provider"), F.col("event_type").alias("model"), F.lit(0.000002).alias("input_rate"), F.lit(0.000008).alias("output_rate")).distinct()
+    return transcripts.token_usage(usage, rates)

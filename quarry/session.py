@@ -41,5 +41,17 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path that driver and executors share: under ``spark.checkpoint.dir``, else beside the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(table: DataFrame, label: str) -> DataFrame:
+    """``table`` written to a fresh scratch folder and read back: computed once however often it is read, and safe from lost executors."""
+    spark = table.sparkSession
+    path = scratch(spark, label)
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)

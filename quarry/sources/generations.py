@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 PARTS = ("manifest", "chunks", "excluded")
 GENERATION_SCHEMA = "repository_id string, generation_id string, created_at_ms long"
 
 
-def write_generation(path: str, repository_id: str, generation_id: str, created_at_ms: int, manifest: DataFrame, chunks: DataFrame, excluded: DataFrame) -> None:
-    """Write the three tables under the generation's partition, then publish. Rewriting an id replaces its own partition only."""
-    spark = manifest.sparkSession
+def write_generations(path: str, stamps: DataFrame, manifest: DataFrame, chunks: DataFrame, excluded: DataFrame, published: DataFrame | None = None) -> None:
+    """Write the rows of many repositories under their generations, one write a table, then publish.
+
+    ``stamps`` has repository_id, generation_id, created_at_ms, the three tables repository_id; ``published`` are the stamps to
+    publish, all of them by default. Rewriting a generation replaces its own partitions only.
+    """
+    stamps = staged(stamps.select("repository_id", "generation_id", "created_at_ms"), "stamps")
+    named = stamps.select("repository_id", "generation_id").distinct()
     for name, table in zip(PARTS, (manifest, chunks, excluded), strict=True):
-        stamped = table.withColumns({"repository_id": F.lit(repository_id), "generation_id": F.lit(generation_id)})
-        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id", "generation_id").parquet(f"{path}/{name}")
-    row = spark.createDataFrame([(repository_id, generation_id, created_at_ms)], GENERATION_SCHEMA)
-    row.coalesce(1).write.mode("append").parquet(f"{path}/generations")
+        table.join(named, "repository_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id", "generation_id").parquet(f"{path}/{name}")
+    ready = stamps if published is None else published
+    ready.select("repository_id", "generation_id", "created_at_ms").write.mode("append").parquet(f"{path}/generations")
+
+
+def write_generation(path: str, repository_id: str, generation_id: str, created_at_ms: int, manifest: DataFrame, chunks: DataFrame, excluded: DataFrame) -> None:
+    """The same for one repository whose tables do not name it."""
+    stamp = manifest.sparkSession.range(1).select(F.lit(repository_id).alias("repository_id"), F.lit(generation_id).alias("generation_id"), F.lit(created_at_ms).cast("long").alias("created_at_ms"))
+    named = [t.withColumn("repository_id", F.lit(repository_id)) for t in (manifest, chunks, excluded)]
+    write_generations(path, stamp, *named)
 
 
 def read_generation(spark: SparkSession, path: str, part: str) -> DataFrame:

@@ -99,6 +99,21 @@ def read_repo_tree(spark: SparkSession, roots: dict[str, str], max_bytes: int =
     return spark.read.format("repo_tree").option("roots", "\n".join(f"{k}={v}" for k, v in roots.items())).option("max_bytes", str(max_bytes)).load()
 
 
+def write_tree(files: DataFrame, root: str) -> DataFrame:
+    """Write each text to ``root/repository_id/relative_path`` from the tasks; the folder must be mounted everywhere. Returns what was written."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for repository, path, text in zip(frame["repository_id"], frame["relative_path"], frame["text"], strict=True):
+                target = os.path.join(root, repository, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as f:
+                    f.write((text or "").encode())
+            yield frame[["repository_id", "relative_path"]]
+
+    return files.select("repository_id", "relative_path", "text").mapInPandas(run, "repository_id string, relative_path string")
+
+
 def _decode(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
 

@@ -18,53 +18,97 @@ def dedupe_segments(segments: DataFrame, late: str = LATE) -> DataFrame:
     return segments.withWatermark("ts", late).dropDuplicatesWithinWatermark([*SEGMENT, "revision"])
 
 
-def final_segments(segments: DataFrame, late: str = LATE) -> DataFrame:
-    """Latest revision of every final segment, emitted once the watermark has passed its last change (append)."""
-    wide = [c for c in segments.columns if c not in (*SEGMENT, "ts")]
-    best = segments.filter("is_final").withWatermark("ts", late).groupBy(F.session_window("ts", "30 seconds"), *SEGMENT)
-    return best.agg(F.max_by(F.struct(*wide, "ts"), "revision").alias("s")).select(*SEGMENT, "s.*")
+def _timer(state: GroupState, at_ms: int) -> None:
+    """Wake the group when the watermark passes a time, or as soon as may be where it has passed already."""
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, at_ms))
+
+
+def final_segments(segments: DataFrame, late: str = LATE, settle_ms: int = 600_000, keep_ms: int = 3_600_000) -> DataFrame:
+    """Latest revision of every final segment, once: when the watermark is ``settle_ms`` past its last change.
+
+    An emitted key is remembered for ``keep_ms`` more, so a revision that comes later still never makes a second row.
+    """
+    columns = segments.columns
+    rest = [c for c in columns if c not in (*SEGMENT, "ts")]
+    at = rest.index("revision")
+    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *held, ts, emitted = state.get if state.exists else (*[None] * len(rest), 0, False)
+        if state.exists and not emitted and state.getCurrentWatermarkMs() >= ts + settle_ms:
+            emitted = True
+            row = dict(zip(SEGMENT, key, strict=True)) | dict(zip(rest, held, strict=True)) | {"ts": pd.Timestamp(ts, unit="ms", tz="UTC")}
+            yield pd.DataFrame([row], columns=columns)
+        elif state.hasTimedOut and emitted:
+            state.remove()
+            return
+        if not state.hasTimedOut and not emitted:
+            for frame in frames:
+                for r in frame.to_dict("records"):
+                    if held[at] is None or r["revision"] > held[at]:
+                        held = [r[c] for c in rest]
+                    ts = max(ts, int(r["ts"].timestamp() * 1000))
+        state.update((*held, ts, emitted))
+        _timer(state, ts + settle_ms + (keep_ms if emitted else 0))
+
+    state_schema = ", ".join(f"{c} {kinds[c]}" for c in rest) + ", last long, emitted boolean"
+    return segments.filter("is_final").withWatermark("ts", late).groupBy(*SEGMENT).applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 TURN_SCHEMA = "session_id string, source string, stream_epoch int, turn_id long, text string, start_ms long, end_ms long"
+WAITING = "w_sequence array<long>, w_text array<string>, w_start array<long>, w_end array<long>, w_last array<boolean>, w_ts array<long>"
 
 
-def assemble_turns(finals: DataFrame, late: str | None = LATE) -> DataFrame:
-    """Turns as they end; an open turn is emitted when its stream has been silent past the watermark.
+def assemble_turns(finals: DataFrame, late: str | None = LATE, silence_ms: int = 60_000, keep_ms: int = 3_600_000) -> DataFrame:
+    """Turns as they end, in sequence order; an open turn is emitted when its stream has been silent for ``silence_ms``.
 
-    ``late`` is None when the input already has its watermark (one stream has one).
+    Segments wait until the watermark has passed them, so one that comes late but within it still joins its own turn. The turn
+    number of a silent stream is remembered for ``keep_ms``. ``late`` is None when the input already has its watermark (one
+    stream has one).
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turn, texts, start, end = state.get if state.exists else (0, [], None, None)
-        texts, out = list(texts), []
-        if state.hasTimedOut:
-            if texts:
+        turn, texts, start, end, last, *held = state.get if state.exists else (0, [], None, None, 0, [], [], [], [], [], [])
+        texts, waiting, out, now = list(texts), list(zip(*held, strict=True)), [], state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for frame in frames:
+                for r in frame.itertuples():
+                    waiting.append((r.sequence, r.text, r.start_ms, r.end_ms, bool(r.is_turn_end), int(r.ts.timestamp() * 1000)))
+        waiting.sort(key=lambda w: w[0])
+        while waiting and waiting[0][5] <= now:
+            _, text, a, b, ends, ts = waiting.pop(0)
+            texts.append(text)
+            start, end, last = a if start is None else min(start, a), b if end is None else max(end, b), max(last, ts)
+            if ends:
                 out.append((*key, turn, " ".join(texts), start, end))
+                turn, texts, start, end = turn + 1, [], None, None
+        if not waiting and texts and now >= last + silence_ms:
+            out.append((*key, turn, " ".join(texts), start, end))
+            turn, texts, start, end = turn + 1, [], None, None
+        if state.hasTimedOut and not waiting and not texts and now >= last + keep_ms:
             state.remove()
         else:
-            rows = pd.concat(list(frames)).sort_values("sequence")
-            for r in rows.itertuples():
-                texts.append(r.text)
-                start = r.start_ms if start is None else min(start, r.start_ms)
-                end = r.end_ms if end is None else max(end, r.end_ms)
-                if r.is_turn_end:
-                    out.append((*key, turn, " ".join(texts), start, end))
-                    turn, texts, start, end = turn + 1, [], None, None
-            state.update((turn, texts, start, end))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + 60_000)
+            columns = [list(c) for c in zip(*waiting, strict=True)] or [[] for _ in range(6)]
+            state.update((turn, texts, start, end, last, *columns))
+            _timer(state, waiting[0][5] if waiting else last + (silence_ms if texts else keep_ms))
         yield pd.DataFrame(out, columns=["session_id", "source", "stream_epoch", "turn_id", "text", "start_ms", "end_ms"])
 
     marked = finals.withWatermark("ts", late) if late else finals
-    return marked.groupBy(*STREAM).applyInPandasWithState(
-        step, TURN_SCHEMA, "turn long, texts array<string>, start long, end long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    state_schema = f"turn long, texts array<string>, start long, end long, last long, {WAITING}"
+    return marked.groupBy(*STREAM).applyInPandasWithState(step, TURN_SCHEMA, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def debounce_turns(turns: DataFrame, pause: str = "550 milliseconds", late: str = LATE) -> DataFrame:
-    """Turns (with ``ts``) closer than the pause, by session windows."""
-    return turns.withWatermark("ts", late).groupBy(F.session_window("ts", pause), "session_id", "source").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_ms", "turn_id", "text"))), lambda s: s["text"]), " ").alias("text"),
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+def debounce_turns(turns: DataFrame, pause_ms: int = 550, late: str = LATE) -> DataFrame:
+    """Turns (with ``ts``, their start) closer than the pause to the furthest end before them, by session windows.
+
+    The gap of a turn is its duration and the pause, less a microsecond since windows that touch are one, so they meet exactly
+    where one turn starts before another's end plus pause.
+    """
+    gap = F.concat(((F.col("end_ms") - F.col("start_ms") + pause_ms) * 1000 - 1).cast("string"), F.lit(" microseconds"))
+    spoken = F.sort_array(F.collect_list(F.struct("start_ms", "stream_epoch", "turn_id", "text")))
+    return turns.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "session_id", "source").agg(
+        F.array_join(F.transform(spoken, lambda s: s["text"]), " ").alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")
     )
 
 

@@ -87,7 +87,7 @@ def test_explicit_inclusion(spark):
 def test_cap(spark):
     rows = spark.createDataFrame([("a", f"f{i}") for i in range(5)] + [("b", "x"), ("b", "y")], "repository_id string, relative_path string")
     got = discovery.cap_files(rows, 3).collect()
-    assert sorted((r.repository_id, r.relative_path, r.truncated) for r in got) == [("a", "f0", True), ("a", "f1", True), ("a", "f2", True), ("b", "x", False), ("b", "y", False)]
+    assert sorted((r.repository_id, r.relative_path, r.truncated is not None) for r in got) == [("a", "f0", True), ("a", "f1", True), ("a", "f2", True), ("b", "x", False), ("b", "y", False)]
 
 
 def brute_walk(entries: dict[str, tuple[str, str | None]], options: DiscoveryOptions) -> dict[str, str]:

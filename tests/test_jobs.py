@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.operators import manifest, retrieval, secrets, transcripts
@@ -75,14 +76,15 @@ def test_secrets(spark):
     assert found == {(2, "assignment"), (3, "cloud-key"), (4, "private-key"), (5, "private-key"), (6, "private-key"), (7, "private-key"), (8, "assignment")}
 
 
-def test_retrieval(spark):
+def test_retrieval(spark, tmp_path):
     chunks = spark.createDataFrame(
         [(1, "getUserName loads users", "r", "a.py", 1, 10, "python", 10), (2, "user name text", "r", "a.py", 5, 12, "markdown", 10), (3, "nothing else", "r", "b.py", 1, 3, "python", 10)],
         "chunk_id long, text string, repository_id string, relative_path string, start_line int, end_line int, language string, estimated_tokens int",
     )
     questions = spark.createDataFrame([(7, "where is getUserName?"), (8, "zzz")], "query_id long, text string")
-    index = retrieval.build_term_index(chunks)
-    exact = retrieval.search_exact(questions, index[0], 5)
+    retrieval.write_term_index(retrieval.build_term_index(chunks), f"file://{tmp_path}/index", 3)
+    index = retrieval.read_term_index(spark, f"file://{tmp_path}/index")
+    exact = retrieval.search_exact(questions, index, 5)
     assert [(r.chunk_id, r.score) for r in exact.filter("query_id = 7").orderBy("rank").collect()] == [(2, 2), (1, 1)]  # distinct terms: user and name, then the identifier
     bm25 = retrieval.search_bm25(questions, index, 5)
     assert [r.chunk_id for r in bm25.filter("query_id = 7").orderBy("rank").collect()] == [1, 2]
@@ -90,8 +92,13 @@ def test_retrieval(spark):
     assert [r.chunk_id for r in retrieval.drop_overlaps(fused, chunks).collect()] == [1]
     preferred = retrieval.prefer_implementation(fused, chunks, F.lit(True)).orderBy("rank").collect()
     assert preferred[0].chunk_id == 1
-    pack = retrieval.assign_source_ids(retrieval.build_evidence_pack(fused, chunks, token_budget=15))
-    assert [(r.chunk_id, r.source_id) for r in pack.collect()] == [(1, "S1")]
+    named = chunks.withColumns({"generation_id": F.lit("g"), "file_hash": F.lit("h")})
+    items = retrieval.build_evidence_pack(fused, chunks, token_budget=15)
+    assert [(r.query_id, [i.chunk_id for i in r["items"]], r.tokens_used, r.token_budget) for r in retrieval.packs(items, 15).collect()] == [(7, [1], 10, 15)]
+    pack = retrieval.assign_source_ids(items, named)
+    assert [(r.chunk_id, r.source_id, r.relative_path, r.start_line, r.generation_id) for r in pack.collect()] == [(1, "S1", "a.py", 1, "g")]
+    in_path = retrieval.search_exact(spark.createDataFrame([(9, "open src please")], "query_id long, text string"), retrieval.build_term_index(chunks.withColumn("relative_path", F.concat(F.lit("Src/"), "relative_path"))), 5)
+    assert [r.chunk_id for r in in_path.orderBy("rank").collect()] == [1, 2, 3]
     cited = spark.createDataFrame([(7, ["S1", "S9"])], "query_id long, cited array<string>")
     assert {(r.source_id, r.resolved) for r in retrieval.validate_citations(cited, pack).collect()} == {("S1", True), ("S9", False)}
     assert {(r.query_id, r.status) for r in retrieval.insufficient_evidence(questions, pack).collect()} == {(7, "established"), (8, "not established")}
@@ -103,6 +110,23 @@ def test_semantic_needs_same_version_and_width(spark):
     assert [r.chunk_id for r in retrieval.search_semantic(asked, vectors, 5).orderBy("rank").collect()] == [1, 2]
 
 
+def test_semantic_equals_brute_force_over_blocks_and_tiles(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 64 * 4)
+    monkeypatch.setattr(retrieval, "TILE_BYTES", 1)
+    draw = np.random.default_rng(3)
+    data = np.round(draw.normal(size=(300, 6)), 1)
+    data[50:60] = data[40]  # ties
+    rows = [(i, "m", [float(x) for x in v]) for i, v in enumerate(data)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, model_version string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame(rows[::3], "query_id long, model_version string, vector array<double>")
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieval.search_semantic(asked, vectors, 7).collect()}
+    unit = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-12)
+    for q in range(0, 300, 3):
+        cosine = np.round(unit @ unit[q], 6)
+        best = sorted(range(300), key=lambda i: (-cosine[i], i))[:7]
+        assert [got[q, k] for k in range(1, 8)] == best
+
+
 def test_outcomes_and_revisions(spark):
     events = spark.createDataFrame(
         [(1, "a", 1, "r", 10, "answer.delta", "He"), (2, "a", 1, "r", 11, "answer.delta", "y"), (3, "a", 1, "r", 12, "answer.completed", ""), (4, "b", 1, "r", 10, "answer.delta", "x"), (5, "b", 1, "r", 11, "answer.failed", ""), (6, "c", 1, "r", 1, "answer.canceled", "")],

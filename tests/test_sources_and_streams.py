@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from quarry.operators import discovery, transcripts
+from quarry.options import DiscoveryOptions
 from quarry.sources import generations, repo_tree
 from quarry.streaming import transcripts as streams
 
@@ -81,3 +82,82 @@ def test_stream_turns_equal_batch(spark, tmp_path):
     key = ["session_id", "source", "turn_id", "text", "start_ms", "end_ms"]
     batch = transcripts.assemble_turns(transcripts.final_segments(rows))
     assert sorted(map(tuple, out.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
+
+
+SCHEMA = "session_id string, source string, stream_epoch int, sequence long, text string, start_ms long, end_ms long, is_final boolean, is_turn_end boolean, revision int"
+ORIGIN = 1_700_000_000_000
+
+
+def stream_batches(spark, tmp_path, batches, flow, schema, stamp):
+    """Each list of rows is one micro-batch, in order; a marker far ahead in time closes the stream."""
+    source, name = f"{tmp_path}/in", f"out_{tmp_path.name.replace('-', '_')}"
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, schema).withColumn("ts", stamp)
+        frame.coalesce(1).write.parquet(f"file://{source}/{k}")
+        for f in (tmp_path / "in" / str(k)).iterdir():
+            os.utime(f, (1_700_000_000 + 10 * k, 1_700_000_000 + 10 * k))
+    read = spark.readStream.schema(spark.read.parquet(f"file://{source}/0").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{source}")
+    query = flow(read).writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    return spark.table(name).filter("session_id <> 'z'")
+
+
+def marker(at_ms, sequence=0):
+    return ("z", "call", 0, sequence, "m", at_ms, at_ms, True, True, 0)
+
+
+def test_stream_finals_with_late_revisions(spark, tmp_path):
+    """A revision minutes later replaces the first; one after emission makes no second row."""
+    first = [("s", "call", 0, 0, "draft", 0, 900, True, True, 0), ("s", "call", 0, 1, "other", 1_000, 1_900, True, True, 3)]
+    later = [("s", "call", 0, 0, "final", 0, 900, True, True, 1)]
+    stamp = F.timestamp_millis(F.lit(ORIGIN) + F.col("start_ms") + F.col("revision") * 120_000)
+    late = [("s", "call", 0, 0, "too late", 2_000_000, 900, True, True, 5)]
+    out = stream_batches(spark, tmp_path, [first, later, [marker(1_900_000)], late, [marker(90_000_000, 1)]], streams.final_segments, SCHEMA, stamp)
+    batch = transcripts.final_segments(spark.createDataFrame(first + later, SCHEMA))
+    key = ["session_id", "sequence", "text", "revision"]
+    assert sorted(map(tuple, out.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
+
+
+def test_stream_turns_with_late_segments(spark, tmp_path):
+    """A segment that comes a batch late joins its own turn; the open turn comes out after silence."""
+    rows = [("s", "call", 0, k, f"w{k}", 1_000 * k, 1_000 * k + 900, True, k in (2, 5), 1) for k in range(8)]
+    stamp = F.timestamp_millis(F.lit(ORIGIN) + F.col("start_ms"))
+    batches = [[rows[0], rows[2]], [rows[1], rows[4]], [rows[3], rows[6], rows[5]], [rows[7]], [marker(10_000_000)], [marker(20_000_000, 1)], [marker(30_000_000, 2)]]
+    out = stream_batches(spark, tmp_path, batches, streams.assemble_turns, SCHEMA, stamp)
+    batch = transcripts.assemble_turns(spark.createDataFrame(rows, SCHEMA))
+    key = ["session_id", "source", "stream_epoch", "turn_id", "text", "start_ms", "end_ms"]
+    assert sorted(map(tuple, out.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
+
+
+def test_stream_utterances_equal_batch(spark, tmp_path):
+    """Turns longer than the pause, one inside another, a gap of exactly the pause, out of order."""
+    schema = "session_id string, source string, stream_epoch int, turn_id long, text string, start_ms long, end_ms long"
+    spans = [(0, 5_000), (5_400, 6_000), (6_550, 7_000), (1_000, 1_500), (20_000, 40_000), (25_000, 26_000), (40_549, 41_000)]
+    rows = [("s", "call", 0, k, f"t{k}", a, b) for k, (a, b) in enumerate(spans)] + [("s", "me", 0, 0, "x", 5_100, 5_200)]
+    stamp = F.timestamp_millis(F.lit(ORIGIN) + F.col("start_ms"))
+    closing = [("z", "me", 0, 0, "m", 90_000_000, 90_000_001)]
+    out = stream_batches(spark, tmp_path, [[rows[4], *rows[:3]], rows[5:] + [rows[3]], closing], streams.debounce_turns, schema, stamp)
+    batch = transcripts.debounce_turns(spark.createDataFrame(rows, schema))
+    key = ["session_id", "source", "text", "start_ms", "end_ms"]
+    assert sorted(map(tuple, out.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
+
+
+def test_unreadable_directories_and_truncation(spark, tmp_path):
+    rows = [("r", "locked", "dir", None, None), ("r", "locked", "unreadable", None, None), ("r", "node_modules", "dir", None, None), ("r", "node_modules/x", "unreadable", None, None)]
+    rows += [("r", f"f{i}.ts", "file", 10, "x") for i in range(5)] + [("q", "a.ts", "file", 10, "x"), ("q", "b.bin", "file", 10, "x")]
+    files = spark.createDataFrame(rows, "repository_id string, relative_path string, entry_type string, size_bytes long, text string")
+    got = {(r.repository_id, r.relative_path): r for r in discovery.discover(files, DiscoveryOptions(max_files=3)).collect()}
+    assert (got["r", "locked"].reason, got["r", "locked"].origin, got["r", "locked"].status) == (discovery.UNREADABLE, "boundary", "skipped")
+    assert ("r", "node_modules/x") not in got and ("r", "f3.ts") not in got and ("r", "f2.ts") in got
+    assert got["r", "locked"].truncated.limit == 3 and "3 files" in got["r", "f0.ts"].truncated.message
+    assert got["q", "a.ts"].truncated is None
+    dispositions, chunks = discovery.ingest(files, DiscoveryOptions(max_files=3))
+    assert sorted(r.status for r in dispositions.collect() if r.repository_id == "r") == ["indexed"] * 3 + ["skipped"] * 2
+    assert chunks.select("repository_id", "relative_path").distinct().count() == 4
+
+
+def test_tree_is_written_and_read(spark, tmp_path):
+    files = spark.createDataFrame([("r", "a/b.txt", "héllo"), ("q", "c.txt", None)], "repository_id string, relative_path string, text string")
+    assert repo_tree.write_tree(files, str(tmp_path / "out")).count() == 2
+    tree = repo_tree.read_text_files(repo_tree.read_repo_tree(spark, {k: str(tmp_path / "out" / k) for k in ("r", "q")}))
+    assert {(r.repository_id, r.relative_path): r.text for r in tree.collect()} == {("r", "a"): None, ("r", "a/b.txt"): "héllo", ("q", "c.txt"): ""}
