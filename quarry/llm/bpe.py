@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import holding, slices
 
 #: White space as the library's pattern engine has it.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -250,6 +250,7 @@ def encode(docs: DataFrame, vocabulary: str, with_ids: bool = True, with_text: b
     key, source = hashlib.sha256(content.encode()).hexdigest(), spark.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("bpe", _MODELS.clear)
         model = _model(key, source)
         for part in slices(batches, "text", 1 << 19, 1024):
             rows = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}

@@ -7,7 +7,7 @@ tests, a folder beside the warehouse is set once; on a cluster that would be one
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,20 @@ def drop_staged(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._quarry_path)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holding(owner: str, drop: Callable[[], None] | None = None) -> None:
+    """Called in a worker by an operator that begins: what other operators keep in its memory between tasks is dropped.
+
+    ``drop`` empties what the owner itself keeps, when another operator comes.
+    """
+    for other in [o for o in _HELD if o != owner]:
+        _HELD.pop(other)()
+    if drop is not None:
+        _HELD[owner] = drop
+
+
 #: Keys with more than this share of the rows are dealt to many tasks; there are at most 1 / share of them.
 HOT_SHARE, SALTS = 0.005, 32
 
@@ -110,7 +124,7 @@ BYTE_MIX = fmix(np.arange(1, 257, dtype=np.uint64))
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the rolling base and of its inverse modulo 2**64, up to exponent ``n``."""
     if _POW["n"] < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for key, base in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size + 1, base, dtype=np.uint64)
             steps[0] = 1

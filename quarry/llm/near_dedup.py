@@ -22,13 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_staged, fmix, hot_join, slices, staged, utf8, word_hashes
+from .common import drop_staged, fmix, holding, hot_join, slices, staged, utf8, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -94,6 +93,7 @@ def _profile(bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("words", pa.binary()), ("n_shingles", pa.int32()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("near_dedup")
         for part in slices(batches, "text"):
             data, offsets = utf8(part.column("text"))
             n = part.num_rows
@@ -129,6 +129,7 @@ def word_digests(hashes: np.ndarray, docs: np.ndarray, n: int) -> list[bytes]:
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, shingles, weights (empty where all are 1) and, where ``wide``, a sketch: one byte of each of ``SKETCH`` registers."""
+    holding("near_dedup")
     for part in slices(batches, "text", max_rows=512):
         n = part.num_rows
         data, offsets = utf8(part.column("text"))
@@ -169,23 +170,24 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((1.0 / (above_y[at] / cy + below_x[at] / cx)).sum())
 
 
-def _similarity(sa: pd.Series, wa: pd.Series, sb: pd.Series, wb: pd.Series) -> pd.Series:
-    out = np.zeros(len(sa))
-    for i, (a, x, b, y) in enumerate(zip(sa, wa, sb, wb, strict=True)):
-        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        out[i] = probability_jaccard(
-            a, np.frombuffer(x, np.int32) if x else np.ones(len(a), np.int32), b, np.frombuffer(y, np.int32) if y else np.ones(len(b), np.int32)
-        )
-    return pd.Series(out)
+def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their two weighted sets to pairs with their similarity."""
+    holding("near_dedup")
+    weights = lambda raw, n: np.frombuffer(raw, np.int32) if len(raw) else np.ones(n, np.int32)
+    for batch in batches:
+        out = np.zeros(batch.num_rows)
+        for i, (a, x, b, y) in enumerate(zip(*(batch.column(c) for c in ("sa", "wa", "sb", "wb")), strict=True)):
+            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            out[i] = probability_jaccard(a, weights(x.as_buffer(), len(a)), b, weights(y.as_buffer(), len(b)))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], names=["a", "b", "similarity"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with their exact similarity."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    similarity = F.pandas_udf(_similarity, "double")
     joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    return joined.select("a", "b", similarity("sa", "wa", "sb", "wb").alias("similarity"))
+    return joined.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(_similarity, "a long, b long, similarity double")
 
 
 def fits(x: Column, y: Column, threshold: float) -> Column:
@@ -225,6 +227,7 @@ def _meet(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("near_dedup")
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
