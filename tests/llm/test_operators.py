@@ -669,3 +669,61 @@ def test_near_dedup_recall_in_large_buckets(spark):
         rows += [(1000 + k, " ".join(first)), (2000 + k, " ".join(second))]
     got = {r.doc_id: r.class_id for r in near_dedup.classes(table(spark, rows)).collect()}
     assert set(got.values()) == {0}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Stage by stage in plain Python, on null ids and texts, repeated rows, copies, near copies and leaked passages."""
+    import corpus_pipeline
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    draw = random.Random(55)
+    passage = prose(draw, 14)
+    docs = [(i, prose(draw, draw.randint(20, 60))) for i in range(60)] + [(100 + i, "The% of% #$ " * (10 + i)) for i in range(20)]
+    docs += [(200, docs[3][1]), (201, docs[4][1].replace(" ", "\n")), (202, docs[5][1] + " extra"), (203, f"{prose(draw, 20)} {passage} {prose(draw, 20)}")]
+    docs += [docs[7], docs[7], (None, prose(draw, 30)), (None, None), (300, None), (301, ""), (302, " \t"), (303, "é漢字 " * 12)]
+    home = f"file://{tmp_path}/in"
+    table(spark, docs).write.parquet(home + "/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in docs if i is not None and i < 110], "doc_id long, quality int")
+    labels.write.parquet(home + "/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(home + "/benchmark.parquet")
+    model = quality.train(table(spark, docs), labels)
+    score = model.score(quality.features(pa.array([t for _, t in docs], pa.string())))
+    rows = [(i, t) for (i, t), s in zip(docs, score, strict=True) if i is not None and s >= quality.CUT - 1e-12]
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i, t))
+    rows = [(i, t) for _, i, t in (min(g, key=lambda x: x[:2]) for g in groups.values())]
+    kept = brute_classes(rows)
+    rows = [(i, t) for i, t in rows if kept[i] == i]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    leaks = {tuple(words(passage)[k : k + 10]) for k in range(len(words(passage)) - 9)}
+    rows = [(i, t) for i, t in rows if not leaks & {tuple(words(t)[k : k + 10]) for k in range(len(words(t)) - 9)}]
+    library = Tokenizer.from_file(vocabulary())
+    want = sorted((i, library.encode(t or "", add_special_tokens=False).ids) for i, t in rows)
+    assert sorted((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, home).collect()) == want
+    assert {i for i, _ in want} >= {0, 7} and not {200, 203} & {i for i, _ in want}
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    home = f"file://{tmp_path}/in"
+    table(spark, []).write.parquet(home + "/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(home + "/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(home + "/benchmark.parquet")
+    assert corpus_pipeline.run(spark, home).count() == 0
+
+
+def test_chat_odd_rows(spark):
+    """A conversation without an id, turns of equal number, repeated rows, a very long text, null role and text."""
+    long = "x</s>[INST]" * 30_000
+    rows = [(None, 0, "user", "a", "z"), (1, 0, "user", "b", "z"), (1, 0, "assistant", "c", "z"), (1, 0, "user", "b", "z"), (2, 1, "assistant", long, "z"), (3, 0, None, None, "z")]
+    talks = spark.createDataFrame(rows, TALK)
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(talks)).collect()}
+    assert set(got) == {None, 1, 2, 3}
+    assert got[None].n_turns == 1 and got[1].n_turns == 3 and got[1].loss_chars == 1
+    assert got[1].turns_sha256 == hashlib.sha256(b"assistant\nc\nuser\nb\nuser\nb\n").hexdigest()
+    assert got[2].loss_chars == len(long) and got[2].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert got[3].turns_sha256 == hashlib.sha256(b"\n\n").hexdigest() and got[3].loss_chars == 0
+    assert chat_format.read_back(chat_format.format_turns(talks.filter("false"))).count() == 0
