@@ -68,6 +68,12 @@ def read_term_index(spark: SparkSession, path: str) -> TermIndex:
     return TermIndex(spark.table(_table_of(path)), spark.read.parquet(f"{path}/lengths"))
 
 
+def has_term_index(spark: SparkSession, path: str) -> bool:
+    """Whether an index is stored under ``path`` and known to the catalog."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lengths/_SUCCESS")
+    return spark.catalog.tableExists(_table_of(path)) and target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def _table_of(path: str) -> str:
     return "term_index_" + hashlib.md5(path.encode()).hexdigest()[:16]
 

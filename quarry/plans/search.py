@@ -64,7 +64,7 @@ _STORED: dict[tuple[str, str], str] = {}
 def stored_index(spark: SparkSession, sf_dir: str) -> retrieval.TermIndex:
     """The term index of the passages, written once per application and read by every search."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
+    if key not in _STORED or not retrieval.has_term_index(spark, _STORED[key]):
         path = scratch(spark, "term-index")
         retrieval.write_term_index(retrieval.build_term_index(passages(spark, sf_dir)), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
         _STORED[key] = path
