@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,10 +33,35 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes on exit what :func:`staged` wrote inside; the function it yields names a table that outlives the scope."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+
+    def kept(table: DataFrame) -> DataFrame:
+        paths.remove(table._quarry_path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(table._quarry_path)
+        return table
+
+    try:
+        yield kept
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            remove(spark, path)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a fresh shared table and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._quarry_path = path
     return back
@@ -82,6 +109,41 @@ def hot_join(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str
     return salted.join(groups.withColumn("_salt", copies), [*keys, "_salt"], how).drop("_salt")
 
 
+class Running(NamedTuple):
+    """Rows with the sums inside their part, and one row per part and group with its sums and those of the parts before it."""
+
+    rows: DataFrame
+    parts: DataFrame
+    group: list[str]
+    sums: list[str]
+
+    def totals(self) -> DataFrame:
+        """One row per group with its whole sums."""
+        return self.parts.groupBy(*self.group).agg(*[F.sum(f"_sum_{s}").alias(s) for s in self.sums])
+
+    def joined(self, parts: DataFrame | None = None) -> DataFrame:
+        """Rows with ``_run_`` sums over their group up to and with the row, and what ``parts`` adds to a group's parts; rows of groups that it lacks go."""
+        parts = (self.parts if parts is None else parts).drop(*[f"_sum_{s}" for s in self.sums])
+        out = self.rows.join(parts, ["_part", *self.group])
+        return out.withColumns({f"_run_{s}": F.col(f"_run_{s}") + F.col(f"_before_{s}") for s in self.sums}).drop("_part", "_row", *[f"_before_{s}" for s in self.sums])
+
+
+def running(table: DataFrame, group: list[str], order: list[str], sums: list[str], label: str) -> Running:
+    """Prefix sums of ``sums`` within ``group`` in ``order``, however large a group is.
+
+    Rows are dealt by ranges of (group, order), so that one group fills many parts; sums run inside each part, and what
+    parts before it hold of the same group is added from one small row per part and group. Groups must not be null;
+    rows alike in group and order count in the order in which they were read.
+    """
+    dealt = table.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*group, *order, "_row")
+    dealt = staged(dealt.withColumn("_part", F.spark_partition_id()), label)
+    parts = dealt.groupBy("_part", *group).agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({f"_before_{s}": F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)) for s in sums})
+    inside = Window.partitionBy("_part", *group).orderBy(*order, "_row").rowsBetween(Window.unboundedPreceding, 0)
+    return Running(dealt.withColumns({f"_run_{s}": F.sum(s).over(inside) for s in sums}), parts, group, sums)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 18, max_rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text of each slice stays near ``max_bytes`` (one long text may exceed it)."""
     for batch in batches:
@@ -149,10 +211,8 @@ WORD_BYTE[0x41:0x5B] = np.arange(0x61, 0x7B)
 WORD_BYTE[0x80:] = np.arange(0x80, 0x100)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and text number of every word of texts laid end to end, in order."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lowered word bytes (0 elsewhere) of texts laid end to end, and start, end and text number of every word, in order."""
     low = WORD_BYTE[data]
     inside = np.zeros(len(data) + 2, dtype=bool)
     inside[1:-1] = low != 0
@@ -160,7 +220,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
+    return low, starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and text number of every word of texts laid end to end, in order."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    low, starts, ends, texts = word_spans(data, offsets)
     run = prefix_hash(low)
     _, inv = powers(len(data))
-    hashes = fmix((run[ends] - run[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(offsets, starts, side="right") - 1
+    return fmix((run[ends] - run[starts]) * inv[starts] + (ends - starts).astype(np.uint64)), texts

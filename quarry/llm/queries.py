@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shipped
-from . import bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pii, quality, suffix_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, prefix_trie, quality, resampling, suffix_dedup
+from .sampling_sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 #: The control-laden conversation that the contract adds.
 EXTRA_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -75,6 +76,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    mixed = mixing.copies(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), F.col("size"))
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_exact_dedup, op2_suffix_array_dedup, op3_bpe, op4_chat_format, op5_decontaminate, op6_quality, op7_language_id, op8_pii, op9_line_dedup, op10_minhash, pipeline)}
+    return {f.__name__: shipped(f) for f in (op1_exact_dedup, op2_suffix_array_dedup, op3_bpe, op4_chat_format, op5_decontaminate, op6_quality, op7_language_id, op8_pii, op9_line_dedup, op10_minhash, op11_mix_sources, op12_importance_resampling, op13_prefix_trie, pipeline)}
 
 
 OP1_SQL = r"""
@@ -135,7 +150,7 @@ FROM d LEFT JOIN w USING (doc_id) LEFT JOIN i USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_line_dedup": OP9_SQL, "op11_mix_sources": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_prefix_trie": OP13_SQL}
 
 
 OP9_SQL = r"""
