@@ -19,7 +19,9 @@ CASES = [
     ("?.c", "x.c", False, True), ("?.c", "xy.c", False, False), ("*.a\n!k.a", "k.a", False, False), ("!k.a\n*.a", "k.a", False, True),
     ("a.b", "aXb", False, False), ("README", "readme", False, False), ("\\#x", "#x", False, True), ("\\!x", "!x", False, True), ("# note", "# note", False, False),
     ("x  ", "x", False, True), ("x\\ ", "x ", False, True), ("x\r", "x", False, True), ("a**b", "aXXb", False, True), ("a**b", "a/b", False, False),
-    ("[a", "[a", False, True), ("\\*", "*", False, True), ("\\*", "x", False, False), ("[]x]", "]", False, True), ("", "a", False, False),
+    ("[a", "[a", False, True), ("\\*", "*", False, True), ("\\*", "x", False, False), ("[]x]", "]", False, False), ("", "a", False, False),
+    ("[a&&b].ts", "&.ts", False, True), ("[a&&b].ts", "b.ts", False, True), ("[\\Q]x", "Qx", False, True), ("[^]]x", "a]x", False, True), ("[^]]x", "x", False, False), ("[\\d-z]", "-", False, True),
+    ("[\\d-z]", "5", False, True), ("[\\x41-C]", "B", False, True), ("[!\\w]", "é", False, True), ("[[:a]", ":", False, True), ("[+--]", ",", False, True), ("x[a]y/*", "xay/b", False, True), ("a/**/b.c", "a/x/y/b.c", False, True),
 ]
 
 
@@ -90,6 +92,72 @@ def test_cap(spark):
     assert sorted((r.repository_id, r.relative_path, r.truncated is not None) for r in got) == [("a", "f0", True), ("a", "f1", True), ("a", "f2", True), ("b", "x", False), ("b", "y", False)]
 
 
+def in_python(pattern: str) -> str:
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern)
+
+
+def brute_class(body: str, char: str) -> bool:
+    """Membership by a literal reading of a class body: escapes, then ranges, one character after another."""
+    negated = body[:1] in ("!", "^")
+    body = body[1:] if negated else body
+    units, at = [], 0
+    while at < len(body):
+        if body[at] == "\\":
+            c = body[at + 1]
+            units.append(set("0123456789") if c == "d" else c)
+            at += 2
+        else:
+            units.append(body[at])
+            at += 1
+    found, at = False, 0
+    while at < len(units):
+        one = units[at]
+        if at + 2 < len(units) and units[at + 1] == "-" and isinstance(one, str) and isinstance(units[at + 2], str):
+            found |= one <= char <= units[at + 2]
+            at += 3
+            continue
+        found |= char in one if isinstance(one, set) else char == one
+        at += 1
+    return found != negated
+
+
+def test_random_classes(spark):
+    """Classes of odd characters against a literal reading; none loses the rule beside it."""
+    draw, files, paths, want = random.Random(5), [], [], {}
+    pieces = ["a", "b", "&&", "\\Q", "\\E", "^", "-", "[", "(", "|", "*", "\\]", "\\\\", "\\d", "0-4", "b-e", "~", "#", ".", "é", "{", "$"]
+    chars = "abcdefQE^-[](|*\\059&~#.é{$!z"
+    for i in range(150):
+        body = draw.choice(["", "!"]) + "".join(draw.choice(pieces) for _ in range(draw.randint(1, 4)))
+        if body in ("!", "") or body.lstrip("!").startswith("]") or body.endswith("\\"):
+            continue
+        char = draw.choice(chars)
+        try:
+            ignore.compile_rule(f"[{body}].q")
+        except re.error:
+            continue
+        if "-" in body and (body.count("-") > 1 or "\\d-" in body or "-\\d" in body):
+            continue  # the golden cases hold sets beside hyphens
+        files.append((f"c{i}", "", ".gitignore", 1, f"[{body}].q\n*.log"))
+        paths += [(f"c{i}", f"{char}.q", False), (f"c{i}", "x.log", False)]
+        want[f"c{i}"] = (body, char, brute_class(body, char))
+    got = decisions(spark, files, paths)
+    assert len(want) > 60
+    for repo, (body, char, hit) in want.items():
+        assert got[repo, f"{char}.q", False].ignored == hit, (body, char)
+        assert got[repo, "x.log", False].ignored
+
+
+def test_rules_are_met_by_key(spark):
+    """Literal names, endings and first directories are looked up; only wildcards meet every path of their branch."""
+    rules = "\n".join(["README", "*.log", "docs/**", "/a*", "x/**/y.ts", "**/deep", "b[!x]c.md"])
+    kinds = [ignore.compile_rule(r).key_kind for r in rules.split("\n")]
+    assert kinds == ["name", "ending", "first", "any", "name", "name", "ending"]
+    rows = spark.createDataFrame([("r", "", ".gitignore", 1, rules)], "repository_id string, base_dir string, origin string, origin_order int, text string")
+    asked = spark.createDataFrame([("r", p, False) for p in ("src/m.py", "docs/m.py", "a/b.log", "q/README")], "repository_id string, relative_path string, is_dir boolean")
+    met = ignore.candidates(asked, ignore.parse_ignore_files(rows)).groupBy("relative_path").count().collect()
+    assert {r.relative_path: r["count"] for r in met} == {"src/m.py": 1, "docs/m.py": 2, "a/b.log": 2, "q/README": 2}
+
+
 def brute_walk(entries: dict[str, tuple[str, str | None]], options: DiscoveryOptions) -> dict[str, str]:
     """A literal recursive walk with the same rules, for random trees of plain files and directories."""
     children: dict[str, list[str]] = {}
@@ -105,7 +173,7 @@ def brute_walk(entries: dict[str, tuple[str, str | None]], options: DiscoveryOpt
             scoped = path[len(base) + 1 :] if base else path
             for line in rules:
                 rule = ignore.compile_rule(line)
-                if rule and (is_dir or not rule[1]) and re.fullmatch(rule[2], scoped):
+                if rule and (is_dir or not rule.directory_only) and re.fullmatch(in_python(rule.regex), scoped, re.S):
                     last = rule
         return last
 
@@ -119,7 +187,7 @@ def brute_walk(entries: dict[str, tuple[str, str | None]], options: DiscoveryOpt
         for path in children.get(here, []):
             kind, name = entries[path][0], path.rpartition("/")[2]
             rule = verdict(stack, path, kind == "dir")
-            if rule and not rule[0]:
+            if rule and not rule.negated:
                 out[path] = "skipped"
             elif kind == "dir":
                 if not rule and name in ("node_modules", ".git", "dist"):
