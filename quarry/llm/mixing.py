@@ -53,9 +53,10 @@ def offset(source: Column, seed: int = SEED) -> Column:
 
 
 def copies(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, source and any other columns) with ``mix``: a struct of size, source_size, target and copies."""
-    keyed = docs.withColumns({"_size": size, "_one": F.lit(1).cast("long"), "_key": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
-    ranked = running(keyed, ["_key"], ["_size", "doc_id"], ["_one", "_size"], "mix")
+    """``docs`` (doc_id, source and any other columns) with ``mix``, in place of a column of that name: a struct of size, source_size, target and copies."""
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    keyed = docs.select(F.struct(*[c for c in docs.columns if c.lower() != "mix"]).alias("_doc"), F.col("doc_id").alias("_id"), size.alias("_size"), F.lit(1).cast("long").alias("_one"), key.alias("_key"))
+    ranked = running(keyed, ["_key"], ["_size", "_id"], ["_one", "_size"], "mix")
     key = F.col("_key")
     sources = ranked.totals().select(F.when(key != "", F.substr(key, F.lit(2))).alias("source"), F.col("_size").alias("source_size"), key)
     aimed = source_targets(sources, weights, share, most)
@@ -65,10 +66,10 @@ def copies(docs: DataFrame, size: Column, weights: Sequence[float] = WEIGHTS, sh
     reached = lambda n: F.floor(F.col("_aim.rate") * n + F.col("_aim.offset"))
     n = F.col("_run__one")
     taken = (reached(n) - reached(n - 1)).cast("long")
-    return rows.select(*docs.columns, F.struct(F.col("_size").alias("size"), "_aim.source_size", "_aim.target", taken.alias("copies")).alias("mix"))
+    return rows.select("_doc.*", F.struct(F.col("_size").alias("size"), "_aim.source_size", "_aim.target", taken.alias("copies")).alias("mix"))
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mixed corpus itself: every document as often as it is taken, with ``copy_no`` from 1."""
     named = copies(docs, word_count(F.col("text")), weights, share, most, seed).filter("mix.copies > 0")
-    return named.select(*[c for c in docs.columns if c != "copy_no"], F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies"))).alias("copy_no"))
+    return named.select(*[c for c in docs.columns if c.lower() not in ("mix", "copy_no")], F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies"))).alias("copy_no"))
