@@ -1,46 +1,62 @@
 """Secret redaction and findings. The rules are this library's own; a found value is never emitted.
 
-Replacement keeps every line break, so line numbers hold. A PEM block is replaced line by line.
+Replacement keeps every line break, so line numbers hold. A private key block runs from its begin mark to its end mark; where no
+end mark comes before the next begin mark or the end of the text, it runs over the rest of its line and the lines behind that look
+like key material (base64, header fields, blank lines). The text is cut at the marks and each block is rewritten by a pattern
+that never spans lines, so the work is linear in the text, and what is found and what is redacted are the same lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines
 
-#: name, pattern, replacement (the assignment rules keep the key).
+#: name, pattern, replacement (the assignment rules keep the key). No pattern matches across lines.
 RULES = (
-    ("assignment", r"(?i)\b(password|passwd|secret|token|api_key|apikey|access_key)(\s?[=:]\s?)(\"[^\"\r\n]{8,}\"|'[^'\r\n]{8,}'|[A-Za-z0-9_./+-]{8,})", "$1$2[REDACTED]"),
+    ("assignment", r"(?i)\b(password|passwd|secret|token|api_key|apikey|access_key)([ \t]?[=:][ \t]?)(\"[^\"\r\n]{8,}\"|'[^'\r\n]{8,}'|[A-Za-z0-9_./+-]{8,})", "$1$2[REDACTED]"),
     ("cloud-key", r"\b(AKIA|ASIA)[A-Z0-9]{16}\b", "[REDACTED]"),
     ("vcs-token", r"\b(ghp|gho|ghs|github_pat|glpat)[_-][A-Za-z0-9_-]{16,}\b", "[REDACTED]"),
     ("bearer", r"(?i)\bbearer [A-Za-z0-9._~+/-]{16,}=*", "Bearer [REDACTED]"),
 )
-PEM_BEGIN, PEM_END = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+KEY_BLOCK = "private-key"
+BEGIN, END = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: A line of a block without an end mark: base64 (quoted or continued, as in source code), a header field, or nothing.
+KEY_LINE = r"[ \t]*+(?:[\"'+>#*|]*+[ \t]*+[A-Za-z0-9+/=_-]*+(?:\\n)?[\"'+,;\\ \t]*+|[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)[ \t]*+"
+
+
+def redact_blocks(text: Column) -> Column:
+    """Every line of a private key block, its marks included, replaced from its first visible character (or its begin mark) on."""
+    pieces = F.split(text, f"(?={BEGIN})", -1)
+
+    def rewritten(piece: Column) -> Column:
+        mark = F.regexp_substr(piece, F.lit(f"\\A{BEGIN}"))
+        behind = F.substr(piece, F.length(mark) + 1)
+        closed = F.split(behind, END, 2)
+        open_from = F.regexp_instr(behind, F.lit(rf"(?m)(?<=[\r\n])^(?!{KEY_LINE}$)"))
+        end = F.when(F.size(closed) > 1, F.length(closed[0]) + F.length(F.regexp_substr(behind, F.lit(END)))).when(open_from > 0, open_from - 1).otherwise(F.length(behind))
+        body = F.regexp_replace(F.concat(mark, F.substr(behind, F.lit(1), end)), r"\S[^\r\n]*+", "[REDACTED]")
+        return F.when(mark.isNull(), piece).otherwise(F.concat(body, F.substr(behind, end + 1)))
+
+    return F.when(F.contains(text, F.lit("PRIVATE KEY")), F.array_join(F.transform(pieces, rewritten), "")).otherwise(text)
 
 
 def redact_secrets(text: Column) -> Column:
-    out = text
+    out = redact_blocks(text)
     for _, pattern, replacement in RULES:
         out = F.regexp_replace(out, pattern, replacement)
-    # inside a PEM block each line goes on its own: a line that only END follows, with no BEGIN between
-    body = rf"(?m)^[A-Za-z0-9+/=]+$(?=(?:\R[A-Za-z0-9+/=]*)*\R{PEM_END})"
-    return F.when(F.contains(out, F.lit("PRIVATE KEY-----")), F.regexp_replace(out, body, "[REDACTED]")).otherwise(out)
+    return out
 
 
 def secret_findings(files: DataFrame) -> DataFrame:
-    """(repository_id, relative_path, line_no, rule): one row per rule and line, PEM blocks by running block state."""
-    lines = files.select("repository_id", "relative_path", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    up_to = Window.partitionBy("repository_id", "relative_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    simple = F.array(*[F.when(F.col("line").rlike(p), F.lit(n)) for n, p, _ in RULES])
-    plain = lines.select("repository_id", "relative_path", "pos", F.explode(F.filter(simple, lambda r: r.isNotNull())).alias("rule"))
-    keyed = lines.join(lines.filter(F.col("line").rlike(PEM_BEGIN)).select("repository_id", "relative_path").distinct(), ["repository_id", "relative_path"], "left_semi")
-    blocks = keyed.withColumn("end", F.col("line").rlike(PEM_END).cast("int"))
-    blocks = blocks.withColumn("before", F.lag("end", 1, 0).over(Window.partitionBy("repository_id", "relative_path").orderBy("pos")))
-    state = F.sum(F.col("line").rlike(PEM_BEGIN).cast("int")).over(up_to) - F.sum("before").over(up_to)
-    pem = blocks.withColumn("state", state).filter("state > 0").select("repository_id", "relative_path", "pos", F.lit("private-key").alias("rule"))
-    return plain.unionByName(pem).select("repository_id", "relative_path", (F.col("pos") + 1).alias("line_no"), "rule")
+    """(repository_id, relative_path, line_no, rule): one row per rule and line that :func:`redact_secrets` changes."""
+    both = files.select("repository_id", "relative_path", split_lines(redact_blocks(F.col("text"))).alias("safe"), split_lines(F.col("text")).alias("was"))
+    lines = both.select("repository_id", "relative_path", F.posexplode(F.arrays_zip("was", "safe")).alias("pos", "line"))
+    hidden = F.col("line.was") != F.col("line.safe")
+    rules = F.array(F.when(hidden, F.lit(KEY_BLOCK)), *[F.when(F.col("line.safe").rlike(p), F.lit(n)) for n, p, _ in RULES])
+    found = lines.select("repository_id", "relative_path", (F.col("pos") + 1).alias("line_no"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+    return found
 
 
 def secret_summary(findings: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILES = "(SELECT doc_id, source AS repository_id, 'docs/' || lang || '/' || doc_id || ([" + ",".join(f"'{e}'" for e in EXTENSIONS) + f"])[doc_id % {len(EXTENSIONS)} + 1] AS relative_path, text FROM documents)"
 RULE_SQL = {
-    "assignment": (r"(?i)\b(password|passwd|secret|token|api_key|apikey|access_key)(\s?[=:]\s?)(\"[^\"\r\n]{8,}\"|''[^''\r\n]{8,}''|[A-Za-z0-9_./+-]{8,})", r"\1\2[REDACTED]"),
+    "assignment": (r"(?i)\b(password|passwd|secret|token|api_key|apikey|access_key)([ \t]?[=:][ \t]?)(\"[^\"\r\n]{8,}\"|''[^''\r\n]{8,}''|[A-Za-z0-9_./+-]{8,})", r"\1\2[REDACTED]"),
     "cloud-key": (r"\b(AKIA|ASIA)[A-Z0-9]{16}\b", "[REDACTED]"),
     "vcs-token": (r"\b(ghp|gho|ghs|github_pat|glpat)[_-][A-Za-z0-9_-]{16,}\b", "[REDACTED]"),
     "bearer": (r"(?i)\bbearer [A-Za-z0-9._~+/-]{16,}=*", "Bearer [REDACTED]"),
@@ -288,8 +288,9 @@ verdicts AS (
 dispositions AS (
   SELECT repository_id, relative_path, entry_type, size_bytes, CASE WHEN reason IS NULL THEN 'indexable' ELSE 'skipped' END AS status, reason, CASE WHEN reason IS NOT NULL THEN origin END AS origin, CASE WHEN reason IS NULL THEN language END AS language
   FROM (SELECT * FROM verdicts UNION ALL SELECT j.repository_id, j.relative_path, j.entry_type, j.size_bytes, j.reason, j.origin, NULL FROM judged j JOIN alive a USING (repository_id, relative_path, entry_type) WHERE j.reason IS NOT NULL)),
-capped AS (SELECT *, count(*) FILTER (status = 'indexable') OVER (PARTITION BY repository_id) AS seen, row_number() OVER (PARTITION BY repository_id, status ORDER BY relative_path) AS place FROM dispositions),
-discovered AS (SELECT * EXCLUDE (seen, place), CASE WHEN seen > {LIMITS.max_files} THEN '{discovery.TRUNCATED.format(limit=LIMITS.max_files)}' END AS truncated FROM capped WHERE status = 'skipped' OR place <= {LIMITS.max_files})"""
+capped AS (SELECT *, count(*) FILTER (status = 'indexable') OVER (PARTITION BY repository_id) AS seen, row_number() OVER (PARTITION BY repository_id, status ORDER BY relative_path) AS place,
+  max(relative_path) FILTER (status = 'indexable') OVER (PARTITION BY repository_id) AS last_file, max(relative_path) OVER (PARTITION BY repository_id) AS last_entry FROM dispositions),
+discovered AS (SELECT * EXCLUDE (seen, place, last_file, last_entry), CASE WHEN seen > {LIMITS.max_files} OR seen = {LIMITS.max_files} AND last_entry > last_file THEN '{discovery.TRUNCATED.format(limit=LIMITS.max_files)}' END AS truncated FROM capped WHERE status = 'skipped' OR place <= {LIMITS.max_files})"""
 
 
 @query(f"WITH {DISCOVER} SELECT * FROM discovered")
