@@ -22,6 +22,7 @@ KEY = ["repository_id", "relative_path"]
 # Messages.
 TRUNCATED = "Stopped after {limit} files; the repository has more. This index is incomplete. Narrow the root or raise the limit."
 UNREADABLE = "Directory could not be read."
+UNREADABLE_FILE = "File could not be read."
 SYMLINK = "Symbolic link; not followed."
 NESTED = "Nested repository with its own .git; register it separately."
 UNRECOGNISED = "Unrecognised file type."
@@ -70,14 +71,15 @@ def discover(files: DataFrame, options: DiscoveryOptions = DiscoveryOptions()) -
         F.when(unread, F.lit(UNREADABLE)).otherwise(closed).alias("reason"),
         F.when(F.col("ignored"), F.col("rule_origin")).when(unread, "boundary").otherwise("default").alias("origin"),
     ).filter("reason is not null"), "judged")
-    alive = staged(prune_subtrees(meta.filter("entry_type in ('file', 'symlink')"), judged), "alive")
+    alive = staged(prune_subtrees(meta.filter("entry_type in ('file', 'symlink', 'unreadable_file')"), judged), "alive")
     links = alive.filter("entry_type = 'symlink'").select(*KEY, "entry_type", "size_bytes", F.lit(SYMLINK).alias("reason"), F.lit("boundary").alias("origin"), F.lit(None).cast("string").alias("language"))
-    found = decide(alive.filter("entry_type = 'file'").withColumn("is_dir", F.lit(False)), rules).withColumn("name", name)
+    found = decide(alive.filter("entry_type <> 'symlink'").withColumn("is_dir", F.lit(False)), rules).withColumn("name", name)
     found = found.withColumns({"barred": P.file_exclusion_of(F.col("name")), "language": P.detect_language(F.col("name"))})
     found = found.withColumn("held", F.when(~F.col("explicitly_included") | (F.col("barred.category") == "secret-bearing"), F.col("barred.message")))
     unknown = F.when(F.col("language").isNull(), F.lit(UNRECOGNISED))
-    reason = F.when(F.col("ignored"), _matched()).otherwise(F.coalesce("held", unknown, P.oversize_reason(F.col("size_bytes"), options.max_file_bytes)))
-    origin = F.when(F.col("ignored"), F.col("rule_origin")).when(F.col("held").isNotNull() | F.col("language").isNull(), F.lit("default")).otherwise("size")
+    lost = F.when(F.col("entry_type") == "unreadable_file", F.lit(UNREADABLE_FILE))
+    reason = F.when(F.col("ignored"), _matched()).otherwise(F.coalesce("held", unknown, lost, P.oversize_reason(F.col("size_bytes"), options.max_file_bytes)))
+    origin = F.when(F.col("ignored"), F.col("rule_origin")).when(F.col("held").isNotNull() | F.col("language").isNull(), F.lit("default")).when(lost.isNotNull(), "boundary").otherwise("size")
     verdicts = found.select(*KEY, "entry_type", "size_bytes", reason.alias("reason"), origin.alias("origin"), "language")
     skipped = prune_subtrees(judged, judged).withColumn("language", F.lit(None).cast("string"))
     out = skipped.union(links).union(verdicts).select(
@@ -93,13 +95,13 @@ def discover(files: DataFrame, options: DiscoveryOptions = DiscoveryOptions()) -
 def cap_files(files: DataFrame, limit: int = DiscoveryOptions().max_files) -> DataFrame:
     """At most ``limit`` indexable files per repository (smallest paths), with ``truncated`` (limit, message) on every row of a cut one.
 
-    Rows whose ``status`` says skipped never count. Repositories are counted first (one row each); only those over the limit
+    A repository is cut when anything is left to look at after that many files, even if it would have been skipped. Rows whose ``status`` says skipped never count. Repositories are counted first (one row each); only those over the limit
     are ranked, so a window never sorts the others.
     """
-    counted = F.count_if(F.col("status") == "indexable") if "status" in files.columns else F.count(F.lit(1))
-    counts = files.groupBy("repository_id").agg(counted.alias("n"))
+    wanted = F.col("status") == "indexable" if "status" in files.columns else F.lit(True)
+    counts = files.groupBy("repository_id").agg(F.count_if(wanted).alias("n"), F.max(F.when(wanted, F.col("relative_path"))).alias("last"), F.max("relative_path").alias("end"))
     message = TRUNCATED.format(limit=limit)
-    cut = F.when(F.col("n") > limit, F.struct(F.lit(limit).alias("limit"), F.lit(message).alias("message"))).alias("truncated")
+    cut = F.when((F.col("n") > limit) | (F.col("n") == limit) & (F.col("end") > F.col("last")), F.struct(F.lit(limit).alias("limit"), F.lit(message).alias("message"))).alias("truncated")
     marked = files.join(counts.select("repository_id", cut), "repository_id").select(*files.columns, "truncated")
     free = F.col("truncated").isNull() if "status" not in files.columns else F.col("truncated").isNull() | (F.col("status") != "indexable")
     place = F.row_number().over(Window.partitionBy("repository_id").orderBy("relative_path"))
@@ -109,7 +111,7 @@ def cap_files(files: DataFrame, limit: int = DiscoveryOptions().max_files) -> Da
 
 def index_status(files: DataFrame) -> DataFrame:
     """Adds ``status``: binary, minified or indexed, the first that holds; an indexed text comes redacted."""
-    status = F.when(P.looks_binary(F.encode("text", "UTF-8")), "binary").when(P.looks_minified(F.col("text")), "minified").otherwise("indexed")
+    status = F.when(F.col("text").isNull() | P.looks_binary(F.encode("text", "UTF-8")), "binary").when(P.looks_minified(F.col("text")), "minified").otherwise("indexed")
     return files.withColumn("status", status).withColumn("text", F.when(F.col("status") == "indexed", redact_secrets(F.col("text"))).otherwise(F.col("text")))
 
 
@@ -120,8 +122,18 @@ def ingest(files: DataFrame, options: DiscoveryOptions = DiscoveryOptions(), chu
     hash of the redacted text of indexed ones) and the chunks of the indexed ones.
     """
     found = staged(discover(files, options), "discovered")
-    texts = files.filter("entry_type = 'file'").select(*KEY, "text")
-    read = index_status(found.filter("status = 'indexable'").drop("status").join(texts, KEY))
+    return ingest_texts(found, files.filter("entry_type = 'file'").select(*KEY, "text", F.lit(True).alias("opened")), chunking)
+
+
+def ingest_texts(found: DataFrame, texts: DataFrame, chunking: ChunkOptions = ChunkOptions()) -> tuple[DataFrame, DataFrame]:
+    """The second half of :func:`ingest`: dispositions and the texts of their indexable files (repository_id, relative_path, text, opened).
+
+    A file that could not be opened after all is skipped; one without text although opened was binary.
+    """
+    read = found.filter("status = 'indexable'").drop("status").join(texts, KEY)
+    read = index_status(read.filter("opened")).drop("opened").unionByName(read.filter("not opened").drop("opened").withColumn("status", F.lit("skipped")))
+    gone = F.col("status") == "skipped"
+    read = read.withColumns({"reason": F.when(gone, UNREADABLE_FILE).otherwise(F.col("reason")), "origin": F.when(gone, "boundary").otherwise(F.col("origin")), "language": F.when(~gone, F.col("language"))})
     read = staged(read.withColumn("content_hash", F.when(F.col("status") == "indexed", hash_text(F.col("text")))), "read")
     skipped = found.filter("status = 'skipped'").withColumn("content_hash", F.lit(None).cast("string"))
     chunks = chunk_files(read.filter("status = 'indexed'"), chunking)

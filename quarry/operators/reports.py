@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .discovery import UNREADABLE, UNREADABLE_FILE
+
 
 def skipped_by_origin(dispositions: DataFrame) -> DataFrame:
     return dispositions.filter("status = 'skipped'").groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
@@ -34,8 +36,9 @@ def sample_rows(rows: DataFrame, n: int = 15) -> DataFrame:
 
 
 def coverage(dispositions: DataFrame) -> DataFrame:
-    """Files seen, indexed and excluded by reason; ``complete`` only where nothing was cut off."""
-    per = dispositions.groupBy("repository_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("truncated").isNotNull()).alias("cut"))
+    """Files seen, indexed and excluded by reason; ``complete`` only where nothing was cut off and everything could be read."""
+    lost = (F.col("origin") == "boundary") & F.col("reason").isin(UNREADABLE, UNREADABLE_FILE)
+    per = dispositions.groupBy("repository_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("truncated").isNotNull() | F.coalesce(lost, F.lit(False))).alias("cut"))
     return per.groupBy("repository_id").agg(
         F.sum("n").alias("seen"), F.sum(F.when(F.col("reason").isNull(), F.col("n")).otherwise(0)).alias("indexed"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n")))), lambda x: F.concat_ws("=", x["reason"], x["n"].cast("string"))), ";").alias("excluded"),

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from ..functions.policy import looks_binary
 
@@ -36,8 +36,31 @@ class TreePart(InputPartition):
     top: str | None
 
 
+def _entry_type(entry: os.DirEntry) -> str:
+    try:
+        return "symlink" if entry.is_symlink() else "dir" if entry.is_dir() else "file" if entry.is_file() else "other"
+    except OSError:
+        return "unreadable_file"
+
+
+def entry_types(root: str, directory: str) -> Iterator[tuple[str, str]]:
+    """(relative path, type) of what a directory holds, as it is listed; one row ``unreadable`` of the directory itself where it cannot be."""
+    prefix = directory + "/" if directory else ""
+    try:
+        with os.scandir(os.path.join(root, directory) if directory else root) as entries:
+            for entry in entries:
+                yield prefix + entry.name, _entry_type(entry)
+    except OSError:
+        yield directory, "unreadable"
+
+
 class RepoTreeSource(DataSource):
-    """Options: ``roots`` (newline-separated ``id=path``), ``max_bytes`` of content to read (larger files come without)."""
+    """Options: ``roots`` (newline-separated ``id=path``), ``max_bytes`` of content to read (larger files come without).
+
+    Column pruning is by the schema that the reader asks for: without ``content`` no file is opened, without ``size_bytes`` none is measured.
+    Filters on ``repository_id``, ``entry_type`` and the start of ``relative_path`` are pushed down with the option ``pushdown``, for which
+    ``spark.sql.python.filterPushdown.enabled`` must be set: other roots and directories are not listed, other types not opened.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -47,56 +70,78 @@ class RepoTreeSource(DataSource):
         return TREE_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return RepoTreeReader(self.options)
+        kind = PushingReader if self.options.get("pushdown") == "true" else RepoTreeReader
+        return kind(self.options, schema.names)
 
 
 class RepoTreeReader(DataSourceReader):
-    def __init__(self, options):
+    def __init__(self, options, columns: list[str]):
         self.roots = [line.partition("=")[::2] for line in options["roots"].split("\n") if line]
         self.max_bytes = int(options.get("max_bytes", 1_000_000))
+        self.columns = columns
+        self.types: set[str] | None = None
+        self.prefix = ""
+
+    def _may_hold(self, directory: str) -> bool:
+        """Whether paths below a directory can begin with the prefix."""
+        return f"{directory}/".startswith(self.prefix) or self.prefix.startswith(f"{directory}/")
 
     def partitions(self) -> list[TreePart]:
         """One for each top directory, and one for what lies directly in each root."""
         parts = []
         for repo, root in self.roots:
             parts.append(TreePart(repo, root, None))
-            with os.scandir(root) as entries:
-                parts += [TreePart(repo, root, e.name) for e in entries if e.is_dir(follow_symlinks=False)]
+            parts += [TreePart(repo, root, path) for path, kind in entry_types(root, "") if kind == "dir" and self._may_hold(path)]
         return parts
 
     def read(self, partition: TreePart) -> Iterator[tuple]:
-        top = partition.root if partition.top is None else os.path.join(partition.root, partition.top)
-        stack = [top]
+        stack = [partition.top or ""]
         while stack:
-            here = stack.pop()
-            prefix = os.path.relpath(here, partition.root).replace(os.sep, "/")
-            prefix = "" if prefix == "." else prefix + "/"
-            try:
-                entries = sorted(os.scandir(here), key=lambda e: e.name)
-            except OSError:
-                yield partition.repository_id, prefix.rstrip("/"), "unreadable", None, None
+            for path, kind in entry_types(partition.root, stack.pop()):
+                if kind == "dir" and partition.top is not None and self._may_hold(path):
+                    stack.append(path)
+                if kind == "other" or not (path.startswith(self.prefix) or kind == "unreadable"):
+                    continue
+                size = content = None
+                if kind == "file":
+                    kind, size, content = self._file(os.path.join(partition.root, path))
+                if self.types is None or kind in self.types:
+                    row = {"repository_id": partition.repository_id, "relative_path": path, "entry_type": kind, "size_bytes": size, "content": content}
+                    yield tuple(row[c] for c in self.columns)
+
+    def _file(self, path: str) -> tuple[str, int | None, bytes | None]:
+        """Type, size and content of a file, as far as they are asked for; one that cannot be read is an ``unreadable_file``."""
+        size = content = None
+        try:
+            if "size_bytes" in self.columns or "content" in self.columns:
+                size = os.stat(path).st_size
+            if "content" in self.columns and size <= self.max_bytes and (self.types is None or "file" in self.types):
+                with open(path, "rb") as f:
+                    content = f.read()
+        except OSError:
+            return "unreadable_file", None, None
+        return "file", size, content
+
+
+class PushingReader(RepoTreeReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes what narrows the listing; Spark still checks all but exact tests of the repository."""
+        for f in filters:
+            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if f.attribute == ("repository_id",) and wanted is not None:
+                self.roots = [(r, path) for r, path in self.roots if r in wanted]
                 continue
-            for entry in entries:
-                path = prefix + entry.name
-                if entry.is_symlink():
-                    yield partition.repository_id, path, "symlink", None, None
-                elif entry.is_dir():
-                    yield partition.repository_id, path, "dir", None, None
-                    if partition.top is not None:
-                        stack.append(entry.path)
-                elif entry.is_file():
-                    size = entry.stat().st_size
-                    content = None
-                    if size <= self.max_bytes:
-                        with open(entry.path, "rb") as f:
-                            content = f.read()
-                    yield partition.repository_id, path, "file", size, content
-
-
-def read_repo_tree(spark: SparkSession, roots: dict[str, str], max_bytes: int = 1_000_000) -> DataFrame:
-    """Every entry under the roots (id to path)."""
+            if f.attribute == ("entry_type",) and wanted is not None:
+                self.types = wanted if self.types is None else self.types & wanted
+            elif f.attribute == ("relative_path",) and isinstance(f, (EqualTo, StringStartsWith)) and len(f.value) > len(self.prefix):
+                self.prefix = f.value
+            yield f
+
+
+def read_repo_tree(spark: SparkSession, roots: dict[str, str], max_bytes: int = 1_000_000, columns: str = TREE_SCHEMA) -> DataFrame:
+    """Every entry under the roots (id to path); fewer ``columns`` of the schema mean less to read."""
     spark.dataSource.register(RepoTreeSource)
-    return spark.read.format("repo_tree").option("roots", "\n".join(f"{k}={v}" for k, v in roots.items())).option("max_bytes", str(max_bytes)).load()
+    return spark.read.format("repo_tree").schema(columns).option("roots", "\n".join(f"{k}={v}" for k, v in roots.items())).option("max_bytes", str(max_bytes)).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled")).load()
 
 
 def write_tree(files: DataFrame, root: str) -> DataFrame:
