@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.transcripts import SEGMENT, STREAM, normalised_question
+from ..operators.transcripts import SEGMENT, STREAM, TERMINAL, normalised_question
+from .stateful import InOrder, Settled, keyed
 
 LATE = "10 minutes"
 
@@ -112,16 +113,148 @@ def debounce_turns(turns: DataFrame, pause_ms: int = 550, late: str = LATE) -> D
     )
 
 
-def dedupe_questions(questions: DataFrame, window: str = "5 seconds") -> DataFrame:
-    return questions.withColumn("norm", normalised_question(F.col("text"))).withWatermark("ts", window).dropDuplicatesWithinWatermark(["session_id", "norm"])
+def _columns(schema: str) -> list[str]:
+    return [c.split(" ")[0] for c in schema.split(", ")]
 
 
-def conversation_window(questions: DataFrame, finals: DataFrame, minutes: int = 3, late: str = LATE) -> DataFrame:
-    """Segments of the minutes before each question: a stream-stream interval join, both sides watermarked."""
-    q = questions.select("request_id", F.col("session_id").alias("q_session"), F.col("ts").alias("q_ts")).withWatermark("q_ts", late)
-    s = finals.select("session_id", "source", "text", "start_ms", "ts").withWatermark("ts", late)
-    near = F.expr(f"session_id = q_session AND ts >= q_ts - INTERVAL {minutes} MINUTES AND ts < q_ts")
-    return q.join(s, near).select("request_id", "session_id", "source", "text", "start_ms")
+def _timed(rows: DataFrame, schema: str, late: str | None, **computed: Column) -> DataFrame:
+    """The columns of a state schema, ``at_ms`` from the event time, and the watermark."""
+    marked = rows.withWatermark("ts", late) if late else rows
+    return marked.withColumns({"at_ms": F.unix_millis("ts"), **computed}).select(*_columns(schema), "ts")
+
+
+def dedupe_questions(questions: DataFrame, window_ms: int = 5_000, late: str | None = LATE) -> DataFrame:
+    """An equal normalised question within the window of the one before it, itself a repeat or not, is a repeat: request_id, session_id, text, start_ms."""
+    schema = "session_id string, norm string, at_ms long, start_ms long, request_id string, text string"
+    at = {c: i for i, c in enumerate(_columns(schema))}
+    result = "request_id string, session_id string, text string, start_ms long"
+
+    def step(held: list, ready: list) -> tuple[list, list]:
+        out, before = [], held[-1][at["start_ms"]] if held else None
+        for row in sorted(ready, key=lambda r: (r[at["start_ms"]], r[at["request_id"]])):
+            if before is None or row[at["start_ms"]] - before > window_ms:
+                out.append(tuple(row[at[c]] for c in _columns(result)))
+            before = row[at["start_ms"]]
+        return out, ready[-1:]
+
+    rows = _timed(questions, schema, late, norm=normalised_question(F.col("text")))
+    return keyed(rows, ["session_id", "norm"], InOrder(_columns(schema), schema, "at_ms", _columns(result), step, window_ms), result)
+
+
+def conversation_window(questions: DataFrame, finals: DataFrame, minutes: int = 3, late: str | None = LATE) -> DataFrame:
+    """Dialogue of the last minutes before each question, in time order, as one row a question, also where there was none: request_id, n_segments, context."""
+    span = minutes * 60_000
+    schema = "session_id string, at_ms long, start_ms long, request_id string, source string, sequence long, text string"
+    at = {c: i for i, c in enumerate(_columns(schema))}
+    result = "session_id string, request_id string, n_segments long, context array<string>"
+
+    def step(held: list, ready: list) -> tuple[list, list]:
+        said, out = list(held), []
+        said += [r for r in ready if r[at["request_id"]] is None]
+        said.sort(key=lambda r: (r[at["start_ms"]], r[at["source"]], r[at["sequence"]], r[at["text"]]))
+        for row in ready:
+            if row[at["request_id"]] is not None:
+                begin, end = row[at["start_ms"]] - span, row[at["start_ms"]]
+                near = [f"{r[at['source']]}: {r[at['text']]}" for r in said if begin <= r[at["start_ms"]] < end]
+                out.append((row[at["session_id"]], row[at["request_id"]], len(near), near))
+        last = max(r[at["at_ms"]] for r in ready)
+        return out, sorted((r for r in said if r[at["at_ms"]] >= last - span), key=lambda r: r[at["at_ms"]])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = questions.select("session_id", "ts", "start_ms", "request_id", none("string").alias("source"), F.lit(-1).cast("long").alias("sequence"), none("string").alias("text"))
+    said = finals.select("session_id", "ts", "start_ms", none("string").alias("request_id"), "source", "sequence", "text")
+    rows = _timed(asked.unionByName(said), schema, late)
+    return keyed(rows, ["session_id"], InOrder(_columns(schema), schema, "at_ms", _columns(result), step, span), result).select("request_id", "n_segments", "context")
+
+
+EVENT = "request_id string, at_ms long, kind string, event_id string, question_revision int, repository_id string, index_generation string, timestamp_ms long, type string, payload string"
+_AT = {c: i for i, c in enumerate(_columns(EVENT))}
+SETTLE_MS, KEEP_MS = 600_000, 3_600_000
+
+
+def _requests(events: DataFrame | None, questions: DataFrame | None, late: str | None) -> DataFrame:
+    """Events and question revisions (request_id, revision, ts) as one stream with one watermark."""
+    parts = []
+    none = lambda kind: F.lit(None).cast(kind)
+    if events is not None:
+        parts.append(events.select("request_id", "ts", F.lit("event").alias("kind"), F.col("event_id").cast("string").alias("event_id"), "question_revision", "repository_id", "index_generation", "timestamp_ms", "type", "payload"))
+    if questions is not None:
+        parts.append(questions.select("request_id", "ts", F.lit("question").alias("kind"), none("string").alias("event_id"), F.col("revision").cast("int").alias("question_revision"), none("string").alias("repository_id"), none("string").alias("index_generation"), F.lit(0).cast("long").alias("timestamp_ms"), none("string").alias("type"), none("string").alias("payload")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _timed(rows, EVENT, late)
+
+
+def _of_requests(rows: DataFrame, reduce: Callable[[list], list], result: str, settle_ms: int, keep_ms: int) -> DataFrame:
+    return keyed(rows, ["request_id"], Settled(_columns(EVENT), EVENT, "at_ms", _columns(result), reduce, settle_ms, keep_ms), result)
+
+
+def _revisions(rows: list) -> list[int]:
+    return sorted({r[_AT["question_revision"]] for r in rows if r[_AT["kind"]] == "question"})
+
+
+def latest_question_revision(questions: DataFrame, late: str | None = LATE, settle_ms: int = SETTLE_MS, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Every revision of a request (request_id, revision, ts) with its status, once the request has settled."""
+
+    def reduce(rows: list) -> list:
+        known = _revisions(rows)
+        return [(rows[0][_AT["request_id"]], r, "active" if r == known[-1] else "superseded") for r in known]
+
+    return _of_requests(_requests(None, questions, late), reduce, "request_id string, revision int, status string", settle_ms, keep_ms)
+
+
+def drop_stale_events(events: DataFrame, questions: DataFrame, repository_id: str | None = None, index_generation: str | None = None, late: str | None = LATE, settle_ms: int = SETTLE_MS, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Events of the newest revision of requests that nobody canceled, in scope, in time order, once the request has settled."""
+    result = "event_id string, request_id string, question_revision int, timestamp_ms long, type string, payload string"
+    scope = (("repository_id", repository_id), ("index_generation", index_generation))
+
+    def reduce(rows: list) -> list:
+        known = _revisions(rows)
+        found = [r for r in rows if r[_AT["kind"]] == "event"]
+        if not known or any(r[_AT["type"]] == "answer.canceled" for r in found):
+            return []
+        live = [r for r in found if r[_AT["question_revision"]] == known[-1] and all(want is None or r[_AT[c]] in (None, want) for c, want in scope)]
+        return [tuple(r[_AT[c]] for c in _columns(result)) for r in live]
+
+    return _of_requests(_requests(events, questions, late), reduce, result, settle_ms, keep_ms)
+
+
+def answer_outcomes(events: DataFrame, questions: DataFrame, late: str | None = LATE, settle_ms: int = SETTLE_MS, keep_ms: int = KEEP_MS) -> DataFrame:
+    """One terminal state per request and revision, with its text in order, once the request has settled."""
+
+    def reduce(rows: list) -> list:
+        known, out = _revisions(rows), []
+        by_revision: dict[int, list] = {}
+        for r in rows:
+            if r[_AT["kind"]] == "event":
+                by_revision.setdefault(r[_AT["question_revision"]], []).append(r)
+        for revision, found in sorted(by_revision.items()):
+            found.sort(key=lambda r: (r[_AT["timestamp_ms"]], r[_AT["event_id"]]))
+            ends = [TERMINAL[r[_AT["type"]]] for r in found if r[_AT["type"]] in TERMINAL]
+            deltas = [r[_AT["payload"]] or "" for r in found if r[_AT["type"]] == "answer.delta"]
+            status = ends[0] if ends else "superseded" if revision in known[:-1] else "open"
+            out.append((rows[0][_AT["request_id"]], revision, status, "".join(deltas), status == "failed" and bool(deltas)))
+        return out
+
+    result = "request_id string, question_revision int, status string, text string, partial boolean"
+    return _of_requests(_requests(events, questions, late), reduce, result, settle_ms, keep_ms)
+
+
+def session_usage(segments: DataFrame, late: str | None = LATE, settle_ms: int = SETTLE_MS, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Speech time per session and source, the latest revision of each final segment counted once; no text is kept, not even in the state."""
+    schema = "session_id string, source string, at_ms long, stream_epoch int, sequence long, revision int, spoken_ms long"
+    at = {c: i for i, c in enumerate(_columns(schema))}
+
+    def reduce(rows: list) -> list:
+        latest: dict[tuple, tuple] = {}
+        for r in rows:
+            place = (r[at["stream_epoch"]], r[at["sequence"]])
+            if place not in latest or r[at["revision"]] > latest[place][0]:
+                latest[place] = (r[at["revision"]], r[at["spoken_ms"]])
+        return [(rows[0][at["session_id"]], rows[0][at["source"]], sum(ms for _, ms in latest.values()), len(latest))]
+
+    result = "session_id string, source string, duration_ms long, n_segments long"
+    rows = _timed(segments.filter("is_final"), schema, late, spoken_ms=F.col("end_ms") - F.col("start_ms"))
+    return keyed(rows, ["session_id", "source"], Settled(_columns(schema), schema, "at_ms", _columns(result), reduce, settle_ms, keep_ms), result)
 
 
 def debounce_file_changes(changes: DataFrame, gap: str = "2 seconds", late: str = LATE) -> DataFrame:
