@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,27 @@ def detection_precision_recall(predicted: DataFrame, labels: DataFrame, key: str
     return counts.select("tp", "fp", "fn", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"))
 
 
+#: Metric, the event that starts it, and the one that ends it.
+LATENCIES = (("first_text", "question.accepted", "answer.delta"), ("completion", "question.accepted", "answer.completed"), ("retrieval", "question.accepted", "answer.sources"))
+
+
+def next_events(events: DataFrame, pairs: tuple[tuple[str, str, str], ...] = LATENCIES) -> DataFrame:
+    """(metric, request_id, started_ms, latency_ms): of each starting event the first ending one of its request at or after it, null where none came.
+
+    ``events`` are raw envelopes (event_id, request_id, timestamp_ms, type, payload). One sort of each request's events serves
+    all pairs: a window from the row to the end knows the next time of every kind. Events of one time count in the order of their
+    ids; a text that is blank is not yet useful and ends nothing. A start before another start has the same end as that one.
+    """
+    order = Window.partitionBy("request_id").orderBy("timestamp_ms", "event_id").rowsBetween(0, Window.unboundedFollowing)
+    useful = (F.col("type") != "answer.delta") | (F.trim("payload") != "")
+    ends = {kind: F.min(F.when((F.col("type") == kind) & useful, F.col("timestamp_ms"))).over(order).alias(f"next_{i}") for i, kind in enumerate(sorted({e for _, _, e in pairs}))}
+    known = {kind: f"next_{i}" for i, kind in enumerate(sorted(ends))}
+    timed = events.select("request_id", "type", "timestamp_ms", *ends.values())
+    found = F.array(*[F.when(F.col("type") == start, F.struct(F.lit(metric).alias("metric"), F.col(known[end]).alias("at"))) for metric, start, end in pairs])
+    rows = timed.select("request_id", "timestamp_ms", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p"))
+    return rows.select("p.metric", "request_id", F.col("timestamp_ms").alias("started_ms"), (F.col("p.at") - F.col("timestamp_ms")).alias("latency_ms"))
+
+
 def latency_percentiles(latencies: DataFrame, exact: bool = True) -> DataFrame:
     """(metric, p50, p95, n) of (metric, latency_ms); approximate percentiles for large inputs."""
     at = (lambda q: F.percentile("latency_ms", q)) if exact else (lambda q: F.percentile_approx("latency_ms", q, 10_000))
@@ -47,11 +68,15 @@ def gate_report(metrics: DataFrame, gates: DataFrame) -> DataFrame:
 
 
 def split_leakage(questions: DataFrame) -> DataFrame:
-    """Questions (question_id, split, text) of the held-out split whose normalised text is also in another split."""
+    """Leaked pairs (held_out_id, other_id, other_split) of questions (question_id, split, text): equal but for case and punctuation.
+
+    A text that many questions share gives as many pairs as there are: a held-out one is paired with the smallest id of each other
+    split, and ``n_others`` tells how many there are.
+    """
     norm = questions.select("question_id", "split", F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9]+", " ")).alias("norm"))
-    held = norm.filter("split = 'held_out'")
-    other = norm.filter("split <> 'held_out'").select("norm").distinct()
-    return held.join(other, "norm", "left_semi").select("question_id")
+    held = norm.filter("split = 'held_out'").select("norm", F.col("question_id").alias("held_out_id"))
+    other = norm.filter("split <> 'held_out'").groupBy("norm", F.col("split").alias("other_split")).agg(F.min("question_id").alias("other_id"), F.count(F.lit(1)).alias("n_others"))
+    return held.join(other, "norm").select("held_out_id", "other_id", "other_split", "n_others")
 
 
 def split_counts(questions: DataFrame, least: int = 100) -> DataFrame:

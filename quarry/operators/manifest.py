@@ -84,6 +84,19 @@ def retained_generations(generations: DataFrame, references: DataFrame) -> DataF
     return current.unionByName(used).distinct()
 
 
+def chunk_references(manifests: DataFrame, retained: DataFrame) -> DataFrame:
+    """Mark: (chunk_id, n_references), how many retained manifests (repository_id, generation_id, chunk_ids) list each chunk."""
+    listed = manifests.join(retained, ["repository_id", "generation_id"], "left_semi").select("repository_id", "generation_id", F.explode("chunk_ids").alias("chunk_id")).distinct()
+    return listed.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_references"))
+
+
+def sweep(chunks: DataFrame, references: DataFrame) -> DataFrame:
+    """(chunk_id, n_references, action): stored chunks that nothing refers to are dropped, the others kept."""
+    counted = chunks.select("chunk_id").distinct().join(references, "chunk_id", "left")
+    n = F.coalesce("n_references", F.lit(0))
+    return counted.select("chunk_id", n.alias("n_references"), F.when(n > 0, "keep").otherwise("drop").alias("action"))
+
+
 def retained_chunks(chunks: DataFrame, manifests: DataFrame, retained: DataFrame) -> DataFrame:
     """Chunks that some retained manifest (repository_id, generation_id, chunk_ids) lists."""
     listed = manifests.join(retained, ["repository_id", "generation_id"], "left_semi").select(F.explode("chunk_ids").alias("chunk_id")).distinct()

@@ -11,6 +11,7 @@ documentation penalty 0.5, evidence budget 10,000 tokens and 12 items.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,8 @@ from ..functions.text import build_split_form, query_terms
 from ..session import staged
 
 K1, B, ORIGINAL_WEIGHT, SPLIT_WEIGHT, FUSION = 1.2, 0.75, 2.0, 1.0, 60
-#: Bytes of the cosine matrix of a block of queries and a tile of vectors; queries of a block, about.
-TILE_BYTES, QUERY_BLOCK = 1 << 25, 4_096
+#: Bytes of the cosine matrix that a cell makes at a time; queries and vectors of a block, about.
+TILE_BYTES, QUERY_BLOCK, VECTOR_BLOCK = 1 << 25, 4_096, 16_384
 
 
 def scope_chunks(chunks: DataFrame, generations: DataFrame, repository_id: str, generation_id: str) -> DataFrame:
@@ -44,7 +45,8 @@ class TermIndex:
 
 
 def build_term_index(chunks: DataFrame) -> TermIndex:
-    """Terms of (chunk_id, relative_path, text): identifiers as written, their split forms, and path segments."""
+    """Terms of (chunk_id, relative_path, text): identifiers as written, their split forms, and path segments; a null text or path has none."""
+    chunks = chunks.select("chunk_id", F.coalesce("relative_path", F.lit("")).alias("relative_path"), F.coalesce("text", F.lit("")).alias("text"))
     original = F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)), F.lower)
     split = F.filter(F.split(build_split_form(F.col("text")), " "), lambda w: w != "")
     path = F.transform(path_segments(F.col("relative_path")), F.lower)
@@ -64,26 +66,82 @@ def write_term_index(index: TermIndex, path: str, buckets: int) -> None:
     index.lengths.write.parquet(f"{path}/lengths")
 
 
-def read_term_index(spark: SparkSession, path: str) -> TermIndex:
-    return TermIndex(spark.table(_table_of(path)), spark.read.parquet(f"{path}/lengths"))
-
-
-def has_term_index(spark: SparkSession, path: str) -> bool:
-    """Whether an index is stored under ``path`` and known to the catalog."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/lengths/_SUCCESS")
-    return spark.catalog.tableExists(_table_of(path)) and target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def read_term_index(spark: SparkSession, path: str, buckets: int | None = None) -> TermIndex:
+    """An index under ``path``; one that another application wrote is made known to this one's catalog, for which its ``buckets`` are needed."""
+    name = _table_of(path)
+    if buckets is not None and not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/postings").schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (term) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+    return TermIndex(spark.table(name), spark.read.parquet(f"{path}/lengths"))
 
 
 def _table_of(path: str) -> str:
     return "term_index_" + hashlib.md5(path.encode()).hexdigest()[:16]
 
 
+def content_key(chunks: DataFrame) -> str:
+    """A key of all (chunk_id, relative_path, text) rows in any order: count, sum and exclusive or of 64-bit row hashes. One scan, one row to the driver."""
+    row = lambda seed: F.xxhash64(F.lit(seed), "chunk_id", "relative_path", F.sha2("text", 256))
+    n, total, parity = chunks.select(row(1).alias("a"), row(2).alias("b")).agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(20,0)")), F.expr("bit_xor(b)")).first()
+    return hashlib.sha256(f"{n}:{total}:{parity}".encode()).hexdigest()[:32]
+
+
+CATALOG_SCHEMA = "key string, location string, buckets int, created_at timestamp"
+
+
+class IndexCatalog:
+    """Stored term indexes by the content that they were built from.
+
+    An index is written to a place of its own and becomes visible by one row of the catalog, written last; a key that is not there
+    has no index, whatever lies at a path, so changed data never meets an old one. Entries outlive the application.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def entries(self) -> DataFrame:
+        """Keys with location and buckets; of a key that two jobs have built, the first."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/catalog")
+        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
+            return self.spark.createDataFrame([], CATALOG_SCHEMA)
+        rows = self.spark.read.schema(CATALOG_SCHEMA).parquet(f"{self.path}/catalog")
+        first = F.min_by(F.struct("location", "buckets", "created_at"), F.struct("created_at", "location"))
+        return rows.groupBy("key").agg(first.alias("e")).select("key", "e.*")
+
+    def find(self, key: str) -> TermIndex | None:
+        found = self.entries().filter(F.col("key") == key).first()
+        return None if found is None else read_term_index(self.spark, found.location, found.buckets)
+
+    def build(self, chunks: DataFrame, key: str | None = None) -> TermIndex:
+        """The index of these chunks: a stored one where their content has one, else a new one."""
+        key = content_key(chunks) if key is None else key
+        stored = self.find(key)
+        if stored is not None:
+            return stored
+        location, buckets = f"{self.path}/index-{key}-{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        write_term_index(build_term_index(chunks), location, buckets)
+        entry = self.spark.range(1).select(F.lit(key).alias("key"), F.lit(location).alias("location"), F.lit(buckets).cast("int").alias("buckets"), F.current_timestamp().alias("created_at"))
+        entry.coalesce(1).write.mode("append").parquet(f"{self.path}/catalog")
+        return self.find(key)
+
+    def keep_only(self, keys: list[str]) -> None:
+        """Forget and delete the indexes of all other keys; no search may be reading them."""
+        rows = staged(self.entries(), "catalog-entries")
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        kept = rows.filter(F.col("key").isin(*keys))
+        kept.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/catalog")
+        for row in rows.filter(~F.col("key").isin(*keys)).toLocalIterator():
+            self.spark.sql(f"DROP TABLE IF EXISTS {_table_of(row.location)}")
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(row.location), True)
+
+
 def term_statistics(index: TermIndex) -> DataFrame:
     """(term, field, tf, n, df): uses and chunks of each term by field, and the chunks that have it in the text."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tf")) for f in ("original", "split", "path")])
-    rows = index.postings.select("term", "chunk_id", F.explode(fields).alias("f"), (F.col("original") + F.col("split") > 0).alias("in_text")).select("term", "f.*", "in_text")
-    grouped = rows.groupBy("term", "field").agg(F.sum("tf").alias("tf"), F.count_if(F.col("tf") > 0).alias("n"), F.count_if("in_text").alias("df"))
-    return grouped.filter("n > 0")
+    names = ("original", "split", "path")
+    sums = [a for f in names for a in (F.sum(f).alias(f"tf_{f}"), F.count_if(F.col(f) > 0).alias(f"n_{f}"))]
+    terms = index.postings.groupBy("term").agg(*sums, F.count_if(F.col("original") + F.col("split") > 0).alias("df"))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"tf_{f}").alias("tf"), F.col(f"n_{f}").alias("n")) for f in names])
+    return terms.select("term", F.explode(fields).alias("f"), "df").select("term", "f.*", "df").filter("n > 0")
 
 
 def terms_of(questions: DataFrame) -> DataFrame:
@@ -128,61 +186,59 @@ def search_bm25(questions: DataFrame, index: TermIndex, k: int, k1: float = K1,
 
 
 def search_semantic(queries: DataFrame, embeddings: DataFrame, k: int) -> DataFrame:
-    """Top k by cosine among vectors of the same model version and dimension, by blocked exact scan.
+    """Top k by cosine among vectors of the same model version and dimension, exact.
 
-    ``queries`` has query_id, model_version, vector; ``embeddings`` chunk_id, model_version, vector. Queries are stored in
-    numbered blocks of ``QUERY_BLOCK``; one block after another is broadcast and scanned against all vectors. A task keeps its
-    own top k of every query over all its vectors, a tile at a time, so it holds a block and a tile and hands on k rows a query.
+    ``queries`` has query_id, model_version, vector; ``embeddings`` chunk_id, model_version, vector. Both are dealt into blocks by hash and
+    meet block by block in one join: the vectors are read once, a cell holds one block of each, and hands on its own top k of
+    every query, so the shuffle before the last ranking has k rows a query and block of vectors. With few queries there is one block of
+    them, and the vectors are not copied.
     """
-    spark = queries.sparkSession
-    place = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id"))
-    numbered = queries.select("query_id", "model_version", "vector", F.floor((place - 1) * 64 / QUERY_BLOCK).alias("block"))
-    numbered = staged(numbered, "queries")
-    last = numbered.agg(F.max("block")).first()[0]
-    found = None
-    for block in range((last if last is not None else 0) + 1):
-        by_kind: dict[tuple[str, int], tuple[list, list]] = {}
-        for r in numbered.filter(F.col("block") == block).collect():
-            ids, vectors = by_kind.setdefault((r.model_version, len(r.vector)), ([], []))
-            ids.append(r.query_id)
-            vectors.append(r.vector)
-        shared = spark.sparkContext.broadcast({key: (np.array(i), _unit(np.array(v, float))) for key, (i, v) in by_kind.items()})
-        part = embeddings.select("chunk_id", "model_version", "vector").mapInPandas(_scan(shared, k), "query_id long, chunk_id long, cosine double")
-        found = part if found is None else found.union(part)
+    asked = staged(queries.select("query_id", "model_version", F.size("vector").alias("dimension"), "vector"), "queries")
+    held = embeddings.select("chunk_id", "model_version", F.size("vector").alias("dimension"), "vector")
+    kinds = asked.select("model_version", "dimension").distinct()
+    held = held.join(kinds, ["model_version", "dimension"], "left_semi")
+    columns, rows = -(-asked.count() // QUERY_BLOCK) or 1, -(-held.count() // VECTOR_BLOCK) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    asked = asked.withColumns({"column": dealt("query_id", columns), "row": every(rows)})
+    held = held.withColumns({"row": dealt("chunk_id", rows)}).withColumn("column", every(columns))
+    cell = ["model_version", "dimension", "row", "column"]
+    ids = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {embeddings.schema['chunk_id'].dataType.simpleString()}"
+    found = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInPandas(_best_of_cell(k), f"{ids}, cosine double")
     return _ranked(found, "cosine", k)
 
 
+def _best_of_cell(k: int):
+    def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or vectors.empty:
+            return pd.DataFrame({"query_id": queries["query_id"][:0], "chunk_id": vectors["chunk_id"][:0], "cosine": np.zeros(0)})
+        asked = _unit(np.stack(queries["vector"].to_numpy()).astype(float))
+        held, chunk = _unit(np.stack(vectors["vector"].to_numpy()).astype(float)), vectors["chunk_id"].to_numpy()
+        out = []
+        tile = max(1, TILE_BYTES // (8 * len(chunk)))
+        for lo in range(0, len(asked), tile):
+            cosine, ids = _best(np.round(asked[lo : lo + tile] @ held.T, 6), chunk, k)
+            who = np.repeat(queries["query_id"].to_numpy()[lo : lo + tile], cosine.shape[1])
+            out.append(pd.DataFrame({"query_id": who, "chunk_id": ids.ravel(), "cosine": cosine.ravel()}))
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
 def _best(cosine: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest of every row, ties by smallest id."""
-    order = np.lexsort((chunk, -cosine), axis=1)[:, :k]
-    return np.take_along_axis(cosine, order, axis=1), np.take_along_axis(chunk, order, axis=1)
-
-
-def _scan(shared, k: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        for frame in frames:
-            sizes = frame["vector"].map(len)
-            for kind, part in frame.groupby([frame["model_version"], sizes]):
-                if kind not in shared.value:
-                    continue
-                _, queries = shared.value[kind]
-                vectors, chunk = _unit(np.stack(part["vector"].to_numpy()).astype(float)), part["chunk_id"].to_numpy()
-                tile = max(k, TILE_BYTES // (8 * len(queries)))
-                for lo in range(0, len(chunk), tile):
-                    cosine = np.round(queries @ vectors[lo : lo + tile].T, 6)
-                    ids = np.broadcast_to(chunk[lo : lo + tile], cosine.shape)
-                    held = best.get(kind)
-                    best[kind] = _best(cosine, ids, k) if held is None else _best(np.hstack([held[0], cosine]), np.hstack([held[1], ids]), k)
-        for kind, (cosine, ids) in best.items():
-            asked = np.repeat(shared.value[kind][0], cosine.shape[1])
-            yield pd.DataFrame({"query_id": asked, "chunk_id": ids.ravel(), "cosine": cosine.ravel()})
-
-    return run
+    """The k largest of every row, ties by smallest id. Only what reaches a row's k-th value is sorted."""
+    k = min(k, cosine.shape[1])
+    least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+    values, ids = np.empty((len(cosine), k)), np.empty((len(cosine), k), dtype=chunk.dtype)
+    for i, row in enumerate(cosine):
+        near = np.flatnonzero(row >= least[i])
+        near = near[np.lexsort((chunk[near], -row[near]))[:k]]
+        values[i], ids[i] = row[near], chunk[near]
+    return values, ids
 
 
 def merge_by_rank(*ranked: DataFrame, constant: int = FUSION) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 SEGMENT = ["session_id", "source", "stream_epoch", "sequence"]
 STREAM = ["session_id", "source", "stream_epoch"]
-TERMINAL = ("answer.completed", "answer.canceled", "answer.superseded", "answer.failed")
+# Events that end an answer, and the state that each leaves.
+TERMINAL = {"answer.completed": "completed", "answer.canceled": "canceled", "operation.failed": "failed"}
 
 #: This library's own rules, first hit wins.
 QUESTION_RULES = (
@@ -103,24 +104,40 @@ def conversation_window(questions: DataFrame, finals: DataFrame, minutes: int =
     return questions.select("request_id").join(grouped, "request_id", "left").select("request_id", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), F.coalesce("context", F.array().cast("array<string>")).alias("context"))
 
 
-def drop_stale_events(events: DataFrame, questions: DataFrame, repository_id: str | None = None) -> DataFrame:
-    """Events of the newest revision of a live request, of the given repository where one is given."""
+def drop_stale_events(events: DataFrame, questions: DataFrame, repository_id: str | None = None, index_generation: str | None = None) -> DataFrame:
+    """Events of the newest revision of a live request, of the given repository and index generation where they are given.
+
+    An event that names no repository or generation belongs to none other and stays.
+    """
     live = questions.filter("status = 'active'").select("request_id", F.col("revision").alias("live_revision"))
-    canceled = events.filter(F.col("type").isin("answer.canceled", "answer.superseded")).select("request_id").distinct()
+    canceled = events.filter(F.col("type") == "answer.canceled").select("request_id").distinct()
     kept = events.join(live, "request_id").filter(F.col("question_revision") == F.col("live_revision")).drop("live_revision").join(canceled, "request_id", "left_anti")
-    return kept.filter(F.col("repository_id") == repository_id) if repository_id is not None else kept
+    for column, wanted in (("repository_id", repository_id), ("index_generation", index_generation)):
+        if wanted is not None:
+            kept = kept.filter(F.coalesce(F.col(column) == wanted, F.lit(True)))
+    return kept
 
 
-def answer_outcomes(events: DataFrame) -> DataFrame:
-    """One terminal state per request, its delta text in order, and whether a failure came after partial output."""
+def answer_outcomes(events: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """One terminal state per request, its delta text in order, and whether a failure came after partial output.
+
+    With ``questions`` (request_id, revision, status) there is one row per request and revision, and a superseded
+    revision that nothing else has ended is ``superseded``.
+    """
+    key = ["request_id"] if questions is None else ["request_id", "question_revision"]
     terminal = F.col("type").isin(*TERMINAL)
     delta = F.col("type") == "answer.delta"
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(delta, F.struct("timestamp_ms", "event_id", "payload")))), lambda x: x["payload"]), "")
-    grouped = events.groupBy("request_id").agg(
+    grouped = events.groupBy(*key).agg(
         F.min_by(F.when(terminal, F.col("type")), F.when(terminal, F.struct("timestamp_ms", "event_id"))).alias("t"), text.alias("text"), F.count_if(delta).alias("deltas")
     )
-    status = F.coalesce(F.substring_index("t", ".", -1), F.lit("open"))
-    return grouped.select("request_id", status.alias("status"), "text", ((status == "failed") & (F.col("deltas") > 0)).alias("partial"))
+    status = F.lit("open")
+    if questions is not None:
+        grouped = grouped.join(questions.select("request_id", F.col("revision").alias("question_revision"), F.col("status").alias("asked")), key, "left")
+        status = F.when(F.col("asked") == "superseded", "superseded").otherwise(status)
+    for kind, state in TERMINAL.items():
+        status = F.when(F.col("t") == kind, state).otherwise(status)
+    return grouped.withColumn("status", status).select(*key, "status", "text", ((F.col("status") == "failed") & (F.col("deltas") > 0)).alias("partial"))
 
 
 def session_usage(finals: DataFrame) -> DataFrame:

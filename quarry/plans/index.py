@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import options as O
 from ..functions import text as TX
-from ..operators import chunking, manifest, reports, secrets
+from ..operators import chunking, manifest, reports, secrets, walk
 from ..session import scratch
 from ..sources import generations, repo_tree
-from .files import CHUNKING, CHUNKS, DISCOVER, FILES, LIMITS, REDACTED, RULE_SQL, SAFE, _MINIFIED, code_chunks, discovery, file_chunk_sql, files, listing, safe_files
+from .files import CHUNKING, CHUNKS, DISCOVER, FILES, LIMITS, LISTING, REDACTED, RULE_SQL, SAFE, _MINIFIED, code_chunks, discovery, file_chunk_sql, files, listing, safe_files
 from .registry import query, table
 
 VERSIONS = O.Versions("c1", "p1", "e1")
@@ -104,6 +104,21 @@ def m8_retain_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.retained_generations(_generations(spark, sf_dir), refs)
 
 
+@query("""WITH g AS (SELECT o_custkey::VARCHAR AS repository_id, o_orderkey::VARCHAR AS generation_id, o_orderdate AS made FROM orders),
+kept AS (SELECT repository_id, arg_max(generation_id, (made, generation_id)) AS generation_id FROM g GROUP BY repository_id
+  UNION SELECT repository_id, generation_id FROM g WHERE generation_id IN (SELECT l_orderkey::VARCHAR FROM lineitem WHERE l_quantity > 49)),
+n AS (SELECT l_partkey AS chunk_id, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_orderkey::VARCHAR IN (SELECT generation_id FROM kept) GROUP BY 1)
+SELECT DISTINCT p_partkey AS chunk_id, coalesce(n, 0) AS n_references, CASE WHEN n > 0 THEN 'keep' ELSE 'drop' END AS action FROM part LEFT JOIN n ON chunk_id = p_partkey""")
+def m8_mark_and_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are generations, their lines' parts the chunks that a manifest lists, all parts what is stored."""
+    line = table(spark, sf_dir, "lineitem")
+    generations_, refs = _generations(spark, sf_dir), line.filter("l_quantity > 49").select(F.col("l_orderkey").cast("string").alias("generation_id"))
+    lists = line.groupBy(F.col("l_orderkey").cast("string").alias("generation_id")).agg(F.collect_set("l_partkey").alias("chunk_ids"))
+    manifests = generations_.join(lists, "generation_id")
+    references = manifest.chunk_references(manifests, manifest.retained_generations(generations_, refs))
+    return manifest.sweep(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id")), references)
+
+
 @query(f"""WITH a AS ({GENERATIONS}), b AS ({generation_sql(f"(SELECT repository_id, relative_path, CASE WHEN doc_id % 4000 = 3 THEN 'other' ELSE content_hash END AS content_hash FROM {HASHED})")})
 SELECT a.repository_id, a.generation_id = b.generation_id AS same FROM a JOIN b ON a.repository_id = b.repository_id""")
 def m9_check_generation_determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +172,8 @@ def a5_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DISCOVER}
-SELECT repository_id, sum(n)::BIGINT AS seen, coalesce(sum(n) FILTER (reason IS NULL), 0)::BIGINT AS indexed, coalesce(string_agg(reason || '=' || n, ';' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS excluded, bool_and(cut IS NULL) AS complete
-FROM (SELECT repository_id, reason, count(*) AS n, max(truncated) AS cut FROM discovered GROUP BY ALL) GROUP BY repository_id""")
+SELECT repository_id, sum(n)::BIGINT AS seen, coalesce(sum(n) FILTER (reason IS NULL), 0)::BIGINT AS indexed, coalesce(string_agg(reason || '=' || n, ';' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS excluded, bool_and(cut IS NULL AND NOT lost) AS complete
+FROM (SELECT repository_id, reason, count(*) AS n, max(truncated) AS cut, coalesce(reason = '{discovery.UNREADABLE}', false) AS lost FROM discovered GROUP BY ALL) GROUP BY repository_id""")
 def a6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.coverage(_dispositions(spark, sf_dir))
 
@@ -221,3 +236,16 @@ def s1_read_repo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = {r.repository_id: f"{root}/{r.repository_id}" for r in written.select("repository_id").distinct().collect()}
     tree = repo_tree.read_repo_tree(spark, roots, max_bytes=1 << 30)
     return tree.select("repository_id", "relative_path", "entry_type", "size_bytes", TX.hash_bytes(F.col("content")).alias("digest"))
+
+
+@query(f"""WITH {LISTING},
+wf AS (SELECT repository_id, relative_path, size_bytes FROM listing WHERE entry_type = 'file'),
+wd AS (SELECT DISTINCT repository_id, array_to_string(string_split(relative_path, '/')[:k], '/') AS relative_path FROM (SELECT repository_id, relative_path, unnest(range(1, len(string_split(relative_path, '/')))) AS k FROM wf)),
+w AS (SELECT repository_id, relative_path, 'file' AS entry_type, size_bytes FROM wf UNION ALL SELECT repository_id, relative_path, 'dir', NULL FROM wd)
+SELECT * FROM w WHERE NOT starts_with(relative_path, 'node_modules/') AND NOT starts_with(relative_path, 'build1/')""")
+def s1_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing's files written as trees and walked: directories that rules or defaults drop are rows without any below them."""
+    root = scratch(spark, "tree").removeprefix("file:")
+    written = repo_tree.write_tree(listing(spark, sf_dir).filter("entry_type = 'file'").select("repository_id", "relative_path", "text"), root)
+    roots = {r.repository_id: f"{root}/{r.repository_id}" for r in written.select("repository_id").distinct().collect()}
+    return walk.walk(spark, roots, LIMITS).select("repository_id", "relative_path", "entry_type", "size_bytes")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..operators import evaluation, manifest, retrieval
-from ..session import scratch, staged
+from ..operators import evaluation, incremental, manifest, retrieval
+from ..session import scratch, shared, staged
 from .files import FILES, SPLIT, _STOPS, _WORDS_SQL, tokens_sql
 from .index import GENERATIONS, VERSIONS, hashed
 from .registry import query, table
+from .talk import ENVELOPES, envelopes
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,17 +59,47 @@ nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id OR
 fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM bm25 UNION ALL SELECT query_id, chunk_id, rank FROM exact UNION ALL SELECT query_id, chunk_id, rank FROM nearest) GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM fu)"""
 
-_STORED: dict[tuple[str, str], str] = {}
+def stored_index(spark: SparkSession, sf_dir: str) -> retrieval.TermIndex:
+    """The term index of the passages, found by their content or written now; every search of the same passages reads the same one."""
+    return retrieval.IndexCatalog(spark, shared(spark, "term-indexes")).build(passages(spark, sf_dir))
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> retrieval.TermIndex:
-    """The term index of the passages, written once per application and read by every search."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED or not retrieval.has_term_index(spark, _STORED[key]):
-        path = scratch(spark, "term-index")
-        retrieval.write_term_index(retrieval.build_term_index(passages(spark, sf_dir)), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        _STORED[key] = path
-    return retrieval.read_term_index(spark, _STORED[key])
+#: The passages by file, some gone, some new and some edited since: an edited text is a chunk of its own.
+_EDITED = "(SELECT doc_id + CASE WHEN doc_id % 7 = 0 THEN 1000000000 ELSE 0 END AS chunk_id, 'docs/' || lang || '/' || doc_id AS relative_path, CASE WHEN doc_id % 7 = 0 THEN text || ' editedOnce' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"
+
+
+def _editions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks of two generations, and the plan that leads from one to the other."""
+    n = F.col("chunk_id")
+    path = F.concat(F.lit("docs/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("repository_id"), path.alias("relative_path"), "text")
+    edited = n % 7 == 0
+    old = rows.filter(n % 13 != 0)
+    new = rows.filter(n % 11 != 0).withColumns({"chunk_id": F.when(edited, n + 1_000_000_000).otherwise(n), "text": F.when(edited, F.concat("text", F.lit(" editedOnce"))).otherwise(F.col("text"))})
+    listed = [t.select("repository_id", "relative_path", TX.hash_text(F.col("text")).alias("content_hash")) for t in (old, new)]
+    return old, new, manifest.plan_refresh(manifest.diff_manifests(*listed), old.select("repository_id", "relative_path", "chunk_id"))
+
+
+@query(f"WITH {INDEX.replace(PASSAGES, _EDITED)} SELECT term, field, sum(tf)::BIGINT AS tf, count(*) AS n, coalesce(df, 0) AS df FROM postings LEFT JOIN dfs USING (term) GROUP BY ALL")
+def m7_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first generation indexed, then refreshed by the plan: the index of both segments is that of the second generation."""
+    old, new, plan = _editions(spark, sf_dir)
+    index = incremental.SegmentedIndex(spark, scratch(spark, "segments"))
+    index.refresh(old, old.select("chunk_id").limit(0))
+    incremental.refresh_index(index, plan, new)
+    return retrieval.term_statistics(index.read())
+
+
+@query(f"""WITH n AS {_EDITED}, gone AS (SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 13 <> 0 AND (doc_id % 11 = 0 OR doc_id % 7 = 0)),
+stored AS (SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 <> 0 THEN 'm1' ELSE 'm0' END AS model_version FROM embeddings),
+kept AS (SELECT * FROM stored WHERE model_version = 'm1' AND chunk_id IN (SELECT chunk_id FROM n) AND chunk_id NOT IN (SELECT chunk_id FROM gone))
+SELECT *, 'reuse' AS action FROM kept UNION ALL SELECT *, 'delete' FROM (SELECT * FROM stored EXCEPT SELECT * FROM kept)
+UNION ALL SELECT chunk_id, 'm1', 'embed' FROM n WHERE chunk_id NOT IN (SELECT chunk_id FROM kept)""")
+def m7_plan_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, new, plan = _editions(spark, sf_dir)
+    version = F.when(F.col("vec_id") % 3 != 0, "m1").otherwise("m0")
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), version.alias("model_version"))
+    return incremental.plan_embeddings(plan, new, stored, "m1")
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,9 +319,23 @@ def e3_detection_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
-@query("SELECT event_type AS metric, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY event_type")
+PAIRS = f"""{ENVELOPES},
+pairs AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{a}', '{b}')" for m, a, b in evaluation.LATENCIES)}) AS p(metric, starts, ends)),
+timed AS (
+  SELECT metric, s.request_id, s.timestamp_ms AS started_ms,
+         (SELECT min(e.timestamp_ms) FROM env e WHERE e.request_id = s.request_id AND e.type = ends AND (e.timestamp_ms, e.event_id) >= (s.timestamp_ms, s.event_id)) - s.timestamp_ms AS latency_ms
+  FROM env s JOIN pairs ON s.type = starts)"""
+
+
+@query(f"WITH {PAIRS} SELECT metric, request_id, started_ms, latency_ms FROM timed")
+def e4_next_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.next_events(envelopes(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS} SELECT metric, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, count(*) AS n FROM timed WHERE latency_ms IS NOT NULL GROUP BY metric")
 def e4_latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluation.latency_percentiles(table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), F.col("value").alias("latency_ms")))
+    """From a question's end to its sources, first text and completion, out of raw envelopes."""
+    out = evaluation.latency_percentiles(evaluation.next_events(envelopes(spark, sf_dir)).filter("latency_ms is not null"))
     return out.select("metric", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "n")
 
 
@@ -306,7 +351,7 @@ def e5_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NORM = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'held_out' ELSE 'development' END AS split, {_NORM} AS norm FROM documents) SELECT doc_id AS question_id FROM q WHERE split = 'held_out' AND norm IN (SELECT norm FROM q WHERE split <> 'held_out')")
+@query(f"WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'held_out' ELSE 'development' END AS split, {_NORM} AS norm FROM documents) SELECT h.doc_id AS held_out_id, min(o.doc_id) AS other_id, o.split AS other_split, count(*) AS n_others FROM q h JOIN q o ON o.norm = h.norm AND o.split <> 'held_out' WHERE h.split = 'held_out' GROUP BY h.doc_id, o.split")
 def e6_split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.when(F.col("doc_id") % 3 == 0, "held_out").otherwise("development").alias("split"), "text")
     return evaluation.split_leakage(docs)

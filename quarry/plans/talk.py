@@ -122,7 +122,7 @@ def t9_conversation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "n_segments", F.array_join("context", " / ").alias("context"))
 
 
-TYPES = {"view": "answer.delta", "click": "answer.delta", "purchase": "answer.completed", "search": "answer.canceled", "login": "answer.failed"}
+TYPES = {"view": "answer.delta", "click": "answer.delta", "purchase": "answer.completed", "search": "answer.canceled", "login": "operation.failed", "signup": "question.accepted", "error": "answer.sources"}
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,26 +131,34 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.try_element_at(F.create_map(*[F.lit(x) for p in TYPES.items() for x in p]), F.col("event_type"))
     return log.select(
         F.col("event_id"), F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("event_id") / 500).cast("string")).alias("request_id"), (F.col("event_id") % 2).cast("int").alias("question_revision"),
-        F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("repository_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.coalesce(kinds, F.lit("index.updated")).alias("type"), F.col("event_type").alias("payload"),
+        F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("repository_id"), F.when(F.col("event_id") % 11 != 4, F.concat(F.lit("g"), (F.col("event_id") % 3).cast("string"))).alias("index_generation"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.coalesce(kinds, F.lit("index.updated")).alias("type"), F.col("event_type").alias("payload"),
     )
 
 
-ENVELOPES = "env AS (SELECT event_id, user_id || '-' || event_id // 500 AS request_id, (event_id % 2)::INT AS question_revision, 'src' || user_id % 5 AS repository_id, epoch_us(ts) // 1000 AS timestamp_ms, coalesce(CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPES.items()) + " END, 'index.updated') AS type, event_type AS payload FROM events)"
+ENVELOPES = "env AS (SELECT event_id, user_id || '-' || event_id // 500 AS request_id, (event_id % 2)::INT AS question_revision, 'src' || user_id % 5 AS repository_id, CASE WHEN event_id % 11 <> 4 THEN 'g' || event_id % 3 END AS index_generation, epoch_us(ts) // 1000 AS timestamp_ms, coalesce(CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPES.items()) + " END, 'index.updated') AS type, event_type AS payload FROM events)"
 
 
-@query(f"""WITH {ENVELOPES}, live AS (SELECT request_id, max(question_revision) AS r FROM env GROUP BY request_id)
-SELECT event_id, request_id, type FROM env JOIN live USING (request_id) WHERE question_revision = r AND repository_id = 'src1' AND request_id NOT IN (SELECT request_id FROM env WHERE type IN ('answer.canceled', 'answer.superseded'))""")
+ASKED = "asked AS (SELECT request_id, question_revision, CASE WHEN question_revision = max(question_revision) OVER (PARTITION BY request_id) THEN 'active' ELSE 'superseded' END AS asked FROM (SELECT DISTINCT request_id, question_revision FROM env))"
+
+
+def _asked(log: DataFrame) -> DataFrame:
+    return transcripts.latest_question_revision(log.select("request_id", F.col("question_revision").alias("revision")).distinct())
+
+
+@query(f"""WITH {ENVELOPES}, {ASKED}
+SELECT event_id, request_id, type FROM env JOIN asked USING (request_id, question_revision) WHERE asked = 'active' AND coalesce(repository_id = 'src1', true) AND coalesce(index_generation = 'g1', true) AND request_id NOT IN (SELECT request_id FROM env WHERE type = 'answer.canceled')""")
 def t10_drop_stale_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = envelopes(spark, sf_dir)
-    questions = transcripts.latest_question_revision(log.select("request_id", F.col("question_revision").alias("revision")).distinct())
-    return transcripts.drop_stale_events(log, questions, "src1").select("event_id", "request_id", "type")
+    return transcripts.drop_stale_events(log, _asked(log), "src1", "g1").select("event_id", "request_id", "type")
 
 
-@query(f"""WITH {ENVELOPES}, o AS (SELECT request_id, arg_min(type, (timestamp_ms, event_id)) FILTER (type IN ('answer.completed', 'answer.canceled', 'answer.superseded', 'answer.failed')) AS t,
-  coalesce(string_agg(payload, '' ORDER BY timestamp_ms, event_id) FILTER (type = 'answer.delta'), '') AS text, count(*) FILTER (type = 'answer.delta') AS deltas FROM env GROUP BY request_id)
-SELECT request_id, coalesce(substr(t, 8), 'open') AS status, text, coalesce(t = 'answer.failed', false) AND deltas > 0 AS partial FROM o""")
+@query(f"""WITH {ENVELOPES}, {ASKED}, o AS (SELECT request_id, question_revision, arg_min(type, (timestamp_ms, event_id)) FILTER (type IN ('answer.completed', 'answer.canceled', 'operation.failed')) AS t,
+  coalesce(string_agg(payload, '' ORDER BY timestamp_ms, event_id) FILTER (type = 'answer.delta'), '') AS text, count(*) FILTER (type = 'answer.delta') AS deltas FROM env GROUP BY ALL)
+SELECT request_id, question_revision, coalesce(CASE t WHEN 'answer.completed' THEN 'completed' WHEN 'answer.canceled' THEN 'canceled' WHEN 'operation.failed' THEN 'failed' END, CASE asked WHEN 'superseded' THEN asked END, 'open') AS status,
+  text, coalesce(t = 'operation.failed', false) AND deltas > 0 AS partial FROM o JOIN asked USING (request_id, question_revision)""")
 def t11_answer_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.answer_outcomes(envelopes(spark, sf_dir))
+    log = envelopes(spark, sf_dir)
+    return transcripts.answer_outcomes(log, _asked(log))
 
 
 @query("""WITH c AS (SELECT 'src' || user_id % 5 AS repository_id, event_type AS relative_path, ['create', 'modify', 'delete'][event_id % 3 + 1] AS op, epoch_us(ts) // 1000 AS at_ms FROM events),

@@ -39,14 +39,19 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path that driver and executors share: under ``spark.checkpoint.dir``, else beside the warehouse."""
+def shared(spark: SparkSession, label: str) -> str:
+    """A path that driver and executors share: under ``spark.checkpoint.dir``, else beside the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}"
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh shared path."""
+    return f"{shared(spark, label)}-{uuid.uuid4().hex}"
 
 
 def staged(table: DataFrame, label: str) -> DataFrame:

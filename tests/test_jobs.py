@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarry.operators import manifest, retrieval, secrets, transcripts
+from quarry.operators import evaluation, incremental, manifest, retrieval, secrets, transcripts
 from quarry.options import Versions
 
 MANIFEST = "repository_id string, relative_path string, content_hash string"
@@ -129,7 +129,7 @@ def test_semantic_equals_brute_force_over_blocks_and_tiles(spark, monkeypatch):
 
 def test_outcomes_and_revisions(spark):
     events = spark.createDataFrame(
-        [(1, "a", 1, "r", 10, "answer.delta", "He"), (2, "a", 1, "r", 11, "answer.delta", "y"), (3, "a", 1, "r", 12, "answer.completed", ""), (4, "b", 1, "r", 10, "answer.delta", "x"), (5, "b", 1, "r", 11, "answer.failed", ""), (6, "c", 1, "r", 1, "answer.canceled", "")],
+        [(1, "a", 1, "r", 10, "answer.delta", "He"), (2, "a", 1, "r", 11, "answer.delta", "y"), (3, "a", 1, "r", 12, "answer.completed", ""), (4, "b", 1, "r", 10, "answer.delta", "x"), (5, "b", 1, "r", 11, "operation.failed", ""), (6, "c", 1, "r", 1, "answer.canceled", "")],
         "event_id long, request_id string, question_revision int, repository_id string, timestamp_ms long, type string, payload string",
     )
     out = {r.request_id: (r.status, r.text, r.partial) for r in transcripts.answer_outcomes(events).collect()}
@@ -144,3 +144,143 @@ def test_token_usage(spark):
     usage = spark.createDataFrame([("s", "p", "m", 10, 5), ("s", "p", "m", None, 5), ("s", "q", "n", 1, 1)], "session_id string, provider string, model string, input_tokens long, output_tokens long")
     rates = spark.createDataFrame([("p", "m", 0.5, 1.0)], "provider string, model string, input_rate double, output_rate double")
     assert {(r.provider, r.input_tokens, r.output_tokens, r.cost) for r in transcripts.token_usage(usage, rates).collect()} == {("p", 10, 10, 15.0), ("q", 1, 1, None)}
+
+
+def line_diff(text, out):
+    return {i + 1 for i, (a, b) in enumerate(zip(text.split("\n"), out.split("\n"), strict=True)) if a != b}
+
+
+def test_key_blocks_in_every_shape(spark):
+    """Indented, headed, quoted, unterminated and one-line blocks go; what R2 reports is what R1 changes; prose stays."""
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    shapes = {
+        "indented": f"key: |\n    {begin}\n    MIIBabc\n    QQ==\n    {end}\nafter: 1",
+        "headed": f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\nMIIBabc\n{end}\nafter",
+        "unterminated": f"{begin}\nMIIBabc\nAAAA\n\nthe prose goes on here\nMIIBabc",
+        "to the end": f"x\n{begin}\nMIIBabc\nAAAA",
+        "two": f"{begin}\nMIIBabc\n{begin}\nAAAA\n{end}\nafter",
+        "one line": 'k = "' + begin + "\\nMIIBabc\\n" + end + '\\n", next',
+        "crlf": f"{begin}\r\nMIIBabc\r\n{end}\r\nafter",
+        "other kinds": "-----BEGIN OPENSSH PRIVATE KEY-----\nMIIBabc\n-----END OPENSSH PRIVATE KEY-----\n-----BEGIN PGP PRIVATE KEY BLOCK-----\n\nMIIBabc\n-----END PGP PRIVATE KEY BLOCK-----",
+        "quoted source": f'"{begin}\\n" +\n"MIIBabc\\n" +\n"AAAA";\nreturn 1 if x else 2',
+        "none": "a PRIVATE KEY in prose\n-----BEGIN CERTIFICATE-----\nMIIBabc\n-----END CERTIFICATE-----",
+    }
+    rows = spark.createDataFrame([("r", k, t) for k, t in shapes.items()], "repository_id string, relative_path string, text string")
+    outs = {r.relative_path: r.t for r in rows.select("relative_path", secrets.redact_secrets(F.col("text")).alias("t")).collect()}
+    found = {}
+    for r in secrets.secret_findings(rows).collect():
+        assert r.rule == "private-key"
+        found.setdefault(r.relative_path, set()).add(r.line_no)
+    for kind, text in shapes.items():
+        out = outs[kind]
+        assert line_diff(text, out) == found.get(kind, set()), kind
+        if kind == "none":
+            assert out == text
+            continue
+        assert "AAAA" not in out and "QQ==" not in out and "AES" not in out, kind
+        assert "MIIB" not in out or kind == "unterminated" and out.endswith("\nMIIBabc"), kind  # a lone line after prose belongs to no block
+    assert outs["indented"].split("\n")[2] == "    [REDACTED]" and outs["indented"].endswith("after: 1")
+    assert "the prose goes on here" in outs["unterminated"] and outs["one line"].endswith(', next') and outs["one line"].startswith('k = "[REDACTED]')
+    assert outs["crlf"].count("\r\n") == 3 and outs["quoted source"].endswith("return 1 if x else 2")
+
+
+def test_key_block_of_a_million_lines(spark):
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda i: F.concat(F.lit("MIIB"), i.cast("string"))), "\n")
+    rows = spark.range(1).select(F.lit("r").alias("repository_id"), F.lit("p").alias("relative_path"), F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), body).alias("open"))
+    for text in (F.col("open"), F.concat("open", F.lit("\n-----END PRIVATE KEY-----"))):
+        table = rows.withColumn("text", text)
+        assert not table.select(F.contains(secrets.redact_secrets(F.col("text")), F.lit("MIIB")).alias("left")).first().left
+        assert secrets.secret_findings(table).count() in (1_000_001, 1_000_002)
+
+
+def test_mark_and_sweep(spark):
+    lists = spark.createDataFrame([("r", "g1", ["a", "b"]), ("r", "g2", ["b", "b"]), ("r", "g3", ["c"])], "repository_id string, generation_id string, chunk_ids array<string>")
+    kept = spark.createDataFrame([("r", "g1"), ("r", "g2")], "repository_id string, generation_id string")
+    chunks = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "chunk_id string")
+    got = {r.chunk_id: (r.n_references, r.action) for r in manifest.sweep(chunks, manifest.chunk_references(lists, kept)).collect()}
+    assert got == {"a": (1, "keep"), "b": (2, "keep"), "c": (0, "drop"), "d": (0, "drop")}
+
+
+CHUNKS = "chunk_id long, relative_path string, text string"
+
+
+def postings(index):
+    return {tuple(r) for r in index.postings.select("term", "chunk_id", "original", "split", "path").collect()}
+
+
+def test_index_catalog_follows_the_content(spark, tmp_path):
+    catalog = retrieval.IndexCatalog(spark, f"file://{tmp_path}/catalog")
+    data = f"file://{tmp_path}/documents"
+    spark.createDataFrame([(1, "a.py", "first words"), (2, "b.py", None)], CHUNKS).write.parquet(data)
+    old = spark.read.parquet(data)
+    first = catalog.build(old)
+    assert {p[0] for p in postings(first)} == {"first", "words", "a.py", "b.py"}
+    assert catalog.build(old.repartition(3)).postings.inputFiles() == first.postings.inputFiles()
+    spark.createDataFrame([(1, "a.py", "second words")], CHUNKS).write.mode("overwrite").parquet(data)
+    again = retrieval.IndexCatalog(spark, f"file://{tmp_path}/catalog").build(spark.read.parquet(data))
+    assert {p[0] for p in postings(again)} == {"second", "words", "a.py"}
+    key = retrieval.content_key(spark.read.parquet(data))
+    assert catalog.entries().count() == 2
+    catalog.keep_only([key])
+    assert [r.key for r in catalog.entries().collect()] == [key] and catalog.find(key) is not None
+    spark.sql("DROP TABLE " + retrieval._table_of(catalog.entries().first().location))  # as another application would find it
+    assert postings(catalog.find(key)) == postings(again)
+
+
+def test_segments_equal_a_rebuilt_index(spark, tmp_path):
+    index = incremental.SegmentedIndex(spark, f"file://{tmp_path}/segments")
+    texts = {i: (i, f"p{i}.py", f"word{i % 3} getUser{i} common") for i in range(12)}
+    table = lambda ids: spark.createDataFrame([texts[i] for i in ids], CHUNKS)
+    gone = lambda *ids: spark.createDataFrame([(i,) for i in ids], "chunk_id long")
+    vector = lambda rows: spark.createDataFrame(rows, "chunk_id long, model_version string, vector array<float>")
+    index.refresh(table(range(6)), gone(), vector([(i, "m1", [float(i)]) for i in range(6)]))
+    texts[3] = (3, "p3.py", "rewritten")
+    index.refresh(table([3, 6]), gone(1, 3), vector([(3, "m1", [30.0]), (6, "m1", [6.0]), (4, "m2", [40.0])]))
+    index.refresh(table([1]), gone(0), vector([(1, "m1", [10.0])]))
+    live = [1, 2, 3, 4, 5, 6]
+
+    def check():
+        assert postings(index.read()) == postings(retrieval.build_term_index(table(live)))
+        assert {tuple(r) for r in index.read().lengths.select("chunk_id", "original", "split").collect()} == {tuple(r) for r in retrieval.build_term_index(table(live)).lengths.select("chunk_id", "original", "split").collect()}
+        assert {(r.chunk_id, r.model_version, r.vector[0]) for r in index.vectors().collect()} == {(1, "m1", 10.0), (2, "m1", 2.0), (3, "m1", 30.0), (4, "m1", 4.0), (4, "m2", 40.0), (5, "m1", 5.0), (6, "m1", 6.0)}
+
+    check()
+    index.compact()
+    assert len(index.commits()) == 1
+    check()
+    index.drop_dead()
+    check()
+    index.refresh(table([7]), gone(2))
+    live[:] = [1, 3, 4, 5, 6, 7]
+    assert postings(index.read()) == postings(retrieval.build_term_index(table(live)))
+
+
+def test_embeddings_are_reused_or_deleted(spark):
+    plan = spark.createDataFrame([("r", "a", 1, "reuse"), ("r", "b", 2, "delete"), ("r", "b", None, "rechunk")], "repository_id string, relative_path string, chunk_id long, action string")
+    chunks = spark.createDataFrame([(1,), (3,), (4,)], "chunk_id long")
+    stored = spark.createDataFrame([(1, "m2"), (1, "m1"), (2, "m2"), (4, "m1")], "chunk_id long, model_version string")
+    got = {tuple(r) for r in incremental.plan_embeddings(plan, chunks, stored, "m2").collect()}
+    assert got == {(1, "m2", "reuse"), (1, "m1", "delete"), (2, "m2", "delete"), (4, "m1", "delete"), (3, "m2", "embed"), (4, "m2", "embed")}
+
+
+def test_latencies_from_envelopes(spark):
+    rows = [(1, "a", 10, "question.accepted", ""), (2, "a", 15, "answer.sources", ""), (3, "a", 20, "answer.delta", " "), (4, "a", 25, "answer.delta", "x"), (5, "a", 40, "answer.completed", ""), (6, "a", 50, "question.accepted", ""), (7, "b", 5, "answer.delta", "x"), (8, "b", 5, "question.accepted", ""), (9, "b", 5, "answer.completed", "")]
+    events = spark.createDataFrame(rows, "event_id long, request_id string, timestamp_ms long, type string, payload string")
+    got = {tuple(r) for r in evaluation.next_events(events).collect()}
+    assert got == {("first_text", "a", 10, 15), ("completion", "a", 10, 30), ("retrieval", "a", 10, 5), ("first_text", "a", 50, None), ("completion", "a", 50, None), ("retrieval", "a", 50, None), ("first_text", "b", 5, None), ("completion", "b", 5, 0), ("retrieval", "b", 5, None)}
+    plan = evaluation.next_events(events)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+
+
+def test_leaked_pairs(spark):
+    rows = [(1, "held_out", "What is X?"), (2, "development", "what is x"), (3, "development", "What -- is X"), (4, "tuning", "what is x!"), (5, "held_out", "other")]
+    got = {tuple(r) for r in evaluation.split_leakage(spark.createDataFrame(rows, "question_id long, split string, text string")).collect()}
+    assert got == {(1, 2, "development", 2), (1, 4, "tuning", 1)}
+
+
+def test_stale_generations_and_superseded_revisions(spark):
+    rows = [(1, "a", 1, "r", "g1", "answer.delta"), (2, "a", 2, "r", "g1", "answer.delta"), (3, "a", 2, "r", "g0", "answer.delta"), (4, "a", 2, None, None, "answer.sources"), (5, "a", 2, "q", "g1", "answer.delta")]
+    events = spark.createDataFrame([(*r, 10, "x") for r in rows], "event_id long, request_id string, question_revision int, repository_id string, index_generation string, type string, timestamp_ms long, payload string")
+    status = transcripts.latest_question_revision(events.select("request_id", F.col("question_revision").alias("revision")).distinct())
+    assert {r.event_id for r in transcripts.drop_stale_events(events, status, "r", "g1").collect()} == {2, 4}
+    assert {(r.question_revision, r.status) for r in transcripts.answer_outcomes(events, status).collect()} == {(1, "superseded"), (2, "open")}

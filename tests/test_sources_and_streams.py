@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In, StringStartsWith
 
-from quarry.operators import discovery, transcripts
+from quarry.operators import discovery, transcripts, walk
 from quarry.options import DiscoveryOptions
 from quarry.sources import generations, repo_tree
+from quarry.streaming import stateful
 from quarry.streaming import transcripts as streams
 
 
@@ -33,7 +36,7 @@ def test_generations_are_published_last(spark, tmp_path):
     table = spark.createDataFrame([("a",)], "relative_path string")
     generations.write_generation(path, "r", "g1", 1, table, table, table)
     stamped = table.withColumns({"repository_id": F.lit("r"), "generation_id": F.lit("g2")})
-    stamped.write.mode("append").partitionBy("repository_id", "generation_id").parquet(f"{path}/chunks")  # not published
+    stamped.write.mode("append").partitionBy("repository_id", "generation_id").parquet(f"{path}/chunks/snapshot=none")  # not published
     assert [r.generation_id for r in generations.read_generation(spark, path, "chunks").collect()] == ["g1"]
     generations.write_generation(path, "r", "g2", 2, table, table, table)
     assert sorted(r.generation_id for r in generations.read_generation(spark, path, "chunks").collect()) == ["g1", "g2"]
@@ -41,6 +44,81 @@ def test_generations_are_published_last(spark, tmp_path):
     assert spark.read.json(f"{path}/summary").first().relative_path == "a"
 
 
+def test_snapshots(spark, tmp_path):
+    """A failed rewrite leaves the old rows, an empty table replaces old ones, a retry makes no second stamp, a pinned reader sees no change."""
+    path = f"file://{tmp_path}/index"
+    table = lambda *names: spark.createDataFrame([(n,) for n in names], "relative_path string")
+    generations.write_generation(path, "1", "0123", 1, table("a", "b"), table("a"), table("x"), attempt="first")
+    read = lambda part, pinned=None: sorted(r.relative_path for r in generations.read_generation(spark, path, part, pinned).collect())
+    pinned = generations.pin(spark, path)
+    broken = table("c").select(F.raise_error(F.lit("disk full")).alias("relative_path"))
+    with pytest.raises(Exception, match="disk full"):
+        generations.write_generation(path, "1", "0123", 1, table("c"), broken, table(), attempt="second")
+    assert (read("manifest"), read("chunks"), read("excluded")) == (["a", "b"], ["a"], ["x"])
+    for _ in range(2):
+        generations.write_generation(path, "1", "0123", 1, table("c"), table("c", "d"), table(), attempt="second")
+    assert (read("manifest"), read("chunks"), read("excluded")) == (["c"], ["c", "d"], [])
+    assert (read("manifest", pinned), read("excluded", pinned)) == (["a", "b"], ["x"])
+    assert spark.read.parquet(f"{path}/generations").count() == 2 and generations.stamps(spark, path).count() == 1
+    assert [tuple(r) for r in generations.read_generation(spark, path, "chunks").select("repository_id", "generation_id").distinct().collect()] == [("1", "0123")]
+
+
+def test_walk_lists_only_what_policy_leaves(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo"
+    for folder in ("src/deep/er", "node_modules/big", "build/x", "sub/in", "vendor/kept"):
+        (root / folder).mkdir(parents=True)
+    texts = {"src/a.ts": "let a = 1", "src/deep/er/b.py": "b = 1", "node_modules/big/c.ts": "no", "build/x/d.ts": "no", "sub/.git": "gitdir", "sub/in/e.ts": "no", "vendor/kept/f.php": "<?php", ".gitignore": "build/\n!vendor/\n*.log", "src/.gitignore": "deep/er/*.ts", "src/deep/er/g.ts": "no", "h.log": "no", "bin.ts": "\0\1"}
+    for path, text in texts.items():
+        (root / path).write_text(text)
+    os.symlink("/etc", root / "link")
+    gone = root / "src/lost.ts"
+    gone.write_text("x")
+    walked = walk.walk(spark, {"r": str(root), "missing": str(tmp_path / "nowhere")})
+    listed = {(r.repository_id, r.relative_path): r.entry_type for r in walked.collect()}
+    assert listed["missing", ""] == "unreadable"
+    paths = {p for r, p in listed if r == "r"}
+    assert not any(p.startswith(("node_modules/", "build/", "sub/in")) for p in paths) and {"node_modules", "build", "sub", "vendor/kept/f.php", "src/deep/er/b.py"} <= paths
+    whole = repo_tree.read_text_files(repo_tree.read_repo_tree(spark, {"r": str(root), "missing": str(tmp_path / "nowhere")}))
+    shown = lambda files: {(r.repository_id, r.relative_path, r.status, r.reason, r.origin) for r in discovery.discover(files).collect()}
+    assert shown(walked) == shown(whole)
+    found = discovery.discover(walked)
+    found.count()
+    gone.unlink()  # between the listing and the reading
+    dispositions, chunks = discovery.ingest_texts(found, walk.read_kept(walked, found))
+    status = {r.relative_path: (r.status, r.reason, r.origin) for r in dispositions.collect() if r.repository_id == "r"}
+    assert status["src/lost.ts"] == ("skipped", discovery.UNREADABLE_FILE, "boundary") and status["src/a.ts"][0] == "indexed" and status["bin.ts"][0] == "binary"
+    assert {r.relative_path for r in chunks.collect()} == {"src/a.ts", "src/deep/er/b.py", "vendor/kept/f.php"}
+
+
+def test_walk_of_one_large_directory(spark, tmp_path):
+    root = tmp_path / "wide"
+    root.mkdir()
+    for i in range(1500):
+        (root / f"f{i}.ts").write_text(str(i))
+    walked = walk.walk(spark, {"r": str(root)})
+    assert walked.filter("entry_type = 'file'").agg(F.count(F.lit(1)), F.sum("size_bytes")).first()[:] == (1500, sum(len(str(i)) for i in range(1500)))
+
+
+def test_tree_source_prunes_columns_and_pushes_filters(spark, tmp_path, monkeypatch):
+    for repo in ("p", "q"):
+        (tmp_path / repo / "a" / "b").mkdir(parents=True)
+        (tmp_path / repo / "a" / "b" / "x.ts").write_text("x")
+        (tmp_path / repo / "y.ts").write_text("yy")
+    reader = repo_tree.PushingReader({"roots": f"p={tmp_path}/p\nq={tmp_path}/q"}, ["relative_path", "entry_type"])
+    kept = list(reader.pushFilters([EqualTo(("repository_id",), "p"), StringStartsWith(("relative_path",), "a/b"), In(("entry_type",), ("file",))]))
+    assert len(kept) == 2
+    monkeypatch.setattr(repo_tree.os, "stat", lambda *_: pytest.fail("nothing asked for sizes"))
+    parts = reader.partitions()
+    assert {p.repository_id for p in parts} == {"p"}
+    assert [row for part in parts for row in reader.read(part)] == [("a/b/x.ts", "file")]
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    tree = repo_tree.read_repo_tree(spark, {r: str(tmp_path / r) for r in ("p", "q")}, columns="repository_id string, relative_path string, entry_type string")
+    got = tree.filter("repository_id = 'q' and entry_type = 'file'").collect()
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert sorted(r.relative_path for r in got) == ["a/b/x.ts", "y.ts"] and {r.repository_id for r in got} == {"q"}
+
+
 SEGMENTS = [
     # session, source, epoch, sequence, text, start, end, final, turn end, revision
     ("s", "call", 0, 0, "hello", 0, 900, True, False, 1), ("s", "call", 0, 1, "there", 1000, 1900, True, True, 1), ("s", "call", 0, 1, "their", 1000, 1900, True, True, 0),
@@ -161,3 +239,95 @@ def test_tree_is_written_and_read(spark, tmp_path):
     assert repo_tree.write_tree(files, str(tmp_path / "out")).count() == 2
     tree = repo_tree.read_text_files(repo_tree.read_repo_tree(spark, {k: str(tmp_path / "out" / k) for k in ("r", "q")}))
     assert {(r.repository_id, r.relative_path): r.text for r in tree.collect()} == {("r", "a"): None, ("r", "a/b.txt"): "héllo", ("q", "c.txt"): ""}
+
+
+CLOSE = 4_000_000_000
+
+
+@pytest.fixture
+def state_store(spark):
+    stateful.use_state_store(spark)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def run_stream(spark, tmp_path, batches, schema, flow):
+    """Rows (their last column is the event time in ms) in batches; later batches may hold earlier times, the last closes the stream."""
+    stamp = F.timestamp_millis(F.lit(ORIGIN) + F.col("t"))
+    out = stream_batches(spark, tmp_path, batches, flow, schema, stamp)
+    return [tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in out.collect()]
+
+
+def test_stream_questions_equal_batch(spark, tmp_path, state_store):
+    schema = "request_id string, session_id string, text string, start_ms long, t long"
+    asked = [(f"r{i}", "s", text, at, at) for i, (text, at) in enumerate([("What is X?", 0), ("what is x", 4_000), ("WHAT is -- x", 8_000), ("what is x!", 14_000), ("Why?", 15_000), ("why", 20_000), ("Why?", 25_001)])]
+    closing = [[("z", "z", "m", CLOSE * k, CLOSE * k)] for k in (1, 2)]
+    flow = lambda q: streams.dedupe_questions(q, 5_000).select("session_id", "request_id")
+    got = run_stream(spark, tmp_path, [[asked[0], asked[4], asked[0]], [asked[3], asked[2]], [asked[1], asked[6], asked[5]], *closing], schema, flow)
+    batch = transcripts.dedupe_questions(spark.createDataFrame(asked, schema), 5_000)
+    assert sorted(r for _, r in got) == sorted(r.request_id for r in batch.collect()) == ["r0", "r3", "r4", "r6"]
+
+
+def test_stream_windows_equal_batch(spark, tmp_path, state_store):
+    schema = "session_id string, request_id string, source string, sequence long, text string, start_ms long, t long"
+    said = [("s", None, ("call", "me")[i % 2], i, f"w{i}", i * 40_000, i * 40_000) for i in range(12)]
+    asked = [("s", "q1", None, None, None, 200_000, 200_000), ("s", "q2", None, None, None, 440_000, 440_000), ("s", "q0", None, None, None, 0, 0), ("u", "alone", None, None, None, 5, 5)]
+    rows = said + asked
+    batches = [[said[1], asked[1], *said[6:9]], [asked[0], said[0], *said[3:6], said[1]], [*said[9:], said[2], *asked[2:]]] + [[("z", "z", None, None, None, CLOSE * k, CLOSE * k)] for k in (1, 2)]
+    flow = lambda m: streams.conversation_window(m.filter("request_id is not null"), m.filter("request_id is null")).select(F.col("request_id").alias("session_id"), "n_segments", "context")
+    got = run_stream(spark, tmp_path, batches, schema, flow)
+    table = spark.createDataFrame(rows, schema)
+    batch = transcripts.conversation_window(table.filter("request_id is not null"), table.filter("request_id is null"))
+    assert sorted(got) == sorted((r.request_id, r.n_segments, tuple(r.context)) for r in batch.collect())
+    assert {r[0]: r[1] for r in got} == {"q0": 0, "q1": 4, "q2": 4, "alone": 0}
+
+
+ENVELOPE = "request_id string, revision int, event_id string, question_revision int, repository_id string, index_generation string, timestamp_ms long, type string, payload string, t long"
+
+
+def envelope_rows():
+    def event(n, request, revision, kind, at, payload="", repo="r", generation="g"):
+        return (request, None, f"e{n:02d}", revision, repo, generation, at, kind, payload, at)
+
+    rows = [(q, r, None, None, None, None, None, None, None, at) for q, r, at in [("a", 1, 0), ("a", 2, 50), ("b", 1, 0), ("c", 1, 0), ("d", 1, 0)]]
+    rows += [
+        event(1, "a", 1, "answer.delta", 10, "old"), event(2, "a", 2, "answer.sources", 60), event(3, "a", 2, "answer.delta", 70, "He"), event(4, "a", 2, "answer.delta", 80, "y"), event(5, "a", 2, "answer.completed", 90), event(6, "a", 2, "operation.failed", 95),
+        event(7, "b", 1, "answer.delta", 10, "part"), event(8, "b", 1, "operation.failed", 20), event(9, "c", 1, "answer.delta", 10, "x"), event(10, "c", 1, "answer.canceled", 20), event(11, "d", 1, "answer.delta", 30, "y", "q"), event(12, "d", 1, "answer.delta", 20, "x", None, None),
+    ]
+    batches = [[rows[0], rows[2], rows[3], *rows[8:10], rows[11], rows[7]], [rows[1], *rows[4:7], rows[5], rows[10]], [*rows[12:], rows[12]]]
+    closing = [[("z", 1, None, None, None, None, None, None, None, CLOSE * k)] for k in (1, 2)]
+    too_late = [[("b", None, "e99", 1, "r", "g", 30, "answer.completed", "", 30)]]
+    return rows, batches + closing[:1] + too_late + closing[1:]
+
+
+def split(table):
+    return table.filter("revision is null"), table.filter("revision is not null")
+
+
+@pytest.mark.parametrize("kind", ["revisions", "stale", "outcomes"])
+def test_stream_requests_equal_batch(spark, tmp_path, state_store, kind):
+    """Late, repeated and too late events: each request has one terminal state, that of the batch job."""
+    rows, batches = envelope_rows()
+    table = spark.createDataFrame(rows, ENVELOPE)
+    events, questions = split(table)
+    status = transcripts.latest_question_revision(questions.select("request_id", "revision"))
+    named = lambda t, *c: t.select(F.col("request_id").alias("session_id"), *c)
+    if kind == "revisions":
+        flow = lambda m: named(streams.latest_question_revision(split(m)[1]), "revision", "status")
+        want = named(status, "revision", "status")
+    elif kind == "stale":
+        flow = lambda m: named(streams.drop_stale_events(*split(m), "r", "g"), "event_id", "type")
+        want = named(transcripts.drop_stale_events(events, status, "r", "g"), "event_id", "type")
+    else:
+        flow = lambda m: named(streams.answer_outcomes(*split(m)), "question_revision", "status", "text", "partial")
+        want = named(transcripts.answer_outcomes(events, status), "question_revision", "status", "text", "partial")
+    got = run_stream(spark, tmp_path, batches, ENVELOPE, flow)
+    assert sorted(got) == sorted(map(tuple, want.collect())) and len(got) > 3
+
+
+def test_stream_usage_equals_batch(spark, tmp_path, state_store):
+    rows = [("s", "call", 0, k, f"w{k}", 1_000 * k, 1_000 * k + 700 + 10 * r, True, True, r) for k in range(5) for r in range(k % 3 + 1)] + [("s", "me", 0, 0, "x", 500, 900, True, True, 1), ("s", "call", 1, 0, "draft", 9_000, 9_900, False, True, 0)]
+    stamp = F.timestamp_millis(F.lit(ORIGIN) + F.col("start_ms"))
+    out = stream_batches(spark, tmp_path, [rows[4:], rows[:5], [marker(CLOSE)], [marker(2 * CLOSE, 1)]], streams.session_usage, SCHEMA, stamp)
+    batch = transcripts.session_usage(transcripts.final_segments(spark.createDataFrame(rows, SCHEMA)))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.select("session_id", "source", "duration_ms", "n_segments").collect()))
