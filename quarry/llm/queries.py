@@ -154,15 +154,18 @@ def oracle_sql() -> dict[str, str]:
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{unit}') AS pieces FROM documents),
-u AS (
-  SELECT doc_id, unit, body, trim(regexp_replace(lower(body), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS norm
-  FROM (SELECT doc_id, unnest(pieces) AS body, generate_subscripts(pieces, 1) AS unit FROM d)),
-l AS (SELECT *, length(norm) > 0 AND row_number() OVER (PARTITION BY sha256(norm) ORDER BY doc_id, unit) > 1 AS later, sum(length(body)) OVER (PARTITION BY doc_id ORDER BY unit)::BIGINT AS stop FROM u),
-i AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id, later ORDER BY unit) AS island FROM l),
-r AS (SELECT *, later AND sum(length(norm)) OVER (PARTITION BY doc_id, later, island) >= {min_run} AS gone FROM i),
-s AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM (SELECT doc_id, island, min(stop - length(body)) AS a, max(stop) AS b FROM r WHERE gone GROUP BY doc_id, island) GROUP BY doc_id),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{line}') AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS body, generate_subscripts(ls, 1) AS line FROM d),
+n AS (SELECT *, trim(regexp_replace(lower(body), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS norm, regexp_extract_all(body, '{unit}') AS pieces FROM l),
+w AS (SELECT doc_id, line, pieces, length(norm) AS line_size, length(norm) > 0 AND row_number() OVER (PARTITION BY sha256(norm) ORDER BY doc_id, line) > 1 AS whole FROM n),
+u AS (SELECT doc_id, line, line_size, whole, unnest(pieces) AS body, generate_subscripts(pieces, 1) AS piece FROM w),
+v AS (SELECT *, trim(regexp_replace(lower(body), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY line, piece) AS unit FROM u),
+p AS (SELECT *, length(norm) > 0 AND row_number() OVER (PARTITION BY sha256(norm) ORDER BY doc_id, line, piece) > 1 AS part, sum(length(body)) OVER (PARTITION BY doc_id ORDER BY unit)::BIGINT AS stop FROM v),
+i AS (SELECT *, whole OR part AS later, unit - row_number() OVER (PARTITION BY doc_id, whole OR part ORDER BY unit) AS island FROM p),
+g AS (SELECT *, whole OR (later AND sum(CASE WHEN whole AND piece = 1 THEN line_size WHEN whole THEN 0 ELSE length(norm) END) OVER (PARTITION BY doc_id, later, island) >= {min_run}) AS gone FROM i),
+r AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id, gone ORDER BY unit) AS run FROM g),
+s AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM (SELECT doc_id, run, min(stop - length(body)) AS a, max(stop) AS b FROM r WHERE gone GROUP BY doc_id, run) GROUP BY doc_id),
 k AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(body, '' ORDER BY unit) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_spans, '') AS removed_spans, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN s USING (doc_id)
-""".replace("{unit}", line_dedup.unit_pattern(line_dedup.MIN_UNIT)).replace("{min_run}", str(line_dedup.MIN_RUN))
+""".replace("{unit}", line_dedup.unit_pattern(line_dedup.MIN_UNIT)).replace("{line}", line_dedup.LINE).replace("{min_run}", str(line_dedup.MIN_RUN))

@@ -435,29 +435,42 @@ def test_pii_has_no_reach_limit(spark):
 
 
 def brute_lines(rows, min_unit, min_run):
+    """Lines first, sentences inside the others: a unit is (text, pieces, size where it may go, whether it is a whole line)."""
     pattern = re.compile(r"(?s).{%d,}?(?:[.!?] |\n|\Z)|.+" % min_unit)
-    seen, out = set(), {}
+    norm = lambda t: re.sub(r"[ \t\n\x0b\f\r]+", " ", t.lower()).strip(" ")
+    lines_seen, parts_seen, out = set(), set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
-        runs, kept, n, at = [], "", 0, 0
-        units = [m[0] for m in pattern.finditer(text or "")]
-        later = []
-        for unit in units:
-            norm = re.sub(r"[ \t\n\x0b\f\r]+", " ", unit.lower()).strip(" ")
-            later.append(len(norm) if norm in seen and norm else 0)
-            seen.add(norm)
+        found, total = [], 0
+        for line in re.findall(r"[^\n]*\n|[^\n]+", text or ""):
+            pieces = [m[0] for m in pattern.finditer(line)]
+            total += len(pieces)
+            marks = []
+            for piece in pieces:
+                marks.append(len(norm(piece)) if norm(piece) in parts_seen else 0)
+                parts_seen.add(norm(piece) or None)
+            if norm(line) and norm(line) in lines_seen:
+                found.append((line, len(pieces), len(norm(line)), True))
+            else:
+                found += [(p, 1, m, False) for p, m in zip(pieces, marks, strict=True)]
+            lines_seen.add(norm(line))
+        gone = [u[3] for u in found]
         k = 0
-        while k < len(units):
+        while k < len(found):
             e = k
-            while e < len(units) and later[e]:
+            while e < len(found) and found[e][2]:
                 e += 1
-            if e > k and sum(later[k:e]) >= min_run:
-                stop = at + len("".join(units[k:e]))
-                runs.append((at, stop))
-                at, n, k = stop, n + e - k, e
+            if e > k and sum(u[2] for u in found[k:e]) >= min_run:
+                gone[k:e] = [True] * (e - k)
+            k = max(e, k + 1)
+        runs, kept, n, at = [], "", 0, 0
+        for (body, count, _, _), go in zip(found, gone, strict=True):
+            if go:
+                n += count
+                runs = [*runs[:-1], (runs[-1][0], at + len(body))] if runs and runs[-1][1] == at else [*runs, (at, at + len(body))]
             else:
-                kept += units[k]
-                at, k = at + len(units[k]), k + 1
-        out[i] = (len(units), n, runs, kept)
+                kept += body
+            at += len(body)
+        out[i] = (total, n, runs, kept)
     return out
 
 
@@ -472,11 +485,20 @@ def test_line_dedup(spark, min_unit, min_run):
 
 def test_line_dedup_passages(spark):
     long = " ".join(f"word{i}" for i in range(25))
-    rows = [(1, f"{long}\nshort\nTail one"), (2, f"x\n  {long.upper()}  \ny"), (3, f"{long}\n{long}"), (4, "short"), (5, "Copyright notice, all rights kept.\n"), (6, "Copyright notice, all rights kept.\n"), (7, f"Other words {long} go. {long}\nEnd")]
+    rows = [(1, f"{long}\nshort\nTail one"), (2, f"x\n  {long.upper()}  \ny"), (3, f"{long}\n{long}"), (4, "short"), (5, "Copyright notice, all rights kept.\n"), (6, "Copyright notice, all rights kept.\n"), (7, f"Other words {long} go. {long}\nEnd"), (8, "Only here. A chance repeat of one sentence. More.\n"), (9, "Alone. A chance repeat of one sentence. Else.\n")]
     got = {r.doc_id: r for r in line_dedup.remove_repeats(table(spark, rows)).collect()}
-    assert got[1].kept_text == rows[0][1] and got[4].kept_text == "short" and got[6].kept_text == rows[5][1]
+    assert got[1].kept_text == rows[0][1] and got[2].kept_text == "x\ny" and got[4].kept_text == "" and got[6].kept_text == ""
     assert got[3].kept_text == "" and got[3].n_removed == 2 and len(got[3].removed) == 1
     assert got[7].kept_text == f"Other words {long} go. End"
+    assert got[9].kept_text == rows[8][1]
+
+
+def test_whole_lines_go_whatever_stands_before_them(spark):
+    """Short lines before a repeated one do not shift its borders; no later copy of a line is left."""
+    line = "A line of two sentences, of which this is the first one. And this is the second one of them, a little longer than it was! "
+    rows = [(1, f"{line}\nx"), (2, f"Ok.\n{line}\ny"), (3, f"{line}\nz"), (4, f"Menu\n{line}"), (5, "Menu\r\nown text of the fifth\nOk.")]
+    got = {r.doc_id: r.kept_text for r in line_dedup.remove_repeats(table(spark, rows)).collect()}
+    assert got == {1: f"{line}\nx", 2: "Ok.\ny", 3: "z", 4: "Menu\n", 5: "own text of the fifth\n"}
 
 
 def test_probability_jaccard():
@@ -581,8 +603,8 @@ def test_hot_near_group_makes_linear_links(spark):
 
 def test_line_units_offsets(spark):
     rows = [(1, "a\n\nb. c\n"), (2, "")]
-    got = sorted((r.doc_id, r.unit, r.body) for r in line_dedup.units(table(spark, rows), 1).collect())
-    assert got == [(1, 1, "a\n"), (1, 2, "\nb. "), (1, 3, "c\n")]
+    got = sorted((r.doc_id, r.line, r.piece, r.whole, r.part, r.body) for r in line_dedup.units(table(spark, rows), 1).collect())
+    assert got == [(1, 1, 0, True, True, "a\n"), (1, 2, 0, True, True, "\n"), (1, 3, 0, True, False, "b. c\n"), (1, 3, 1, False, True, "b. "), (1, 3, 2, False, True, "c\n")]
 
 
 def test_near_dedup_links_that_bypass_the_leader(spark):
