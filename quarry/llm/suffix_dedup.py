@@ -6,9 +6,9 @@ window alone, so equal windows choose equal anchors. Only anchors are shuffled (
 only anchors that occur more than once matter.
 
 Around a shared anchor stands its context, the bytes of all windows that hold it. Identical contexts are each
-other's longest factors and need no sorting. Different contexts of one anchor are sorted together: suffixes are
-ordered by their first ``length`` bytes (prefix doubling, many anchors at once), ties by position. From the order come,
-for every position, the previous smaller position with an equal string (the longest previous factor, cut at ``length``) and,
+other's longest factors and need no sorting. Different contexts of one anchor are sorted together: their windows are
+ordered by their ``length`` bytes (ranks of what stands before and behind the anchor, many anchors at once), ties by position. From the order come,
+for every window, the previous smaller position with an equal string (the longest previous factor, cut at ``length``) and,
 mirrored, the next larger one (the longest next factor); what has either is removed, and with ``keep_first`` only what has the
 former, so that the first copy stays.
 
@@ -17,7 +17,7 @@ hashes of one window of each class per block over the cluster, so no block grows
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; matches never cross documents;
 a repeated row is a copy like any other and keeps its own result row; of several texts under one id each has its own result;
-a row without an id keeps its text and is no copy of others; an empty table gives no rows; other columns are ignored.
+a row without an id keeps its text and is no copy of others; very long texts are cut into overlapping pieces for their anchors and held whole where bytes are removed; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,62 +132,73 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def suffix_classes(data: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order truncated at ``length`` and its equivalence classes, by prefix doubling.
+def _dense(key: np.ndarray) -> np.ndarray:
+    return np.unique(key, return_inverse=True)[1]
 
-    ``data`` holds texts with at least ``length`` bytes of padding after the last; ``group`` numbers (anchor block,
-    offset from the anchor) of every position, so only suffixes of one group are ever equal. Returns the order
-    (ties by position) and, in that order, whether each suffix equals the one before.
+
+def window_order(bodies: list[bytes], los: list[int], blocks: list[int], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix order, truncated at ``length``, of all windows that hold their context's anchor.
+
+    Context i has its anchor of ``k`` bytes at ``los[i]``; only contexts of one block with the same anchor are compared, and a window stands at the
+    same place of the anchor in all of them. So the order needs no sorting of whole windows: what stands before the anchor is ranked
+    outward a byte at a time (a byte and the rank of what follows it), what stands behind it likewise, and a window's
+    key is its two ranks. Returns place (bytes before the anchor) and context of each window in order, ties by context,
+    and whether it equals the one before it.
     """
-    n = len(data)
-    _, rank = np.unique(group * 256 + data, return_inverse=True)
-    done = 1
-    while done < length:
-        step = min(done, length - done)
-        later = np.zeros(n, np.int64)
-        later[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + later
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        done += step
-    return order, ~new
-
-
-def factor_arrays(data: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every position, the previous smaller and the next larger position that start an equal string of ``length``; -1 for none.
-
-    These are the PSV and NLV entries where the longest previous and next factor reach ``length``: strings equal at that
+    n, width = len(bodies), length - k
+    los, sizes = np.array(los, np.int64), np.array([len(b) for b in bodies], np.int64)
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    anchor = np.cumsum(sizes) - sizes + los
+    behind = sizes - los - k
+    step = np.arange(1, width + 1)
+
+    def around(at: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        out = np.full(inside.shape, 256, np.int64)
+        out[inside] = data[at[inside]]
+        return out
+
+    before = around(anchor[:, None] - step, step <= los[:, None])
+    after = around(anchor[:, None] + k - 1 + step, step <= behind[:, None])
+    number: dict[tuple, int] = {}
+    group = np.array([number.setdefault((b, body[lo : lo + k]), len(number)) for b, body, lo in zip(blocks, bodies, los.tolist(), strict=True)], np.int64)
+    left, right = np.empty((width + 1, n), np.int64), np.empty((width + 1, n), np.int64)
+    left[0] = right[0] = group
+    for j in range(width):
+        left[j + 1] = _dense(before[:, j] * n + left[j])
+        right[j + 1] = _dense(right[j] * 257 + after[:, j])
+    place, context = np.nonzero((np.arange(width + 1)[:, None] <= los) & (width - np.arange(width + 1)[:, None] <= behind))
+    key = (place * n + left[place, context]) * n + right[width - place, context]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    return place[order], context[order], np.r_[False, key[1:] == key[:-1]][: len(key)]
+
+
+def factor_arrays(place: np.ndarray, context: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every window in suffix order, the contexts of the previous smaller and of the next larger position with an equal window; -1 for none.
+
+    These are the PSV and NLV entries where the longest previous and next factor reach the length: windows equal at that
     length are neighbours in suffix order, and ties stand by position, so the entries are the neighbours themselves.
     """
-    order, equal = suffix_classes(data, group, length)
-    before, after = np.full(len(data), -1), np.full(len(data), -1)
-    here = np.flatnonzero(equal)
-    before[order[here]] = order[here - 1]
-    after[order[here - 1]] = order[here]
-    return before, after
+    earlier = np.where(equal, np.r_[-1, context[:-1]][: len(context)], -1)
+    later = np.full(len(context), -1)
+    later[:-1] = np.where(equal[1:], context[1:], -1)
+    return earlier, later
 
 
-def factors(bodies: list[bytes], los: list[int], blocks: list[int], length: int, keep_first: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def factors(bodies: list[bytes], los: list[int], blocks: list[int], length: int, k: int, keep_first: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each context the offsets (from its start) of windows with an equal window in another context of its block (an earlier
     one, where the first is kept), and the offsets of windows that the block must show to other blocks: one of each class."""
-    sizes = np.array([len(b) for b in bodies])
-    starts = np.r_[0, np.cumsum(sizes)]
-    data = np.frombuffer(b"".join(bodies) + bytes(length), np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(bodies)), sizes)
-    offset = np.arange(starts[-1]) - starts[owner] - np.array(los)[owner]
-    group = np.full(len(data), -1, np.int64)
-    group[: starts[-1]] = np.array(blocks)[owner] * 4096 + offset + 2048
-    group -= group.min()
-    before, after = factor_arrays(data, group, length)
-    whole = np.zeros(len(data), bool)
-    whole[: starts[-1]] = np.arange(starts[-1]) + length <= starts[owner + 1]
-    hit = whole & (before >= 0) if keep_first else whole & ((before >= 0) | (after >= 0))
-    shown = whole & (before < 0)
-    cut = list(zip(starts, starts[1:], strict=False))
-    return [np.flatnonzero(hit[a:b]) for a, b in cut], [np.flatnonzero(shown[a:b]) for a, b in cut]
+    place, context, equal = window_order(bodies, los, blocks, length, k)
+    earlier, later = factor_arrays(place, context, equal)
+    at = np.array(los)[context] - place if len(context) else place
+
+    def of_each(chosen: np.ndarray) -> list[np.ndarray]:
+        who, where = context[chosen], at[chosen]
+        order = np.lexsort((where, who))
+        return np.split(where[order], np.searchsorted(who[order], np.arange(1, len(bodies))))
+
+    hit = earlier >= 0 if keep_first else (earlier >= 0) | (later >= 0)
+    return of_each(hit), of_each(earlier < 0)
 
 
 def _runs(at: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -198,7 +209,7 @@ def _runs(at: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + length).tolist(), strict=True))
 
 
-def _sort_pass(length: int):
+def _sort_pass(length: int, k: int):
     """Contexts sorted by (h, block) to covered runs (relative to the anchor) and, for cut anchors, open windows."""
     run_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     open_type = pa.list_(pa.struct([("s", pa.int32()), ("w", pa.binary())]))
@@ -207,7 +218,7 @@ def _sort_pass(length: int):
         number, blocks = {}, []
         for h, block, *_ in rows:
             blocks.append(number.setdefault((h, block), len(number)))
-        found, shown = factors([r[5] for r in rows], [r[4] for r in rows], blocks, length)
+        found, shown = factors([r[5] for r in rows], [r[4] for r in rows], blocks, length, k)
         runs, opens = [], []
         for (_, block, _, _, lo, body), at, rest in zip(rows, found, shown, strict=True):
             runs.append([{"a": a - lo, "b": b - lo} for a, b in _runs(at, length)])
@@ -262,7 +273,7 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_runs(profiles: DataFrame, texts: DataFrame, length: int, block: int) -> DataFrame:
+def repeated_runs(profiles: DataFrame, texts: DataFrame, length: int, anchor: int, block: int) -> DataFrame:
     """(doc_id, runs) of documents with repeats; a run tells the text that it belongs to."""
     anchors = profiles.filter("doc_id is not null").select("doc_id", F.substring("sha", 1, 8).alias("part"), F.explode("anchors").alias("x")).select("doc_id", "part", "x.*")
     context = ["h", "ctx", "ctx2"]
@@ -281,7 +292,7 @@ def repeated_runs(profiles: DataFrame, texts: DataFrame, length: int, block: int
     want = several.groupBy("doc_id").agg(F.collect_list("w").alias("want"))
     bodies = texts.join(want, "doc_id").mapInArrow(_contexts, "h long, block int, ctx long, ctx2 long, lo int, body binary")
     sorted_runs = staged(
-        bodies.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_sort_pass(length), f"h long, ctx long, ctx2 long, runs {_RUNS}, open array<struct<s:int,w:binary>>"),
+        bodies.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_sort_pass(length, anchor), f"h long, ctx long, ctx2 long, runs {_RUNS}, open array<struct<s:int,w:binary>>"),
         "factors",
     )
     rest = sorted_runs.filter(F.size("open") > 0).select(*context, F.explode("open").alias("o")).select(*context, F.col("o.s").alias("s"), F.col("o.w").alias("w"))
@@ -309,7 +320,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, blo
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     profiles = staged(texts.mapInArrow(_anchor_pass(length, anchor), f"doc_id long, n_bytes long, sha binary, anchors {_PLACE}"), "anchors")
-    runs = staged(repeated_runs(profiles, texts, length, block), "runs")
+    runs = staged(repeated_runs(profiles, texts, length, anchor, block), "runs")
     cut = texts.join(runs, "doc_id").mapInArrow(_cut, "doc_id long, sha binary, n_removed long, n_spans long, cut_sha binary").dropDuplicates(["doc_id", "sha"])
     return profiles.select("doc_id", "n_bytes", "sha").join(cut, ["doc_id", "sha"], "left").select(
         "doc_id",
