@@ -46,7 +46,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +142,17 @@ dg AS (
   FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM iw))),
 h AS (SELECT dg.doc_id, iw.item_id, dg.p, dg.size FROM dg JOIN iw USING (size, gram)),
 w AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM (SELECT doc_id, p, unnest(range(0, size)) AS k FROM h) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
-SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id),
+ti AS (SELECT item_id, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS off, len(terms) AS n, least(10, len(terms)) AS size FROM (SELECT item_id, regexp_extract_all(lower(replace(coalesce(text, ''), 'Σ', 'σ')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS terms FROM benchmark)),
+td AS MATERIALIZED (SELECT * FROM (SELECT doc_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(replace(coalesce(text, ''), 'Σ', 'σ')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS terms FROM documents)) WHERE term IN (SELECT term FROM ti)),
+cf AS (SELECT term, count(*) AS cf FROM td GROUP BY term),
+wi AS (SELECT item_id, s, term, coalesce(cf, 0) AS cf, row_number() OVER (PARTITION BY item_id, s ORDER BY coalesce(cf, 0), off) AS k FROM (SELECT *, unnest(range(greatest(0, off - size + 1), least(off, n - size) + 1)) AS s FROM ti) LEFT JOIN cf USING (term)),
+two AS (SELECT item_id, s, max(term) FILTER (k = 1) AS t1, max(cf) FILTER (k = 1) AS c1, coalesce(max(term) FILTER (k = 2), max(term) FILTER (k = 1)) AS t2 FROM wi WHERE k <= 2 GROUP BY item_id, s),
+best AS (SELECT item_id, arg_min(t1, (c1, s)) AS t1, arg_min(t2, (c1, s)) AS t2 FROM two WHERE c1 > 0 GROUP BY item_id),
+nr AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT a.doc_id, item_id FROM best JOIN td a ON a.term = t1 JOIN td b ON b.doc_id = a.doc_id AND b.term = t2 AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 10) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_near, 0) AS n_near, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN w USING (doc_id) LEFT JOIN i USING (doc_id)
+FROM d LEFT JOIN w USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
 
 
