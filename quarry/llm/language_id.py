@@ -223,16 +223,17 @@ def build_coded(samples: dict[str, np.ndarray]) -> Model:
 
 
 def train(docs: DataFrame, per_lang: int = DOCS) -> Model:
-    """Learn from the training rows of smallest hash of each language (ids are ranked alone, texts come after)."""
+    """Learn from the training ids of smallest hash of each language (ids are ranked alone, texts come after), one text each however often an id is repeated."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True))
     )
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("lang", "doc_id", place.alias("place")).filter(F.col("place") <= per_lang)
+    chosen = rows.select("lang", "doc_id").distinct().select("lang", "doc_id", place.alias("place")).filter(F.col("place") <= per_lang)
     place = F.xxhash64("doc_id", "lang")
     # a window as long as the whole sample, so that no long text meets the driver
     window = F.substring("text", (F.pmod(place, F.greatest(F.char_length("text") - CHARS + 1, F.lit(1))) + 1).cast("int"), F.lit(CHARS))
-    texts = rows.join(F.broadcast(chosen.select("doc_id", "place")), "doc_id").select("lang", "place", "doc_id", window.alias("text"), place.alias("hash"))
+    texts = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "place", "doc_id", window.alias("text"), place.alias("hash"))
+    texts = texts.groupBy("lang", "place", "doc_id", "hash").agg(F.min("text").alias("text"))
     samples: dict[str, list[tuple[int, np.ndarray]]] = {}
     for lang, _, text, place in sorted((r.lang, r.place, r.text, r.hash) for r in texts.collect()):
         samples.setdefault(lang, []).append((place, symbols(text)[0]))

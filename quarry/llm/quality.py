@@ -9,7 +9,7 @@ The fit takes at most ``SAMPLE`` labelled rows (those of smallest hash) and ``PA
 for every text, whole. Features are made in Arrow batches; only they reach the driver, and only for the sample.
 
 Defined results: null and empty texts have the features of no text; without labels of both kinds nothing is learned
-and every text scores 0.7; several labels of one row each count; an empty table gives no rows; other columns are ignored.
+and every text scores 0.7; several labels of one row each count; very long texts are scored whole, in one task; equal scores are equal predictions; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,14 +147,16 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the training rows of smallest hash; at most ``sample`` rows come to the driver."""
+    """Fit on the training rows of smallest hash; at most ``sample`` rows come to the driver, one for each labelled id however often it is repeated."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(sample)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding("quality")
