@@ -6,7 +6,7 @@ appended. Text never travels: only 32-byte digests do.
 
 Defined results: null text counts as empty; empty texts are copies of each other; ties on length go
 to the smallest id; a row repeated with the same id counts in the group's size and shares the decision
-of its id; a row without an id stays only where its text has no other row with one; an empty table gives no rows; other
+of its id; a row without an id stays only where its text has no other row with one; very long texts are digested whole; an empty table gives no rows; other
 columns are ignored, whatever their names.
 """
 

@@ -14,7 +14,7 @@ So a group of n copies makes about n pairs, and texts that share a passage but n
 
 Defined results: null or wordless texts have no shingles and are classes of their own; so is a row without an id (its
 class_id is null, it is kept); a text of one to four words is one shingle; ties go to the smallest id; rows under one id
-are one document, for which the text of the smallest digest speaks; an empty table gives no rows; other columns are ignored.
+are one document, for which the text of the smallest digest speaks; the shingles and registers of a very long text are held whole by one task; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -142,27 +143,36 @@ def test_suffix_dedup(spark, block):
 def test_suffix_factors_against_psv_nsv():
     """The arrays tell where longest previous (next) factors, from previous and next smaller (larger) positions, reach the length."""
     draw = random.Random(2)
-    for _ in range(20):
-        text = bytes(draw.choice(b"ab") for _ in range(60))
-        length = 6
-        data = np.frombuffer(text + bytes(length), np.uint8).astype(np.int64)
-        before, after = suffix_dedup.factor_arrays(data, np.zeros(len(data), np.int64), length)
-        common = lambda i, j: next((k for k in range(len(text)) if max(i, j) + k >= len(text) or text[i + k] != text[j + k]), len(text))
-        suffixes = sorted(range(len(text)), key=lambda i: text[i:])
-        for at, i in enumerate(suffixes):
-            for array, nearer in ((before, lambda j, i: j < i), (after, lambda j, i: j > i)):
-                one = next((j for j in reversed(suffixes[:at]) if nearer(j, i)), None)
-                two = next((j for j in suffixes[at + 1 :] if nearer(j, i)), None)
-                factor = max((common(i, j) for j in (one, two) if j is not None), default=0)
-                if i + length <= len(text):
-                    assert (array[i] >= 0) == (factor >= length)
-                    assert array[i] < 0 or nearer(array[i], i) and common(i, array[i]) >= length
+    length, k = 9, 4
+    for _ in range(30):
+        anchors = [b"abab", b"bbab"]
+        bodies, los, blocks = [], [], []
+        for _ in range(draw.randint(1, 12)):
+            left, right = (bytes(draw.choice(b"ab") for _ in range(draw.randint(0, length - k))) for _ in range(2))
+            bodies.append(left + draw.choice(anchors) + right)
+            los.append(len(left))
+            blocks.append(draw.randint(0, 1))
+        place, context, equal = suffix_dedup.window_order(bodies, los, blocks, length, k)
+        earlier, later = suffix_dedup.factor_arrays(place, context, equal)
+        got = {(c, los[c] - p): (a, b) for p, c, a, b in zip(place.tolist(), context.tolist(), earlier.tolist(), later.tolist(), strict=True)}
+        whole = {(c, s) for c, body in enumerate(bodies) for s in range(los[c] + 1) if s + length <= len(body)}
+        assert set(got) == whole
+        for c, s in whole:
+            # suffixes of one place of the anchor, in order of their text, then of their context
+            mates = sorted((bodies[d][los[d] - los[c] + s :], d) for d in range(len(bodies)) if blocks[d] == blocks[c] and bodies[d][los[d] : los[d] + k] == bodies[c][los[c] : los[c] + k] and 0 <= los[d] - los[c] + s)
+            at = mates.index((bodies[c][s:], c))
+            for value, nearer in ((got[c, s][0], lambda d: d < c), (got[c, s][1], lambda d: d > c)):
+                near = [next((m for m in side if nearer(m[1])), None) for side in (reversed(mates[:at]), mates[at + 1 :])]
+                factor = max((len(os.path.commonprefix([m[0], bodies[c][s:]])) for m in near if m), default=0)
+                assert (value >= 0) == (factor >= length)
+                assert value < 0 or nearer(value) and bodies[value][los[value] - los[c] + s :][:length] == bodies[c][s : s + length]
 
 
 def test_suffix_factors_can_keep_the_first():
     body = bytes(range(65, 91))
-    found, _ = suffix_dedup.factors([body, body], [0, 0], [0, 0], 10, keep_first=True)
-    assert found[0].tolist() == [] and found[1].tolist() == list(range(17))
+    found, shown = suffix_dedup.factors([body, body, body[:20]], [8, 8, 8], [0, 0, 0], 12, 4, keep_first=True)
+    assert [f.tolist() for f in found] == [[], list(range(9)), list(range(9))] and [x.tolist() for x in shown] == [list(range(9)), [], []]
+    assert [f.tolist() for f in suffix_dedup.factors([body, body], [8, 8], [0, 1], 12, 4)[0]] == [[], []]
 
 
 def test_bpe_equals_the_library(spark):
@@ -279,12 +289,71 @@ def test_decontamination(spark):
 
 def test_proximity(spark):
     docs = table(spark, [(1, "a b c d e"), (2, "a x x x x x x e"), (3, "e a")])
-    terms = spark.createDataFrame([("a",), ("e",)], "term string")
-    pairs = spark.createDataFrame([(1, "a", "e")], "pair_id int, left_term string, right_term string")
-    got = decontaminate.proximity_matches(decontaminate.build_postings(docs, terms), pairs, 4)
+    terms = spark.createDataFrame([("a", 3), ("e", 3)], "term string, cf long")
+    pairs = spark.createDataFrame([(1, "a", 3, "e", 3)], "pair_id int, left_term string, left_cf long, right_term string, right_cf long")
+    got = decontaminate.proximity_matches(decontaminate.build_postings(docs, terms, 6), pairs, 4, 6)
     assert {r.doc_id for r in got.collect()} == {1, 3}
 
 
+def test_near_items_and_hot_terms(spark):
+    """One word in every document asks for a third of all postings; the rarest two words of an item count where they stand near each other."""
+    docs = [(i, " ".join(["the"] * 5 + [f"x{i}", "rare" if i % 50 == 0 else "y", "z"] + (["seldom"] if i % 100 == 0 else []))) for i in range(3000)]
+    items = [(1, "the"), (2, "seldom rare"), (3, "nothing here")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(table(spark, docs), benchmark).collect()}
+    assert all(r.n_hit == 5 and r["items"] == ["1"] for r in got.values())
+    assert {i: r.n_near for i, r in got.items()} == {i: 1 + (i % 100 == 0) for i in got}  # "the" is near itself
+
+
+def test_posting_index_is_kept_and_extended(spark, monkeypatch):
+    docs = [(i, f"alpha beta w{i} gamma " + "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10" * (i == 4)) for i in range(30)]
+    corpus, base = table(spark, docs), scratch_path(spark, "postings")
+    index = decontaminate.PostingIndex.of(corpus, base)
+    first, second = [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")], [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10"), (2, "alpha beta w7"), (3, "absent")]
+    shown = lambda rows: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in rows.collect())
+    for items in (first, second):
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        assert shown(decontaminate.contamination(corpus, benchmark, index=index)) == shown(decontaminate.contamination(corpus, benchmark))
+    monkeypatch.setattr(decontaminate, "build_postings", lambda *_: pytest.fail("everything is indexed"))
+    monkeypatch.setattr(decontaminate, "term_counts", lambda *_: pytest.fail("everything is counted"))
+    again = decontaminate.contamination(corpus, spark.createDataFrame(second, "item_id long, text string"), index=decontaminate.PostingIndex.of(corpus.repartition(2), base))
+    assert {r.doc_id for r in again.collect() if r.contaminated} == {4, 7}
+    assert decontaminate.PostingIndex.of(table(spark, docs[1:]), base).path != index.path
+    index.drop()
+
+
+def test_quality_fit_is_the_optimum(monkeypatch):
+    """The Bradley-Terry fit against brute force: the penalised loss on the drawn pairs has no lower point around, and the cut is the score quantile."""
+    monkeypatch.setattr(quality, "N_COUNTS", 3)
+    draw = np.random.default_rng(5)
+    x, y = draw.normal(size=(60, 4)).astype(np.float32), np.array([1] * 40 + [0] * 20)
+    x[y == 1, 0] += 1.5
+    model = quality.fit(x, y, pairs=300)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    again = np.random.default_rng(7)
+    diff = z[again.choice(np.flatnonzero(y == 1), 300)] - z[again.choice(np.flatnonzero(y == 0), 300)]
+    ridge = np.array([quality.RIDGE] * 3 + [quality.HASHED_RIDGE])
+    loss = lambda w: np.log1p(np.exp(-diff @ w)).mean() + 0.5 * (ridge * w * w).sum()
+    best = loss(model.weight)
+    for _ in range(200):
+        assert loss(model.weight + draw.normal(scale=draw.choice([1e-3, 1e-2, 0.3]), size=4)) > best - 1e-9
+    strength = np.sort(z @ model.weight)
+    assert (strength < model.cut).sum() == int(np.floor((len(y) - 1) * 20 / 60))
+    score = model.score(x)
+    assert (np.argsort(score, kind="stable") == np.argsort(z @ model.weight, kind="stable")).all() or np.ptp(score) == 1
+    assert score[np.abs(z @ model.weight - model.cut).argmin()] == pytest.approx(quality.CUT, abs=0.02)
+
+
+def test_training_takes_one_row_of_a_repeated_id(spark):
+    rows = [(i, prose(random.Random(i), 30)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    plain, repeated = table(spark, rows), table(spark, rows + rows[:1] * 500)
+    a, b = quality.train(plain, labels), quality.train(repeated, labels.union(labels))
+    assert np.allclose(a.weight, b.weight) and a.cut == pytest.approx(b.cut)
+    text = "an english sentence of words"
+    assert [tuple(r) for r in language_id.predict(table(spark, [(1, text)]), language_id.train(plain)).collect()] == [tuple(r) for r in language_id.predict(table(spark, [(1, text)]), language_id.train(repeated)).collect()]
+
+
 def test_quality_ranks_and_cuts(spark):
     draw = random.Random(1)
     good = [(i, prose(draw, 80)) for i in range(0, 400)]
