@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
-from quarry.llm.common import staged
+from quarry.llm.common import scratch_scope, staged
 from quarry.llm.queries import word_vocabulary
 
 
@@ -65,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; of what they write, only the last table stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    with scratch_scope(spark) as kept:
+        for name, stage in STAGES:
+            with scratch_scope(spark) as handed_on:
+                docs = handed_on(staged(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        return kept(docs)
