@@ -84,22 +84,30 @@ def markdown_chunks(lines: list[str], options: ChunkOptions) -> list[tuple[int,
     return out
 
 
-def _chunker(options: ChunkOptions):
+def _chunker(options: ChunkOptions, hashed: bool):
+    names = ["repository_id", "relative_path", "ordinal", "start_line", "end_line", "text", "estimated_tokens", "heading_path"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for repo, path, language, text in zip(frame["repository_id"], frame["relative_path"], frame["language"], frame["text"], strict=True):
+            hashes = frame["content_hash"] if hashed else [None] * len(frame)
+            for repo, path, language, text, content_hash in zip(frame["repository_id"], frame["relative_path"], frame["language"], frame["text"], hashes, strict=True):
                 lines = lines_of(text or "")
                 chunks = markdown_chunks(lines, options) if language == "markdown" else [(*c, None) for c in line_chunks(lines, options)]
-                rows += [(repo, path, k, *c) for k, c in enumerate(chunks)]
-            yield pd.DataFrame(rows, columns=["repository_id", "relative_path", "ordinal", "start_line", "end_line", "text", "estimated_tokens", "heading_path"])
+                rows += [(repo, path, k, *c, *[content_hash] * hashed) for k, c in enumerate(chunks)]
+            yield pd.DataFrame(rows, columns=[*names, *["content_hash"] * hashed])
 
     return run
 
 
 def chunk_files(files: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
-    """Chunks of (repository_id, relative_path, language, text): Markdown by heading, all else by lines."""
-    return files.select("repository_id", "relative_path", "language", "text").mapInPandas(_chunker(options), SCHEMA)
+    """Chunks of (repository_id, relative_path, language, text): Markdown by heading, all else by lines.
+
+    A file's content_hash, where there is one, comes along, so that chunk ids need no join.
+    """
+    hashed = "content_hash" in files.columns
+    columns = ["repository_id", "relative_path", "language", "text", *["content_hash"] * hashed]
+    return files.select(*columns).mapInPandas(_chunker(options, hashed), SCHEMA + ", content_hash string" * hashed)
 
 
 def file_token_totals(chunks: DataFrame) -> DataFrame:
@@ -134,8 +142,7 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     )
 
 
-def with_ids(chunks: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Adds content-derived chunk ids; ``hashes`` has repository_id, relative_path, content_hash."""
-    return chunks.join(hashes, ["repository_id", "relative_path"]).withColumn("chunk_id", chunk_id(F.col("relative_path"), F.col("content_hash"), F.col("start_line"), F.col("end_line")))
-
-
+def with_ids(chunks: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """Adds content-derived chunk ids, from the chunks' own content_hash or from ``hashes`` (repository_id, relative_path, content_hash)."""
+    known = chunks if hashes is None else chunks.join(hashes, ["repository_id", "relative_path"])
+    return known.withColumn("chunk_id", chunk_id(F.col("relative_path"), F.col("content_hash"), F.col("start_line"), F.col("end_line")))

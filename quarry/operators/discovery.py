@@ -136,5 +136,5 @@ def ingest_texts(found: DataFrame, texts: DataFrame, chunking: ChunkOptions = Ch
     read = read.withColumns({"reason": F.when(gone, UNREADABLE_FILE).otherwise(F.col("reason")), "origin": F.when(gone, "boundary").otherwise(F.col("origin")), "language": F.when(~gone, F.col("language"))})
     read = staged(read.withColumn("content_hash", F.when(F.col("status") == "indexed", hash_text(F.col("text")))), "read")
     skipped = found.filter("status = 'skipped'").withColumn("content_hash", F.lit(None).cast("string"))
-    chunks = chunk_files(read.filter("status = 'indexed'"), chunking)
+    chunks = chunk_files(read.filter("status = 'indexed'").drop("content_hash"), chunking)
     return read.select(*found.columns, "content_hash").unionByName(skipped), chunks

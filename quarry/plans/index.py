@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .. import options as O
 from ..functions import text as TX
 from ..operators import chunking, manifest, reports, secrets, walk
-from ..session import scratch
+from ..session import scratch, staged
 from ..sources import generations, repo_tree
-from .files import CHUNKING, CHUNKS, DISCOVER, FILES, LIMITS, LISTING, REDACTED, RULE_SQL, SAFE, _MINIFIED, code_chunks, discovery, file_chunk_sql, files, listing, safe_files
+from .files import CHUNKING, CHUNKS, DISCOVER, FILES, LIMITS, LISTING, REDACTED, RULE_SQL, SAFE, _MINIFIED, discovery, file_chunk_sql, files, listing, safe_files
 from .registry import query, table
 
 VERSIONS = O.Versions("c1", "p1", "e1")
@@ -23,7 +23,9 @@ def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.with_ids(code_chunks(spark, sf_dir), hashed(spark, sf_dir).select("repository_id", "relative_path", "content_hash"))
+    """Chunks of the redacted texts with their ids, in one pass over the files."""
+    rows = safe_files(spark, sf_dir).select("repository_id", "relative_path", F.lit("text").alias("language"), "text", TX.hash_text(F.col("text")).alias("content_hash"))
+    return chunking.with_ids(chunking.chunk_files(rows, CHUNKING))
 
 
 HASHED = f"(SELECT doc_id, repository_id, relative_path, sha256(text) AS content_hash, size_bytes FROM {SAFE})"
@@ -67,7 +69,7 @@ def m5_generation_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows, n = hashed(spark, sf_dir), F.col("doc_id")
+    rows, n = staged(hashed(spark, sf_dir), "hashed"), F.col("doc_id")
     edited = F.when(n % 7 == 0, F.sha2(F.concat("content_hash", F.lit("x")), 256)).otherwise(F.col("content_hash"))
     return rows.filter(n % 13 != 0), rows.filter(n % 11 != 0).withColumn("content_hash", edited)
 
@@ -219,11 +221,12 @@ def s5_write_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s4_write_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all repositories in one partitioned write each of manifest, chunks and exclusions, and publishes all but one; readers see the published ones."""
     path = scratch(spark, "generations")
-    ids = manifest.generation_ids(hashed(spark, sf_dir), VERSIONS)
+    rows = staged(hashed(spark, sf_dir), "hashed")
+    ids = staged(manifest.generation_ids(rows, VERSIONS), "generation-ids")
     excluded = _dispositions(spark, sf_dir).filter("status = 'skipped'").select("repository_id", "relative_path", "reason", "origin")
     made = F.crc32(F.encode("repository_id", "UTF-8"))
     stamps = ids.select("repository_id", "generation_id", made.alias("created_at_ms"))
-    generations.write_generations(path, stamps, hashed(spark, sf_dir).select("repository_id", "relative_path", "content_hash", "size_bytes"), identified(spark, sf_dir).select("repository_id", "relative_path", "chunk_id", "start_line", "end_line"), excluded, stamps.filter("repository_id <> 'src3'"))
+    generations.write_generations(path, stamps, rows.select("repository_id", "relative_path", "content_hash", "size_bytes"), identified(spark, sf_dir).select("repository_id", "relative_path", "chunk_id", "start_line", "end_line"), excluded, stamps.filter("repository_id <> 'src3'"))
     return generations.read_generation(spark, path, "manifest").select("repository_id", "generation_id", "relative_path", "content_hash")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import evaluation, incremental, manifest, retrieval
-from ..session import scratch, shared, staged
+from ..session import scratch, shared, staged, stored
 from .files import FILES, SPLIT, _STOPS, _WORDS_SQL, tokens_sql
 from .index import GENERATIONS, VERSIONS, hashed
 from .registry import query, table
@@ -123,8 +123,12 @@ def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three lists fused; stored, since a pack reads it several times."""
-    return staged(retrieval.merge_by_rank(_bm25(spark, sf_dir), _exact(spark, sf_dir), _nearest(spark, sf_dir)), "fused")
+    """The three lists fused, stored once for the content of passages, questions and vectors: packs, citations and checks read the same table."""
+    asked = questions(spark, sf_dir).select(F.col("query_id").alias("chunk_id"), F.lit("").alias("relative_path"), "text")
+    vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), F.col("model_version").alias("relative_path"), F.to_json(F.struct("vector")).alias("text"))
+    parameters = (retrieval.K1, retrieval.B, retrieval.ORIGINAL_WEIGHT, retrieval.SPLIT_WEIGHT, retrieval.FUSION, 20)
+    key = "-".join([*map(str, parameters), *(retrieval.content_key(t) for t in (passages(spark, sf_dir), asked, vectors))])
+    return stored(spark, f"fused-{key}", lambda: retrieval.merge_by_rank(_bm25(spark, sf_dir), _exact(spark, sf_dir), _nearest(spark, sf_dir)))
 
 
 @query(f"WITH g AS ({GENERATIONS}) SELECT relative_path FROM {FILES} f JOIN g ON g.repository_id = f.repository_id WHERE f.repository_id = 'src1'")

@@ -60,3 +60,12 @@ def staged(table: DataFrame, label: str) -> DataFrame:
     path = scratch(spark, label)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table of this name under the shared path, built where it is not there; the name must tell the content that it is made from."""
+    path = shared(spark, name)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
