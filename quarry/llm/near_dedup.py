@@ -36,6 +36,8 @@ SMALL_BUCKET = 32
 #: Larger buckets: heads that all members meet before they meet one another, rows of a block, registers of a sketch and
 #: how many standard deviations below the threshold a sketch must say before a pair is refuted (1 in 300,000 at 4.5).
 HEADS, BLOCK, SKETCH, SIGMAS = 4, 1024, 768, 4.5
+#: A bucket has at most so many blocks while they are at most so many times as wide.
+PARTS, WIDEST = 64, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -273,8 +275,8 @@ def candidate_links(members: DataFrame, sets: DataFrame, threshold: float, small
     own_rows = rest
     rest = rest.join(label.withColumnRenamed("root", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
     mixed = rest.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most").select("key", "n")
-    # block i of a bucket meets block j >= i in cell (i, j)
-    parts = F.ceil(F.col("n") / block).cast("int")
+    # block i of a bucket meets block j >= i in cell (i, j); blocks grow with the bucket, up to a limit, so that few copies of a row are dealt out
+    parts = F.ceil(F.col("n") / F.least(F.greatest(F.lit(block), F.col("n") / PARTS), F.lit(WIDEST * block))).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
     spread = rest.join(mixed, "key").select("key", F.explode(cells).alias("cell"), own.alias("own"), "id", "size", "class", "keys", "sketch")
