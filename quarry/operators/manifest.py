@@ -63,15 +63,20 @@ def diff_manifests(previous: DataFrame, following: DataFrame) -> DataFrame:
     return old.join(new, FILE, "full").select(*FILE, change.alias("change"))
 
 
-def plan_refresh(diff: DataFrame, chunks: DataFrame, same_versions: bool = True) -> DataFrame:
+def plan_refresh(diff: DataFrame, chunks: DataFrame, same_versions: bool | DataFrame = True) -> DataFrame:
     """What to do with files and with existing chunks: (repository_id, relative_path, chunk_id, action).
 
     Added and modified files are re-chunked, chunks of unchanged files reused, all others deleted; a change of any
-    version voids reuse.
+    version voids reuse, in all repositories or in those that ``same_versions`` (repository_id, same) says.
     """
-    todo = diff.filter(F.col("change").isin("added", "modified") | ((F.col("change") == "unchanged") & F.lit(not same_versions)))
-    work = todo.select(*FILE, F.lit(None).cast("string").alias("chunk_id"), F.lit("rechunk").alias("action"))
-    kept = diff.filter((F.col("change") == "unchanged") & F.lit(same_versions)).select(*FILE)
+    if isinstance(same_versions, DataFrame):
+        known = same_versions.groupBy("repository_id").agg(F.min("same").alias("_same"))
+        diff = diff.join(known, "repository_id", "left").withColumn("_same", F.coalesce("_same", F.lit(False)))
+    else:
+        diff = diff.withColumn("_same", F.lit(same_versions))
+    usable = (F.col("change") == "unchanged") & F.col("_same")
+    work = diff.filter((F.col("change") != "removed") & ~usable).select(*FILE, F.lit(None).cast("string").alias("chunk_id"), F.lit("rechunk").alias("action"))
+    kept = diff.filter(usable).select(*FILE)
     reuse = chunks.join(kept, FILE, "left_semi").select(*FILE, "chunk_id", F.lit("reuse").alias("action"))
     drop = chunks.join(kept, FILE, "left_anti").select(*FILE, "chunk_id", F.lit("delete").alias("action"))
     return work.unionByName(reuse).unionByName(drop)

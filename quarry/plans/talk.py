@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import transcripts
 from ..session import scratch
 from ..sources import repo_tree
+from ..streaming import stateful
 from ..streaming import transcripts as streams
-from .registry import query, table
+from .registry import SQL, query, table
 
 OPENINGS = ("What about ", "Walk me through ", "Okay", "So ", "Why ", "")
 
@@ -102,11 +105,15 @@ def t6_question_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT request_id, text, start_ms FROM (SELECT *, lag(start_ms) OVER (PARTITION BY session_id, norm ORDER BY start_ms, request_id) AS before
   FROM (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM asked_again)) WHERE before IS NULL OR start_ms - before > 100000""")
 def t7_dedupe_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.dedupe_questions(_asked_again(spark, sf_dir), 100_000).select("request_id", "text", "start_ms")
+
+
+def _asked_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question is asked once more in other punctuation, half of them within the window."""
     asked = _questions(spark, sf_dir).select("request_id", "session_id", "text", "start_ms")
     later = F.col("start_ms") + F.when(F.length("text") % 2 == 0, 50_000).otherwise(150_000)
     again = asked.select(F.concat("request_id", F.lit("-r")).alias("request_id"), "session_id", F.concat(F.lit(" - "), "text", F.lit(" !")).alias("text"), later.alias("start_ms"))
-    return transcripts.dedupe_questions(asked.union(again), 100_000).select("request_id", "text", "start_ms")
+    return asked.union(again)
 
 
 @query(f"WITH {QUESTIONS} SELECT session_id AS request_id, start_ms AS revision, CASE WHEN row_number() OVER (PARTITION BY session_id ORDER BY start_ms DESC) = 1 THEN 'active' ELSE 'superseded' END AS status FROM questions")
@@ -209,3 +216,74 @@ def t13_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = log.select(F.concat(F.lit("s"), (F.col("user_id") % 50).cast("string")).alias("session_id"), F.concat(F.lit("p"), (n % 2).cast("string")).alias("provider"), F.col("event_type").alias("model"), F.when(n % 7 != 0, n % 900).alias("input_tokens"), (n % 300).alias("output_tokens"))
     rates = log.select(F.lit("p0").alias("provider"), F.col("event_type").alias("model"), F.lit(0.000002).alias("input_rate"), F.lit(0.000008).alias("output_rate")).distinct()
     return transcripts.token_usage(usage, rates)
+
+
+# ---- stateful streams, against the SQL of their batch twins
+
+#: Two events far behind the last: the first moves the watermark, the second wakes what waits for it.
+CLOSING_MS = (4_000_000_000_000, 4_100_000_000_000)
+
+
+def streamed(spark: SparkSession, label: str, rows: DataFrame, key: str, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (with their event time in ``ts``) through a stream that is run, and resumed for each closing event, until all keys have settled."""
+    stateful.use_state_store(spark)
+    path = scratch(spark, label)
+    for at in (None, *CLOSING_MS):
+        if at is not None:
+            rows = spark.read.schema(rows.schema).parquet(f"{path}/in").limit(1).withColumns({key: F.lit("closing"), "ts": F.timestamp_millis(F.lit(at))})
+        rows.write.mode("append").parquet(f"{path}/in")
+        found = flow(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out").filter(F.col(key) != "closing")
+
+
+def _at(ms: str) -> Column:
+    return F.timestamp_millis(F.lit(1_700_000_000_000) + F.col(ms))
+
+
+@query(SQL["t9_conversation_window"])
+def t9_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions and final segments as one event stream; windows are kept in state."""
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = _questions(spark, sf_dir).select("session_id", "request_id", none("string").alias("source"), none("long").alias("sequence"), none("string").alias("text"), F.col("start_ms").cast("long").alias("start_ms"))
+    said = _finals(spark, sf_dir).select("session_id", none("string").alias("request_id"), "source", "sequence", "text", F.col("start_ms").cast("long").alias("start_ms"))
+    rows = asked.unionByName(said).withColumn("ts", _at("start_ms"))
+    flow = lambda m: streams.conversation_window(m.filter("request_id is not null"), m.filter("request_id is null"))
+    out = streamed(spark, "windows", rows, "request_id", flow)
+    return out.select("request_id", "n_segments", F.array_join("context", " / ").alias("context"))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes, and rows that tell a request's revisions; ids are padded, since they order events of one time as text."""
+    log = envelopes(spark, sf_dir).withColumn("event_id", F.lpad(F.col("event_id").cast("string"), 12, "0")).withColumn("ts", F.timestamp_millis("timestamp_ms"))
+    asked = log.groupBy("request_id", F.col("question_revision").alias("revision")).agg(F.min("ts").alias("ts"))
+    return log.withColumn("revision", F.lit(None).cast("int")).unionByName(asked, allowMissingColumns=True)
+
+
+@query(SQL["t11_answer_outcomes"])
+def t11_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes and question revisions as one event stream; a request's states come once, when it has settled."""
+    flow = lambda m: streams.answer_outcomes(m.filter("revision is null"), m.filter("revision is not null"))
+    return streamed(spark, "outcomes", _requests(spark, sf_dir), "request_id", flow)
+
+
+@query(SQL["t7_dedupe_questions"])
+def t7_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions as a stream; the last of each text and session is kept in state."""
+    rows = _asked_again(spark, sf_dir).withColumn("start_ms", F.col("start_ms").cast("long")).withColumn("ts", _at("start_ms"))
+    return streamed(spark, "questions", rows, "request_id", lambda q: streams.dedupe_questions(q, 100_000)).select("request_id", "text", "start_ms")
+
+
+@query(SQL["t10_drop_stale_events"])
+def t10_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes and question revisions as one event stream; what was stale is known when a request has settled."""
+    flow = lambda m: streams.drop_stale_events(m.filter("revision is null"), m.filter("revision is not null"), "src1", "g1")
+    out = streamed(spark, "stale", _requests(spark, sf_dir), "request_id", flow)
+    return out.select(F.col("event_id").cast("long").alias("event_id"), "request_id", "type")
+
+
+@query(SQL["t13_session_usage"])
+def t13_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as a stream, revisions and repeats among them; the state holds durations and no text."""
+    rows = segments(spark, sf_dir).withColumns({"start_ms": F.col("start_ms").cast("long"), "end_ms": F.col("end_ms").cast("long")}).withColumn("ts", _at("start_ms"))
+    return streamed(spark, "usage", rows, "session_id", streams.session_usage)

@@ -52,6 +52,11 @@ def test_diff_and_refresh(spark):
     assert plan == {("b", "rechunk"), ("d", "rechunk"), ("a", "reuse"), ("b", "delete"), ("c", "delete")}
     void = {(r.relative_path, r.action) for r in manifest.plan_refresh(diff, chunks, same_versions=False).collect()}
     assert ("a", "rechunk") in void and ("a", "delete") in void
+    versions = spark.createDataFrame([("r", False), ("q", True)], "repository_id string, same boolean")
+    more = diff.union(spark.createDataFrame([("q", "x", "unchanged"), ("p", "y", "unchanged")], diff.schema))
+    own = chunks.union(spark.createDataFrame([("q", "x", "cx"), ("p", "y", "cy")], chunks.schema))
+    each = {(r.repository_id, r.relative_path, r.action) for r in manifest.plan_refresh(more, own, versions).collect()}
+    assert {e for e in each if e[0] != "r"} == {("q", "x", "reuse"), ("p", "y", "rechunk"), ("p", "y", "delete")} and ("r", "a", "delete") in each
 
 
 def test_retained_chunks(spark):
