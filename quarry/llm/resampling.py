@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running, slices, utf8, word_spans
+from .common import running, slices, staged, utf8, word_spans
 
 BUCKETS, RUN, SCALE, SEED, MIN_WORDS, PERCENT = 10_000, 3, 1000, 42, 20, 5
 #: Bytes of a plane, in whole 64-bit words; documents whose counts are laid out side by side.
@@ -200,7 +200,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_wor
     """doc_id, n_words, n_features, weight, score and rank (from 1; null where not drawn) of every document."""
     scored = weights(docs, gains(docs, target)).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     fit = F.col("n_words") >= min_words
-    ordered = running(scored.withColumns({"_fit": fit.cast("long"), "_unfit": ~fit, "_low": -F.col("score")}), [], ["_unfit", "_low", "doc_id"], ["_fit"], "resample")
+    scored = staged(scored.withColumns({"_fit": fit.cast("long"), "_unfit": ~fit, "_low": -F.col("score")}), "weights")  # a range shuffle reads its input twice
+    ordered = running(scored, [], ["_unfit", "_low", "doc_id"], ["_fit"], "resample")
     drawn = F.floor(percent * F.sum("_sum__fit").over(Window.partitionBy()) / 100)  # over one row a part
     rows = ordered.joined(ordered.parts.withColumn("_drawn", drawn))
     rank = F.when(~F.col("_unfit") & (F.col("_run__fit") <= F.col("_drawn")), F.col("_run__fit"))
