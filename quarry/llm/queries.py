@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shipped
 from . import bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, prefix_trie, quality, resampling, suffix_dedup
+from .common import staged
 from .sampling_sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 #: The control-laden conversation that the contract adds.
@@ -77,8 +78,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    mixed = mixing.copies(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), F.col("size"))
+    sizes = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.copies(staged(sizes, "sizes"), F.col("size"))  # a range shuffle reads its input twice
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
