@@ -117,7 +117,7 @@ def _part(raw: bytes) -> bytes:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes around each wanted anchor: h, block, ctx, ctx2, lo, body."""
+    """Bytes around each wanted anchor: h, block, ctx, ctx2, lo, body, and its place (doc_id, part, pos)."""
     for batch in batches:
         for i in range(batch.num_rows):
             raw = (batch.column("text")[i].as_py() or "").encode()
@@ -127,8 +127,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     *(pa.array([w[c] for w in want], t) for c, t in (("h", pa.int64()), ("block", pa.int32()), ("ctx", pa.int64()), ("ctx2", pa.int64()), ("lo", pa.int32()))),
                     pa.array([raw[w["pos"] - w["lo"] : w["pos"] + w["hi"]] for w in want], pa.binary()),
+                    pa.array([batch.column("doc_id")[i].as_py()] * len(want), pa.int64()),
+                    pa.array([own] * len(want), pa.binary()),
+                    pa.array([w["pos"] for w in want], pa.int32()),
                 ],
-                names=["h", "block", "ctx", "ctx2", "lo", "body"],
+                names=["h", "block", "ctx", "ctx2", "lo", "body", "doc_id", "part", "pos"],
             )
 
 
@@ -209,8 +212,8 @@ def _runs(at: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + length).tolist(), strict=True))
 
 
-def _sort_pass(length: int, k: int):
-    """Contexts sorted by (h, block) to covered runs (relative to the anchor) and, for cut anchors, open windows."""
+def _sort_pass(length: int, k: int, keep_first: bool):
+    """Contexts sorted by (h, block, place) to covered runs (relative to the anchor) and, for cut anchors, open windows."""
     run_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     open_type = pa.list_(pa.struct([("s", pa.int32()), ("w", pa.binary())]))
 
@@ -218,20 +221,23 @@ def _sort_pass(length: int, k: int):
         number, blocks = {}, []
         for h, block, *_ in rows:
             blocks.append(number.setdefault((h, block), len(number)))
-        found, shown = factors([r[5] for r in rows], [r[4] for r in rows], blocks, length, k)
+        found, shown = factors([r[5] for r in rows], [r[4] for r in rows], blocks, length, k, keep_first)
         runs, opens = [], []
-        for (_, block, _, _, lo, body), at, rest in zip(rows, found, shown, strict=True):
+        for (_, block, _, _, lo, body, *_), at, rest in zip(rows, found, shown, strict=True):
             runs.append([{"a": a - lo, "b": b - lo} for a, b in _runs(at, length)])
             opens.append([{"s": s - lo, "w": hashlib.blake2b(body[s : s + length], digest_size=16).digest()} for s in rest.tolist()] if block >= 0 else [])
         return pa.RecordBatch.from_arrays(
-            [*(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 2, 3)), pa.array(runs, run_type), pa.array(opens, open_type)],
-            names=["h", "ctx", "ctx2", "runs", "open"],
+            [
+                *(pa.array([r[c] for r in rows], pa.int64()) for c in (0, 2, 3)), pa.array(runs, run_type), pa.array(opens, open_type),
+                pa.array([r[6] for r in rows], pa.int64()), pa.array([r[7] for r in rows], pa.binary()), pa.array([r[8] for r in rows], pa.int32()),
+            ],
+            names=["h", "ctx", "ctx2", "runs", "open", "doc_id", "part", "pos"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "block", "ctx", "ctx2", "lo", "body")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "block", "ctx", "ctx2", "lo", "body", "doc_id", "part", "pos")), strict=True):
                 if size > 400_000 and row[:2] != rows[-1][:2]:
                     yield settle(rows)
                     rows, size = [], 0
@@ -273,8 +279,12 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_runs(profiles: DataFrame, texts: DataFrame, length: int, anchor: int, block: int) -> DataFrame:
-    """(doc_id, runs) of documents with repeats; a run tells the text that it belongs to."""
+def repeated_runs(profiles: DataFrame, texts: DataFrame, length: int, anchor: int, block: int, keep_first: bool = False) -> DataFrame:
+    """(doc_id, runs) of documents with repeats; a run tells the text that it belongs to.
+
+    Of identical contexts the one of the smallest place (doc_id, text, position) speaks; the others stand behind it and so lose all
+    of their windows, the speaker those with an equal window elsewhere, or earlier where the first copy is kept.
+    """
     anchors = profiles.filter("doc_id is not null").select("doc_id", F.substring("sha", 1, 8).alias("part"), F.explode("anchors").alias("x")).select("doc_id", "part", "x.*")
     context = ["h", "ctx", "ctx2"]
     kinds = staged(anchors.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "part", "pos", "lo", "hi")).alias("rep")), "contexts")
@@ -290,37 +300,47 @@ def repeated_runs(profiles: DataFrame, texts: DataFrame, length: int, anchor: in
         ).alias("w"),
     )
     want = several.groupBy("doc_id").agg(F.collect_list("w").alias("want"))
-    bodies = texts.join(want, "doc_id").mapInArrow(_contexts, "h long, block int, ctx long, ctx2 long, lo int, body binary")
+    bodies = texts.join(want, "doc_id").mapInArrow(_contexts, "h long, block int, ctx long, ctx2 long, lo int, body binary, doc_id long, part binary, pos int")
+    place = ["doc_id", "part", "pos"]
     sorted_runs = staged(
-        bodies.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_sort_pass(length, anchor), f"h long, ctx long, ctx2 long, runs {_RUNS}, open array<struct<s:int,w:binary>>"),
+        bodies.repartition("h", "block").sortWithinPartitions("h", "block", *place).mapInArrow(
+            _sort_pass(length, anchor, keep_first), f"h long, ctx long, ctx2 long, runs {_RUNS}, open array<struct<s:int,w:binary>>, doc_id long, part binary, pos int"
+        ),
         "factors",
     )
-    rest = sorted_runs.filter(F.size("open") > 0).select(*context, F.explode("open").alias("o")).select(*context, F.col("o.s").alias("s"), F.col("o.w").alias("w"))
-    again = rest.groupBy("h", "s", "w").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    later = rest.join(again, ["h", "s", "w"]).groupBy(*context).agg(F.transform(F.collect_set("s"), lambda s: F.struct(s.alias("a"), (s + length).alias("b"))).alias("more"))
+    rest = sorted_runs.filter(F.size("open") > 0).select(*context, F.struct(*place).alias("place"), F.explode("open").alias("o")).select(*context, "place", F.col("o.s").alias("s"), F.col("o.w").alias("w"))
+    again = rest.groupBy("h", "s", "w").agg(F.count(F.lit(1)).alias("k"), F.min("place").alias("first")).filter("k > 1").drop("k")
+    met = rest.join(again, ["h", "s", "w"])
+    later = (met.filter(F.col("place") != F.col("first")) if keep_first else met).groupBy(*context).agg(F.transform(F.collect_set("s"), lambda s: F.struct(s.alias("a"), (s + length).alias("b"))).alias("more"))
     none = F.array().cast(_RUNS)
+    whole = F.array(F.struct((-F.col("rep.lo")).cast("int").alias("a"), F.col("rep.hi").cast("int").alias("b")))
+    some = F.concat(F.coalesce("runs", none), F.coalesce("more", none))
+    speaks = F.when(F.col("n") > 1, whole).otherwise(some) if not keep_first else some
     decided = staged(
         shared.join(sorted_runs.select(*context, "runs"), context, "left").join(later, context, "left").select(
-            *context, "n",
-            F.when(F.col("n") > 1, F.array(F.struct((-F.col("rep.lo")).cast("int").alias("a"), F.col("rep.hi").cast("int").alias("b"))))
-            .otherwise(F.concat(F.coalesce("runs", none), F.coalesce("more", none))).alias("runs"),
-        ).filter(F.size("runs") > 0).dropDuplicates(context),
+            *context, "n", F.struct(*[F.col(f"rep.{c}").alias(c) for c in place]).alias("first"), speaks.alias("first_runs"), whole.alias("all_runs"),
+        ).filter((F.col("n") > 1) | (F.size("first_runs") > 0)).dropDuplicates(context),
         "decided",
     )
     drop_staged(sorted_runs, shared)
     return (
         hot_join(anchors, decided, context, "n", total, F.struct("doc_id", "pos"))
+        .withColumn("runs", F.when(F.struct(*place) == F.col("first"), F.col("first_runs")).otherwise(F.col("all_runs")))
         .select("doc_id", F.transform("runs", lambda r: F.struct(F.col("part").alias("part"), (F.col("pos") + r["a"]).alias("a"), (F.col("pos") + r["b"]).alias("b"))).alias("runs"))
         .groupBy("doc_id")
         .agg(F.flatten(F.collect_list("runs")).alias("runs"))
     )
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK, keep_first: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    All copies go; with ``keep_first`` the first of each string (smallest doc_id, then position) stays, and rows repeated with id and
+    text are one document.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     profiles = staged(texts.mapInArrow(_anchor_pass(length, anchor), f"doc_id long, n_bytes long, sha binary, anchors {_PLACE}"), "anchors")
-    runs = staged(repeated_runs(profiles, texts, length, anchor, block), "runs")
+    runs = staged(repeated_runs(profiles, texts, length, anchor, block, keep_first), "runs")
     cut = texts.join(runs, "doc_id").mapInArrow(_cut, "doc_id long, sha binary, n_removed long, n_spans long, cut_sha binary").dropDuplicates(["doc_id", "sha"])
     return profiles.select("doc_id", "n_bytes", "sha").join(cut, ["doc_id", "sha"], "left").select(
         "doc_id",

@@ -112,23 +112,25 @@ def test_hot_digest(spark):
     assert got.filter("kept").count() == 2001 and got.count() == 6000
 
 
-def brute_cut(rows, length):
-    count = collections.Counter()
-    for _, raw in rows:
-        count.update(raw[p : p + length] for p in range(len(raw) - length + 1))
+def brute_cut(rows, length, keep_first=False):
+    count, first = collections.Counter(), {}
+    for i, raw in sorted(rows):
+        for p in range(len(raw) - length + 1):
+            count[raw[p : p + length]] += 1
+            first.setdefault(raw[p : p + length], (i, p))
     out = {}
     for i, raw in rows:
         gone = np.zeros(len(raw), bool)
         for p in range(len(raw) - length + 1):
-            if count[raw[p : p + length]] > 1:
+            if count[raw[p : p + length]] > 1 and not (keep_first and first[raw[p : p + length]] == (i, p)):
                 gone[p : p + length] = True
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
         out[i] = (len(raw), int(gone.sum()), int((np.diff(np.r_[False, gone].astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest())
     return out
 
 
-@pytest.mark.parametrize("block", [64, 2])
-def test_suffix_dedup(spark, block):
+@pytest.mark.parametrize("block, keep_first", [(64, False), (2, False), (64, True), (2, True)])
+def test_suffix_dedup(spark, block, keep_first):
     draw = random.Random(8)
     common = [prose(draw, n) for n in (20, 40, 90)]
     rows = []
@@ -136,8 +138,8 @@ def test_suffix_dedup(spark, block):
         parts = [prose(draw, draw.randint(5, 60)), draw.choice(common), prose(draw, draw.randint(0, 30)), draw.choice(common)]
         rows.append((i, " ".join(parts)))
     rows += [(50, rows[0][1]), (51, "ab" * 300), (52, "x" * 41), (53, None), (54, "é" * 40)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table(spark, rows), 40, 20, block).collect()}
-    assert got == brute_cut([(i, (t or "").encode()) for i, t in rows], 40)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(table(spark, rows), 40, 20, block, keep_first).collect()}
+    assert got == brute_cut([(i, (t or "").encode()) for i, t in rows], 40, keep_first)
 
 
 def test_suffix_factors_against_psv_nsv():
