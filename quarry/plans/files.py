@@ -190,7 +190,7 @@ def f8_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- listings: files, their directories, links, nested repositories and ignore files
 
-ROOT_RULES = "*.json\n!docs/en/*.json\n/docs/fr/1*\nbuild*/\n# note\n\n!*.lock"
+ROOT_RULES = "*.json\n!docs/en/*.json\n/docs/fr/1*\nbuild*/\n# note\n\n!*.lock\n[a&&b].ts\n[^]]x"
 DE_RULES = "*.py\n!1?.py\n[0-4]*.php"
 
 
@@ -241,6 +241,7 @@ listing AS (
 rules AS (SELECT * FROM (VALUES
   ('', 0, '*.json', false, false, '(?:.*/)?[^/]*\\.json'), ('', 1, '!docs/en/*.json', true, false, 'docs/en/[^/]*\\.json'),
   ('', 2, '/docs/fr/1*', false, false, 'docs/fr/1[^/]*'), ('', 3, 'build*/', false, true, '(?:.*/)?build[^/]*'), ('', 6, '!*.lock', true, false, '(?:.*/)?[^/]*\\.lock'),
+  ('', 7, '[a&&b].ts', false, false, '(?:.*/)?[ab&]\\.ts'), ('', 8, '[^]]x', false, false, '(?:.*/)?.\\]x'),
   ('docs/de', 0, '*.py', false, false, '(?:.*/)?[^/]*\\.py'), ('docs/de', 1, '!1?.py', true, false, '(?:.*/)?1[^/]\\.py'), ('docs/de', 2, '[0-4]*.php', false, false, '(?:.*/)?[0-4][^/]*\\.php')
   ) AS r(base_dir, line_no, line, negated, directory_only, regex)),
 decided AS MATERIALIZED (
@@ -313,7 +314,7 @@ _MINIFIED = "len(list_filter(string_split(text, chr(10)), lambda s: length(s) >
 
 # ---- ignore rules
 
-@query("SELECT DISTINCT source AS repository_id, r.line, r.negated, r.directory_only FROM documents, (VALUES " + ", ".join(f"('{r}', {str(n).lower()}, {str(d).lower()})" for r, n, d in (("*.json", False, False), ("!docs/en/*.json", True, False), ("/docs/fr/1*", False, False), ("build*/", False, True), ("!*.lock", True, False), ("*.py", False, False), ("!1?.py", True, False), ("[0-4]*.php", False, False))) + ") AS r(line, negated, directory_only)")
+@query("SELECT DISTINCT source AS repository_id, r.line, r.negated, r.directory_only FROM documents, (VALUES " + ", ".join(f"('{r}', {str(n).lower()}, {str(d).lower()})" for r, n, d in (("*.json", False, False), ("!docs/en/*.json", True, False), ("/docs/fr/1*", False, False), ("build*/", False, True), ("!*.lock", True, False), ("[a&&b].ts", False, False), ("[^]]x", False, False), ("*.py", False, False), ("!1?.py", True, False), ("[0-4]*.php", False, False))) + ") AS r(line, negated, directory_only)")
 def g1_compile_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ignore.parse_ignore_files(ignore.load_ignore_files(listing(spark, sf_dir))).select("repository_id", "line", "negated", "directory_only")
 
