@@ -10,7 +10,7 @@ length in any order (proximity). Document lengths are stored as postings of an e
 
 The tables that come from the benchmark are written first, so Spark knows their size when it chooses between
 broadcast and shuffle joins. Joins on a term know how often it occurs and salt the frequent ones; the count itself, which
-comes before that is known, broadcasts the benchmark's vocabulary up to ``VOCABULARY_BYTES`` and counts all terms of the corpus beyond.
+comes before that is known, counts all terms of the corpus; either way what comes from the benchmark is broadcast up to ``VOCABULARY_BYTES``.
 
 Defined results: null text has no words; items without words match nothing; an item shorter than the window
 is one window; repeated items each count by their id; repeated documents are counted under their id; an empty
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import hot_join, remove, staged
 
 WINDOW = 10
-#: Up to this many bytes a benchmark's vocabulary is broadcast to count its terms.
+#: Up to this many bytes the terms that a benchmark asks for are broadcast, with what they stand for.
 VOCABULARY_BYTES = 8 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 END_OF_TEXT = ""
@@ -58,11 +58,22 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return vocabulary.join(counts, "term", "left").select("term", F.coalesce("cf", F.lit(0)).alias("cf"))
 
 
+def located(rows: DataFrame, terms: DataFrame, total: int, width: Column, key: str | list[str] = "term") -> DataFrame:
+    """``rows`` (doc_id, pos, term) that are of ``terms`` (term, cf), with their columns; ``width`` is about the bytes of one of these.
+
+    A table of proven small size is broadcast, so that no word of the corpus is shuffled; a larger one is joined with its frequent
+    terms salted (``total`` occurrences in all).
+    """
+    if (terms.agg(F.sum(width)).first()[0] or 0) <= VOCABULARY_BYTES:
+        return rows.join(F.broadcast(terms), key)
+    return hot_join(rows, terms, key, "cf", total, F.struct("doc_id", "pos"))
+
+
 def build_postings(docs: DataFrame, terms: DataFrame, total: int) -> DataFrame:
     """term, doc_id, pos (0-based) of the given terms (term, cf; ``total`` occurrences in all); the end-of-text term holds each document's length."""
     with_end = F.concat(index_terms(F.col("text")), F.array(F.lit(END_OF_TEXT)))
     every = docs.select("doc_id", F.posexplode(with_end).alias("pos", "term"))
-    return hot_join(every, terms, "term", "cf", total, F.struct("doc_id", "pos")).select("term", "doc_id", "pos")
+    return located(every, terms, total, F.octet_length("term") + 24).select("term", "doc_id", "pos")
 
 
 def rarest_terms(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -95,7 +106,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, postings: DataFrame, rare:
         rare.groupBy("item_id").agg(F.collect_set(F.struct(F.col("first.off").alias("x"), F.col("second.off").alias("y"))).alias("needs")), "needs"
     )
     diagonals = (
-        hot_join(postings.filter(F.col("term") != END_OF_TEXT), staged(wanted, "wanted"), "term", "cf", total, F.struct("doc_id", "pos"))
+        located(postings.filter(F.col("term") != END_OF_TEXT), staged(wanted, "wanted"), total, F.octet_length("term") + 32 + 24 * F.size("places"))
         .select("doc_id", "pos", F.explode("places").alias("p"))
         .select("doc_id", "pos", "p.*")
         .groupBy("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("diag"))
@@ -144,7 +155,7 @@ def proximity_matches(postings: DataFrame, pairs: DataFrame, slop: int, total: i
 
     def side(name: str) -> DataFrame:
         asked = pairs.groupBy(F.col(f"{name}_term").alias("term")).agg(F.max(f"{name}_cf").alias("cf"), F.collect_set("pair_id").alias("pairs"))
-        return hot_join(postings, staged(asked, "pairs"), "term", "cf", total, F.struct("doc_id", "pos")).select("doc_id", "pos", F.explode("pairs").alias("pair_id"))
+        return located(postings, staged(asked, "pairs"), total, F.octet_length("term") + 32 + 16 * F.size("pairs")).select("doc_id", "pos", F.explode("pairs").alias("pair_id"))
 
     left = side("left").select("pair_id", "doc_id", F.col("pos").alias("p"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     right = side("right").select("pair_id", "doc_id", F.col("pos").alias("q"), block.alias("block"))
@@ -200,7 +211,7 @@ class PostingIndex:
         batches = self._read("indexed", listed).groupBy("term").agg(F.min("batch").alias("batch"))
         rows = self.spark.read.schema("term string, doc_id long, pos int, batch string").parquet(f"{self.path}/postings")
         wanted = staged(batches.join(terms, "term"), "wanted-batches")
-        return hot_join(rows, wanted, ["term", "batch"], "cf", total, F.struct("doc_id", "pos")).select("term", "doc_id", "pos")
+        return located(rows, wanted, total, F.octet_length("term") + 64, ["term", "batch"]).select("term", "doc_id", "pos")
 
     def drop(self) -> None:
         remove(self.spark, self.path)

@@ -297,8 +297,10 @@ def test_proximity(spark):
     assert {r.doc_id for r in got.collect()} == {1, 3}
 
 
-def test_near_items_and_hot_terms(spark):
-    """One word in every document asks for a third of all postings; the rarest two words of an item count where they stand near each other."""
+@pytest.mark.parametrize("limit", [decontaminate.VOCABULARY_BYTES, 0])
+def test_near_items_and_hot_terms(spark, monkeypatch, limit):
+    """With broadcasts and without. One word in every document asks for a third of all postings; the rarest two words of an item count where they stand near each other."""
+    monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", limit)
     docs = [(i, " ".join(["the"] * 5 + [f"x{i}", "rare" if i % 50 == 0 else "y", "z"] + (["seldom"] if i % 100 == 0 else []))) for i in range(3000)]
     items = [(1, "the"), (2, "seldom rare"), (3, "nothing here")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
