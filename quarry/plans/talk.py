@@ -287,3 +287,10 @@ def t13_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments as a stream, revisions and repeats among them; the state holds durations and no text."""
     rows = segments(spark, sf_dir).withColumns({"start_ms": F.col("start_ms").cast("long"), "end_ms": F.col("end_ms").cast("long")}).withColumn("ts", _at("start_ms"))
     return streamed(spark, "usage", rows, "session_id", streams.session_usage)
+
+
+@query(SQL["t8_latest_question_revision"])
+def t8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions of each session's question as a stream, told apart once the session has settled."""
+    rows = _questions(spark, sf_dir).select(F.col("session_id").alias("request_id"), F.col("start_ms").cast("int").alias("revision")).withColumn("ts", _at("revision"))
+    return streamed(spark, "revisions", rows, "request_id", streams.latest_question_revision).withColumn("revision", F.col("revision").cast("long"))
