@@ -138,7 +138,7 @@ def dedupe_questions(questions: DataFrame, window_ms: int = 5_000, late: str | N
         return out, ready[-1:]
 
     rows = _timed(questions, schema, late, norm=normalised_question(F.col("text")))
-    return keyed(rows, ["session_id", "norm"], InOrder(_columns(schema), schema, "at_ms", _columns(result), step, window_ms), result)
+    return keyed(rows, InOrder(["session_id", "norm"], _columns(schema), schema, "at_ms", _columns(result), step, window_ms), result)
 
 
 def conversation_window(questions: DataFrame, finals: DataFrame, minutes: int = 3, late: str | None = LATE) -> DataFrame:
@@ -164,7 +164,7 @@ def conversation_window(questions: DataFrame, finals: DataFrame, minutes: int =
     asked = questions.select("session_id", "ts", "start_ms", "request_id", none("string").alias("source"), F.lit(-1).cast("long").alias("sequence"), none("string").alias("text"))
     said = finals.select("session_id", "ts", "start_ms", none("string").alias("request_id"), "source", "sequence", "text")
     rows = _timed(asked.unionByName(said), schema, late)
-    return keyed(rows, ["session_id"], InOrder(_columns(schema), schema, "at_ms", _columns(result), step, span), result).select("request_id", "n_segments", "context")
+    return keyed(rows, InOrder(["session_id"], _columns(schema), schema, "at_ms", _columns(result), step, span), result).select("request_id", "n_segments", "context")
 
 
 EVENT = "request_id string, at_ms long, kind string, event_id string, question_revision int, repository_id string, index_generation string, timestamp_ms long, type string, payload string"
@@ -185,7 +185,7 @@ def _requests(events: DataFrame | None, questions: DataFrame | None, late: str |
 
 
 def _of_requests(rows: DataFrame, reduce: Callable[[list], list], result: str, settle_ms: int, keep_ms: int) -> DataFrame:
-    return keyed(rows, ["request_id"], Settled(_columns(EVENT), EVENT, "at_ms", _columns(result), reduce, settle_ms, keep_ms), result)
+    return keyed(rows, Settled(["request_id"], _columns(EVENT), EVENT, "at_ms", _columns(result), reduce, settle_ms, keep_ms), result)
 
 
 def _revisions(rows: list) -> list[int]:
@@ -254,7 +254,7 @@ def session_usage(segments: DataFrame, late: str | None = LATE, settle_ms: int =
 
     result = "session_id string, source string, duration_ms long, n_segments long"
     rows = _timed(segments.filter("is_final"), schema, late, spoken_ms=F.col("end_ms") - F.col("start_ms"))
-    return keyed(rows, ["session_id", "source"], Settled(_columns(schema), schema, "at_ms", _columns(result), reduce, settle_ms, keep_ms), result)
+    return keyed(rows, Settled(["session_id", "source"], _columns(schema), schema, "at_ms", _columns(result), reduce, settle_ms, keep_ms), result)
 
 
 def debounce_file_changes(changes: DataFrame, gap: str = "2 seconds", late: str = LATE) -> DataFrame:

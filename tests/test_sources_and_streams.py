@@ -331,3 +331,20 @@ def test_stream_usage_equals_batch(spark, tmp_path, state_store):
     out = stream_batches(spark, tmp_path, [rows[4:], rows[:5], [marker(CLOSE)], [marker(2 * CLOSE, 1)]], streams.session_usage, SCHEMA, stamp)
     batch = transcripts.session_usage(transcripts.final_segments(spark.createDataFrame(rows, SCHEMA)))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.select("session_id", "source", "duration_ms", "n_segments").collect()))
+
+
+def test_keys_that_share_state_are_told_apart(spark, tmp_path, state_store, monkeypatch):
+    """Many keys in few state keys: each waits, settles and is forgotten by itself, with late, repeated and too late rows."""
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    rows, batches = envelope_rows()
+    more = [[(f"{r[0]}{i}", *r[1:]) for r in batch for i in range(5) if r[0] != "z"] + [r for r in batch if r[0] == "z"] for batch in batches]
+    flow = lambda m: streams.answer_outcomes(*split(m)).select(F.col("request_id").alias("session_id"), "question_revision", "status", "text", "partial")
+    got = run_stream(spark, tmp_path / "requests", more, ENVELOPE, flow)
+    events, questions = split(spark.createDataFrame([(f"{r[0]}{i}", *r[1:]) for r in rows for i in range(5)], ENVELOPE))
+    want = transcripts.answer_outcomes(events, transcripts.latest_question_revision(questions.select("request_id", "revision")))
+    assert sorted(got) == sorted(map(tuple, want.collect())) and len(got) == 25
+    schema = "request_id string, session_id string, text string, start_ms long, t long"
+    asked = [(f"r{i}-{s}", f"s{s}", "Why?", at + s, at + s) for s in range(7) for i, at in enumerate([0, 4_000, 8_000, 14_000])]
+    closing = [[("z", "z", "m", CLOSE * k, CLOSE * k)] for k in (1, 2)]
+    out = run_stream(spark, tmp_path / "asked", [asked[1::2], asked[::2], *closing], schema, lambda q: streams.dedupe_questions(q, 5_000).select("session_id", "request_id"))
+    assert sorted(r for _, r in out if r != "z") == sorted(f"r{i}-{s}" for s in range(7) for i in (0, 3))
