@@ -289,3 +289,31 @@ def test_stale_generations_and_superseded_revisions(spark):
     status = transcripts.latest_question_revision(events.select("request_id", F.col("question_revision").alias("revision")).distinct())
     assert {r.event_id for r in transcripts.drop_stale_events(events, status, "r", "g1").collect()} == {2, 4}
     assert {(r.question_revision, r.status) for r in transcripts.answer_outcomes(events, status).collect()} == {(1, "superseded"), (2, "open")}
+
+
+def test_question_rules_read_words_and_lines_as_their_sql(spark):
+    """A rule's word ends before a letter beyond ASCII, its end is that of the text, and blanks are ASCII."""
+    import duckdb
+
+    from quarry.plans.talk import _RULES
+
+    texts = ["Do\u00f1ueez", "\u00f1do it", "okay\n", "okay", "mm-hm!", "So a\rb?", "So a\u2028b?", "So a\nb?", "x?\x0b", "x?\u0085", "x? \n", "\u017fo what is it", "tal\u212a", "wal\u212a me through it", "i\u017f it", "isn", "why_", "THANK you.", "a show me"]
+    con = duckdb.connect()
+    want = [con.execute(f"SELECT {_RULES} FROM (SELECT ?::VARCHAR AS text)", [t]).fetchone()[0] for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r.rule for r in rows.select("i", transcripts.matched_rule(F.col("text")).alias("rule")).orderBy("i").collect()] == want
+    assert want[0] == "interrogative" and want[2] is None
+    norm = con.execute("SELECT trim(regexp_replace(lower('\u0130S it \u212a'), '[^a-z0-9]+', ' ', 'g'))").fetchone()[0]
+    assert spark.range(1).select(transcripts.normalised_question(F.lit("\u0130S it \u212a"))).first()[0] == norm
+
+
+def test_evidence_of_quotes_of_any_shape(spark, tmp_path):
+    """Line breaks between the first words, quotes that begin and end inside words, and quotes of one to five words."""
+    from quarry.plans import search
+
+    quotes = ["one\ntwo three\nfour five six seven", "ne\ntwo three\nfour five si", "wo three\nfo", "three", "ee\nfour f", "absent one two three four five six", "three five six"]
+    texts = ["zero one\ntwo three\nfour five six seven eight", "three five sixty", "nothing", ""]
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.question_id, (r.start_line - 1) // 10) for r in search._evidence(spark, str(tmp_path)).collect()}
+    assert got == {(i, d) for i, q in enumerate(quotes) for d, t in enumerate(texts) if q in t} and len(got) == 7
