@@ -317,3 +317,21 @@ def test_evidence_of_quotes_of_any_shape(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.question_id, (r.start_line - 1) // 10) for r in search._evidence(spark, str(tmp_path)).collect()}
     assert got == {(i, d) for i, q in enumerate(quotes) for d, t in enumerate(texts) if q in t} and len(got) == 7
+
+
+def test_hits_of_few_questions_stay_where_their_chunks_are(spark, tmp_path):
+    """Chunks are dealt before their postings meet the questions: no shuffle of (question, chunk) hits, and repeated questions count once."""
+    chunks = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma{i % 5}", "docs/a.py") for i in range(60)], "chunk_id long, text string, relative_path string")
+    retrieval.write_term_index(retrieval.build_term_index(chunks), f"file://{tmp_path}/index", 3)
+    index = retrieval.read_term_index(spark, f"file://{tmp_path}/index")
+    questions = spark.createDataFrame([(q, f"alpha beta{q % 3} gamma{q % 5} docs") for q in (0, 1, 2, 2)], "query_id long, text string")
+    for search in (retrieval.search_exact, retrieval.search_bm25):
+        found = search(questions.distinct(), index, 5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(query_id" in plan
+        assert not [x for x in plan.splitlines() if "hashpartitioning(query_id" in x and "chunk_id" in x]
+    exact = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in retrieval.search_exact(questions, index, 5).collect()}
+    for q in (0, 1, 2):
+        score = {i: 2 + (i % 3 == q % 3) + (i % 5 == q % 5) for i in range(60)}
+        best = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert [exact[q, k] for k in range(1, 6)] == [(i, score[i]) for i in best]
