@@ -335,3 +335,48 @@ def test_hits_of_few_questions_stay_where_their_chunks_are(spark, tmp_path):
         score = {i: 2 + (i % 3 == q % 3) + (i % 5 == q % 5) for i in range(60)}
         best = sorted(score, key=lambda i: (-score[i], i))[:5]
         assert [exact[q, k] for k in range(1, 6)] == [(i, score[i]) for i in best]
+
+
+def test_index_terms_need_no_shuffle_and_equal_the_column_functions(spark):
+    """Postings of a text are counted where it is read; odd words, empty texts, many slices and repeated ids give what the column functions give."""
+    from quarry.functions import text as TX
+
+    texts = ["", None, "getUserName get_user 9lives 12 _ __a $x a$B HTTPServer2Go é naïveWord ab_ab AB", "the The THE the_The x9Y", "äöü €", "1_a 1a_b2C_"] * 3
+    rows = [(i, "Src//" + "AB"[i % 2] + "/É.py", t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, relative_path string, text string")
+    index = retrieval.build_term_index(chunks)
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    text = F.coalesce("text", F.lit(""))
+    words = chunks.select("chunk_id", "relative_path", F.regexp_extract_all(text, F.lit("[A-Za-z0-9_$]+"), F.lit(0)).alias("w"), TX.build_split_form(text).alias("s")).collect()
+    want, lengths = {}, set()
+    for r in words:
+        split = r.s.split()
+        lengths.add((r.chunk_id, len(r.w), len(split)))
+        for field, terms in enumerate(([w.lower() for w in r.w], split, [p.lower() for p in r.relative_path.split("/") if p])):
+            for t in terms:
+                want.setdefault((t, r.chunk_id), [0, 0, 0])[field] += 1
+    assert {(r.term, r.chunk_id): [r.original, r.split, r.path] for r in index.postings.collect()} == want
+    assert {tuple(r) for r in index.lengths.collect()} == lengths
+    twice = retrieval.build_term_index(chunks.union(chunks)).postings.collect()
+    assert {(r.term, r.chunk_id): [r.original, r.split, r.path] for r in twice} == {k: [2 * x for x in v] for k, v in want.items()} and len(twice) == len(want)
+
+
+def test_slices_of_index_texts_and_best_hits_of_batches():
+    import pyarrow as pa
+
+    from quarry.operators import postings as P
+
+    batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(9)), "text": ["abc"] * 8 + ["x" * 50]})
+    assert [s.num_rows for s in P.slices(iter([batch]), "text", 7)] == [2, 2, 2, 2, 1]
+    hits = [(c, 1.0 + (c * t) % 3, [f"q{t}", "all"]) for c in range(30) for t in range(3)]
+    kind = pa.schema([("chunk_id", pa.int64()), ("part", pa.float64()), ("queries", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, h, strict=True)) for h in hits[i : i + 7]], kind) for i in range(0, len(hits), 7)]
+    want: dict = {}
+    for c, p, qs in hits:
+        for q in qs:
+            want.setdefault(q, {}).setdefault(c, 0.0)
+            want[q][c] += p
+    got: dict = {}
+    for r in pa.Table.from_batches(P.best_hits(4, 9)(iter(batches))).to_pylist():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["chunk_id"]))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted((-s, c) for c, s in v.items())[:4] for q, v in want.items()}
