@@ -73,3 +73,19 @@ def test_partition_invariance(spark):
     assert one == seven
     crlf = rows.selectExpr("repository_id", "relative_path", "language", r"replace(text, '\n', '\r\n') AS text")
     assert sorted(map(tuple, chunking.chunk_files(crlf, SMALL).drop("heading_path").collect())) == one
+
+
+def test_a_worker_holds_the_chunks_of_few_texts():
+    """Texts of a batch are chunked slice by slice, so memory does not grow with the rows of a batch."""
+    import pyarrow as pa
+
+    from quarry.operators import chunking as C
+    from quarry.options import ChunkOptions
+
+    text = "\n".join(f"line {i} of words" for i in range(4000))
+    batch = pa.RecordBatch.from_pydict({"repository_id": ["r"] * 40, "relative_path": [str(i) for i in range(40)], "language": ["text"] * 38 + ["markdown", "text"], "text": [text] * 38 + ["# a\nb", None]})
+    out = list(C._chunker(ChunkOptions(), pa.schema(C.ARROW))(iter([batch])))
+    assert len(out) > 2 and max(b.nbytes for b in out) < 1 << 22
+    rows = pa.Table.from_batches(out).to_pylist()
+    want = [(str(i), k, *c) for i in range(38) for k, c in enumerate(C.line_chunks(C.lines_of(text), ChunkOptions()))] + [("38", 0, 1, 2, "# a\nb", C.tokens_of("# a\nb"))]
+    assert [(r["relative_path"], r["ordinal"], r["start_line"], r["end_line"], r["text"], r["estimated_tokens"]) for r in rows] == want and rows[-1]["heading_path"] == ["a"]
