@@ -7,8 +7,10 @@ import hashlib
 import os
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,6 +350,36 @@ def test_quality_fit_is_the_optimum(monkeypatch):
     assert score[np.abs(z @ model.weight - model.cut).argmin()] == pytest.approx(quality.CUT, abs=0.02)
 
 
+def test_quality_training_takes_all_rows_and_pairs(spark):
+    """Against brute force over every pair of a good and a bad training row: the penalised loss is flat, scale and cut are those of all rows."""
+    draw = random.Random(12)
+    rows = [(i, prose(draw, draw.randint(5, 40), 60)) for i in range(120)] + [(200 + i, prose(draw, draw.randint(5, 40), 90) + "!" * draw.randint(0, 9)) for i in range(60)]
+    labels = [(i, int(i < 120)) for i, _ in rows]
+    model = quality.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = [(t, y) for (i, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x, y = quality.features(pa.array([t for t, _ in kept])).astype(np.float32), np.array([y for _, y in kept])
+    assert np.allclose(model.mean, x.mean(axis=0, dtype=float)) and np.allclose(model.scale, np.maximum(x.std(axis=0, dtype=float), 1e-3))
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    ridge = np.where(np.arange(z.shape[1]) < quality.N_COUNTS, quality.RIDGE, quality.HASHED_RIDGE)
+    grad = -(diff / (1 + np.exp(diff @ model.weight))[:, None]).mean(axis=0) + ridge * model.weight
+    assert np.abs(grad).max() < 1e-4
+    strength = z @ model.weight
+    assert model.cut == pytest.approx(np.quantile(strength, (y == 0).mean(), method="lower"))
+    assert model.slope == pytest.approx(3 / np.abs(strength - model.cut).mean())
+
+
+def test_quality_pair_sums():
+    """Sums over cells against all pairs one by one."""
+    draw = np.random.default_rng(2)
+    good, bad = draw.random(40), draw.random(40)
+    loss, slope, curve = quality.pair_sums(good, bad)
+    gap = (np.arange(40)[None] - np.arange(40)[:, None]) * quality.CELL  # good by row, bad by column
+    p = 1 / (1 + np.exp(-gap))
+    assert loss == pytest.approx(good @ np.log1p(np.exp(gap)) @ bad)
+    assert np.allclose(slope, [p @ bad, good @ p]) and np.allclose(curve, [(p * (1 - p)) @ bad, good @ (p * (1 - p))])
+
+
 def test_training_takes_one_row_of_a_repeated_id(spark):
     rows = [(i, prose(random.Random(i), 30)) for i in range(40)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
