@@ -89,3 +89,28 @@ def test_a_worker_holds_the_chunks_of_few_texts():
     rows = pa.Table.from_batches(out).to_pylist()
     want = [(str(i), k, *c) for i in range(38) for k, c in enumerate(C.line_chunks(C.lines_of(text), ChunkOptions()))] + [("38", 0, 1, 2, "# a\nb", C.tokens_of("# a\nb"))]
     assert [(r["relative_path"], r["ordinal"], r["start_line"], r["end_line"], r["text"], r["estimated_tokens"]) for r in rows] == want and rows[-1]["heading_path"] == ["a"]
+
+
+def test_oversized_sections_are_cut_where_they_are_read(spark, tmp_path):
+    """One pass without shuffle or join: pieces of a file never meet all its sections."""
+    from quarry.plans import files
+
+    text = "# a\n" + "\n".join(f"some words of line {i} \U0001f600é" for i in range(40)) + "\n# b\nshort\n"
+    spark.createDataFrame([(1, text, "en", "src1"), (2, None, "en", "src1")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = files.c5_split_oversized_sections(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Window" not in plan
+    whole = chunking.chunk_files(files.markdown_files(spark, str(tmp_path)).selectExpr("repository_id", "relative_path", "text", "'markdown' language"), files.CHUNKING).collect()
+    got = sorted((c.start_line, c.end_line, c.estimated_tokens) for c in found.collect())
+    assert len(got) > 2 and set(got) < {(c.start_line, c.end_line, c.estimated_tokens) for c in whole}
+
+
+def test_sizes_of_runs_of_lines_are_those_of_their_text():
+    draw = random.Random(7)
+    signs = ["ab", "_9", " ", " ", " ", "﻿", "é", "\U0001f600", ".", "", "", "\t"]
+    for _ in range(200):
+        lines = ["".join(draw.choices(signs, k=draw.randint(0, 12))) for _ in range(draw.randint(1, 9))]
+        sizes = chunking.Sizes(lines)
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                assert sizes.tokens(a, b) == chunking.tokens_of("\n".join(lines[a:b]))
