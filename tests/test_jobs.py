@@ -380,3 +380,25 @@ def test_slices_of_index_texts_and_best_hits_of_batches():
     for r in pa.Table.from_batches(P.best_hits(4, 9)(iter(batches))).to_pylist():
         got.setdefault(r["query_id"], []).append((-r["score"], r["chunk_id"]))
     assert {q: sorted(v) for q, v in got.items()} == {q: sorted((-s, c) for c, s in v.items())[:4] for q, v in want.items()}
+
+
+def test_one_hop_deals_rows_by_their_number(spark, monkeypatch):
+    """Neighbours of a chunk are cut to the limit before queries meet them, in as many tasks as the rows ask for."""
+    import random
+
+    from quarry.operators import retrieval
+
+    draw = random.Random(4)
+    seeds = [(q, c) for q in range(3) for c in range(0, 40, q + 1)] * 2
+    edges = [(draw.randrange(50), draw.randrange(60), draw.choice("AB")) for _ in range(600)] * 2
+    monkeypatch.setattr(retrieval, "ROWS_PER_TASK", 100, raising=False)
+    found = retrieval.expand_one_hop(spark.createDataFrame(seeds, "query_id long, chunk_id long"), spark.createDataFrame(edges, "from_chunk_id long, to_chunk_id long, kind string"), 3)
+    want = {}
+    for q, c in set(seeds):
+        want[q, c] = 0
+        for _, to in sorted({(k, t) for f, t, k in edges if f == c})[:3]:
+            want[q, to] = min(want.get((q, to), 1), 0 if (q, to) in set(seeds) else 1)
+    assert {(r.query_id, r.chunk_id): r.hop for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    width = -(-(len(seeds) + len(edges)) // 100)
+    assert "WindowGroupLimit [chunk_id" in plan and plan.count(f", {width})") >= 3
