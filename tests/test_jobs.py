@@ -402,3 +402,37 @@ def test_one_hop_deals_rows_by_their_number(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     width = -(-(len(seeds) + len(edges)) // 100)
     assert "WindowGroupLimit [chunk_id" in plan and plan.count(f", {width})") >= 3
+
+
+def test_a_refresh_plan_reads_chunks_once(spark):
+    """Reused and deleted chunks come from one join, also for files that the diff lists twice or that have no name."""
+    from quarry.operators import manifest
+
+    diff = spark.createDataFrame([("r", "a", "unchanged"), ("r", "a", "unchanged"), ("r", "b", "modified"), ("r", "c", "removed"), ("r", None, "unchanged")], "repository_id string, relative_path string, change string")
+    chunks = spark.createDataFrame([("r", p, f"{p}{i}") for p in ("a", "b", "c", "d", None) for i in range(2)], "repository_id string, relative_path string, chunk_id string")
+    plan = manifest.plan_refresh(diff, chunks.mapInArrow(lambda batches: batches, chunks.schema))
+    got = sorted((str(r.relative_path), str(r.chunk_id), r.action) for r in plan.collect())
+    want = [("b", "None", "rechunk")] + [(str(p), f"{p}{i}", "reuse" if p == "a" else "delete") for p in ("a", "b", "c", "d", None) for i in range(2)]
+    assert got == sorted(want)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_texts_without_secrets_meet_no_pattern(spark):
+    """The plain search before redaction lets every text through that a rule would change."""
+    import random
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from quarry.operators import secrets
+
+    draw = random.Random(9)
+    value = "Abcdefgh12345678XYZ9"
+    heads = ["password=", "PassWD: ", "SECRET = ", "token=", "Api_Key=", "APIKEY=", "access_key:", "ghp_", "gho-", "ghs_", "github_pat_", "glpat-", "Bearer ", "bEARER "]
+    texts = [f"{draw.choice(['', 'Straße İ ', 'x\ny '])}{h}{value} end" for h in heads] + [f"{k}{'A1B2C3D4E5F6G7H8'}" for k in ("AKIA", "ASIA")]
+    texts += ["-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----\nrest", "plain words", "", None]
+    plain = reduce(lambda t, r: F.regexp_replace(t, r[1], r[2]), secrets.RULES, secrets.redact_blocks(F.col("t")))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.redact_secrets(F.col("t")).alias("got"), plain.alias("want"), secrets.may_hold_secrets(F.col("t")).alias("open")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    assert [r.open for r in rows] == [True] * (len(texts) - 3) + [False, False, None]
+    assert all(r.got != r.t for r in rows[:-3])
