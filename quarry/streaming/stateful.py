@@ -11,6 +11,7 @@ the earliest of its keys, reads them.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -30,6 +31,26 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+class Packed:
+    """A list state whose rows are kept many to a value: what comes in one call is one value, so the store converts no row by itself."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.state = handle.getListState(name, "packed binary")
+
+    def get(self) -> Iterator[Row]:
+        for (packed,) in self.state.get():
+            yield from pickle.loads(bytes(packed))
+
+    def appendList(self, rows: list[Row]) -> None:
+        self.state.appendList([(pickle.dumps(rows),)])
+
+    def put(self, rows: list[Row]) -> None:
+        self.state.put([(pickle.dumps(rows),)])
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
 class _Keyed(StatefulProcessor):
     """Reads rows as tuples; ``keys`` are the columns of a key, ``at`` is that of the event time in milliseconds, ``names`` the columns of the result."""
 
@@ -94,7 +115,7 @@ class InOrder(_Keyed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting, self.held = handle.getListState("waiting", self.schema), handle.getListState("held", self.schema)
+        self.waiting, self.held = Packed(handle, "waiting"), Packed(handle, "held")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
@@ -136,12 +157,10 @@ class Settled(_Keyed):
     def __init__(self, keys: list[str], columns: list[str], schema: str, at: str, names: list[str], reduce: Callable[[list[Row]], list[Row]], settle_ms: int, keep_ms: int):
         super().__init__(keys, columns, schema, at, names)
         self.reduce, self.settle_ms, self.keep_ms = reduce, settle_ms, keep_ms
-        kinds = dict(c.split(" ") for c in schema.split(", "))
-        self.done_schema = ", ".join([f"{c} {kinds[c]}" for c in keys] + ["at long"])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows, self.done = handle.getListState("rows", self.schema), handle.getListState("done", self.done_schema)
+        self.rows, self.done = Packed(handle, "rows"), Packed(handle, "done")
 
     def _done(self) -> dict[Row, int]:
         return {tuple(r)[:-1]: tuple(r)[-1] for r in self.done.get()}

@@ -348,3 +348,36 @@ def test_keys_that_share_state_are_told_apart(spark, tmp_path, state_store, monk
     closing = [[("z", "z", "m", CLOSE * k, CLOSE * k)] for k in (1, 2)]
     out = run_stream(spark, tmp_path / "asked", [asked[1::2], asked[::2], *closing], schema, lambda q: streams.dedupe_questions(q, 5_000).select("session_id", "request_id"))
     assert sorted(r for _, r in out if r != "z") == sorted(f"r{i}-{s}" for s in range(7) for i in (0, 3))
+
+
+def test_rows_of_a_call_are_one_value_of_the_state():
+    """Rows that come together are kept together, so the store converts one value a call and not one a row."""
+    from quarry.streaming import stateful
+
+    class Store:
+        def __init__(self):
+            self.values, self.schemas = [], []
+
+        def getListState(self, name, schema):
+            self.schemas.append(schema)
+            return self
+
+        def get(self):
+            return iter(self.values)
+
+        def appendList(self, values):
+            self.values += values
+
+        def put(self, values):
+            self.values = list(values)
+
+    processor = stateful.Settled(["k"], ["k", "at", "n"], "k string, at long, n long", "at", ["k", "n"], lambda rows: rows, 1, 1)
+    store = Store()
+    processor.init(store)
+    rows = [("a", i, None) for i in range(500)]
+    processor.rows.appendList(rows)
+    processor.rows.appendList(rows[:1])
+    assert len(store.values) == 2 and list(processor.rows.get()) == rows + rows[:1]
+    processor.rows.put(rows[:2])
+    assert len(store.values) == 1 and list(processor.rows.get()) == rows[:2]
+    assert set(store.schemas) == {"packed binary"}
