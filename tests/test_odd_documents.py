@@ -31,3 +31,9 @@ def test_secrets_beside_letters_beyond_ascii(spark, tmp_path, name):
     texts = [f"{words(i)} a{before}{key}{after} b\n{words(i + 3)}" for i, key in enumerate(KEYS) for before in "é _x·" for after in "ß _x²"]
     texts += [f"x {w} y" for w in ("toKen=abcdefgh1234567", "paſsword=abcdefgh1234", "xſecret=abcdefgh1234", "token=abcſKefgh rest", "bearer abcdefghſijklmnop rest", "ſecret=abcdefgh1234", "acceſs_Key=abcdefgh")]
     assert same(spark, tmp_path, name, [(i, t, "de", "src1") for i, t in enumerate(texts)])
+
+
+@pytest.mark.parametrize("name", ["c7_file_token_totals", "c3_merge_undersized_tail", "c2_chunk_by_lines"])
+def test_files_without_a_path_are_not_one_file(spark, tmp_path, name):
+    """Where the language is missing, the path is: such texts are not summed into one file."""
+    assert same(spark, tmp_path, name, [(i, words(i + 1), None if i % 3 == 0 else "de", None if i % 7 == 0 else "src1") for i in range(30)])
