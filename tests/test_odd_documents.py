@@ -37,3 +37,9 @@ def test_secrets_beside_letters_beyond_ascii(spark, tmp_path, name):
 def test_files_without_a_path_are_not_one_file(spark, tmp_path, name):
     """Where the language is missing, the path is: such texts are not summed into one file."""
     assert same(spark, tmp_path, name, [(i, words(i + 1), None if i % 3 == 0 else "de", None if i % 7 == 0 else "src1") for i in range(30)])
+
+
+def test_large_ids_and_null_texts_are_files(spark, tmp_path):
+    """A null text is an empty file, not a binary one, and an id may be larger than an int."""
+    documents = [(i * 10**9 + i, None if i % 4 == 1 else words(i), "de", "src1") for i in range(60)]
+    assert same(spark, tmp_path, "f14_index_filter", documents)
