@@ -43,3 +43,8 @@ def test_large_ids_and_null_texts_are_files(spark, tmp_path):
     """A null text is an empty file, not a binary one, and an id may be larger than an int."""
     documents = [(i * 10**9 + i, None if i % 4 == 1 else words(i), "de", "src1") for i in range(60)]
     assert same(spark, tmp_path, "f14_index_filter", documents)
+
+
+def test_chunks_have_ids_where_their_file_has_a_path(spark, tmp_path):
+    """A chunk id is made of the path, so what has none has no id."""
+    assert same(spark, tmp_path, "m3_chunk_id", [(i, words(i + 1), None if i % 3 == 0 else "de", "src1") for i in range(30)])
