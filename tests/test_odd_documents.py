@@ -48,3 +48,9 @@ def test_large_ids_and_null_texts_are_files(spark, tmp_path):
 def test_chunks_have_ids_where_their_file_has_a_path(spark, tmp_path):
     """A chunk id is made of the path, so what has none has no id."""
     assert same(spark, tmp_path, "m3_chunk_id", [(i, words(i + 1), None if i % 3 == 0 else "de", "src1") for i in range(30)])
+
+
+def test_a_refresh_plan_deletes_no_chunks_of_files_without_a_path(spark, tmp_path):
+    """Such files are added and removed, but have no chunks to reuse or delete; secrets beside letters beyond ASCII are out of the hashes."""
+    documents = [(i, f"{words(i + 1)}\né{KEYS[i % len(KEYS)]}ß", None if i % 3 == 0 else "de", None if i % 7 == 0 else "src1") for i in range(60)]
+    assert same(spark, tmp_path, "m7_plan_refresh", documents)
